@@ -79,3 +79,29 @@ def asof_quad(captures: DataFrame, frames: DataFrame) -> DataFrame:
     by = Window.partitionBy("session_id").orderBy("timestamp_ms", "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = a.unionByName(b).withColumn("seen", F.last("seen", ignorenulls=True).over(by)).where("kind = 1")
     return seen.select("session_id", "capture_id", "timestamp_ms", F.col("seen.frame_ms").alias("frame_ms"), F.col("seen.quad").alias("quad"))
+
+
+def motion(thumbnails: DataFrame) -> DataFrame:
+    """motion_score of each thumbnail (session_id, event_id, timestamp_ms, width, height, gray) against its session's last.
+
+    A session streams through one sorted partition; one thumbnail is the only state.
+    """
+    from lensmill.streaming.capture import motion as difference
+
+    schema = pa.schema([("session_id", pa.int64()), ("event_id", pa.int64()), ("motion_score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = None, None
+        for batch in batches:
+            out = []
+            for s, e, w, h, gray in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if s != now:
+                    now, before = s, None
+                image = (w, h, gray)
+                out.append((s, e, difference(before, image)))
+                before = image
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    own = thumbnails.select("session_id", "event_id", "width", "height", "gray", "timestamp_ms")
+    return own.repartition("session_id").sortWithinPartitions("session_id", "timestamp_ms", "event_id").mapInArrow(run, "session_id bigint, event_id bigint, motion_score double")

@@ -291,5 +291,26 @@ UNION ALL SELECT -c_custkey, CASE WHEN blank OR t = 'GENERIC' THEN FALSE ELSE ok
 }
 
 
+PIXELS = "WITH px AS (SELECT event_id, user_id AS session_id, x, y, (event_id * 31 + x * 7 + y * 13 + x * y * (event_id % 5)) % 256 AS v FROM events, range(16) a(x), range(12) b(y))"
+#: Neighbours with mirrored borders, as self-joins would find them, by windows over rows and columns.
+SQL["pix_quality"] = f"""{PIXELS}, n AS (SELECT *, lag(v) OVER r AS l, lead(v) OVER r AS rt, lag(v) OVER c AS u, lead(v) OVER c AS d FROM px WINDOW r AS (PARTITION BY event_id, y ORDER BY x), c AS (PARTITION BY event_id, x ORDER BY y)),
+lap AS (SELECT *, coalesce(l, rt) + coalesce(rt, l) + coalesce(u, d) + coalesce(d, u) - 4 * v AS z FROM n)
+SELECT event_id AS image_id, {r6("var_pop(z)")} AS blur_score, {r6("avg(v)")} AS brightness, {r6("count(*) FILTER (v > 250) / count(*)")} AS glare_ratio FROM lap GROUP BY event_id"""
+SQL["pix_motion"] = f"""{PIXELS}, b AS (SELECT *, lag(v) OVER (PARTITION BY session_id, x, y ORDER BY event_id) AS w FROM px)
+SELECT session_id, event_id, {r6("avg(coalesce(abs(v - w), 0)) / 255")} AS motion_score FROM b GROUP BY session_id, event_id"""
+SQL["capture_replay"] = (
+    FLAGGED.replace("WITH raw AS", "WITH RECURSIVE raw AS", 1)
+    + f""", walk AS (SELECT session_id, min(timestamp_ms) AS t FROM coded WHERE timestamp_ms >= 66 GROUP BY session_id UNION ALL SELECT w.session_id, (SELECT min(r.timestamp_ms) FROM coded r WHERE r.session_id = w.session_id AND r.timestamp_ms >= w.t + 66) AS t FROM walk w WHERE w.t IS NOT NULL),
+fwd AS (SELECT c.session_id, c.timestamp_ms, c.is_valid FROM coded c JOIN walk w ON c.session_id = w.session_id AND c.timestamp_ms = w.t),
+runs AS (SELECT *, max(CASE WHEN NOT is_valid THEN timestamp_ms ELSE 0 END) OVER (PARTITION BY session_id ORDER BY timestamp_ms) AS broken FROM fwd),
+since AS (SELECT *, min(CASE WHEN is_valid THEN timestamp_ms END) OVER (PARTITION BY session_id, broken) AS s FROM runs),
+shots AS (SELECT *, min(CASE WHEN is_valid AND timestamp_ms - s >= 1000 THEN timestamp_ms END) OVER (PARTITION BY session_id) AS shot FROM since),
+staged AS (SELECT *, CASE WHEN timestamp_ms = shot THEN 'capturing' WHEN is_valid THEN 'stabilizing' ELSE 'idle' END AS stage FROM shots WHERE shot IS NULL OR timestamp_ms <= shot),
+changed AS (SELECT *, lag(stage, 1, 'idle') OVER (PARTITION BY session_id ORDER BY timestamp_ms) AS before FROM staged)
+SELECT session_id, timestamp_ms, stage, {r6("CASE WHEN is_valid THEN least(1.0::DOUBLE, (timestamp_ms - s) / 1000.0::DOUBLE) ELSE 0 END")} AS stability_progress FROM changed WHERE stage <> before"""
+)
+SQL["stream_throttle_gate"] = SQL["capture_replay"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensmill.functions import documents, geometry, guidance, mrz, tensors
-from lensmill.operators import registry, sequences
+from lensmill.operators import registry, sequences, vision
 from lensmill.plans import fixtures
 from lensmill.plans.fixtures import projected, table
+from lensmill.streaming import capture
 
 AS_OF_YEAR = 2026
 
@@ -292,10 +295,66 @@ def registry_activations(spark, sf_dir):
     return registry.activations(activation_log(spark, sf_dir), models).groupBy("app_id", "outcome").agg(F.count("*").alias("n"))
 
 
+IMAGE_W, IMAGE_H = 16, 12
+
+
+def images(spark, sf_dir):
+    """A 16 x 12 gray image for each event, rows padded to a stride of 20, pixels by arithmetic."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"))
+    value = lambda i: F.pmod(F.col("event_id") * 31 + (i % 20) * 7 + F.floor(i / 20) * 13 + (i % 20) * F.floor(i / 20) * (F.col("event_id") % 5), F.lit(256))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20 * IMAGE_H - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), "")
+    return e.select(
+        F.col("event_id").alias("image_id"), "session_id", "event_id", F.col("event_id").alias("timestamp_ms"), F.lit(IMAGE_W).alias("width"), F.lit(IMAGE_H).alias("height"),
+        F.lit(20).alias("row_stride"), F.lit("yuv").alias("pixel_format"), F.lit("up").alias("orientation"), F.lit(False).alias("is_mirrored"), F.unhex(text).alias("data"),
+    )
+
+
+def pix_quality(spark, sf_dir):
+    own = vision.frame_quality(images(spark, sf_dir))
+    return own.select("image_id", r6(F.col("blur_score")).alias("blur_score"), r6(F.col("brightness")).alias("brightness"), r6(F.col("glare_ratio")).alias("glare_ratio"))
+
+
+def pix_motion(spark, sf_dir):
+    i = images(spark, sf_dir)
+    small = vision.thumbnails(i).select(F.col("image_id").alias("thumb_id"), "gray")
+    own = i.select("session_id", "event_id", "timestamp_ms", "width", "height", "image_id").join(small, F.col("image_id") == F.col("thumb_id"))
+    return sequences.motion(own).select("session_id", "event_id", r6(F.col("motion_score")).alias("motion_score"))
+
+
+def capture_replay(spark, sf_dir):
+    """Throttle and gate together, as the stream runs them, over a batch."""
+    own = capture.replayed(capture.events_of(judged(spark, sf_dir)))
+    return own.select("session_id", "timestamp_ms", "stage", r6(F.col("stability_progress")).alias("stability_progress"))
+
+
+def stream_throttle_gate(spark, sf_dir):
+    """The same as a stream over a folder of frames, run until it has read what is there."""
+    folder = f"{shared_folder(spark)}/lensmill/frames-{uuid.uuid4().hex}"
+    events = capture.events_of(judged(spark, sf_dir))
+    events.write.parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stages = capture.capture_stages(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
+    run = stages.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    own = spark.read.schema(stages.schema).parquet(f"{folder}/out")
+    return own.select("session_id", "timestamp_ms", "stage", r6(F.col("stability_progress")).alias("stability_progress"))
+
+
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir where it is set, else a temporary folder in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lensmill-")
+
+
 QUERIES = (
     g_geometry, g_bbox_and_domain, g_order_points, g_orientation, g_clamp, g_view_scale, guidance_flags, guidance_code, guidance_code_counts, face_geometry, face_guidance,
     quality_indicators, quality_score, mrz_fields, mrz_parse, ocr_fulltext, licence_parse, licence_categories, id_parse, extract_document, throttle, stability_gate, latest_state,
     asof_quad, heatmap_decode, class_softmax, ctc_decode, face_decode, nms, registry_latest, registry_active, registry_activations,
+    pix_quality, pix_motion, capture_replay, stream_throttle_gate,
 )
 
 
