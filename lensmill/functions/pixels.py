@@ -278,7 +278,7 @@ def contour_quad(gray: np.ndarray, profile: str = "android") -> tuple[np.ndarray
         a, b = q[i - 1] - q[i], q[(i + 1) % 4] - q[i]
         length = np.hypot(*a) * np.hypot(*b)
         off = max(off, abs(np.degrees(np.arccos(np.clip(a @ b / length, -1, 1))) - 90)) if length else off
-    angle, share = max(0.0, 1 - off / (45 if profile == "android" else 90)), best[1] / frame
+    angle, share = max(0.0, 1 - off / 45), best[1] / frame
     if profile == "android":
         return q, 0.5 * min(1.0, share / 0.5) + 0.5 * angle
     return q, 0.5 * angle + 0.5 * (1 - min(1.0, abs(share - 0.55) / 0.55))
