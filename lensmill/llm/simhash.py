@@ -11,6 +11,11 @@ verified by exact distance. A bucket is verified in blocks, and each block retur
 all its pairs, so a group of thousands of near copies costs no quadratic output. Buckets beyond one block are dealt
 out as pairs of blocks, so none is capped. Components come from large-star/small-star rounds.
 
+near_duplicates() serves corpora: near copies of 0.8 likeness on shingles of five words differ in up to some ten bits of
+64, far more than tau 2, while unrelated texts of one language can come as near by chance. It searches at tau 10 and
+verifies each candidate by a second fingerprint of 256 bits over shingles of five words: likeness 0.8 is an angle of 27
+degrees, 39 differing bits, and at most WIDE_BITS are taken; unrelated texts differ in over a hundred.
+
 Defined results: null text is empty, its fingerprint is 0 and links like any other; equal texts share a fingerprint;
 null ids take no part in a component's smallest id (a component of null ids only has a null id); repeated rows keep
 one result row each; an empty table gives an empty result; other columns are dropped, so clashing names do no harm.
@@ -29,43 +34,71 @@ from pyspark.sql import functions as F
 from lensmill.llm.common import materialise, rows_of, short_batches, to_batch
 from lensmill.llm.components import forest, smallest_reachable
 
+WIDE, WIDE_SHINGLE, WIDE_BITS, NEAR_TAU, NEAR_PARTS = 4, 5, 48, 10, (5, 6, 7, 8)
+#: What filing a row in a bucket costs, in comparisons of two fingerprints.
+FILING = 300
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCK = 2048
 
 
-def fingerprint(text: str) -> int:
+def _bits(hashes: np.ndarray) -> int:
+    """Majority of the hashes' bits, bit 63 of a hash first; hashes is n x words."""
+    total = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)]
+        total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+
+
+def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     import xxhash
 
-    words = text.encode().translate(_LOWER).split()
-    if not words:
-        return 0
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= 3:
-        return hashed(joined, 42)
+    if len(words) <= width:
+        return np.array([hashed(joined, 42)], np.uint64)
     ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts = [0, *[e + 1 for e in ends[:-3]]]
-    hashes = np.array([hashed(joined[a:b], 42) for a, b in zip(starts, ends[2:], strict=True)], np.uint64)
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        total += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+    starts = [0, *[e + 1 for e in ends[:-width]]]
+    return np.array([hashed(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)], np.uint64)
+
+
+def fingerprint(text: str) -> int:
+    words = text.encode().translate(_LOWER).split()
+    return _bits(_shingle_hashes(words, 3)[:, None]) if words else 0
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; no shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def wide_fingerprint(text: str) -> tuple[int, ...]:
+    """The fingerprint, then WIDE words of the one over longer shingles, whose further hashes are mixed from the first."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return (0,) * (WIDE + 1)
+    h = _shingle_hashes(words, WIDE_SHINGLE)
+    mixed = [h]
+    for k in range(1, WIDE):
+        x = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed.append(x ^ (x >> np.uint64(31)))
+    wide = _bits(np.stack(mixed, axis=1))
+    return (_bits(_shingle_hashes(words, 3)[:, None]), *[wide >> (64 * k) & ((1 << 64) - 1) for k in range(WIDE)])
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), with wide also w0.., of every row; no shuffle."""
+    names = ["fp", *[f"w{k}" for k in range(WIDE * wide)]]
+    schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fps = [], []
+            ids, found = [], []
             for doc_id, text in rows_of(batch, "doc_id", "text"):
-                f = fingerprint(text or "")
                 ids.append(doc_id)
-                fps.append(f - (1 << 64) if f >> 63 else f)
-            yield to_batch(schema, [ids, fps])
+                found.append(wide_fingerprint(text or "") if wide else (fingerprint(text or ""),))
+            values = np.array(found, np.uint64).reshape(-1, len(names)).astype(np.int64)
+            yield to_batch(schema, [ids, *values.T])
 
     short_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    ddl = "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -140,109 +173,134 @@ def allocate(costs: list[list[float]], tau: int) -> list[int]:
     return best[want][1]
 
 
-def plan(distinct: DataFrame, tau: int, parts: int) -> list[tuple[list[int], int]]:
+def plan(distinct: DataFrame, tau: int, options: tuple[int, ...]) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed; the estimates come from all distinct fingerprints.
 
     A partition's cost at threshold 0 is its exact number of agreeing pairs; each further bit multiplies the values
-    that are probed, so its pairs are estimated as those of 0 times that number of values, and at least the filings.
+    that are probed, so its pairs are estimated as those of 0 times that number of values; each filing adds its own
+    cost. Of the numbers of partitions in options the cheapest is taken.
     """
     n, together = bit_statistics(distinct)
-    groups = partition_bits(n, together, parts)
-    keys = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), key_of(g).alias("key")) for i, g in enumerate(groups)])).alias("e"))
-    counted = keys.groupBy("e.i", "e.key").count()
-    sums = {r.i: float(r.pairs) for r in counted.groupBy("i").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()}
-    costs = []
-    for i, g in enumerate(groups):
-        own, probes = [0.0], 0
-        for t in range(tau + 1):
-            probes += len(list(combinations(range(len(g)), t)))
-            own.append(sums.get(i, 0.0) * probes + n * probes)
-        costs.append(own)
-    return [(g, t) for g, t in zip(groups, allocate(costs, tau), strict=True) if t >= 0]
+    groups = {parts: partition_bits(n, together, parts) for parts in options}
+    listed = [(parts, i, g) for parts, own in groups.items() for i, g in enumerate(own)]
+    keys = distinct.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), key_of(g).alias("key")) for k, (_, _, g) in enumerate(listed)])).alias("e"))
+    counted = keys.groupBy("e.k", "e.key").count()
+    sums = {r.k: float(r.pairs) for r in counted.groupBy("k").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()}
+    best = None
+    for parts, own_groups in groups.items():
+        costs = []
+        for k, (_, _, g) in enumerate(listed):
+            if listed[k][0] != parts:
+                continue
+            own, probes = [0.0], 0
+            for t in range(tau + 1):
+                probes += len(list(combinations(range(len(g)), t))) if t <= 3 else 1 << 40
+                own.append((sums.get(k, 0.0) + FILING * n) * probes)
+            costs.append(own)
+        thresholds = allocate(costs, tau)
+        total = sum(c[t + 1] for c, t in zip(costs, thresholds, strict=True))
+        if best is None or total < best[0]:
+            best = (total, [(g, t) for g, t in zip(own_groups, thresholds, strict=True) if t >= 0])
+    return best[1]
 
 
 def filed(distinct: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
-    """fp, bucket, own: each fingerprint in its own bucket (own) and in those it probes."""
+    """distinct's columns with bucket and own: each fingerprint in its own bucket (own) and in those it probes."""
     out = None
     for i, (bits, t) in enumerate(chosen):
         masks = [sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(len(bits)), k)]
-        probes = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("mask")) for m in masks])).alias("p")
-        own = distinct.select("fp", key_of(bits).alias("key"), probes)
-        own = own.select("fp", F.xxhash64(F.lit(i), F.col("key").bitwiseXOR(F.col("p.mask"))).alias("bucket"), (F.col("p.mask") == 0).alias("own"))
+        probes = F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")
+        own = distinct.select("*", key_of(bits).alias("key"), probes)
+        own = own.select(*distinct.columns, F.xxhash64(F.lit(i), F.col("key").bitwiseXOR(F.col("mask"))).alias("bucket"), (F.col("mask") == 0).alias("own"))
         out = own if out is None else out.unionAll(own)
     return out
 
 
-def block_links(distinct: DataFrame, tau: int, parts: int) -> DataFrame:
-    """a, b: a forest of the links found in each block or pair of blocks of a bucket."""
-    buckets = filed(distinct, plan(distinct, tau, parts))
+def block_links(distinct: DataFrame, tau: int, options: tuple[int, ...], wide_bits: int | None = None) -> DataFrame:
+    """a, b: a forest of the links found in each block or pair of blocks of a bucket of distinct(node, fp, w0..)."""
+    carried = [c for c in distinct.columns if c != "node"]
+    buckets = filed(distinct, plan(distinct, tau, options))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("filed")).where((F.col("n") > 1) & F.col("filed"))
     dealt = buckets.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y")))
-    dealt = dealt.select("fp", "bucket", F.explode(pairs).alias("xy")).select("fp", "bucket", "xy.x", "xy.y")
+    dealt = dealt.select("bucket", "own", "node", *carried, F.explode(pairs).alias("xy")).select("bucket", "xy.x", "xy.y", "own", "node", *carried)
+
+    def links(own: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A pair meets where one of them probes the other's own bucket, so own rows are compared with all."""
+        found_a, found_b = [], []
+        at_home = np.flatnonzero(own)
+        for at in range(0, len(at_home), 256):
+            some = at_home[at : at + 256]
+            a, b = np.nonzero(np.bitwise_count(prints[some, 0][:, None] ^ prints[None, :, 0]) <= tau)
+            a = some[a]
+            a, b = a[a != b], b[a != b]
+            if wide_bits is not None and len(a):
+                near = np.concatenate([np.bitwise_count(prints[a[k : k + 100_000], 1:] ^ prints[b[k : k + 100_000], 1:]).sum(axis=1) <= wide_bits for k in range(0, len(a), 100_000)])
+                a, b = a[near], b[near]
+            found_a.append(a)
+            found_b.append(b)
+        if not found_a:
+            return node[:0], node[:0]
+        a, b = forest(len(node), np.concatenate(found_a), np.concatenate(found_b))
+        return node[a], node[b]
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket and block pair; a group ends where those change."""
-        kept: list[tuple[tuple, np.ndarray]] = []
-
-        def links(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            values = np.unique(values)
-            found_a, found_b = [], []
-            for at in range(0, len(values), 512):
-                near = np.bitwise_count(values[at : at + 512, None] ^ values[None, :]) <= tau
-                a, b = np.nonzero(near)
-                a += at
-                found_a.append(a[a < b])
-                found_b.append(b[a < b])
-            a, b = forest(len(values), np.concatenate(found_a), np.concatenate(found_b))
-            return values[a], values[b]
-
-        def flush(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            values = np.concatenate(group)
-            return links(values) if len(values) > 1 else (values[:0], values[:0])
-
         now, held = None, []
+
+        def flush() -> pa.RecordBatch | None:
+            own, node, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = links(own, node, prints)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+
         for batch in batches:
-            frame = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if not len(frame[0]):
+            if not batch.num_rows:
                 continue
-            change = np.flatnonzero((np.diff(frame[1]) != 0) | (np.diff(frame[2]) != 0) | (np.diff(frame[3]) != 0)) + 1
-            out_a, out_b = [], []
-            for piece in np.split(np.arange(len(frame[0])), change):
-                key = tuple(frame[i][piece[0]] for i in (1, 2, 3))
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            keys = np.stack([c.astype(np.int64) for c in columns[:3]], axis=1)
+            prints = np.stack([c.astype(np.uint64) for c in columns[5:]], axis=1)
+            for piece in np.split(np.arange(len(keys)), np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1):
+                key = tuple(keys[piece[0]])
                 if key != now and held:
-                    a, b = flush(held)
-                    out_a.append(a)
-                    out_b.append(b)
+                    if (found := flush()) is not None:
+                        yield found
                     held = []
                 now = key
-                held.append(frame[0][piece].astype(np.uint64))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_a, out_b)], names=["a", "b"])
-        if held:
-            a, b = flush(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
-        kept.clear()
+                held.append((columns[3][piece], columns[4][piece], prints[piece]))
+        if held and (found := flush()) is not None:
+            yield found
 
     grouped = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return grouped.mapInArrow(verified, "a bigint, b bigint")
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, parts: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id reachable) of every row."""
-    rows = materialise(fingerprints(df, id_col, text_col), "simhash")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
-    links = materialise(block_links(distinct.select("fp"), tau, parts).distinct(), "simhash-links")
-    reached = smallest_reachable(links)
-    named = distinct.join(reached, distinct["fp"] == reached["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _grouped(rows: DataFrame, prints: list[str], tau: int, options: tuple[int, ...], wide_bits: int | None) -> DataFrame:
+    """rows(doc_id, node, prints) with component_id."""
+    distinct = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in prints]), "simhash-fp")
+    links = materialise(block_links(distinct.select("node", *prints), tau, options, wide_bits).distinct(), "simhash-links")
+    reached = smallest_reachable(links).withColumnRenamed("node", "reached")
+    named = distinct.join(reached, F.col("node") == F.col("reached"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select(F.col("fp").alias("own_fp"), "component_id")
-    return rows.join(by_fp, rows["fp"] == by_fp["own_fp"]).select("doc_id", "fp", "component_id")
+    by_node = named.join(least, "root").select(F.col("node").alias("own_node"), "component_id")
+    return rows.join(by_node, F.col("node") == F.col("own_node")).select("doc_id", "fp", "component_id")
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, options: tuple[int, ...] = (3,)) -> DataFrame:
+    """doc_id, fp, component_id (the smallest id reachable by links within tau bits) of every row."""
+    rows = materialise(fingerprints(df, id_col, text_col).withColumn("node", F.col("fp")), "simhash")
+    return _grouped(rows, ["fp"], tau, options, None)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = NEAR_TAU, options: tuple[int, ...] = NEAR_PARTS, wide_bits: int = WIDE_BITS) -> DataFrame:
+    """doc_id, fp, component_id of every row, by links within tau bits that the wide fingerprint confirms."""
+    prints = ["fp", *[f"w{k}" for k in range(WIDE)]]
+    rows = materialise(fingerprints(df, id_col, text_col, wide=True).withColumn("node", F.xxhash64(*prints)), "simhash")
+    return _grouped(rows, prints, tau, options, wide_bits)
 
 
 def hexadecimal(name: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(name)), 16, "0"))
 
 
-__all__ = ["components", "fingerprint", "fingerprints", "hexadecimal"]
+__all__ = ["components", "fingerprint", "fingerprints", "hexadecimal", "near_duplicates", "wide_fingerprint"]
