@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,8 +137,7 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
     cuts = ids.stat.approxQuantile("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (16 * parts)) if parts > 0 else []
     cuts = sorted({int(c) for c in cuts})
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    ranged = F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))) if len(cuts) < 64 else _range_of(cuts)("doc_id")
+    ranged = _range_of(cuts)("doc_id")
     null_range = len(cuts) + 1
     placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), null_range).otherwise(ranged))
     ids_placed = docs.select("doc_id").withColumn("range", F.when(F.col("doc_id").isNull(), null_range).otherwise(ranged))
@@ -197,8 +197,6 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _range_of(cuts: list[int]):
     """Number of cuts below a value; a binary search over Arrow batches."""
-    import pandas as pd
-
     held = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")
