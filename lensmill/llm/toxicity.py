@@ -47,57 +47,57 @@ def features(word: str) -> list[int]:
     return [crc32(x.encode()) & mask for x in named]
 
 
-def marginals(scores: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chained(e: np.ndarray, first: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Odds of label 1 against 0 at each position (lanes x LANE), given the odds e of each token alone.
+
+    odds_i = e_i (t01 + odds t11) / (t00 + odds t10), or e_i at a text's first token. Each lane is composed as one such
+    map, the lanes' maps are chained, then every lane runs from its own start.
+    """
+    lanes = e.shape[0]
+    (t00, t01), (t10, t11) = t
+    # The map (a odds + b) / (c odds + d); a first token's map is the constant e.
+    ma, mb = np.where(first, 0.0, e * t11), np.where(first, e, e * t01)
+    mc, md = np.where(first, 0.0, t10), np.where(first, 1.0, t00)
+    a, b, c, d = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
+    for i in range(LANE):
+        a, b, c, d = ma[:, i] * a + mb[:, i] * c, ma[:, i] * b + mb[:, i] * d, mc[:, i] * a + md[:, i] * c, mc[:, i] * b + md[:, i] * d
+        scale = 1 / (a + b + c + d)
+        a, b, c, d = a * scale, b * scale, c * scale, d * scale
+    odds, now = np.empty(lanes), 1.0
+    for k, (ka, kb, kc, kd) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)):
+        odds[k] = now
+        now = (ka * now + kb) / (kc * now + kd)
+    out = np.empty_like(e)
+    for i in range(LANE):
+        odds = (ma[:, i] * odds + mb[:, i]) / (mc[:, i] * odds + md[:, i])
+        out[:, i] = odds
+    return out
+
+
+def marginals(scores: np.ndarray, starts: np.ndarray, trans: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """P(label 1) of each token, and the sum of P(label a, next label b).
 
     scores: log-odds of label 1 of each token of all texts, one after another; starts: True at a text's first token.
-    trans: 2x2 log weights. Each token is a 2x2 matrix; the matrix of a first token has equal rows and so forgets
-    what came before. Lanes of LANE tokens run side by side; the lanes' products are then chained.
+    trans: 2x2 log weights. Forward and backward odds run in lanes of LANE tokens side by side.
     """
     n = len(scores)
     if not n:
         return np.zeros(0), np.zeros((2, 2))
     lanes = -(-n // LANE)
-    e, first = np.zeros(lanes * LANE), np.ones(lanes * LANE, bool)
-    e[:n], first[:n] = np.clip(scores, -30, 30), starts
-    weight = np.stack([1 / (1 + np.exp(e)), 1 / (1 + np.exp(-e))], axis=1)
+    e, first = np.ones(lanes * LANE), np.ones(lanes * LANE, bool)
+    e[:n], first[:n] = np.exp(np.clip(scores, -30, 30)), starts
     t = np.exp(trans - trans.max())
-    step = np.where(first[:, None, None], 1.0, t[None]) * weight[:, None, :]
-    step = step.reshape(lanes, LANE, 2, 2)
-
-    def chained(m: np.ndarray) -> np.ndarray:
-        """State before each position of each lane, for row vectors times m."""
-        product = np.broadcast_to(np.eye(2), (lanes, 2, 2)).copy()
-        for i in range(LANE):
-            product = product @ m[:, i]
-            product /= product.sum(axis=(1, 2), keepdims=True)
-        before, now = np.empty((lanes, 2)), np.array([0.5, 0.5])
-        for k in range(lanes):
-            before[k] = now
-            now = now @ product[k]
-            now = now / now.sum()
-        out = np.empty((lanes, LANE, 2))
-        for i in range(LANE):
-            out[:, i] = before
-            before = (before[:, None, :] @ m[:, i])[:, 0]
-            before /= before.sum(axis=1, keepdims=True)
-        return out
-
-    into = chained(step)
-    alpha = np.einsum("lia,liab->lib", into, step).reshape(-1, 2)
-    alpha /= alpha.sum(axis=1, keepdims=True)
-    # Backwards: position i receives from i + 1; a text's last token receives ones.
-    after = np.ones((lanes * LANE, 2, 2))
-    flat = step.reshape(-1, 2, 2)
-    after[:-1] = np.where(first[1:, None, None], 1.0, flat[1:].transpose(0, 2, 1))
-    back = np.ascontiguousarray(after[::-1]).reshape(lanes, LANE, 2, 2)
-    beta = np.einsum("lia,liab->lib", chained(back), back).reshape(-1, 2)[::-1]
-    both = alpha * beta
-    p = (both[:, 1] / both.sum(axis=1))[:n]
-    pairs = alpha[: n - 1, :, None] * flat[1:n] * beta[1:n, None, :]
-    pairs = pairs[~first[1:n]]
-    pairs /= pairs.sum(axis=(1, 2), keepdims=True)
-    return p, pairs.sum(axis=0)
+    ahead = _chained(e.reshape(lanes, LANE), first.reshape(lanes, LANE), t).ravel()
+    ends = np.append(first[1:], True)
+    back = _chained(e[::-1].reshape(lanes, LANE), ends[::-1].reshape(lanes, LANE), t.T).ravel()[::-1]
+    odds = ahead * back / e  # both hold the token's own odds
+    p = (odds / (1 + odds))[:n]
+    if not pairs:
+        return p, None
+    inner = ~first[1:n]
+    a, b = ahead[: n - 1][inner], back[1:n][inner]
+    joint = np.stack([np.full(len(a), t[0, 0]), t[0, 1] * b, t[1, 0] * a, t[1, 1] * a * b])
+    return p, (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
 @dataclass
@@ -107,6 +107,7 @@ class ToxicModel:
     trans: np.ndarray
     doc: np.ndarray
     memo: dict = field(default_factory=dict, repr=False, compare=False)
+    sparse: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
         used = np.flatnonzero(self.weights)
@@ -115,11 +116,14 @@ class ToxicModel:
     def __setstate__(self, s):
         self.weights = np.zeros(1 << FEATURE_BITS)
         self.weights[s["used"]] = s["values"]
-        self.bias, self.trans, self.doc, self.memo = s["bias"], s["trans"], s["doc"], {}
+        self.bias, self.trans, self.doc, self.memo, self.sparse = s["bias"], s["trans"], s["doc"], {}, {}
 
     def token_score(self, token: str) -> float:
-        word = normal(token)
-        return self.bias + (float(self.weights[features(word)].sum()) if word else 0.0)
+        if not self.sparse:
+            used = np.flatnonzero(self.weights)
+            self.sparse = dict(zip(used.tolist(), self.weights[used].tolist(), strict=True)) or {-1: 0.0}
+        word, weight = normal(token), self.sparse.get
+        return self.bias + sum(weight(f, 0.0) for f in features(word)) if word else self.bias
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         memo = self.memo
@@ -144,7 +148,7 @@ class ToxicModel:
             return [np.zeros(0) for _ in texts]
         starts = np.zeros(lengths.sum(), bool)
         starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        p, _ = marginals(np.concatenate(filled), starts, self.trans)
+        p, _ = marginals(np.concatenate(filled), starts, self.trans, pairs=False)
         return np.split(p, np.cumsum(lengths)[:-1])
 
     def doc_score(self, p: np.ndarray) -> float:
@@ -153,24 +157,37 @@ class ToxicModel:
 
 
 def _tell_tales(docs: list[tuple[list[str], int]], chance: float = 1e-7, ratio: float = 15) -> set[str]:
-    """Words and beginnings that occur in toxic documents far more often than chance allows."""
-    toxic, clean = Counter(), Counter()
+    """Words and beginnings that occur in toxic documents far more often than chance allows.
+
+    Occurrences count by their distinct neighbours, so that the rare words of a text with many copies count once.
+    """
+    seen: dict[str, tuple[set, set]] = {}
     for tokens, label in docs:
-        words = {normal(t) for t in tokens}
-        (toxic if label else clean).update({w[:n] for w in words for n in (4, 5, 6) if len(w) >= n} | {w for w in words if w})
+        words = [normal(t) for t in tokens]
+        for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            if w:
+                place = hash((before, after))
+                for part in {w, w[:4], w[:5], w[:6]}:
+                    if len(part) >= 4 or part == w:
+                        own = seen.get(part)
+                        if own is None:
+                            own = seen[part] = (set(), set())
+                        if len(own[label]) < 400:
+                            own[label].add(place)
     n1 = sum(label for _, label in docs)
     n0 = len(docs) - n1
     share = n1 / max(1, n0 + n1)
     found = set()
-    for w, a in toxic.items():
-        b = clean[w]
+    for w, (clean, toxic) in seen.items():
+        a, b = len(toxic), len(clean)
         if a * np.log(1 / share) > np.log(1 / chance) + b * np.log(n0 + n1) and (a + 0.5) / (n1 + 1) > ratio * (b + 0.5) / (n0 + 1):
             found.add(w)
     return found
 
 
-def fit(labelled: DataFrame, max_docs: int = 3000, rounds: int = 30) -> ToxicModel:
-    """labelled: text, toxic 0/1 and an order column ``pick``, as sample() gives them. Bound: twice max_docs rows of each label."""
+def fit(labelled: DataFrame, max_docs: int = 3000, max_tokens: int = 300_000, rounds: int = 30) -> ToxicModel:
+    """labelled: text, toxic 0/1 and an order column ``pick``, as sample() gives them. Bound: twice max_docs rows of each label; the chain
+    itself is trained on whole documents of them up to max_tokens words."""
     rows = sorted((r.pick, r.text, r.toxic) for r in labelled.where(F.col("text").isNotNull()).select("pick", "text", "toxic").limit(4 * max_docs).collect())
     docs = [(text.lower().split(), int(label)) for _, text, label in rows]
     n1 = sum(label for _, label in docs)
@@ -181,7 +198,7 @@ def fit(labelled: DataFrame, max_docs: int = 3000, rounds: int = 30) -> ToxicMod
     words: dict[str, int] = {}
     ids, labels, starts = [], [], []
     chain = [(t, label) for t, label in docs if t]
-    budget = 1_500_000
+    budget = max_tokens
     order = np.argsort([crc32(" ".join(t[:20]).encode()) for t, _ in chain], kind="stable")
     for i in order:
         tokens, label = chain[i]
@@ -238,8 +255,8 @@ def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 texts = [t or "" for (t,) in rows_of(part, "text")]
                 found = model.of_tokens([t.lower().split() for t in texts])
                 scores, counts, spans = [], [], []
@@ -278,8 +295,8 @@ def keep_clean(df: DataFrame, model: ToxicModel, limit: float = 0.5, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 found = model.of_tokens([(t or "").lower().split() for (t,) in rows_of(part, text_col)])
                 yield part.filter(pa.array([model.doc_score(p) < limit for p in found]))
 
