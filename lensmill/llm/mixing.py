@@ -110,14 +110,18 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Rows that repeat an id and a size are counted, and their copies dealt out evenly, the first rows taking the rest.
     """
-    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **named).where("copies > 0")
+    columns, own = docs.columns, [f"c_{i}" for i in range(len(docs.columns))]
+    id_at, text_at, source_at = (own[columns.index(c)] for c in (id_col, text_col, source_col))
+    docs = docs.toDF(*own)
+    mixed = mix(docs, id_col=id_at, text_col=text_at, source_col=source_at, **named).where("copies > 0")
     taken = mixed.groupBy(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.col("size").alias("mixed_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("mixed_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("mixed_source")) & (size == F.col("mixed_size")))
-    alike = Window.partitionBy(F.col(id_col), F.col(source_col), F.col("mixed_size")).orderBy(F.col(text_col))
+    size = F.coalesce(F.regexp_count(F.col(text_at), F.lit(WORD)), F.lit(0)).cast("long")
+    joined = docs.join(taken, F.col(id_at).eqNullSafe(F.col("mixed_id")) & F.col(source_at).cast("string").eqNullSafe(F.col("mixed_source")) & (size == F.col("mixed_size")))
+    alike = Window.partitionBy(F.col(id_at), F.col(source_at), F.col("mixed_size")).orderBy(F.col(text_at))
     joined = joined.withColumn("nth_copy", F.row_number().over(alike))
     repeats = F.coalesce(F.get(F.col("copies"), F.col("nth_copy") - 1), F.lit(0))
-    return joined.withColumn("repeats", repeats).where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    joined = joined.withColumn("repeats", repeats).where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    return joined.select(*own).toDF(*columns)
 
 
 __all__ = ["apply", "inverse_demand", "mix", "sized", "targets"]

@@ -248,13 +248,23 @@ def _splitters(docs: DataFrame, buckets: int, n_docs: int, sample_docs: int = 40
     return np.unique(own[np.linspace(0, len(own) - 1, buckets + 1).astype(int)[1:-1]]) if len(own) else own
 
 
-def _merged(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the suffixes; which of them start a gram; which start a context."""
+def _later(new: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    """Which rows of sorted groups (new marks their firsts) lie at another place than their group's first.
+
+    Rows that repeat an id and its text list the same places twice; those are no repeats.
+    """
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.logical_or.reduce([p != p[first] for p in places])
+
+
+def _merged(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Order of the suffixes; which of them start a gram, which start a context, which repeat an earlier one's."""
     lead, gram, context, key, at = columns
     order = multikey_order([lead, gram, context, key, at])
     a, b, c = lead[order], gram[order], context[order]
     new_gram = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return order, new_gram, new_gram | np.concatenate([[True], c[1:] != c[:-1]])
+    new = new_gram | np.concatenate([[True], c[1:] != c[:-1]])
+    return order, new_gram, new, _later(new, key[order], at[order])
 
 
 def _repeat_rows(kind: int, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
@@ -274,8 +284,8 @@ def _listed(docs: DataFrame, cuts: np.ndarray) -> DataFrame:
     def run(batches):
         for lead, gram, context, key, at, first, last in _chunks(batches):
             words = _key_words(lead, gram, context)
-            order, _, new = _merged((*words, key, at))
-            rest = order[~new]
+            order, _, new, later = _merged((*words, key, at))
+            rest = order[later]
             if len(rest):
                 yield _repeat_rows(SETTLED, key[rest], first[rest], last[rest])
             order = order[new]
@@ -317,13 +327,13 @@ def _compared(cuts: np.ndarray):
         lead, gram, context, key, first, after, offset = columns
         key, first = key.astype(np.int64), first.astype(np.int64)
         last = first + after.astype(np.int64)
-        order, new_gram, new = _merged((lead, gram, context, key, first + offset.astype(np.int64)))
+        order, new_gram, new, later = _merged((lead, gram, context, key, first + offset.astype(np.int64)))
         contexts = np.bincount(np.cumsum(new_gram) - 1, weights=new)
         open_gram = contexts > 1
         a, b = lead[order][new_gram], gram[order][new_gram]
         for cut in cuts[max(0, bucket - 1) : bucket + 1]:  # the gram may go on beyond the bucket
             open_gram |= (a == cut["lead"]) & (b == cut["gram"])
-        rest, asked = order[~new], order[new & open_gram[np.cumsum(new_gram) - 1]]
+        rest, asked = order[later], order[new & open_gram[np.cumsum(new_gram) - 1]]
         for kind, own in ((SETTLED, rest), (OPEN, asked)):
             if len(own):
                 yield _repeat_rows(kind, key[own], first[own], last[own])
@@ -374,7 +384,7 @@ def _repeated(bucket: int, blobs: list[bytes]):
     key, start = key.astype(np.int64), start.astype(np.int64)
     order = multikey_order([h, key, start])
     h = h[order]
-    again = order[np.concatenate([[False], h[1:] == h[:-1]])]
+    again = order[_later(np.concatenate([[True], h[1:] != h[:-1]]), key[order], start[order])]
     if len(again):
         yield _repeat_rows(SETTLED, key[again], start[again], start[again])
 
