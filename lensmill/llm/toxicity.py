@@ -161,22 +161,29 @@ def _tell_tales(docs: list[tuple[list[str], int]], chance: float = 1e-7, ratio:
 
     Occurrences count by their distinct neighbours, so that the rare words of a text with many copies count once.
     """
-    seen: dict[str, tuple[set, set]] = {}
-    for tokens, label in docs:
-        words = [normal(t) for t in tokens]
-        for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            if w:
-                place = hash((before, after))
-                for part in {w, w[:4], w[:5], w[:6]}:
-                    if len(part) >= 4 or part == w:
-                        own = seen.get(part)
-                        if own is None:
-                            own = seen[part] = (set(), set())
-                        if len(own[label]) < 400:
-                            own[label].add(place)
     n1 = sum(label for _, label in docs)
     n0 = len(docs) - n1
     share = n1 / max(1, n0 + n1)
+
+    def parts(w: str) -> set[str]:
+        return {w} | {w[:n] for n in (4, 5, 6) if len(w) >= n} if w else set()
+
+    # Only what stands in toxic documents often enough to pass at all is followed with its neighbours.
+    often = Counter()
+    for tokens, label in docs:
+        if label:
+            for w, n in Counter(map(normal, tokens)).items():
+                for part in parts(w):
+                    often[part] += n
+    seen: dict[str, tuple[set, set]] = {w: (set(), set()) for w, n in often.items() if n * np.log(1 / share) > np.log(1 / chance)}
+    del often
+    for tokens, label in docs:
+        words = [normal(t) for t in tokens]
+        for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            for part in parts(w):
+                own = seen.get(part)
+                if own is not None and len(own[label]) < 400:
+                    own[label].add(hash((before, after)))
     found = set()
     for w, (clean, toxic) in seen.items():
         a, b = len(toxic), len(clean)
@@ -188,8 +195,13 @@ def _tell_tales(docs: list[tuple[list[str], int]], chance: float = 1e-7, ratio:
 def fit(labelled: DataFrame, max_docs: int = 3000, max_tokens: int = 300_000, rounds: int = 30) -> ToxicModel:
     """labelled: text, toxic 0/1 and an order column ``pick``, as sample() gives them. Bound: twice max_docs rows of each label; the chain
     itself is trained on whole documents of them up to max_tokens words."""
-    rows = sorted((r.pick, r.text, r.toxic) for r in labelled.where(F.col("text").isNotNull()).select("pick", "text", "toxic").limit(4 * max_docs).collect())
-    docs = [(text.lower().split(), int(label)) for _, text, label in rows]
+    rows = labelled.where(F.col("text").isNotNull()).select("pick", "text", "toxic").limit(4 * max_docs).collect()
+    rows = sorted(((r.pick, r.text, r.toxic) for r in rows), reverse=True)
+    docs, same = [], {}
+    while rows:
+        _, text, label = rows.pop()
+        docs.append(([same.setdefault(t, t) for t in text.lower().split()], int(label)))
+    same.clear()
     n1 = sum(label for _, label in docs)
     if not n1 or n1 == len(docs):
         prior = (n1 + 1) / (len(docs) + 3)
