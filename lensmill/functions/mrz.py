@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lensmill.functions.geometry import bound
+
 # Substitution pairs and the check digit's alphabet and weights.
 LETTERS, THEIR_DIGITS = "OQDILTZEASGB", "000111234568"
 DIGITS, THEIR_LETTERS = "012568", "OIZSGB"
-ALPHABET, WEIGHTS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (7, 3, 1)
+ALPHABET, WEIGHTS = "123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (7, 3, 1)
 OPENERS = "«»{[(}])"
 #: format: (lines, shortest, longest, width, first characters, needs '<<'); in order of precedence.
 FORMATS = {
@@ -29,23 +31,22 @@ def to_letters(s: Column) -> Column:
 
 
 def check_digit(s: Column, length: int) -> Column:
-    """Weighted sum modulo 10, unrolled over the fixed length: stays in generated code."""
+    """Weighted sum modulo 10, unrolled over the fixed length; a place in ALPHABET is the value, all else counts 0."""
+    padded = F.rpad(s, length, "<")
     total = F.lit(0)
     for i in range(length):
-        c = F.substring(s, i + 1, 1)
-        value = F.when(c == "", 0).otherwise(F.greatest(F.lit(0), F.instr(F.lit(ALPHABET), c) - 1))
-        total = total + value * WEIGHTS[i % 3]
+        total = total + F.instr(F.lit(ALPHABET), F.substring(padded, i + 1, 1)) * WEIGHTS[i % 3]
     return total % 10
 
 
 def reconcile(raw: Column, check: Column, length: int) -> Column:
     """struct<value, ok>: the text itself if its check digit fits, else its repaired form, whether that fits or not."""
-    wanted = to_digits(check)
-    fits = check_digit(raw, length).cast("string") == wanted
-    repaired = to_digits(raw)
-    return F.when(fits, F.struct(raw.alias("value"), F.lit(True).alias("ok"))).otherwise(
-        F.struct(repaired.alias("value"), (check_digit(repaired, length).cast("string") == wanted).alias("ok"))
-    )
+
+    def choice(x: Column) -> Column:
+        fits = lambda s: check_digit(s, length).cast("string") == x["wanted"]
+        return F.when(fits(x["raw"]), F.struct(x["raw"].alias("value"), F.lit(True).alias("ok"))).otherwise(F.struct(x["fixed"].alias("value"), fits(x["fixed"]).alias("ok")))
+
+    return bound(F.struct(raw.alias("raw"), to_digits(raw).alias("fixed"), to_digits(check).alias("wanted")), choice)
 
 
 def trimmed(s: Column) -> Column:
@@ -93,7 +94,9 @@ def block(text: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)))
 
         def at(i: Column) -> Column:
-            own = [F.try_element_at(every, i + k) for k in range(3)]
+            return bound(F.struct(*[F.try_element_at(every, i + k).alias(f"l{k}") for k in range(3)]), lambda o: of([o[f"l{k}"] for k in range(3)], i))
+
+        def of(own: list[Column], i: Column) -> Column:
             found = None
             for place, (name, (n, lo, hi, width, first, filler)) in enumerate(FORMATS.items()):
                 fits = F.substring(own[0], 1, 1).isin(*first)
