@@ -214,14 +214,12 @@ def plan(distinct: DataFrame, tau: int, options: tuple[int, ...]) -> list[tuple[
 
 def filed(distinct: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
     """distinct's columns with bucket and own: each fingerprint in its own bucket (own) and in those it probes."""
-    out = None
+    prints, entries = [c for c in distinct.columns if c != "node"], []
     for i, (bits, t) in enumerate(chosen):
-        masks = [sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(len(bits)), k)]
-        probes = F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")
-        own = distinct.select("*", key_of(bits, [c for c in distinct.columns if c != "node"]).alias("key"), probes)
-        own = own.select(*distinct.columns, F.xxhash64(F.lit(i), F.col("key").bitwiseXOR(F.col("mask"))).alias("bucket"), (F.col("mask") == 0).alias("own"))
-        out = own if out is None else out.unionAll(own)
-    return out
+        key = key_of(bits, prints)
+        for mask in (sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(len(bits)), k)):
+            entries.append(F.struct(F.xxhash64(F.lit(i), key.bitwiseXOR(F.lit(mask).cast("long"))).alias("bucket"), F.lit(mask == 0).alias("own")))
+    return distinct.select("*", F.explode(F.array(*entries)).alias("e")).select(*distinct.columns, "e.bucket", "e.own")
 
 
 def block_links(distinct: DataFrame, tau: int, options: tuple[int, ...], limit: int) -> DataFrame:
