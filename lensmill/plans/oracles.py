@@ -286,6 +286,7 @@ UNION ALL SELECT -c_custkey, CASE WHEN blank OR t = 'GENERIC' THEN FALSE ELSE ok
     "ctc_decode": f"{VEC}, steps AS (SELECT vec_id, t, e[t * 8 + 1 : t * 8 + 8] AS a FROM v, range(8) r(t)), best AS (SELECT vec_id, t, list_position(a, list_max(a)) - 1 AS k, 1 / ({' + '.join(f'exp(a[{i}] - list_max(a))' for i in range(1, 9))}) AS p FROM steps), fresh AS (SELECT *, lag(k) OVER (PARTITION BY vec_id ORDER BY t) AS before FROM best), kept AS (SELECT * FROM fresh WHERE k <> 0 AND k IS DISTINCT FROM before) SELECT v.vec_id, coalesce(string_agg(['A', 'B', 'C', 'D', 'E', 'F', ' '][k], '' ORDER BY t), '') AS text, {r6('coalesce(avg(p), 0)')} AS confidence FROM v LEFT JOIN kept USING (vec_id) GROUP BY v.vec_id",
     "face_decode": f"{VEC}, f AS ({FACE_SELECTS}) SELECT vec_id, cell, {r6('(c + bx) * 32 - w / 2')} AS x, {r6('(r + ' + chr(34) + 'by' + chr(34) + ') * 32 - h / 2')} AS y, {r6('w')} AS w, {r6('h')} AS h, {r6('sqrt(cl * ob)')} AS score, {r6('(k0 + c) * 32')} AS eye_x, {r6('(k9 + r) * 32')} AS mouth_y FROM f",
     "nms": NMS,
+    "registry_latest": f"{REG} SELECT id, label, license, registered_seq FROM latest",
     "registry_active": f"{REG} SELECT app_id, coalesce(max_by(model_id, seq) FILTER (model_id IN (SELECT id FROM latest)), 'default-docaligner-rapidocr-v1') AS active_id FROM log GROUP BY app_id",
     "registry_activations": f"{REG}, k AS (SELECT *, model_id IN (SELECT id FROM latest) AS known FROM log), o AS (SELECT *, last_value(CASE WHEN known THEN model_id END IGNORE NULLS) OVER (PARTITION BY app_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k) SELECT app_id, CASE WHEN NOT known THEN 'error' WHEN before = model_id THEN 'noop' ELSE 'loaded' END AS outcome, count(*) AS n FROM o GROUP BY ALL",
 }

@@ -282,7 +282,13 @@ def activation_log(spark, sf_dir):
 
 def registry_latest(spark, sf_dir):
     own = registry.latest_models(registrations(spark, sf_dir))
-    return own.select("id", "label", "license", "registered_seq", registry.version(F.col("id"), F.col("label")).alias("version"))
+    return own.select("id", "label", "license", "registered_seq")
+
+
+def model_version(spark, sf_dir):
+    """Versions by crc32; beyond the oracle's SQL, so tested against a known value."""
+    own = registry.latest_models(registrations(spark, sf_dir))
+    return own.select("id", registry.version(F.col("id"), F.col("label")).alias("version"))
 
 
 def registry_active(spark, sf_dir):
@@ -353,7 +359,7 @@ def shared_folder(spark) -> str:
 QUERIES = (
     g_geometry, g_bbox_and_domain, g_order_points, g_orientation, g_clamp, g_view_scale, guidance_flags, guidance_code, guidance_code_counts, face_geometry, face_guidance,
     quality_indicators, quality_score, mrz_fields, mrz_parse, ocr_fulltext, licence_parse, licence_categories, id_parse, extract_document, throttle, stability_gate, latest_state,
-    asof_quad, heatmap_decode, class_softmax, ctc_decode, face_decode, nms, registry_latest, registry_active, registry_activations,
+    asof_quad, heatmap_decode, class_softmax, ctc_decode, face_decode, nms, registry_latest, model_version, registry_active, registry_activations,
     pix_quality, pix_motion, capture_replay, stream_throttle_gate,
 )
 
