@@ -34,11 +34,16 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, pick: one scan of the texts; pick is the hashed order (first 60 bits of MD5 of the id)."""
+    """doc_id, source, size, pick, mark: one scan of the texts; pick is the hashed order (first 60 bits of MD5 of the id)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    pick = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return own.select("doc_id", "source", size.alias("size"), pick.alias("pick"))
+    return own.select("doc_id", "source", *tape_key("doc_id", "text"))
+
+
+def tape_key(id_col: str, text_col: str) -> list[Column]:
+    """size, pick, mark: a source's rows lie on its tape by pick, id, size and mark, so only repeated rows tie."""
+    pick = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    return [size.alias("size"), pick.alias("pick"), F.xxhash64(text_col).alias("mark")]
 
 
 def targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
@@ -76,16 +81,8 @@ def inverse_demand(share: Column, place: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, schedules=SCHEDULES,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken, position; range-sorted by position.
-
-    position is the training time of the first copy (null if none is taken), later copies follow by the same rule.
-    """
-    rows = materialise(sized(docs, id_col, text_col, source_col), "mix-sizes")
-    goals = materialise(targets(rows, weights, max_repeats), "mix-targets")
+def laid_out(rows: DataFrame, goals: DataFrame, max_repeats: int) -> DataFrame:
+    """rows of sized() with source_size, target, place, middle (of the first copy on the tape) and copies."""
     buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
     goal = goals.select(F.col("source").alias("own_source"), "place", "source_size", "target", buckets.alias("buckets"))
     named = rows.join(goal, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source")
@@ -93,35 +90,67 @@ def mix(
     sums = named.groupBy("place", "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = F.sum("in_bucket").over(Window.partitionBy("place").orderBy("bucket")) - F.col("in_bucket")
     offsets = sums.select(F.col("place").alias("p"), F.col("bucket").alias("b"), ahead.alias("ahead"))
-    tape = named.withColumn("within", F.sum("size").over(Window.partitionBy("place", "bucket").orderBy("pick", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    in_order = Window.partitionBy("place", "bucket").orderBy("pick", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    tape = named.withColumn("within", F.sum("size").over(in_order) - F.col("size"))
     tape = tape.join(offsets, (F.col("place") == F.col("p")) & (F.col("bucket") == F.col("b")))
     middle = F.col("ahead") + F.col("within") + F.col("size") / 2
     copies = F.when((F.col("size") == 0) | (F.col("source_size") == 0), 0).otherwise(
         F.greatest(F.lit(0), F.least(F.lit(max_repeats), F.floor((F.col("target") - middle) / F.col("source_size")) + 1))
     )
-    out = tape.withColumn("middle", middle).withColumn("copies", copies.cast("int"))
+    return tape.withColumn("middle", middle).withColumn("copies", copies.cast("int"))
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, schedules=SCHEDULES,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, position; range-sorted by position.
+
+    position is the training time of the first copy (null if none is taken), later copies follow by the same rule.
+    """
+    rows = materialise(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    out = laid_out(rows, materialise(targets(rows, weights, max_repeats), "mix-targets"), max_repeats)
     position = F.when(F.col("copies") > 0, inverse_demand(F.col("middle") / F.col("target"), F.col("place"), schedules))
     out = out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), position.alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **named) -> DataFrame:
-    """docs with each row as often as the mix takes it; a join on id and size, so rows that repeat an id share its copies.
+def _key() -> Column:
+    """A row's place on its source's tape, in the order of laid_out()."""
+    return F.struct("pick", F.col("id_at").isNotNull().alias("has_id"), F.col("id_at"), "size", "mark")
 
-    Rows that repeat an id and a size are counted, and their copies dealt out evenly, the first rows taking the rest.
+
+def apply(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it, in no order.
+
+    Copies never grow along a source's tape, so max_repeats places on it say how often each row is taken: one row a
+    source is joined to the texts, which are not shuffled. Where repeated rows tie at such a place, the copies that
+    some of them get beyond the others are rows like any of them, added apart.
     """
     columns, own = docs.columns, [f"c_{i}" for i in range(len(docs.columns))]
     id_at, text_at, source_at = (own[columns.index(c)] for c in (id_col, text_col, source_col))
     docs = docs.toDF(*own)
-    mixed = mix(docs, id_col=id_at, text_col=text_at, source_col=source_at, **named).where("copies > 0")
-    taken = mixed.groupBy(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.col("size").alias("mixed_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    size = F.coalesce(F.regexp_count(F.col(text_at), F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.join(taken, F.col(id_at).eqNullSafe(F.col("mixed_id")) & F.col(source_at).cast("string").eqNullSafe(F.col("mixed_source")) & (size == F.col("mixed_size")))
-    alike = Window.partitionBy(F.col(id_at), F.col(source_at), F.col("mixed_size")).orderBy(F.col(text_at))
-    joined = joined.withColumn("nth_copy", F.row_number().over(alike))
-    repeats = F.coalesce(F.get(F.col("copies"), F.col("nth_copy") - 1), F.lit(0))
-    joined = joined.withColumn("repeats", repeats).where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-    return joined.select(*own).toDF(*columns)
+    rows = materialise(sized(docs, id_at, text_at, source_at), "mix-sizes")
+    goals = materialise(targets(rows, weights, max_repeats), "mix-targets")
+    taken = laid_out(rows, goals, max_repeats).where("size > 0").withColumn("id_at", F.col("doc_id")).select("source", "copies", _key().alias("key"))
+    taken = materialise(taken.groupBy("source", "key").agg(F.min("copies").alias("least"), F.sum(F.col("copies").cast("long")).alias("sum"), F.count("*").alias("n")), "mix-copies")
+    # The first place where not every row gets k copies.
+    ends = [F.min(F.when(F.col("least") < k, F.col("key"))).alias(f"end_{k}") for k in range(1, max_repeats + 1)]
+    ends = materialise(taken.groupBy("source").agg(*ends).withColumnRenamed("source", "end_source"), "mix-ends")
+    placed = docs.select("*", F.col(id_at).alias("id_at"), *tape_key(id_at, text_at)).where("size > 0")
+    placed = placed.join(ends, F.col(source_at).cast("string").eqNullSafe(F.col("end_source"))).withColumn("key", _key())
+    within = [F.when(F.col(f"end_{k}").isNull() | (F.col("key") < F.col(f"end_{k}")), 1).otherwise(0) for k in range(1, max_repeats + 1)]
+    repeats = sum(within[1:], within[0])
+    out = placed.withColumn("repeats", repeats).where("repeats > 0")
+    out = out.select(*own, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")).select(*own)
+    extra = taken.where(F.col("sum") > F.col("least") * F.col("n")).select(F.col("source").alias("extra_source"), F.col("key").alias("extra_key"), (F.col("sum") - F.col("least") * F.col("n")).alias("extra"))
+    if not extra.isEmpty():
+        tied = placed.join(extra, F.col(source_at).cast("string").eqNullSafe(F.col("extra_source")) & F.col("key").eqNullSafe(F.col("extra_key")))
+        one = tied.dropDuplicates(["extra_source", "extra_key"])
+        parts = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("extra") - 1) / BUCKET_ROWS)))).repartition("extra_key", "part")
+        more = F.least(F.lit(BUCKET_ROWS), F.col("extra") - F.col("part") * BUCKET_ROWS)
+        out = out.unionAll(parts.withColumn("copy", F.explode(F.sequence(F.lit(1), more.cast("int")))).select(*own))
+    return out.toDF(*columns)
 
 
 __all__ = ["apply", "inverse_demand", "mix", "sized", "targets"]
