@@ -32,6 +32,8 @@ from lensmill.llm.common import held_out, rows_of, short_batches, to_batch
 FEATURE_BITS = 18
 LANE = 64
 MEMO_ENTRIES = 300_000
+#: Words and beginnings whose neighbours the fit counts at a time.
+FOLLOWED = 1000
 _WORD = re.compile(r"\S+").finditer
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$").sub
 
@@ -156,40 +158,58 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(self.doc @ x, -35, 35))))
 
 
-def _tell_tales(docs: list[tuple[list[str], int]], chance: float = 1e-7, ratio: float = 15) -> set[str]:
-    """Words and beginnings that occur in toxic documents far more often than chance allows.
+def _parts(w: str) -> set[str]:
+    return {w} | {w[:n] for n in (4, 5, 6) if len(w) >= n} if w else set()
 
-    Occurrences count by their distinct neighbours, so that the rare words of a text with many copies count once.
+
+def _tell_tales(docs: list[tuple[np.ndarray, int]], words: list[str], chance: float = 1e-7, ratio: float = 15, most: int = 400) -> set[str]:
+    """Words and beginnings that occur in toxic documents far more often than chance allows; documents are places in words.
+
+    Occurrences count by their distinct neighbours (up to ``most``), so that the rare words of a text with many copies
+    count once. They are counted in arrays, since a set a word would hold most of the driver's memory.
     """
     n1 = sum(label for _, label in docs)
     n0 = len(docs) - n1
     share = n1 / max(1, n0 + n1)
-
-    def parts(w: str) -> set[str]:
-        return {w} | {w[:n] for n in (4, 5, 6) if len(w) >= n} if w else set()
-
+    seen = [np.zeros(len(words), np.int64) for _ in range(2)]
+    for tokens, label in docs:
+        seen[label] += np.bincount(tokens, minlength=len(words))
     # Only what stands in toxic documents often enough to pass at all is followed with its neighbours.
     often = Counter()
-    for tokens, label in docs:
-        if label:
-            for w, n in Counter(map(normal, tokens)).items():
-                for part in parts(w):
-                    often[part] += n
-    seen: dict[str, tuple[set, set]] = {w: (set(), set()) for w, n in often.items() if n * np.log(1 / share) > np.log(1 / chance)}
-    del often
-    for tokens, label in docs:
-        words = [normal(t) for t in tokens]
-        for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            for part in parts(w):
-                own = seen.get(part)
-                if own is not None and len(own[label]) < 400:
-                    own[label].add(hash((before, after)))
-    found = set()
-    for w, (clean, toxic) in seen.items():
-        a, b = len(toxic), len(clean)
-        if a * np.log(1 / share) > np.log(1 / chance) + b * np.log(n0 + n1) and (a + 0.5) / (n1 + 1) > ratio * (b + 0.5) / (n0 + 1):
-            found.add(w)
-    return found
+    for k in np.flatnonzero(seen[1]).tolist():
+        for part in _parts(words[k]):
+            often[part] += int(seen[1][k])
+    followed = sorted(w for w, n in often.items() if n * np.log(1 / share) > np.log(1 / chance))
+    place = {w: k for k, w in enumerate(followed)}
+    pairs = np.array([(k, place[x]) for k, w in enumerate(words) for x in _parts(w) if x in place], np.int64).reshape(-1, 2)
+    counts = []
+    for label in (0, 1):
+        own = [tokens for tokens, x in docs if x == label and len(tokens)]
+        tokens = np.concatenate([np.zeros(0, np.int64), *own]).astype(np.int64)
+        inner = np.ones(len(tokens) + 1, bool)
+        inner[np.cumsum([0, *map(len, own)])] = False
+        sides = np.zeros(len(tokens), np.uint64)
+        sides[1:] = np.where(inner[1:-1], tokens[:-1] + 1, 0)
+        sides *= np.uint64(len(words) + 1)
+        sides[:-1] += np.where(inner[1:-1], tokens[1:] + 1, 0).astype(np.uint64)
+        sides = sides * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+        found = np.zeros(len(followed), np.int64)
+        # Some parts at a time, so that the arrays stay short; the upper bits say which part, the lower 40 which neighbours.
+        for at in range(0, len(followed), FOLLOWED):
+            some = pairs[(pairs[:, 1] >= at) & (pairs[:, 1] < at + FOLLOWED)]
+            many = np.bincount(some[:, 0], minlength=len(words))
+            first = np.cumsum(many) - many
+            where = np.flatnonzero(many[tokens])
+            n = many[tokens[where]]
+            part = some[np.repeat(first[tokens[where]] - np.cumsum(n) + n, n) + np.arange(n.sum()), 1] - at
+            keys = part.astype(np.uint64) << np.uint64(40) | np.repeat(sides[where], n)
+            keys.sort()
+            fresh = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+            found[at : at + FOLLOWED] = np.bincount((keys[fresh] >> np.uint64(40)).astype(np.int64), minlength=FOLLOWED)[: len(found) - at]
+        counts.append(np.minimum(found, most))
+    b, a = counts
+    keep = (a * np.log(1 / share) > np.log(1 / chance) + b * np.log(n0 + n1)) & ((a + 0.5) / (n1 + 1) > ratio * (b + 0.5) / (n0 + 1))
+    return {followed[k] for k in np.flatnonzero(keep)}
 
 
 def fit(labelled: DataFrame, max_docs: int = 3000, max_tokens: int = 300_000, rounds: int = 30) -> ToxicModel:
@@ -197,31 +217,40 @@ def fit(labelled: DataFrame, max_docs: int = 3000, max_tokens: int = 300_000, ro
     itself is trained on whole documents of them up to max_tokens words."""
     rows = labelled.where(F.col("text").isNotNull()).select("pick", "text", "toxic").limit(4 * max_docs).collect()
     rows = sorted(((r.pick, r.text, r.toxic) for r in rows), reverse=True)
-    docs, same = [], {}
+    return fit_rows(rows, max_tokens, rounds)
+
+
+def fit_rows(rows: list[tuple[int, str, int]], max_tokens: int = 300_000, rounds: int = 30) -> ToxicModel:
+    """The fit itself, of (pick, text, toxic) in falling order; rows is emptied on the way, texts are held as places in a vocabulary."""
+    named: dict[str, int] = {}
+    docs = []
     while rows:
         _, text, label = rows.pop()
-        docs.append(([same.setdefault(t, t) for t in text.lower().split()], int(label)))
-    same.clear()
+        docs.append((np.array([named.setdefault(t, len(named)) for t in text.lower().split()], np.int32), int(label)))
+    tokens, names = list(named), {}
+    as_word = np.array([names.setdefault(normal(t), len(names)) for t in tokens], np.int32)
+    named.clear()
     n1 = sum(label for _, label in docs)
     if not n1 or n1 == len(docs):
         prior = (n1 + 1) / (len(docs) + 3)
         return ToxicModel(np.zeros(1 << FEATURE_BITS), -8.0, np.zeros((2, 2)), np.array([np.log(prior / (1 - prior)), 0, 0]))
-    tales = _tell_tales(docs)
-    words: dict[str, int] = {}
-    ids, labels, starts = [], [], []
-    chain = [(t, label) for t, label in docs if t]
-    budget = max_tokens
-    order = np.argsort([crc32(" ".join(t[:20]).encode()) for t, _ in chain], kind="stable")
+    words = list(names)
+    tales = _tell_tales([(as_word[t], label) for t, label in docs], words)
+    toxic_word = np.array([w in tales or w[:4] in tales or w[:5] in tales or w[:6] in tales for w in words])
+    chain = [(t, label) for t, label in docs if len(t)]
+    order = np.argsort([crc32(" ".join(tokens[k] for k in t[:20]).encode()) for t, _ in chain], kind="stable")
+    ids, labels, starts, budget = [], [], [], max_tokens
     for i in order:
-        tokens, label = chain[i]
+        t, label = chain[i]
         if budget <= 0:
             break
-        budget -= len(tokens)
-        starts += [True] + [False] * (len(tokens) - 1)
-        ids += [words.setdefault(normal(t), len(words)) for t in tokens]
-        labels += [label and (w in tales or w[:4] in tales or w[:5] in tales or w[:6] in tales) for w in map(normal, tokens)]
-    ids, y, starts = np.array(ids), np.array(labels, float), np.array(starts)
-    listed = [features(w) if w else [] for w in words]
+        budget -= len(t)
+        starts.append(np.arange(len(t)) == 0)
+        ids.append(as_word[t])
+        labels.append(toxic_word[as_word[t]] & bool(label))
+    known, ids = np.unique(np.concatenate(ids), return_inverse=True)
+    y, starts = np.concatenate(labels).astype(float), np.concatenate(starts)
+    listed = [features(words[k]) if words[k] else [] for k in known]
     owner, flat = np.repeat(np.arange(len(listed)), [len(f) for f in listed]), np.array([k for f in listed for k in f], np.int64)
     size = 1 << FEATURE_BITS
     model = ToxicModel(np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros((2, 2)), np.zeros(3))
@@ -242,7 +271,7 @@ def fit(labelled: DataFrame, max_docs: int = 3000, max_tokens: int = 300_000, ro
     model.weights[np.abs(model.weights) < 1e-3] = 0
     x, label = [], []
     for at in range(0, len(docs), 64):
-        for p, (_, own) in zip(model.of_tokens([t for t, _ in docs[at : at + 64]]), docs[at : at + 64], strict=True):
+        for p, (_, own) in zip(model.of_tokens([[tokens[k] for k in t] for t, _ in docs[at : at + 64]]), docs[at : at + 64], strict=True):
             x.append([1.0, np.log1p(p.sum()), p.max() if len(p) else 0.0])
             label.append(own)
     model.doc = _logistic(np.array(x), np.array(label, float))
