@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from lensmill.llm.common import materialise
 
+#: Parts that the links of one node are dealt out to.
+SPREAD = 64
+
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star to the smallest member for each component of the links a-b among 0..n-1: at most n - 1 links."""
@@ -27,19 +30,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return root[own], own
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's larger (large star) or smaller (small star) neighbours to its smallest neighbour.
+def with_least(df: DataFrame, key: str, value: str, spread: str) -> DataFrame:
+    """df and ``m``, the least ``value`` of each key, where no key's rows meet in one task.
 
-    The smallest neighbour is aggregated before the shuffle, then joined, so a node with many neighbours is a skewed
-    join that can be split, never a list in one task.
+    A key's rows are dealt out by a hash of ``spread``: at most SPREAD partial minima a key are put together, and each
+    goes back to its own part of the rows.
     """
+    salted = df.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SPREAD)))
+    partial = salted.groupBy(F.col(key).alias("k"), F.col("salt").alias("s")).agg(F.min(value).alias("part_m"))
+    total = partial.groupBy(F.col("k").alias("k_all")).agg(F.min("part_m").alias("m"))
+    least = partial.join(total, F.col("k") == F.col("k_all")).select("k", "s", "m")
+    return salted.join(least, (F.col(key) == F.col("k")) & (F.col("salt") == F.col("s"))).drop("k", "s", "salt")
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Links each node's larger (large star) or smaller (small star) neighbours to its smallest neighbour."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    joined = both.join(least, both["a"] == least["u"])
+    joined = with_least(both, "a", "b", "b").withColumn("m", F.least("a", "m"))
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        out = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
     return out.where(F.col("a") > F.col("b")).distinct()
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.llm.common import materialise, rows_of, short_batches, to_batch
-from lensmill.llm.components import forest, smallest_reachable
+from lensmill.llm.components import forest, smallest_reachable, with_least
 
 WIDE, NEAR_TAU, NEAR_PARTS, NEAR_BITS = 4, 18, (16, 19), 40
 #: What filing a row in a bucket costs, in comparisons of two fingerprints.
@@ -288,8 +288,7 @@ def _grouped(rows: DataFrame, prints: list[str], tau: int, options: tuple[int, .
     links = materialise(block_links(distinct.select("node", *prints), tau, options, limit).distinct(), "simhash-links")
     reached = smallest_reachable(links).withColumnRenamed("node", "reached")
     named = distinct.join(reached, F.col("node") == F.col("reached"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = named.join(least, "root").select(F.col("node").alias("own_node"), "component_id")
+    by_node = with_least(named, "root", "least", "node").select(F.col("node").alias("own_node"), F.col("m").alias("component_id"))
     return rows.join(by_node, F.col("node") == F.col("own_node")).select("doc_id", "fp", "component_id")
 
 
