@@ -36,6 +36,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with row_at, a row's number in the scan: the same whenever the same files are read, so df has to be a plain scan."""
+    return df.withColumn("row_at", F.monotonically_increasing_id())
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what materialise() wrote; call it when no DataFrame built on it is still needed."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

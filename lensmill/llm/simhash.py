@@ -11,11 +11,12 @@ verified by exact distance. A bucket is verified in blocks, and each block retur
 all its pairs, so a group of thousands of near copies costs no quadratic output. Buckets beyond one block are dealt
 out as pairs of blocks, so none is capped. Components come from large-star/small-star rounds.
 
-near_duplicates() serves corpora: near copies of 0.8 likeness on shingles of five words differ in some 5 to 17 % of the
-bits, far more than 2 of 64, while unrelated texts of one language differ in 26 % and more. Of 64 bits too few remain
-for selective partitions, so it takes 256: the hashes are mixed into three more words. It searches at NEAR_TAU, which
-the pigeonhole guarantees, and verifies by NEAR_BITS; pairs between the two meet by chance in one of many partitions
-(0.98 of those at 12 %, 0.9 at 15 %).
+near_duplicates() serves corpora: documents are near copies if the sets of their five-word shingles have a Jaccard
+likeness of LIKENESS or more. Its 256-bit fingerprints are taken over those sets (repeats count once), the hashes being
+mixed into three more words. A pair at 0.8 differs in 39 bits on average, and in some 48 if the sets are tiny; a
+pigeonhole over that many of 256 bits has no selective partitions. So candidates come from the partitions, which
+guarantee NEAR_TAU bits. Candidates within NEAR_BITS are put in groups, and within each group the sets themselves are
+compared: only links of LIKENESS or more count.
 
 Defined results: null text is empty, its fingerprint is 0 and links like any other; equal texts share a fingerprint;
 null ids take no part in a component's smallest id (a component of null ids only has a null id); repeated rows keep
@@ -32,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import materialise, rows_of, short_batches, to_batch
+from lensmill.llm.common import materialise, numbered, rows_of, short_batches, to_batch
 from lensmill.llm.components import forest, smallest_reachable, with_least
 
-WIDE, NEAR_TAU, NEAR_PARTS, NEAR_BITS = 4, 18, (16, 19), 40
+WIDE, NEAR_TAU, NEAR_PARTS, NEAR_BITS = 4, 18, (16, 19), 72
+LIKENESS, NEAR_WORDS = 0.8, 5
+#: Rows, and shingles, of a group that are held by a block when sets are compared.
+SET_ROWS, SET_SHINGLES = 2048, 1_000_000
 #: What filing a row in a bucket costs, in comparisons of two fingerprints.
 FILING = 300
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -67,19 +71,31 @@ def fingerprint(text: str) -> int:
     return _bits(_shingle_hashes(words, 3)[:, None]) if words else 0
 
 
-def wide_fingerprint(text: str) -> tuple[int, ...]:
-    """WIDE words: the fingerprint, and those over hashes that are mixed from the same shingles' hashes."""
+def shingle_set(text: str) -> np.ndarray:
+    """Distinct hashes of the five-word shingles, ascending; empty without words."""
     words = text.encode().translate(_LOWER).split()
-    if not words:
+    return np.unique(_shingle_hashes(words, NEAR_WORDS)) if words else np.empty(0, np.uint64)
+
+
+def set_node(own: np.ndarray) -> int:
+    """What stands for a set: equal sets are alike 1."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(own.tobytes(), 42)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    x = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(own: np.ndarray) -> tuple[int, ...]:
+    """WIDE words of a shingle set: the majority of its hashes, and of those mixed from them."""
+    if not len(own):
         return (0,) * WIDE
-    h = _shingle_hashes(words, 3)
-    mixed = [h]
-    for k in range(1, WIDE):
-        x = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        mixed.append(x ^ (x >> np.uint64(31)))
-    bits = _bits(np.stack(mixed, axis=1))
+    bits = _bits(np.stack([own, *[_mixed(own, k) for k in range(1, WIDE)]], axis=1))
     return tuple(bits >> (64 * k) & ((1 << 64) - 1) for k in reversed(range(WIDE)))
 
 
@@ -87,23 +103,45 @@ def prints_of(wide: bool) -> list[str]:
     return ["fp", *[f"w{k}" for k in range(1, WIDE if wide else 1)]]
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), with wide also w1.., of every row; no shuffle."""
-    names = prints_of(wide)
-    schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in names]])
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every row; no shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
             for doc_id, text in rows_of(batch, "doc_id", "text"):
                 ids.append(doc_id)
-                found.append(wide_fingerprint(text or "") if wide else (fingerprint(text or ""),))
-            values = np.array(found, np.uint64).reshape(-1, len(names)).astype(np.int64)
-            yield to_batch(schema, [ids, *values.T])
+                found.append(fingerprint(text or ""))
+            yield to_batch(schema, [ids, np.array(found, np.uint64).astype(np.int64)])
 
     short_batches(df.sparkSession)
-    ddl = "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names)
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row_at, mark, text: mark is a hash of the text."""
+    own = numbered(df).select(F.col(id_col).cast("long").alias("doc_id"), "row_at", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return own.withColumn("mark", F.xxhash64("text"))
+
+
+def set_fingerprints(texts: DataFrame) -> DataFrame:
+    """doc_id, row_at, mark, node, n_shingles and the prints of every row of _texts(); no shuffle."""
+    names = ["node", "n_shingles", *prints_of(True)]
+    schema = pa.schema([(n, pa.int64()) for n in ["doc_id", "row_at", "mark", *names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given, found = [], []
+            for *row, text in rows_of(batch, "doc_id", "row_at", "mark", "text"):
+                own = shingle_set(text)
+                given.append(row)
+                found.append((set_node(own), len(own), *wide_fingerprint(own)))
+            values = np.array(found, np.uint64).reshape(-1, len(names)).astype(np.int64)
+            yield to_batch(schema, [*([r[k] for r in given] for k in range(3)), *values.T])
+
+    short_batches(texts.sparkSession)
+    return texts.mapInArrow(run, ", ".join(f"{n} bigint" for n in schema.names))
 
 
 def bit_statistics(distinct: DataFrame, prints: list[str]) -> tuple[int, np.ndarray]:
@@ -203,7 +241,7 @@ def plan(distinct: DataFrame, tau: int, options: tuple[int, ...]) -> list[tuple[
             own, probes = [0.0], 0
             for t in range(tau + 1):
                 probes += len(list(combinations(range(len(g)), t))) if t <= 3 else 1 << 40
-                own.append((sums.get(k, 0.0) + FILING * n) * probes)
+                own.append((sums.get(k, 0.0) + FILING * max(n, 1)) * probes)  # probes cost in an empty table too
             costs.append(own)
         thresholds = allocate(costs, tau)
         total = sum(c[t + 1] for c, t in zip(costs, thresholds, strict=True))
@@ -282,27 +320,119 @@ def block_links(distinct: DataFrame, tau: int, options: tuple[int, ...], limit:
     return grouped.mapInArrow(verified, "a bigint, b bigint")
 
 
-def _grouped(rows: DataFrame, prints: list[str], tau: int, options: tuple[int, ...], limit: int) -> DataFrame:
-    """rows(doc_id, node, prints) with component_id."""
-    distinct = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in prints]), "simhash-fp")
-    links = materialise(block_links(distinct.select("node", *prints), tau, options, limit).distinct(), "simhash-links")
+def _named(rows: DataFrame, distinct: DataFrame, links: DataFrame, *kept: str) -> DataFrame:
+    """rows(doc_id, node, ..) with component_id, the least id of what the links reach of distinct(node, least)."""
     reached = smallest_reachable(links).withColumnRenamed("node", "reached")
     named = distinct.join(reached, F.col("node") == F.col("reached"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     by_node = with_least(named, "root", "least", "node").select(F.col("node").alias("own_node"), F.col("m").alias("component_id"))
-    return rows.join(by_node, F.col("node") == F.col("own_node")).select("doc_id", "fp", "component_id")
+    return rows.join(by_node, F.col("node") == F.col("own_node")).select("doc_id", *kept, "component_id")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, options: tuple[int, ...] = (3,)) -> DataFrame:
     """doc_id, fp, component_id (the smallest id reachable by links within tau bits) of every row."""
     rows = materialise(fingerprints(df, id_col, text_col).withColumn("node", F.col("fp")), "simhash")
-    return _grouped(rows, ["fp"], tau, options, tau)
+    distinct = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "simhash-fp")
+    links = materialise(block_links(distinct.select("node", "fp"), tau, options, tau).distinct(), "simhash-links")
+    return _named(rows, distinct, links, "fp")
+
+
+def set_links(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of sets of LIKENESS or more; hashes holds the sets one after another, sizes their lengths.
+
+    Walked breadth first: a set is compared with those not reached yet, by the sets that hold each of its hashes.
+    """
+    n = len(sizes)
+    _, code = np.unique(hashes, return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    by_code = np.argsort(code, kind="stable")
+    holders, first = owner[by_code], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    left, found_a, found_b = np.ones(n, bool), [], []
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue and left.any():
+            i = queue.pop()
+            codes = code[starts[i] : starts[i + 1]]
+            spans = [holders[first[c] : first[c + 1]] for c in codes]
+            both = np.bincount(np.concatenate(spans), minlength=n) if spans else np.zeros(n, np.int64)
+            # both / union >= LIKENESS, in whole numbers
+            alike = np.flatnonzero(left & (both * 5 >= (sizes[i] + sizes - both) * 4) & (both > 0))
+            left[alike] = False
+            found_a.append(np.full(len(alike), i))
+            found_b.append(alike)
+            queue.extend(alike.tolist())
+    if not found_a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def alike_links(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """a, b: a forest of the links of LIKENESS or more among each group of candidates(mark, node, n_shingles, root).
+
+    Sets are made again from one text of each candidate. Groups beyond a block are dealt out as pairs of blocks, so
+    none is capped.
+    """
+    sums = candidates.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("n") / SET_ROWS), F.ceil(F.col("total") / SET_SHINGLES)).cast("int")
+    placed = candidates.join(sums.select(F.col("root").alias("r"), blocks.alias("blocks")), F.col("root") == F.col("r"))
+    placed = placed.select(F.col("mark").alias("own_mark"), "node", "root", "blocks")
+    found = texts.join(placed, F.col("mark") == F.col("own_mark")).select("node", "root", "blocks", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[], [], [], []]
+            for node, root, n, text in rows_of(batch, "node", "root", "blocks", "text"):
+                own = shingle_set(text)
+                if np.uint64(set_node(own)).astype(np.int64) == node:
+                    for column, value in zip(rows, (node, root, n, own.tobytes()), strict=True):
+                        column.append(value)
+            yield to_batch(schema, rows)
+
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32()), ("own", pa.binary())])
+    sets = found.mapInArrow(run, "node bigint, root bigint, blocks int, own binary")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y")))
+    dealt = sets.withColumn("block", block).select("root", "node", "own", F.explode(pairs).alias("xy")).select("root", "xy.x", "xy.y", "node", "own")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group, block pair and node; equal texts come several times."""
+        now, held = None, {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nodes = np.array(list(held), np.int64)
+            own = [np.frombuffer(x, np.uint64) for x in held.values()]
+            if len(own) > 1:
+                a, b = set_links(np.array([len(x) for x in own]), np.concatenate(own))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+
+        for batch in batches:
+            for *key, node, own in rows_of(batch, "root", "x", "y", "node", "own"):
+                if key != now:
+                    yield from flush()
+                    now, held = key, {}
+                held[node] = own
+        yield from flush()
+
+    short_batches(texts.sparkSession)
+    grouped = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+    return grouped.mapInArrow(linked, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = NEAR_TAU, options: tuple[int, ...] = NEAR_PARTS, limit: int = NEAR_BITS) -> DataFrame:
-    """doc_id, fp, component_id of every row, by links of at most limit of the 256 bits."""
-    prints = prints_of(True)
-    rows = materialise(fingerprints(df, id_col, text_col, wide=True).withColumn("node", F.xxhash64(*prints)), "simhash")
-    return _grouped(rows, prints, tau, options, limit)
+    """doc_id, row_at, fp, component_id of every row, by links of LIKENESS or more; df is scanned twice, see numbered()."""
+    prints, texts = prints_of(True), _texts(df, id_col, text_col)
+    rows = materialise(set_fingerprints(texts), "simhash")
+    made = [F.first(F.struct("mark", "n_shingles", *prints)).alias("one")]
+    distinct = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *made).select("node", "least", "one.*"), "simhash-fp")
+    near = materialise(block_links(distinct.select("node", *prints), tau, options, limit).distinct(), "simhash-near")
+    group = smallest_reachable(near).withColumnRenamed("node", "reached")
+    candidates = distinct.join(group, F.col("node") == F.col("reached")).select("mark", "node", "n_shingles", "root")
+    links = materialise(alike_links(texts, materialise(candidates, "simhash-groups")).distinct(), "simhash-links")
+    return _named(rows, distinct, links, "row_at", "fp")
 
 
 def hexadecimal(name: str = "fp"):
