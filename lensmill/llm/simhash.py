@@ -15,7 +15,8 @@ near_duplicates() serves corpora: documents are near copies if the sets of their
 likeness of LIKENESS or more. Its 256-bit fingerprints are taken over those sets (repeats count once), the hashes being
 mixed into three more words. A pair at 0.8 differs in 39 bits on average, and in some 48 if the sets are tiny; a
 pigeonhole over that many of 256 bits has no selective partitions. So candidates come from the partitions, which
-guarantee NEAR_TAU bits. Candidates within NEAR_BITS are put in groups, and within each group the sets themselves are
+guarantee NEAR_TAU bits, and beyond them from BANDS buckets of BAND_ROWS least hashes of the set each: a pair of likeness
+j meets in one of those with 1 - (1 - j ** BAND_ROWS) ** BANDS, 0.99996 at 0.8. Candidates within NEAR_BITS are put in groups, and within each group the sets themselves are
 compared: only links of LIKENESS or more count.
 
 Defined results: null text is empty, its fingerprint is 0 and links like any other; equal texts share a fingerprint;
@@ -38,6 +39,7 @@ from lensmill.llm.components import forest, smallest_reachable, with_least
 
 WIDE, NEAR_TAU, NEAR_PARTS, NEAR_BITS = 4, 18, (16, 19), 72
 LIKENESS, NEAR_WORDS = 0.8, 5
+BANDS, BAND_ROWS = 14, 3
 #: Rows, and shingles, of a group that are held by a block when sets are compared.
 SET_ROWS, SET_SHINGLES = 2048, 1_000_000
 #: What filing a row in a bucket costs, in comparisons of two fingerprints.
@@ -99,6 +101,17 @@ def wide_fingerprint(own: np.ndarray) -> tuple[int, ...]:
     return tuple(bits >> (64 * k) & ((1 << 64) - 1) for k in reversed(range(WIDE)))
 
 
+def bands_of(own: np.ndarray) -> list[int]:
+    """A hash of each band's BAND_ROWS least hashes, each under a mixing of its own; an empty set has its own."""
+    if not len(own):
+        return [0] * BANDS
+    least = np.array([_mixed(own, WIDE + k).min() for k in range(BANDS * BAND_ROWS)], np.uint64).reshape(BANDS, BAND_ROWS)
+    key = np.zeros(BANDS, np.uint64)
+    for k in range(BAND_ROWS):
+        key = _mixed(key ^ least[:, k], k + 1)
+    return key.astype(np.int64).tolist()
+
+
 def prints_of(wide: bool) -> list[str]:
     return ["fp", *[f"w{k}" for k in range(1, WIDE if wide else 1)]]
 
@@ -126,22 +139,23 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_fingerprints(texts: DataFrame) -> DataFrame:
-    """doc_id, row_at, mark, node, n_shingles and the prints of every row of _texts(); no shuffle."""
+    """doc_id, row_at, mark, node, n_shingles, the prints and bands of every row of _texts(); no shuffle."""
     names = ["node", "n_shingles", *prints_of(True)]
-    schema = pa.schema([(n, pa.int64()) for n in ["doc_id", "row_at", "mark", *names]])
+    schema = pa.schema([*[(n, pa.int64()) for n in ["doc_id", "row_at", "mark", *names]], ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given, found = [], []
+            given, found, bands = [], [], []
             for *row, text in rows_of(batch, "doc_id", "row_at", "mark", "text"):
                 own = shingle_set(text)
                 given.append(row)
                 found.append((set_node(own), len(own), *wide_fingerprint(own)))
+                bands.append(bands_of(own))
             values = np.array(found, np.uint64).reshape(-1, len(names)).astype(np.int64)
-            yield to_batch(schema, [*([r[k] for r in given] for k in range(3)), *values.T])
+            yield to_batch(schema, [*([r[k] for r in given] for k in range(3)), *values.T, bands])
 
     short_batches(texts.sparkSession)
-    return texts.mapInArrow(run, ", ".join(f"{n} bigint" for n in schema.names))
+    return texts.mapInArrow(run, ", ".join(f"{n} bigint" for n in schema.names[:-1]) + ", bands array<bigint>")
 
 
 def bit_statistics(distinct: DataFrame, prints: list[str]) -> tuple[int, np.ndarray]:
@@ -251,19 +265,22 @@ def plan(distinct: DataFrame, tau: int, options: tuple[int, ...]) -> list[tuple[
 
 
 def filed(distinct: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
-    """distinct's columns with bucket and own: each fingerprint in its own bucket (own) and in those it probes."""
-    prints, entries = [c for c in distinct.columns if c != "node"], []
+    """node, prints, bucket and own: each fingerprint in its own bucket (own), in those it probes and in its bands', if it has any."""
+    prints, entries = [c for c in distinct.columns if c not in ("node", "bands")], []
     for i, (bits, t) in enumerate(chosen):
         key = key_of(bits, prints)
         for mask in (sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(len(bits)), k)):
             entries.append(F.struct(F.xxhash64(F.lit(i), key.bitwiseXOR(F.lit(mask).cast("long"))).alias("bucket"), F.lit(mask == 0).alias("own")))
-    return distinct.select("*", F.explode(F.array(*entries)).alias("e")).select(*distinct.columns, "e.bucket", "e.own")
+    places = F.array(*entries)
+    if "bands" in distinct.columns:
+        places = F.concat(places, F.transform("bands", lambda key, k: F.struct(F.xxhash64(F.lit("band"), k, key).alias("bucket"), F.lit(True).alias("own"))))
+    return distinct.select("node", *prints, F.explode(places).alias("e")).select("node", *prints, "e.bucket", "e.own")
 
 
 def block_links(distinct: DataFrame, tau: int, options: tuple[int, ...], limit: int) -> DataFrame:
     """a, b: a forest of the links found in each block or pair of blocks of a bucket of distinct(node, fp, ..), by at most limit bits."""
-    carried = [c for c in distinct.columns if c != "node"]
-    buckets = filed(distinct, plan(distinct, tau, options))
+    carried = [c for c in distinct.columns if c not in ("node", "bands")]
+    buckets = filed(distinct, plan(distinct.select("node", *carried), tau, options))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("filed")).where((F.col("n") > 1) & F.col("filed"))
     dealt = buckets.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -426,9 +443,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, row_at, fp, component_id of every row, by links of LIKENESS or more; df is scanned twice, see numbered()."""
     prints, texts = prints_of(True), _texts(df, id_col, text_col)
     rows = materialise(set_fingerprints(texts), "simhash")
-    made = [F.first(F.struct("mark", "n_shingles", *prints)).alias("one")]
+    made = [F.first(F.struct("mark", "n_shingles", *prints, "bands")).alias("one")]
     distinct = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *made).select("node", "least", "one.*"), "simhash-fp")
-    near = materialise(block_links(distinct.select("node", *prints), tau, options, limit).distinct(), "simhash-near")
+    near = materialise(block_links(distinct.select("node", *prints, "bands"), tau, options, limit).distinct(), "simhash-near")
     group = smallest_reachable(near).withColumnRenamed("node", "reached")
     candidates = distinct.join(group, F.col("node") == F.col("reached")).select("mark", "node", "n_shingles", "root")
     links = materialise(alike_links(texts, materialise(candidates, "simhash-groups")).distinct(), "simhash-links")

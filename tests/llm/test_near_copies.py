@@ -36,3 +36,23 @@ def test_repeated_line(spark):
     assert all(found[i] == i for i in found)
     above = [" ".join(base), " ".join(base + fresh(rng, 49))]
     assert 0.8 <= like(*above) < 0.81 and linked(spark, above) == {0: 0, 1: 0}
+
+
+def test_recall(spark):
+    """Copies appended to, cut off, with a passage swapped and with scattered words swapped, all at 0.8 to 0.82."""
+    rng, texts = random.Random(2), []
+    for n in (60, 200, 800):
+        for _ in range(20):
+            base, new = fresh(rng, n + 4), fresh(rng, n)
+            cut = (len(base) - 4) * 81 // 100 + 4
+            k = n // 10 - 4
+            some, step = list(base), (n + 4) // max(1, n // 50)
+            for at in range(step // 2, n, step):
+                some[at] = new[at]
+            for kind, copy in enumerate((base + new[: n * 23 // 100], base[:cut], base[: n // 3] + new[:k] + base[n // 3 + k :], some)):
+                texts += [" ".join(f"{w}k{kind}" for w in t) for t in (base, copy)]
+    near = [i for i in range(0, len(texts), 2) if like(texts[i], texts[i + 1]) >= 0.8]
+    found = linked(spark, texts)
+    met = sum(found[i + 1] == found[i] for i in near)
+    print(len(near), met)
+    assert len(near) > 180 and met >= 0.99 * len(near)
