@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
-toxicity: documents that the model rejects (score >= 0.5) go. simhash: of each group of near copies the document of
-least id stays. secrets: live-looking secrets are replaced by a mark. mixing: each source is brought to its target;
+toxicity: documents that the model rejects (score >= 0.5) go. simhash: of each group of near copies the row of
+least id stays, or the first of the scan. secrets: live-looking secrets are replaced by a mark. mixing: each source is brought to its target;
 a document stands in the table as often as the mix takes it, in no order. bpe: ids of each text, decoded again.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensmill.llm import bpe, mixing, secrets, simhash, toxicity
-from lensmill.llm.common import materialise, read
+from lensmill.llm.common import materialise, numbered, read
 from lensmill.llm.queries import tokenizer_paths
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,12 +24,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (likeness 0.8 on five words): that of least id; documents without an id stay."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("kept_id")).distinct()
-    own = docs.select(*COLUMNS)
-    joined = own.join(materialise(kept.where("kept_id is not null"), "kept-ids"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return joined.unionAll(own.where(F.col("doc_id").isNull()))
+    """Keeps one row of each group of near copies (likeness 0.8 on five words): that of least id, null last, then the first of the scan."""
+    kept = materialise(simhash.near_duplicates(docs).where("stays").select(F.col("row_at").alias("kept_at")), "kept-rows")
+    own = numbered(docs)
+    return own.join(kept, F.col("row_at") == F.col("kept_at"), "left_semi").select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -440,16 +440,20 @@ def alike_links(texts: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = NEAR_TAU, options: tuple[int, ...] = NEAR_PARTS, limit: int = NEAR_BITS) -> DataFrame:
-    """doc_id, row_at, fp, component_id of every row, by links of LIKENESS or more; df is scanned twice, see numbered()."""
+    """doc_id, row_at, fp, component_id, stays of every row, by links of LIKENESS or more; df is scanned twice, see numbered().
+
+    stays is true for one row of each component: that of least id (null last), then of least row_at.
+    """
     prints, texts = prints_of(True), _texts(df, id_col, text_col)
     rows = materialise(set_fingerprints(texts), "simhash")
     made = [F.first(F.struct("mark", "n_shingles", *prints, "bands")).alias("one")]
-    distinct = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *made).select("node", "least", "one.*"), "simhash-fp")
+    distinct = materialise(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_at")).alias("least"), *made).select("node", "least", "one.*"), "simhash-fp")
     near = materialise(block_links(distinct.select("node", *prints, "bands"), tau, options, limit).distinct(), "simhash-near")
     group = smallest_reachable(near).withColumnRenamed("node", "reached")
     candidates = distinct.join(group, F.col("node") == F.col("reached")).select("mark", "node", "n_shingles", "root")
     links = materialise(alike_links(texts, materialise(candidates, "simhash-groups")).distinct(), "simhash-links")
-    return _named(rows, distinct, links, "row_at", "fp")
+    named = _named(rows, distinct, links, "row_at", "fp")
+    return named.select("doc_id", "row_at", "fp", F.col("component_id.doc_id").alias("component_id"), (F.col("row_at") == F.col("component_id.row_at")).alias("stays"))
 
 
 def hexadecimal(name: str = "fp"):

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from lensmill.llm import simhash
 
 
@@ -56,3 +57,15 @@ def test_recall(spark):
     met = sum(found[i + 1] == found[i] for i in near)
     print(len(near), met)
     assert len(near) > 180 and met >= 0.99 * len(near)
+
+
+def test_one_row_stays(spark, tmp_path):
+    """Of copies with null ids, repeated rows, and another text under a kept id, one row of each group stays."""
+    rng = random.Random(3)
+    a, b, c = (" ".join(fresh(rng, 80)) for _ in range(3))
+    rows = [(None, a), (None, a + " more"), (None, a), (5, b), (5, b), (4, c), (5, c), (None, c)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.repartition(4).write.parquet(str(tmp_path / "docs"))
+    out = corpus_pipeline.simhash_stage(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    found = sorted((r.doc_id or 0, r.text[:20]) for r in out.collect())
+    assert found == sorted([(0, a[:20]), (5, b[:20]), (4, c[:20])])
