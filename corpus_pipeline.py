@@ -2,7 +2,7 @@
 
 toxicity: documents that the model rejects (score >= 0.5) go. simhash: of each group of near copies the row of
 least id stays, or the first of the scan. secrets: live-looking secrets are replaced by a mark. mixing: each source is brought to its target;
-a document stands in the table as often as the mix takes it, in no order. bpe: ids of each text, decoded again.
+a document stands in the table as often as the mix takes it, each copy at its training position. bpe: ids of each text, decoded again.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 3 times)."""
+    """Each document as often as the mix takes it (0 to 3 times), range-sorted by the training position of each copy."""
     return mixing.apply(docs.select(*COLUMNS))
 
 

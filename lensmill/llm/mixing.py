@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import materialise
+from lensmill.llm.common import materialise, numbered
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of a source that one task puts in order at a time.
@@ -115,42 +115,28 @@ def mix(
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def _key() -> Column:
-    """A row's place on its source's tape, in the order of laid_out()."""
-    return F.struct("pick", F.col("id_at").isNotNull().alias("has_id"), F.col("id_at"), "size", "mark")
-
-
-def apply(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with each row as often as the mix takes it, in no order.
+def apply(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, schedules=SCHEDULES,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", position_col: str | None = None,
+) -> DataFrame:
+    """docs with each row as often as the mix takes it, range-sorted by each copy's own training position.
 
-    Copies never grow along a source's tape, so max_repeats places on it say how often each row is taken: one row a
-    source is joined to the texts, which are not shuffled. Where repeated rows tie at such a place, the copies that
-    some of them get beyond the others are rows like any of them, added apart.
+    The k-th copy lies k - 1 source sizes further on the tape than the first. The places are found without texts; then
+    texts are joined to them by row number and sorted, so docs is scanned twice, see numbered(). position_col names a
+    column for the positions, if they are wanted.
     """
     columns, own = docs.columns, [f"c_{i}" for i in range(len(docs.columns))]
     id_at, text_at, source_at = (own[columns.index(c)] for c in (id_col, text_col, source_col))
-    docs = docs.toDF(*own)
-    rows = materialise(sized(docs, id_at, text_at, source_at), "mix-sizes")
+    docs = numbered(docs.toDF(*own))
+    rows = docs.select(F.col(id_at).alias("doc_id"), F.col(source_at).cast("string").alias("source"), "row_at", *tape_key(id_at, text_at))
+    rows = materialise(rows, "mix-sizes")
     goals = materialise(targets(rows, weights, max_repeats), "mix-targets")
-    taken = laid_out(rows, goals, max_repeats).where("size > 0").withColumn("id_at", F.col("doc_id")).select("source", "copies", _key().alias("key"))
-    taken = materialise(taken.groupBy("source", "key").agg(F.min("copies").alias("least"), F.sum(F.col("copies").cast("long")).alias("sum"), F.count("*").alias("n")), "mix-copies")
-    # The first place where not every row gets k copies.
-    ends = [F.min(F.when(F.col("least") < k, F.col("key"))).alias(f"end_{k}") for k in range(1, max_repeats + 1)]
-    ends = materialise(taken.groupBy("source").agg(*ends).withColumnRenamed("source", "end_source"), "mix-ends")
-    placed = docs.select("*", F.col(id_at).alias("id_at"), *tape_key(id_at, text_at)).where("size > 0")
-    placed = placed.join(ends, F.col(source_at).cast("string").eqNullSafe(F.col("end_source"))).withColumn("key", _key())
-    within = [F.when(F.col(f"end_{k}").isNull() | (F.col("key") < F.col(f"end_{k}")), 1).otherwise(0) for k in range(1, max_repeats + 1)]
-    repeats = sum(within[1:], within[0])
-    out = placed.withColumn("repeats", repeats).where("repeats > 0")
-    out = out.select(*own, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")).select(*own)
-    extra = taken.where(F.col("sum") > F.col("least") * F.col("n")).select(F.col("source").alias("extra_source"), F.col("key").alias("extra_key"), (F.col("sum") - F.col("least") * F.col("n")).alias("extra"))
-    if not extra.isEmpty():
-        tied = placed.join(extra, F.col(source_at).cast("string").eqNullSafe(F.col("extra_source")) & F.col("key").eqNullSafe(F.col("extra_key")))
-        one = tied.dropDuplicates(["extra_source", "extra_key"])
-        parts = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("extra") - 1) / BUCKET_ROWS)))).repartition("extra_key", "part")
-        more = F.least(F.lit(BUCKET_ROWS), F.col("extra") - F.col("part") * BUCKET_ROWS)
-        out = out.unionAll(parts.withColumn("copy", F.explode(F.sequence(F.lit(1), more.cast("int")))).select(*own))
-    return out.toDF(*columns)
+    taken = laid_out(rows, goals, max_repeats).where("copies > 0").select(F.col("row_at").alias("taken_at"), "place", "middle", "source_size", "target", "copies")
+    copies = docs.join(materialise(taken, "mix-copies"), F.col("row_at") == F.col("taken_at")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    share = (F.col("middle") + (F.col("copy") - 1) * F.col("source_size")) / F.col("target")
+    out = copies.withColumn("position", inverse_demand(share, F.col("place"), schedules)).select(*own, "position", "copy")
+    out = out.orderBy("position", id_at, "copy").select(*own, *["position"] * (position_col is not None))
+    return out.toDF(*columns, *[position_col] * (position_col is not None))
 
 
 __all__ = ["apply", "inverse_demand", "mix", "sized", "targets"]
