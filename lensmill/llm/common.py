@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,25 @@ def to_batch(schema: pa.Schema, columns: Iterable[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def stretch(text: str, pick: str, most: int):
+    """A column: the text, or ``most`` code points of it from a hashed place, for fits of a bounded sample alone."""
+    spare = F.length(text) - most
+    return F.when(spare <= 0, F.col(text)).otherwise(F.substring(text, 1 + F.pmod(F.col(pick), spare + 1).cast("int"), F.lit(most)))
+
+
+def trained(rows: DataFrame, train: Callable[[list[tuple]], object]) -> object:
+    """What train(list of rows) returns, run in one task over rows of a proven bound, so the driver holds the result only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held.extend(rows_of(batch, *batch.schema.names))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(held))], pa.binary())], names=["model"])
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else train([])
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

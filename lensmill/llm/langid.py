@@ -5,8 +5,8 @@ hashed into a fixed number of dimensions, weighted by TF-IDF and normalised. Sph
 of each language. The nearest centroid by cosine gives the language; a text farther from it than that centroid's
 radius (a quantile of its own training texts, widened) is marked as rejected.
 
-The fit uses at most ``per_lang`` labelled rows of each language, chosen by a hash of id and text, so it is bounded
-and the same in every run; every row is scored, over its whole text, without a shuffle.
+The fit uses at most ``per_lang`` labelled rows of each language and ``max_rows`` in all, chosen by a hash of the id, so
+it is bounded and the same in every run; every row is scored, over its whole text, without a shuffle.
 
 Defined results: a null text or one without a letter gives ``und`` with score 0, so does a table with no usable
 training row; ties between centroids go to the language first by code point; null languages teach nothing; repeated
@@ -21,13 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import held_out, rows_of, short_batches, to_batch
+from lensmill.llm.common import held_out, rows_of, short_batches, stretch, to_batch, trained
 
 DIMENSIONS, GRAMS = 4096, (1, 2, 3, 4)
 UNKNOWN = "und"
+#: Rows that a fit reads at most; its vectors take 16 KB each.
+MAX_ROWS = 20_000
 _LETTER = re.compile(r"[^\W\d_]").search
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _MULTIPLIER = np.uint32(2654435761)
@@ -84,30 +86,38 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
-def sample(documents: DataFrame, per_lang: int = 300, max_languages: int = 400) -> DataFrame:
-    """text, lang, pick of at most per_lang rows of each language that are not held out, by a hash of the id.
+def sample(documents: DataFrame, per_lang: int = 300, max_rows: int = MAX_ROWS) -> DataFrame:
+    """text, lang, pick, nth of at most per_lang rows of each language that are not held out, by a hash of the id.
 
     The choice reads ids and languages only, ranked first within salted parts of a language, so that one with a third
-    of all rows does not meet in one task. The chosen ids (at most per_lang * max_languages rows) are broadcast and
-    pick their texts in one scan without a shuffle of texts.
+    of all rows does not meet in one task. Beyond max_rows in all, each language gives its first rows by turns. The
+    chosen ids are broadcast (max_rows at most) and pick their texts in one scan without a shuffle of texts.
     """
-    from pyspark.sql import Window
-
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = known.select("lang", F.col("doc_id").alias("pick_id"), F.xxhash64("doc_id").alias("pick"))
     ids = ids.withColumn("salt", F.pmod("pick", F.lit(64)))
     for part in (["lang", "salt"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*part).orderBy("pick", "pick_id"))
-        ids = ids.withColumn("n", rank).where(F.col("n") <= per_lang).drop("n")
-    chosen = ids.select("pick_id", "pick", F.col("lang").alias("taught")).orderBy("pick", "pick_id").limit(per_lang * max_languages)
+        ids = ids.withColumn("nth", rank).where(F.col("nth") <= per_lang)
+    chosen = ids.select("pick_id", "pick", "nth", F.col("lang").alias("taught")).orderBy("nth", "pick", "pick_id", "taught").limit(max_rows)
     texts = documents.select("doc_id", "text", "lang")
-    return texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("pick_id")) & (F.col("lang") == F.col("taught"))).select("text", "lang", "pick")
+    return texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("pick_id")) & (F.col("lang") == F.col("taught"))).select("text", "lang", "pick", "nth")
+
+
+def fit(labelled: DataFrame, clusters: int = 3, max_rows: int = MAX_ROWS, max_chars: int = 20_000, widen: float = 1.5) -> LanguageModel:
+    """labelled: text, lang and the order columns ``nth`` and ``pick``, as sample() gives them.
+
+    Bounds: max_rows rows, in that order, and of a longer text max_chars code points from a hashed place. The fit runs
+    in one task.
+    """
+    few = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    few = few.select("lang", "pick", stretch("text", "pick", max_chars).alias("text"), "nth").orderBy("nth", "pick", "lang", F.xxhash64("text")).limit(max_rows)
+    return trained(few.drop("nth"), lambda rows: fit_rows(rows, clusters, widen))
 
 
-def fit(labelled: DataFrame, per_lang: int = 300, clusters: int = 3, max_languages: int = 400, widen: float = 1.5) -> LanguageModel:
-    """labelled: text, lang and an order column ``pick``, as sample() gives them. Bound: per_lang * max_languages rows."""
-    few = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).limit(per_lang * max_languages)
-    rows = sorted((r.lang, r.pick, r.text) for r in few.select("lang", "pick", "text").collect())
+def fit_rows(rows: list[tuple[str, int, str]], clusters: int, widen: float) -> LanguageModel:
+    """The fit itself, of (lang, pick, text)."""
+    rows = sorted(rows)
     if not rows:
         empty = np.zeros((0, DIMENSIONS), np.float32)
         return LanguageModel((), np.ones(DIMENSIONS, np.float32), empty, np.zeros(0, int), np.zeros(0))

@@ -10,12 +10,13 @@ The fit uses at most ``max_docs`` labelled documents of each label, chosen by a
 bounded and the same in every run. Every row is scored over its whole text, without a shuffle.
 
 Defined results: null and empty texts, and all texts where no training row exists of either label, get the prior
-(score of no evidence, below one half unless most labels are toxic); null labels teach nothing; a document labelled
-twice counts twice; repeated rows are scored each; other columns are dropped, so clashing names do no harm.
+(score of no evidence, below one half unless most labels are toxic); null labels teach nothing; texts equal in text and
+label teach once; repeated rows are scored each; other columns are dropped, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import held_out, rows_of, short_batches, to_batch
+from lensmill.llm.common import held_out, rows_of, short_batches, stretch, to_batch, trained
 
 FEATURE_BITS = 18
 LANE = 64
+#: Labelled documents of each label that a fit reads at most.
+MAX_DOCS = 3000
 MEMO_ENTRIES = 300_000
 #: Words and beginnings whose neighbours the fit counts at a time.
 FOLLOWED = 1000
@@ -212,20 +215,29 @@ def _tell_tales(docs: list[tuple[np.ndarray, int]], words: list[str], chance: fl
     return {followed[k] for k in np.flatnonzero(keep)}
 
 
-def fit(labelled: DataFrame, max_docs: int = 3000, max_tokens: int = 300_000, rounds: int = 30) -> ToxicModel:
-    """labelled: text, toxic 0/1 and an order column ``pick``, as sample() gives them. Bound: twice max_docs rows of each label; the chain
-    itself is trained on whole documents of them up to max_tokens words."""
-    rows = labelled.where(F.col("text").isNotNull()).select("pick", "text", "toxic").limit(4 * max_docs).collect()
-    rows = sorted(((r.pick, r.text, r.toxic) for r in rows), reverse=True)
-    return fit_rows(rows, max_tokens, rounds)
+def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = 20_000, max_tokens: int = 300_000, rounds: int = 30) -> ToxicModel:
+    """labelled: text, toxic 0/1 and an order column ``pick``, as sample() gives them.
+
+    Bounds: 2 * max_docs rows in order of pick, of a longer text max_chars code points from a hashed place, and for the
+    chain itself max_tokens words, of which one text gives a fiftieth at most. The fit runs in one task.
+    """
+    rows = labelled.where(F.col("text").isNotNull()).select("pick", stretch("text", "pick", max_chars).alias("text"), "toxic")
+    return trained(rows.orderBy("pick", "toxic", F.xxhash64("text")).limit(2 * max_docs), lambda found: fit_rows(found[::-1], max_tokens, rounds))
 
 
 def fit_rows(rows: list[tuple[int, str, int]], max_tokens: int = 300_000, rounds: int = 30) -> ToxicModel:
-    """The fit itself, of (pick, text, toxic) in falling order; rows is emptied on the way, texts are held as places in a vocabulary."""
+    """The fit itself, of (pick, text, toxic) in falling order; rows is emptied on the way, texts are held as places in a vocabulary.
+
+    Rows equal in text and label teach once.
+    """
     named: dict[str, int] = {}
-    docs = []
+    docs, seen = [], set()
     while rows:
         _, text, label = rows.pop()
+        mark = (hashlib.blake2b(text.encode(), digest_size=16).digest(), int(label))
+        if mark in seen:
+            continue
+        seen.add(mark)
         docs.append((np.array([named.setdefault(t, len(named)) for t in text.lower().split()], np.int32), int(label)))
     tokens, names = list(named), {}
     as_word = np.array([names.setdefault(normal(t), len(names)) for t in tokens], np.int32)
@@ -237,13 +249,13 @@ def fit_rows(rows: list[tuple[int, str, int]], max_tokens: int = 300_000, rounds
     words = list(names)
     tales = _tell_tales([(as_word[t], label) for t, label in docs], words)
     toxic_word = np.array([w in tales or w[:4] in tales or w[:5] in tales or w[:6] in tales for w in words])
-    chain = [(t, label) for t, label in docs if len(t)]
-    order = np.argsort([crc32(" ".join(tokens[k] for k in t[:20]).encode()) for t, _ in chain], kind="stable")
     ids, labels, starts, budget = [], [], [], max_tokens
-    for i in order:
-        t, label = chain[i]
+    for t, label in docs:
+        t = t[: max(1, max_tokens // 50)]
         if budget <= 0:
             break
+        if not len(t):
+            continue
         budget -= len(t)
         starts.append(np.arange(len(t)) == 0)
         ids.append(as_word[t])
@@ -318,7 +330,7 @@ def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
 
-def sample(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> DataFrame:
+def sample(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """text, toxic, pick of at most max_docs labels of each value that are not held out, by a hash of the id.
 
     The choice reads ids and labels only; the chosen ids (at most 2 * max_docs rows, so safe to broadcast) then pick
