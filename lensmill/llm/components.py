@@ -1,15 +1,21 @@
-"""Distributed connected components by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
+"""Distributed connected components: forests of shares of the links, then alternating large-star and small-star rounds
+(Kiveris et al., 2014)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lensmill.llm.common import materialise
 
 #: Parts that the links of one node are dealt out to.
 SPREAD = 64
+#: Links that one task contracts to a forest.
+SHARE = 1 << 20
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,18 +60,47 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") > F.col("b")).distinct()
 
 
-def smallest_reachable(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root for every node of links(a, b); root is the smallest node it reaches. Each round is written out."""
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    edges = materialise(edges, "cc")
-    state = None
-    for _ in range(max_rounds):
-        edges = materialise(_star(_star(edges, True), False), "cc")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (now.n, now.h) == state:
+def contracted(links: DataFrame, parts: int) -> DataFrame:
+    """A forest of the links of each of ``parts`` equal shares of links(a, b), by signed longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+        if not held:
+            return
+        a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        low, high = forest(len(nodes), place[: len(a)], place[len(a) :])
+        for at in range(0, len(low), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[high[at : at + (1 << 16)]]), pa.array(nodes[low[at : at + (1 << 16)]])], names=["a", "b"])
+
+    return links.select("a", "b").repartition(parts).mapInArrow(run, "a bigint, b bigint")
+
+
+def smallest_reachable(links: DataFrame, max_rounds: int = 60, share: int = SHARE) -> DataFrame:
+    """node, root for every node of links(a, b); root is the smallest node it reaches.
+
+    Shares of at most ``share`` links are first contracted to forests, each in a task. If there was one share, that is
+    the result; otherwise stars are alternated over the forests, each round written out, until nothing changes.
+    """
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+    edges, (n, _) = _counted(edges)
+    parts = max(1, -(-n // share))
+    edges, state = _counted(contracted(edges, parts))
+    for _ in range(max_rounds if parts > 1 else 0):
+        edges, now = _counted(_star(_star(edges, True), False))
+        if now == state:
             break
-        state = (now.n, now.h)
+        state = now
     else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+        if parts > 1:
+            raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges written out, with their number and a sum of their hashes, both taken while they are written."""
+    seen = Observation()
+    out = materialise(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "cc")
+    found = seen.get
+    return out, (found["n"], found["h"])
