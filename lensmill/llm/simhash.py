@@ -8,16 +8,18 @@ thresholds t_i >= -1 with sum(t_i) = tau - parts + 1 guarantee that each pair wi
 partition i; dynamic programming picks those thresholds at the least estimated number of candidates. A row is filed
 under its own value of each partition, and under each value within t_i bits (probes). Rows that meet in a bucket are
 verified by exact distance. A bucket is verified in blocks, and each block returns a forest of its links instead of
-all its pairs, so a group of thousands of near copies costs no quadratic output. Buckets beyond one block are dealt
-out as pairs of blocks, so none is capped. Components come from large-star/small-star rounds.
+all its pairs: it is walked breadth first, so a group of near copies costs neither quadratic output nor quadratic work
+in a block. Buckets beyond one block are dealt out as pairs of blocks, so none is capped. Components come from forests
+of chunks of the links and large-star/small-star rounds over them.
 
 near_duplicates() serves corpora: documents are near copies if the sets of their five-word shingles have a Jaccard
 likeness of LIKENESS or more. Its 256-bit fingerprints are taken over those sets (repeats count once), the hashes being
 mixed into three more words. A pair at 0.8 differs in 39 bits on average, and in some 48 if the sets are tiny; a
-pigeonhole over that many of 256 bits has no selective partitions. So candidates come from the partitions, which
-guarantee NEAR_TAU bits, and beyond them from BANDS buckets of BAND_ROWS least hashes of the set each: a pair of likeness
-j meets in one of those with 1 - (1 - j ** BAND_ROWS) ** BANDS, 0.99996 at 0.8. Candidates within NEAR_BITS are put in groups, and within each group the sets themselves are
-compared: only links of LIKENESS or more count.
+pigeonhole over that many of 256 bits has no selective partitions. So candidates come from NEAR_PARTS partitions of 32
+bits, which stay selective for billions of rows and guarantee NEAR_TAU bits, and beyond them from BANDS buckets of
+BAND_ROWS least hashes of the set each: a pair of likeness j meets in one of those with
+1 - (1 - j ** BAND_ROWS) ** BANDS, 0.99996 at 0.8. Candidates within NEAR_BITS are put in groups, and within each group
+the sets themselves are compared: only links of LIKENESS or more count.
 
 Defined results: null text is empty, its fingerprint is 0 and links like any other; equal texts share a fingerprint;
 null ids take no part in a component's smallest id (a component of null ids only has a null id); repeated rows keep
@@ -35,17 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.llm.common import materialise, numbered, rows_of, short_batches, to_batch
-from lensmill.llm.components import forest, smallest_reachable, with_least
+from lensmill.llm.components import smallest_reachable, with_least
 
-WIDE, NEAR_TAU, NEAR_PARTS, NEAR_BITS = 4, 18, (16, 19), 72
+WIDE, NEAR_TAU, NEAR_PARTS, NEAR_BITS = 4, 7, (8,), 72
 LIKENESS, NEAR_WORDS = 0.8, 5
 BANDS, BAND_ROWS = 14, 3
 #: Rows, and shingles, of a group that are held by a block when sets are compared.
-SET_ROWS, SET_SHINGLES = 2048, 1_000_000
+SET_ROWS, SET_SHINGLES = 8192, 2_000_000
 #: What filing a row in a bucket costs, in comparisons of two fingerprints.
 FILING = 300
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-BLOCK = 2048
+#: Fingerprints of a bucket that a block holds.
+BLOCK = 8192
 
 
 def _bits(hashes: np.ndarray) -> int:
@@ -277,6 +280,41 @@ def filed(distinct: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame
     return distinct.select("node", *prints, F.explode(places).alias("e")).select("node", *prints, "e.bucket", "e.own")
 
 
+def print_links(own: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest, as places a and b, of the pairs of prints (n x words) within limit bits, one of each pair being own.
+
+    Walked breadth first from one own row after another: a row is compared with those not reached yet, so a group of
+    near copies costs little more than one comparison a row, and rows that nothing links cost one pass each.
+    """
+    order = np.argsort(~own, kind="stable")
+    left, rest = order, np.ascontiguousarray(prints[order].T)
+    homes = int(own.sum())
+    found_a, found_b, queue = [], [], []
+    while len(left):
+        if queue:
+            i = queue.pop()
+        elif homes:
+            i, left, rest, homes = left[0], left[1:], rest[:, 1:], homes - 1
+            if not len(left):
+                break
+        else:
+            break
+        off = np.bitwise_count(rest[0] ^ prints[i, 0]).astype(np.uint16)
+        for k in range(1, len(rest)):
+            off += np.bitwise_count(rest[k] ^ prints[i, k])
+        near = off <= limit
+        if near.any():
+            hit = left[near]
+            found_a.append(np.full(len(hit), i))
+            found_b.append(hit)
+            queue.extend(hit.tolist())
+            homes -= int(own[hit].sum())
+            left, rest = left[~near], rest[:, ~near]
+    if not found_a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def block_links(distinct: DataFrame, tau: int, options: tuple[int, ...], limit: int) -> DataFrame:
     """a, b: a forest of the links found in each block or pair of blocks of a bucket of distinct(node, fp, ..), by at most limit bits."""
     carried = [c for c in distinct.columns if c not in ("node", "bands")]
@@ -287,33 +325,14 @@ def block_links(distinct: DataFrame, tau: int, options: tuple[int, ...], limit:
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y")))
     dealt = dealt.select("bucket", "own", "node", *carried, F.explode(pairs).alias("xy")).select("bucket", "xy.x", "xy.y", "own", "node", *carried)
 
-    def links(own: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A pair meets where one of them probes the other's own bucket, so own rows are compared with all."""
-        found_a, found_b = [], []
-        at_home = np.flatnonzero(own)
-        for at in range(0, len(at_home), 256):
-            some = at_home[at : at + 256]
-            off = np.bitwise_count(prints[some, 0][:, None] ^ prints[None, :, 0])
-            for k in range(1, prints.shape[1]):
-                more = np.bitwise_count(prints[some, k][:, None] ^ prints[None, :, k])
-                off = np.minimum(off, 191) + more  # a byte holds it: beyond 191 it is over any limit anyway
-            a, b = np.nonzero(off <= limit)
-            a = some[a]
-            a, b = a[a != b], b[a != b]
-            found_a.append(a)
-            found_b.append(b)
-        if not found_a:
-            return node[:0], node[:0]
-        a, b = forest(len(node), np.concatenate(found_a), np.concatenate(found_b))
-        return node[a], node[b]
-
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket and block pair; a group ends where those change."""
         now, held = None, []
 
         def flush() -> pa.RecordBatch | None:
             own, node, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-            a, b = links(own, node, prints)
+            a, b = print_links(own, prints, limit)
+            a, b = node[a], node[b]
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
 
         for batch in batches:
@@ -345,7 +364,7 @@ def _named(rows: DataFrame, distinct: DataFrame, links: DataFrame, *kept: str) -
     return rows.join(by_node, F.col("node") == F.col("own_node")).select("doc_id", *kept, "component_id")
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, options: tuple[int, ...] = (3,)) -> DataFrame:
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, options: tuple[int, ...] = (2, 3)) -> DataFrame:
     """doc_id, fp, component_id (the smallest id reachable by links within tau bits) of every row."""
     rows = materialise(fingerprints(df, id_col, text_col).withColumn("node", F.col("fp")), "simhash")
     distinct = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "simhash-fp")
@@ -356,28 +375,43 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
 def set_links(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the pairs of sets of LIKENESS or more; hashes holds the sets one after another, sizes their lengths.
 
-    Walked breadth first: a set is compared with those not reached yet, by the sets that hold each of its hashes.
+    Walked breadth first: a set is compared with those not reached yet, by the sets that hold each of its hashes. The
+    lists of holders are made again whenever half of the sets in them have been reached, so that the many sets of a
+    group of copies do not weigh on those that are left.
     """
     n = len(sizes)
     _, code = np.unique(hashes, return_inverse=True)
+    n_codes = int(code.max()) + 1 if len(code) else 0
     owner = np.repeat(np.arange(n), sizes)
-    by_code = np.argsort(code, kind="stable")
-    holders, first = owner[by_code], np.concatenate([[0], np.cumsum(np.bincount(code))])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     left, found_a, found_b = np.ones(n, bool), [], []
+    listed = n_left = n
+
+    def holders_of(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = code[kept]
+        return owner[kept][np.argsort(some, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(some, minlength=n_codes))])
+
+    holders, first = holders_of(np.ones(len(code), bool))
     for root in range(n):
         if not left[root]:
             continue
-        left[root] = False
-        queue = [root]
-        while queue and left.any():
+        left[root], queue = False, [root]
+        n_left -= 1
+        while queue and n_left:
+            if n_left <= listed // 2:
+                holders, first = holders_of(left[owner])
+                listed = n_left
             i = queue.pop()
             codes = code[starts[i] : starts[i + 1]]
-            spans = [holders[first[c] : first[c + 1]] for c in codes]
-            both = np.bincount(np.concatenate(spans), minlength=n) if spans else np.zeros(n, np.int64)
+            at, many = first[codes], first[codes + 1] - first[codes]
+            at, many = at[many > 0], many[many > 0]
+            if not len(many):
+                continue
+            met, both = np.unique(holders[np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())], return_counts=True)
             # both / union >= LIKENESS, in whole numbers
-            alike = np.flatnonzero(left & (both * 5 >= (sizes[i] + sizes - both) * 4) & (both > 0))
+            alike = met[left[met] & (both * 5 >= (sizes[i] + sizes[met] - both) * 4)]
             left[alike] = False
+            n_left -= len(alike)
             found_a.append(np.full(len(alike), i))
             found_b.append(alike)
             queue.extend(alike.tolist())
@@ -396,7 +430,7 @@ def alike_links(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("n") / SET_ROWS), F.ceil(F.col("total") / SET_SHINGLES)).cast("int")
     placed = candidates.join(sums.select(F.col("root").alias("r"), blocks.alias("blocks")), F.col("root") == F.col("r"))
     placed = placed.select(F.col("mark").alias("own_mark"), "node", "root", "blocks")
-    found = texts.join(placed, F.col("mark") == F.col("own_mark")).select("node", "root", "blocks", "text")
+    found = texts.join(placed.hint("merge"), F.col("mark") == F.col("own_mark")).select("node", "root", "blocks", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
