@@ -132,7 +132,7 @@ def apply(
     rows = materialise(rows, "mix-sizes")
     goals = materialise(targets(rows, weights, max_repeats), "mix-targets")
     taken = laid_out(rows, goals, max_repeats).where("copies > 0").select(F.col("row_at").alias("taken_at"), "place", "middle", "source_size", "target", "copies")
-    copies = docs.join(materialise(taken, "mix-copies"), F.col("row_at") == F.col("taken_at")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    copies = docs.join(materialise(taken, "mix-copies").hint("merge"), F.col("row_at") == F.col("taken_at")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     share = (F.col("middle") + (F.col("copy") - 1) * F.col("source_size")) / F.col("target")
     out = copies.withColumn("position", inverse_demand(share, F.col("place"), schedules)).select(*own, "position", "copy")
     out = out.orderBy("position", id_at, "copy").select(*own, *["position"] * (position_col is not None))
