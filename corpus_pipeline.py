@@ -27,7 +27,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps one row of each group of near copies (likeness 0.8 on five words): that of least id, null last, then the first of the scan."""
     kept = materialise(simhash.near_duplicates(docs).where("stays").select(F.col("row_at").alias("kept_at")), "kept-rows")
     own = numbered(docs)
-    return own.join(kept, F.col("row_at") == F.col("kept_at"), "left_semi").select(*COLUMNS)
+    return own.join(kept.hint("merge"), F.col("row_at") == F.col("kept_at"), "left_semi").select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
