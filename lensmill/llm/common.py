@@ -5,17 +5,17 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[str] = []
 
-#: Rows in an Arrow batch; texts can be long, so batches stay short.
-ARROW_ROWS = 512
+#: Rows and bytes of a batch that Python works on at a time; Spark's own batches hold up to 64 MB.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,9 +51,12 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches short for operators that hold whole texts in Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ARROW_ROWS rows and, by their mean, ARROW_BYTES, for operators that hold whole texts in Python."""
+    for batch in batches:
+        step = max(1, min(ARROW_ROWS, ARROW_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -67,6 +70,25 @@ def to_batch(schema: pa.Schema, columns: Iterable[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, str], tag: str) -> DataFrame:
+    """df with ``nth`` (0 for the first row in order) and, for sums {new: column}, the sum of the column over the rows before.
+
+    Rows are range-partitioned by the order and written out; only the partitions' totals, one row each, are summed in
+    one task. Rows that tie in the order lie in one partition, so the order should be fine enough.
+    """
+    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged, tag)
+    totals = ranged.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n_in"), *[F.sum(c).alias(f"in_{new}") for new, c in sums.items()])
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select("p", F.coalesce(F.sum("n_in").over(before), F.lit(0)).alias("n_before"), *[F.coalesce(F.sum(f"in_{new}").over(before), F.lit(0)).alias(f"before_{new}") for new in sums])
+    within = Window.partitionBy("part").orderBy(*order)
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumns({"nth": F.row_number().over(within) - 1, **{new: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for new, c in sums.items()}})
+    out = out.join(F.broadcast(ahead), F.col("part") == F.col("p"))
+    placed = {"nth": (F.col("nth") + F.col("n_before")).cast("long"), **{new: F.col(new) + F.col(f"before_{new}") for new in sums}}
+    return out.withColumns(placed).drop("part", "p", "n_before", *[f"before_{new}" for new in sums])
+
+
 def stretch(text: str, pick: str, most: int):
     """A column: the text, or ``most`` code points of it from a hashed place, for fits of a bounded sample alone."""
     spare = F.length(text) - most

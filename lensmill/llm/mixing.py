@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import materialise, numbered
+from lensmill.llm.common import materialise, numbered, running
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of a source that one task puts in order at a time.
@@ -47,20 +47,22 @@ def tape_key(id_col: str, text_col: str) -> list[Column]:
 
 
 def targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
-    """source, place, weight, source_size, target of each source; windows run over one row a source."""
+    """source, place, weight, source_size, target of each source.
+
+    Sources are put in order by ranges, first by name, then by the ratio of cap and weight, so there may be millions.
+    """
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    s = running(sums, [F.col("source").asc_nulls_last()], {}, "mix-places").withColumnRenamed("nth", "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    s = sums.withColumn("place", place).withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeats)
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    s = s.withColumn("total", F.sum("source_size").over(everything))
+    s = s.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeats).withColumn("ratio", F.col("cap") / F.col("weight"))
+    s = running(s, ["ratio", "place"], {"caps_before": "cap", "weight_before": "weight"}, "mix-ratios").drop("nth")
+    whole = s.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weight"))
+    s = s.crossJoin(F.broadcast(whole))  # one row
     # The level if this source and those of larger ratio are not held back; the first that stays within its cap sets it.
-    s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward))
-    within = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    s = s.withColumn("water", F.min_by("level", F.when(within.isNotNull(), F.struct(F.col("cap") / F.col("weight"), F.col("place")))).over(everything))
+    level = (F.col("total") - F.col("caps_before")) / (F.col("all_weight") - F.col("weight_before"))
+    s = s.withColumn("level", level)
+    held = s.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", F.struct("ratio", "place")).alias("water"))
+    s = s.crossJoin(F.broadcast(held))  # one row
     target = F.least(F.coalesce(F.col("water") * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double"))
     return s.select("source", "place", "weight", "source_size", "n_rows", target.alias("target"))
 

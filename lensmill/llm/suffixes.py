@@ -5,13 +5,14 @@ Sorting all suffixes of a corpus would shuffle a hundred times its size, so a sp
 window of 100 bytes the 24-byte gram of least hash marks one suffix. Equal windows mark the same gram at the same
 offset, so windows need comparing only if their suffixes share a gram. One suffix in some 38 is kept.
 
-1. Each task lists its suffixes: leading 8 bytes, hash of the gram, hash of all bytes that the suffix's windows cover,
-   document, position, window starts. Suffixes alike in all three within a chunk are merged at once: the first stays.
+1. Each task lists its suffixes: leading 8 bytes, hash of the gram (48 bits), hash of all bytes that the suffix's windows
+   cover (64 bits), document, position, window starts. Suffixes alike in all three within a chunk are merged at once: the
+   first stays.
 2. Sampled splitters on (lead, gram, context) range-partition the suffixes, so a frequent gram spreads over buckets. A
    bucket is sorted by multikey quicksort. Of suffixes with equal context all but the first are settled: their
    windows repeat. Contexts that differ under one gram are open; a gram that reaches a bucket's boundary counts as
    open too, which compares it across the boundary.
-3. The windows of open suffixes are hashed one by one (64 bits) and partitioned by hash; all but the first repeat.
+3. The windows of open suffixes are hashed one by one (128 bits) and partitioned by hash; all but the first repeat.
 4. The repeats of each document are merged and cut out.
 
 Work and volume grow linearly with the text, whatever the groups of copies. Texts are shuffled only for documents
@@ -31,10 +32,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import materialise, rows_of, short_batches
+from lensmill.llm.common import materialise, rows_of, running, short
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
@@ -47,9 +49,9 @@ _U = np.uint64
 
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random 64-bit values of bytes, and powers of the base and of its inverse modulo 2^64."""
+    """Two sets of random 64-bit values of bytes, and powers of the base and of its inverse modulo 2^64."""
     n = 2 * PIECE + LENGTH
-    values = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+    values = np.random.default_rng(20240229).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
 
     def powers(b: int) -> np.ndarray:
         out = np.full(n, _U(b % (1 << 64)))
@@ -65,11 +67,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _prefixes(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums from which substring_hashes takes the hash of any part."""
+def _prefixes(raw: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums from which _hashes() takes the hash of any part; ``which`` names one of two sets of byte values."""
     values, _, inverse = _tables()
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values[raw] * inverse[: len(raw)], out=out[1:])
+    np.cumsum(values[which][raw] * inverse[: len(raw)], out=out[1:])
     return out
 
 
@@ -191,7 +193,9 @@ def _from_planes(data: memoryview, n: int, width: int) -> np.ndarray:
 
 
 #: Bytes kept of lead, gram, context, key, first start, windows after it, offset of the suffix in it.
-WIDTHS = (8, 4, 7, 8, 5, 1, 1)
+WIDTHS = (8, 6, 8, 8, 5, 1, 1)
+#: Bytes kept of a window: two hashes, key, start.
+WINDOW_WIDTHS = (8, 8, 8, 5)
 
 
 def _packed(columns: tuple[np.ndarray, ...], widths: tuple[int, ...]) -> bytes:
@@ -212,7 +216,7 @@ def _unpacked(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def _key_words(lead, gram, context) -> list[np.ndarray]:
-    return [lead, gram & _U(0xFFFFFFFF), context & _U((1 << 56) - 1)]
+    return [lead, gram & _U((1 << 48) - 1), context]
 
 
 _WORDS = np.dtype([("lead", "u8"), ("gram", "u8"), ("context", "u8")])
@@ -239,8 +243,8 @@ def _splitters(docs: DataFrame, buckets: int, n_docs: int, sample_docs: int = 40
             pick = np.linspace(0, len(lead) - 1, min(len(lead), 4000)).astype(int)
             yield pa.RecordBatch.from_arrays([pa.array(w[pick].astype(np.int64)) for w in words], names=["lead", "gram", "context"])
 
-    # Bounded: sample_docs documents in expectation, 4000 suffixes of each chunk.
-    found = some.mapInArrow(run, "lead bigint, gram bigint, context bigint").limit(200_000).toPandas()
+    # Bounded: sample_docs documents in expectation, 4000 suffixes of each chunk; beyond that those of least context hash.
+    found = some.mapInArrow(run, "lead bigint, gram bigint, context bigint").orderBy("context", "gram", "lead").limit(200_000).toPandas()
     own = np.empty(len(found), _WORDS)
     for name in ("lead", "gram", "context"):
         own[name] = found[name].to_numpy().astype(np.uint64)
@@ -267,19 +271,24 @@ def _merged(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     return order, new_gram, new, _later(new, key[order], at[order])
 
 
-def _repeat_rows(kind: int, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+def _repeat_rows(kind: int, key: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.ndarray | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(key), -1, np.int32)), pa.array(np.full(len(key), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.nulls(len(key), pa.binary())],
+        [pa.array(np.full(len(key), -1, np.int32) if bucket is None else bucket), pa.array(np.full(len(key), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.nulls(len(key), pa.binary())],
         names=["bucket", "kind", "key", "first", "last", "blob"],
     )
 
 
+def _packed_row(bucket: int, blob: bytes) -> pa.RecordBatch:
+    empty = pa.nulls(1, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([PACKED], pa.int8()), empty, empty, empty, pa.array([blob], pa.binary())], names=["bucket", "kind", "key", "first", "last", "blob"])
+
+
 _DDL = "bucket int, kind byte, key bigint, first bigint, last bigint, blob binary"
 SETTLED, OPEN, PACKED = 0, 1, 2
 
 
 def _listed(docs: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """Step 1: packed suffixes by bucket, and those settled within a chunk."""
+    """Step 1: packed suffixes by bucket, and those settled within a chunk, dealt out over the buckets by document."""
 
     def run(batches):
         for lead, gram, context, key, at, first, last in _chunks(batches):
@@ -287,27 +296,27 @@ def _listed(docs: DataFrame, cuts: np.ndarray) -> DataFrame:
             order, _, new, later = _merged((*words, key, at))
             rest = order[later]
             if len(rest):
-                yield _repeat_rows(SETTLED, key[rest], first[rest], last[rest])
+                yield _repeat_rows(SETTLED, key[rest], first[rest], last[rest], (_mixed(key[rest].astype(np.uint64)) % _U(len(cuts) + 1)).astype(np.int32))
             order = order[new]
             bucket = _bucket_of([w[order] for w in words], cuts)
             for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1):
                 own = order[part]
                 columns = (lead[own], gram[own], context[own], key[own].astype(np.uint64), first[own], last[own] - first[own], at[own] - first[own])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket[part[0]]], pa.int32()), pa.array([PACKED], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_packed(columns, WIDTHS)])],
-                    names=["bucket", "kind", "key", "first", "last", "blob"],
-                )
+                yield _packed_row(int(bucket[part[0]]), _packed(columns, WIDTHS))
 
     return docs.select("key", "text").mapInArrow(run, _DDL)
 
 
-def _by_bucket(packed: DataFrame, parts: int, work) -> DataFrame:
-    """work(bucket, blobs) over the blobs of each bucket; rows arrive sorted by bucket."""
+def _by_bucket(listed: DataFrame, parts: int, work) -> DataFrame:
+    """work(bucket, blobs) over the blobs of each bucket, in one shuffle; other rows pass through."""
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for bucket, blob in rows_of(batch, "bucket", "blob"):
+            others = batch.filter(pc.not_equal(batch.column(1), PACKED))
+            if others.num_rows:
+                yield others
+            for bucket, blob in rows_of(batch.filter(pc.equal(batch.column(1), PACKED)), "bucket", "blob"):
                 if bucket != now and held:
                     yield from work(now, held)
                     held = []
@@ -316,7 +325,7 @@ def _by_bucket(packed: DataFrame, parts: int, work) -> DataFrame:
         if held:
             yield from work(now, held)
 
-    return packed.select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _DDL)
+    return listed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _DDL)
 
 
 def _compared(cuts: np.ndarray):
@@ -345,33 +354,28 @@ def _windows(asked: DataFrame, buckets: int) -> DataFrame:
     """Step 3, first half: hashes of the open windows, packed by bucket of the hash."""
 
     def run(batches):
-        hashes, keys, starts, n = [], [], [], 0
+        held, n = [], 0
 
         def blobs():
-            h, k, s = np.concatenate(hashes), np.concatenate(keys), np.concatenate(starts)
+            h, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
             bucket = ((h >> _U(40)) * _U(buckets)) >> _U(24)
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[part[0]])], pa.int32()), pa.array([PACKED], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_packed((h[part], k[part], s[part]), (8, 8, 5))])],
-                    names=["bucket", "kind", "key", "first", "last", "blob"],
-                )
+                yield _packed_row(int(bucket[part[0]]), _packed((h[part], *(c[part] for c in rest)), WINDOW_WIDTHS))
 
-        for batch in batches:
+        for batch in short(batches):
             for key, text, runs in rows_of(batch, "key", "text", "runs"):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 s = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs]))
                 for at in range(0, len(raw), PIECE):
                     own = s[(s >= at) & (s < at + PIECE)] - at
                     if len(own):
-                        prefix = _prefixes(raw[at : at + PIECE + LENGTH])
-                        hashes.append(_hashes(prefix, own, own + LENGTH))
-                        keys.append(np.full(len(own), key, np.uint64))
-                        starts.append((own + at).astype(np.uint64))
+                        part = raw[at : at + PIECE + LENGTH]
+                        held.append((*(_hashes(_prefixes(part, k), own, own + LENGTH) for k in range(2)), np.full(len(own), key, np.uint64), (own + at).astype(np.uint64)))
                         n += len(own)
-            if n >= 1_000_000:
-                yield from blobs()
-                hashes, keys, starts, n = [], [], [], 0
+                if n >= 1_000_000:
+                    yield from blobs()
+                    held, n = [], 0
         if n:
             yield from blobs()
 
@@ -380,26 +384,15 @@ def _windows(asked: DataFrame, buckets: int) -> DataFrame:
 
 def _repeated(bucket: int, blobs: list[bytes]):
     """Step 3, second half: all but the first of equal windows."""
-    h, key, start = (np.concatenate(c) for c in zip(*(_unpacked(b, (8, 8, 5)) for b in blobs), strict=True))
+    h, other, key, start = (np.concatenate(c) for c in zip(*(_unpacked(b, WINDOW_WIDTHS) for b in blobs), strict=True))
     key, start = key.astype(np.int64), start.astype(np.int64)
-    order = multikey_order([h, key, start])
-    h = h[order]
-    again = order[_later(np.concatenate([[True], h[1:] != h[:-1]]), key[order], start[order])]
+    order = multikey_order([h, other, key, start])
+    h, other = h[order], other[order]
+    again = order[_later(np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1])]), key[order], start[order])]
     if len(again):
         yield _repeat_rows(SETTLED, key[again], start[again], start[again])
 
 
-def _ranked(distinct: DataFrame) -> DataFrame:
-    """Adds key, the place of (least, sha) in order, by range partitions: used only where ids repeat with other texts."""
-    spark = distinct.sparkSession
-    ranged = distinct.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "least", "sha").withColumn("part", F.spark_partition_id())
-    ranged = materialise(ranged, "suffix-ranks")
-    sizes = ranged.groupBy("part").count()
-    before = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("least", "sha"))
-    return ranged.withColumn("nth", nth).join(F.broadcast(before), F.col("part") == F.col("p")).select("least", "sha", (F.col("nth") + F.col("before")).cast("long").alias("key"))
-
-
 def _texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """docs joined with lists(list_key, ...); the scan is filtered first by a broadcast of the keys while they are few."""
     if lists.count() <= BROADCAST_IDS:
@@ -419,7 +412,6 @@ def _spans(runs: np.ndarray, n: int) -> np.ndarray:
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text adds ``kept``, the bytes that stay."""
     spark = df.sparkSession
-    short_batches(spark)
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("least", F.coalesce("doc_id", F.lit(LAST_ID)))
     rows = materialise(base.select("doc_id", "least", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-rows")
@@ -428,22 +420,21 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     if counts.n == counts.ids:
         docs, keyed = base.select(F.col("least").alias("key"), "text"), rows.withColumn("key", F.col("least"))
     else:
-        ranks = materialise(_ranked(distinct), "suffix-keys").select(F.col("least").alias("l"), F.col("sha").alias("s"), "key")
+        ranks = materialise(running(distinct, ["least", "sha"], {}, "suffix-ranks").withColumnRenamed("nth", "key"), "suffix-keys").select(F.col("least").alias("l"), F.col("sha").alias("s"), "key")
         docs = base.join(ranks, (F.col("least") == F.col("l")) & (F.sha2("text", 256) == F.col("s"))).select("key", "text")
         keyed = rows.join(ranks, (F.col("least") == F.col("l")) & (F.col("sha") == F.col("s"))).drop("l", "s")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = _splitters(docs, 3 * parts, counts.n)
-    listed = materialise(_listed(docs, cuts), "suffix-lists")
-    compared = materialise(_by_bucket(listed.where(F.col("kind") == PACKED), parts, _compared(cuts)), "suffix-compared")
+    compared = materialise(_by_bucket(_listed(docs, cuts), parts, _compared(cuts)), "suffix-compared")
     asked = compared.where(F.col("kind") == OPEN).groupBy(F.col("key").alias("list_key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     windows = _windows(_texts_of(docs, materialise(asked, "suffix-asked")).select("key", "text", "runs"), 3 * parts)
     again = materialise(_by_bucket(windows, parts, _repeated), "suffix-windows")
-    settled = [x.where(F.col("kind") == SETTLED).select("key", "first", "last") for x in (listed, compared, again)]
-    runs = settled[0].unionAll(settled[1]).unionAll(settled[2]).groupBy(F.col("key").alias("list_key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    settled = [x.where(F.col("kind") == SETTLED).select("key", "first", "last") for x in (compared, again)]
+    runs = settled[0].unionAll(settled[1]).groupBy(F.col("key").alias("list_key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     runs = materialise(runs, "suffix-runs")
 
     def cut(batches):
-        for batch in batches:
+        for batch in short(batches):
             out = [[] for _ in range(5)]
             for key, text, found in rows_of(batch, "key", "text", "runs"):
                 data = text.encode()
