@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import rows_of, short_batches, to_batch
+from lensmill.llm.common import rows_of, short, to_batch
 
 K, WORDS = 128, 5
 _MEMO: dict[bytes, int] = {}
@@ -110,11 +110,10 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("n_shingles", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             found = [(i, sketch(t or "", k)) for i, t in rows_of(batch, "doc_id", "text")]
             yield to_batch(schema, [[i for i, _ in found], [spelled(s) for _, s in found], [distinct_shingles(s, k) for _, s in found]])
 
-    short_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fingerprint string, n_shingles double")
 
 
@@ -173,7 +172,7 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, skipping = None, None
         out: list[list] = [[] for _ in names]
-        for batch in batches:
+        for batch in short(batches):
             for doc_id, text, r, borrowed in rows_of(batch, "doc_id", "text", "range", "borrowed"):
                 if skipping == r and borrowed:
                     continue  # more rows with the id of the next range's first
@@ -190,7 +189,6 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if out[0]:
             yield to_batch(schema, out)
 
-    short_batches(spark)
     ddl = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_containment double, n_shingles double"
     return sorted_rows.mapInArrow(run, ddl)
 

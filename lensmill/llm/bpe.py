@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import rows_of, short_batches, to_batch
+from lensmill.llm.common import rows_of, short, to_batch
 
 #: Code points with Unicode's White_Space property, as the inside of a character class.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -142,14 +142,13 @@ def _over_texts(df: DataFrame, id_col: str, text_col: str, schema: pa.Schema, dd
     """row(text) gives the columns after doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             out: list[list] = [[] for _ in schema]
             for doc_id, text in rows_of(batch, "doc_id", "text"):
                 for column, value in zip(out, (doc_id, *row(text or "")), strict=True):
                     column.append(value)
             yield to_batch(schema, out)
 
-    short_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
 
@@ -171,7 +170,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(rank_path, pattern)
-        for batch in batches:
+        for batch in short(batches):
             found = [(i, own.decode(ids or [])) for i, ids in rows_of(batch, "doc_id", "ids")]
             yield to_batch(schema, [[i for i, _ in found], [b for _, b in found], [b.decode("utf-8", "replace") for _, b in found]])
 

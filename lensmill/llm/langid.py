@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import held_out, rows_of, short_batches, stretch, to_batch, trained
+from lensmill.llm.common import held_out, rows_of, short, stretch, to_batch, trained
 
 DIMENSIONS, GRAMS = 4096, (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -140,11 +140,10 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = [t for (t,) in rows_of(part, "text")]
                 yield to_batch(schema, [part.column(0).to_pylist(), *model.predict(texts)])
 
-    short_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")

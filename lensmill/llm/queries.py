@@ -100,5 +100,90 @@ FROM taken
 """
 
 
+OP4_SQL = """
+WITH steps AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+sized AS (
+  SELECT doc_id, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS key
+  FROM documents),
+summed AS (
+  SELECT doc_id, size, key, CAST(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) AS BIGINT) AS text_crc32
+  FROM sized CROSS JOIN steps),
+line AS (
+  SELECT *, row_number() OVER (ORDER BY key, doc_id) - 1 AS nth, CAST(sum(size) OVER (ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS finish,
+    CAST(sum(size) OVER () AS DOUBLE) / 40 AS capacity FROM summed),
+cut AS (SELECT *, CAST(least(floor((finish - size / 2.0::DOUBLE) / capacity), 39) AS INT) AS own FROM line),
+spans AS (SELECT key, min(own) AS lo, max(own) AS hi, min(finish - size) AS first_byte, max(finish) AS last_byte, any_value(capacity) AS capacity FROM cut GROUP BY key),
+moved AS (
+  SELECT key, CAST(least(floor((first_byte + last_byte) / 2.0::DOUBLE / capacity), 39) AS INT) AS kept_in
+  FROM spans WHERE lo < hi AND last_byte - first_byte <= 0.1::DOUBLE * capacity),
+placed AS (SELECT c.*, coalesce(m.kept_in, c.own) AS shard FROM cut c LEFT JOIN moved m ON c.key = m.key)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(nth - min(nth) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM placed
+"""
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+usable AS (
+  SELECT vec_id, x, list_sum(list_transform(x, lambda c: c * c)) AS norm FROM v
+  WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(least, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(least, v.vec_id)) AS kept
+FROM v LEFT JOIN degree ON degree.a = v.vec_id LEFT JOIN least_of ON least_of.a = v.vec_id
+"""
+
+OP10_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
+parts AS (SELECT doc_id, h, n_bytes, unnest(range(0, n_bytes - 99, 500)) AS cut_at FROM docs WHERE n_bytes >= 100),
+pieces AS (SELECT doc_id, cut_at, substr(h, 2 * cut_at + 1, 1198) AS piece, least(500, n_bytes - 99 - cut_at) AS n FROM parts),
+places AS (SELECT doc_id, cut_at, piece, unnest(range(n)) AS i FROM pieces),
+hashed AS (SELECT doc_id, cut_at + i AS p, md5_number(substr(piece, 2 * i + 1, 200)) AS w FROM places),
+firsts AS (SELECT w, min((doc_id, p)) AS one FROM hashed GROUP BY w),
+windows AS (SELECT doc_id, p, (doc_id, p) <> one AS again FROM hashed JOIN firsts USING (w)),
+marks AS (SELECT doc_id, p, CASE WHEN p <= max(p) OVER before + 100 THEN 0 ELSE 1 END AS fresh FROM windows WHERE again
+  WINDOW before AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marks),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS final FROM spans),
+kept AS (
+  SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * since + 1, 2 * (a - since)) || CASE WHEN final THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS rest
+  FROM gaps g JOIN docs d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+_OP1_KINDS = (
+    (0, r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"),
+    (1, "AKIA[A-Z0-9]+"), (2, "[0-9a-f]+"), (3, "[A-Za-z0-9+/_-]{20,}"),
+)
+OP1_SQL = f"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
+cut AS ({" UNION ALL ".join(f"SELECT doc_id, source, body, {k} AS kind, regexp_extract_all(body, '{p}') AS found, string_split_regex(body, '{p}') AS pieces, {f"regexp_extract_all(body, '{p}', 2)" if k == 0 else f"regexp_extract_all(body, '{p}')"} AS held FROM docs" for k, p in _OP1_KINDS)}),
+spots AS (SELECT doc_id, source, body, kind, found, pieces, held, unnest(range(1, len(found) + 1)) AS i FROM cut),
+spans AS (
+  SELECT doc_id, source, body, kind, held[i] AS value,
+    CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(found[i]) AS n FROM spots),
+base AS (SELECT * FROM spans WHERE (kind = 0 AND length(value) >= 12) OR (kind = 1 AND length(value) >= 18) OR (kind = 2 AND length(value) >= 16)),
+bare AS (
+  SELECT s.* FROM spans s WHERE kind = 3 AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.a < s.a + s.n AND s.a < b.a + b.n)),
+candidates AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+owned AS (SELECT value, count(DISTINCT coalesce('s' || source, '')) <= 2 AND count(DISTINCT (coalesce('s' || source, ''), body)) <= 5 AS live FROM candidates GROUP BY value),
+judged AS (SELECT c.doc_id, c.kind, c.a, c.a + c.n AS b, o.live, ['assign', 'access', 'hex', 'bare'][c.kind + 1] || ':' || c.a || ':' || (c.a + c.n) AS label FROM candidates c JOIN owned o ON c.value = o.value WHERE c.kind < 3 OR o.live),
+summed AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(label, ',' ORDER BY a, kind) FILTER (kind < 3) AS base_spans, string_agg(label, ',' ORDER BY a, kind) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM docs d LEFT JOIN summed s ON d.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL}
+    return {"op1_secrets": OP1_SQL, "op2_mixing": OP2_SQL, "op4_sharding": OP4_SQL, "op7_neighbours": OP7_SQL, "op10_suffixes": OP10_SQL}

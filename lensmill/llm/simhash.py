@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import materialise, numbered, rows_of, short_batches, to_batch
-from lensmill.llm.components import smallest_reachable, with_least
+from lensmill.llm.common import materialise, numbered, rows_of, short, to_batch
+from lensmill.llm.components import forest, smallest_reachable, with_least
 
 WIDE, NEAR_TAU, NEAR_PARTS, NEAR_BITS = 4, 7, (8,), 72
 LIKENESS, NEAR_WORDS = 0.8, 5
@@ -124,14 +124,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             ids, found = [], []
             for doc_id, text in rows_of(batch, "doc_id", "text"):
                 ids.append(doc_id)
                 found.append(fingerprint(text or ""))
             yield to_batch(schema, [ids, np.array(found, np.uint64).astype(np.int64)])
 
-    short_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
@@ -147,7 +146,7 @@ def set_fingerprints(texts: DataFrame) -> DataFrame:
     schema = pa.schema([*[(n, pa.int64()) for n in ["doc_id", "row_at", "mark", *names]], ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             given, found, bands = [], [], []
             for *row, text in rows_of(batch, "doc_id", "row_at", "mark", "text"):
                 own = shingle_set(text)
@@ -157,7 +156,6 @@ def set_fingerprints(texts: DataFrame) -> DataFrame:
             values = np.array(found, np.uint64).reshape(-1, len(names)).astype(np.int64)
             yield to_batch(schema, [*([r[k] for r in given] for k in range(3)), *values.T, bands])
 
-    short_batches(texts.sparkSession)
     return texts.mapInArrow(run, ", ".join(f"{n} bigint" for n in schema.names[:-1]) + ", bands array<bigint>")
 
 
@@ -280,45 +278,68 @@ def filed(distinct: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame
     return distinct.select("node", *prints, F.explode(places).alias("e")).select("node", *prints, "e.bucket", "e.own")
 
 
+#: Roots that reach little, one after another, before a block is compared in slabs; rows of a slab.
+PATIENCE, SLAB = 8, 256
+
+
+def _differing(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Differing bits of each of some (n x words) and each column of rest (words x m)."""
+    off = np.bitwise_count(some[:, :1] ^ rest[0]).astype(np.uint16)
+    for k in range(1, len(rest)):
+        off += np.bitwise_count(some[:, k : k + 1] ^ rest[k])
+    return off
+
+
 def print_links(own: np.ndarray, prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest, as places a and b, of the pairs of prints (n x words) within limit bits, one of each pair being own.
 
     Walked breadth first from one own row after another: a row is compared with those not reached yet, so a group of
-    near copies costs little more than one comparison a row, and rows that nothing links cost one pass each.
+    near copies costs little more than one comparison a row. Where walks reach little, the rows that are left are
+    compared slab by slab, each slab folded into the forest. Rows reached before are linked to none of those left.
     """
-    order = np.argsort(~own, kind="stable")
-    left, rest = order, np.ascontiguousarray(prints[order].T)
-    homes = int(own.sum())
-    found_a, found_b, queue = [], [], []
-    while len(left):
+    n = len(own)
+    left = np.argsort(~own, kind="stable")
+    rest = np.ascontiguousarray(prints[left].T)
+    homes, idle, reached = int(own.sum()), 0, 0
+    a, b, queue = [], [], []
+    while len(left) > 1 or (queue and len(left)):
         if queue:
             i = queue.pop()
-        elif homes:
-            i, left, rest, homes = left[0], left[1:], rest[:, 1:], homes - 1
-            if not len(left):
-                break
         else:
-            break
-        off = np.bitwise_count(rest[0] ^ prints[i, 0]).astype(np.uint16)
-        for k in range(1, len(rest)):
-            off += np.bitwise_count(rest[k] ^ prints[i, k])
-        near = off <= limit
+            idle = 0 if reached > 2 else idle + 1
+            if not homes or idle > PATIENCE:
+                break
+            i, left, rest, homes, reached = left[0], left[1:], rest[:, 1:], homes - 1, 0
+        near = _differing(prints[i : i + 1], rest)[0] <= limit
         if near.any():
             hit = left[near]
-            found_a.append(np.full(len(hit), i))
-            found_b.append(hit)
+            a.append(np.full(len(hit), i))
+            b.append(hit)
             queue.extend(hit.tolist())
             homes -= int(own[hit].sum())
+            reached += len(hit)
             left, rest = left[~near], rest[:, ~near]
-    if not found_a:
+    for at in range(0, homes if len(left) > 1 else 0, SLAB):
+        some = left[at : min(at + SLAB, homes)]
+        # Pairs of two own rows are met by the earlier one.
+        i, j = np.nonzero(_differing(prints[some], rest[:, at:]) <= limit)
+        found = forest(n, some[i], left[at:][j])
+        a.append(found[0])
+        b.append(found[1])
+    if not a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+    return forest(n, np.concatenate(a), np.concatenate(b))
 
 
 def block_links(distinct: DataFrame, tau: int, options: tuple[int, ...], limit: int) -> DataFrame:
     """a, b: a forest of the links found in each block or pair of blocks of a bucket of distinct(node, fp, ..), by at most limit bits."""
     carried = [c for c in distinct.columns if c not in ("node", "bands")]
-    buckets = filed(distinct, plan(distinct.select("node", *carried), tau, options))
+    return met(filed(distinct, plan(distinct.select("node", *carried), tau, options)), limit)
+
+
+def met(buckets: DataFrame, limit: int) -> DataFrame:
+    """a, b: a forest of the links within limit bits in each block or pair of blocks of buckets(node, prints .., bucket, own)."""
+    carried = [c for c in buckets.columns if c not in ("node", "bucket", "own")]
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("filed")).where((F.col("n") > 1) & F.col("filed"))
     dealt = buckets.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -332,8 +353,7 @@ def block_links(distinct: DataFrame, tau: int, options: tuple[int, ...], limit:
         def flush() -> pa.RecordBatch | None:
             own, node, prints = (np.concatenate(x) for x in zip(*held, strict=True))
             a, b = print_links(own, prints, limit)
-            a, b = node[a], node[b]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"]) if len(a) else None
 
         for batch in batches:
             if not batch.num_rows:
@@ -348,7 +368,7 @@ def block_links(distinct: DataFrame, tau: int, options: tuple[int, ...], limit:
                         yield found
                     held = []
                 now = key
-                held.append((columns[3][piece], columns[4][piece], prints[piece]))
+                held.append((columns[3][piece].astype(bool), columns[4][piece], prints[piece]))
         if held and (found := flush()) is not None:
             yield found
 
@@ -433,7 +453,7 @@ def alike_links(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     found = texts.join(placed.hint("merge"), F.col("mark") == F.col("own_mark")).select("node", "root", "blocks", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             rows = [[], [], [], []]
             for node, root, n, text in rows_of(batch, "node", "root", "blocks", "text"):
                 own = shingle_set(text)
@@ -468,7 +488,6 @@ def alike_links(texts: DataFrame, candidates: DataFrame) -> DataFrame:
                 held[node] = own
         yield from flush()
 
-    short_batches(texts.sparkSession)
     grouped = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
     return grouped.mapInArrow(linked, "a bigint, b bigint")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import held_out, rows_of, short_batches, stretch, to_batch, trained
+from lensmill.llm.common import held_out, rows_of, short, stretch, to_batch, trained
 
 FEATURE_BITS = 18
 LANE = 64
@@ -307,7 +307,7 @@ def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_toxic_tokens", pa.int64()), ("offending", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = [t or "" for (t,) in rows_of(part, "text")]
@@ -325,7 +325,6 @@ def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
                                 spans[-1].append({"start": m.start(), "end": m.end(), "p": float(p[k])})
                 yield to_batch(schema, [part.column(0).to_pylist(), scores, counts, spans])
 
-    short_batches(df.sparkSession)
     ddl = "doc_id bigint, score double, n_toxic_tokens bigint, offending array<struct<start:int,end:int,p:double>>"
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
@@ -347,11 +346,10 @@ def keep_clean(df: DataFrame, model: ToxicModel, limit: float = 0.5, text_col: s
     """The rows of df, with all their columns, whose score is under the limit; one pass, no join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 found = model.of_tokens([(t or "").lower().split() for (t,) in rows_of(part, text_col)])
                 yield part.filter(pa.array([model.doc_score(p) < limit for p in found]))
 
-    short_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
