@@ -96,9 +96,14 @@ def squash(image: np.ndarray, size: int) -> tuple[np.ndarray, float, float]:
 
 
 def bilinear(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    h, w = image.shape[:2]
-    ys, xs = (np.arange(height) + 0.5) * h / height - 0.5, (np.arange(width) + 0.5) * w / width - 0.5
-    return sample(image, *np.meshgrid(xs, ys))
+    """Bilinear resize, edges repeated: rows first, then columns."""
+    out = image.astype(np.float64)
+    for axis, n in ((0, height), (1, width)):
+        at = np.clip((np.arange(n) + 0.5) * image.shape[axis] / n - 0.5, 0, image.shape[axis] - 1)
+        low = np.floor(at).astype(int)
+        share = (at - low).reshape([n if k == axis else 1 for k in range(image.ndim)])
+        out = np.take(out, low, axis) * (1 - share) + np.take(out, np.minimum(low + 1, image.shape[axis] - 1), axis) * share
+    return np.floor(out + 0.5).astype(np.uint8)
 
 
 def sample(image: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
@@ -132,18 +137,19 @@ def text_input(image: np.ndarray, limit: int = TEXT_EDGE, profile: str = "androi
     return bilinear(image, tw, th), tw / w, th / h
 
 
-def laplacian_variance(gray: np.ndarray) -> float:
-    """Population variance of the 4-neighbour Laplacian, borders mirrored without the edge."""
-    p = np.pad(gray.astype(np.float64), 1, mode="reflect" if min(gray.shape) > 1 else "edge")
-    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
+def laplacian_variance(gray: np.ndarray) -> np.ndarray:
+    """Population variance of the 4-neighbour Laplacian of an image or of each of a stack, borders mirrored without the edge."""
+    around = [(0, 0)] * (gray.ndim - 2) + [(1, 1), (1, 1)]
+    p = np.pad(gray.astype(np.int32), around, mode="reflect" if min(gray.shape[-2:]) > 1 else "edge")
+    return (p[..., :-2, 1:-1] + p[..., 2:, 1:-1] + p[..., 1:-1, :-2] + p[..., 1:-1, 2:] - 4 * p[..., 1:-1, 1:-1]).var(axis=(-2, -1))
 
 
-def brightness(gray: np.ndarray) -> float:
-    return float(gray.mean()) if gray.size else 0.0
+def brightness(gray: np.ndarray) -> np.ndarray:
+    return gray.mean(axis=(-2, -1)) if gray.size else np.zeros(gray.shape[:-2])
 
 
-def glare_ratio(gray: np.ndarray) -> float:
-    return float((gray > GLARE_LEVEL).mean()) if gray.size else 0.0
+def glare_ratio(gray: np.ndarray) -> np.ndarray:
+    return (gray > GLARE_LEVEL).mean(axis=(-2, -1)) if gray.size else np.zeros(gray.shape[:-2])
 
 
 def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -191,6 +197,8 @@ def labels_of(mask: np.ndarray) -> tuple[np.ndarray, int]:
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise (monotone chain)."""
     pts = np.unique(points, axis=0).astype(float)
+    new = np.append(True, pts[1:, 0] != pts[:-1, 0])[: len(pts)]
+    pts = pts[new | np.append(new[1:], True)[: len(pts)]]  # the ends of each column alone can be corners
     if len(pts) < 3:
         return pts
 
@@ -321,20 +329,25 @@ def text_boxes(prob: np.ndarray, scale_x: float, scale_y: float, profile: str =
     return sorted(found, key=lambda q: (q[:, 1].mean(), q[0, 0]))
 
 
-def decode(content: bytes) -> np.ndarray:
-    """Image of an encoded file: PGM and PPM here, other formats by Pillow where it is installed."""
-    if content[:2] in (b"P5", b"P6"):
-        head, at = [], 2
-        while len(head) < 3:
-            while content[at : at + 1].isspace():
-                at += 1
-            start = at
-            while not content[at : at + 1].isspace():
-                at += 1
-            head.append(int(content[start:at]))
-        w, h, _ = head
-        shape = (h, w) if content[:2] == b"P5" else (h, w, 3)
-        return np.frombuffer(content, np.uint8, int(np.prod(shape)), at + 1).reshape(shape)
+def netpbm(content: bytes) -> np.ndarray:
+    """Image of a PGM or PPM file."""
+    if content[:2] not in (b"P5", b"P6"):
+        raise ValueError("neither PGM nor PPM")
+    head, at = [], 2
+    while len(head) < 3:
+        while content[at : at + 1].isspace():
+            at += 1
+        start = at
+        while at < len(content) and not content[at : at + 1].isspace():
+            at += 1
+        head.append(int(content[start:at]))
+    w, h, _ = head
+    shape = (h, w) if content[:2] == b"P5" else (h, w, 3)
+    return np.frombuffer(content, np.uint8, int(np.prod(shape)), at + 1).reshape(shape)
+
+
+def by_pillow(content: bytes) -> np.ndarray:
+    """Image of a format that Pillow knows, turned upright as its metadata says."""
     import io
 
     try:
@@ -344,6 +357,17 @@ def decode(content: bytes) -> np.ndarray:
     return np.asarray(ImageOps.exif_transpose(Image.open(io.BytesIO(content))).convert("RGB"))
 
 
+def decode(content: bytes, decoders=(netpbm, by_pillow)) -> np.ndarray:
+    """Image of an encoded file by the first decoder that reads it; an error of all of them if none does."""
+    failed = []
+    for read in decoders:
+        try:
+            return read(content)
+        except Exception as e:
+            failed.append(f"{read.__name__}: {e}")
+    raise ValueError("no decoder reads this image: " + "; ".join(failed))
+
+
 def encode(image: np.ndarray, quality: int = 92) -> bytes:
     """JPEG by Pillow where it is installed, else PGM or PPM."""
     try:

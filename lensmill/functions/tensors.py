@@ -50,7 +50,11 @@ def ctc(steps: Column, charset: Column, classes: int) -> Column:
 
     Class i is charset[i - 1]; the last class beyond the charset is a space, others beyond it are dropped.
     """
-    best = F.transform(steps, lambda s: F.struct(argmax(s).alias("k"), winner_probability(s).alias("p")))
+    return collapsed(F.transform(steps, lambda s: F.struct(argmax(s).alias("k"), winner_probability(s).alias("p"))), charset, F.lit(classes))
+
+
+def collapsed(best: Column, charset: Column, classes: Column) -> Column:
+    """ctc() from the best class k and its probability p of each step."""
     fresh = F.filter(best, lambda b, i: (b["k"] != 0) & ((i == 0) | (b["k"] != F.get(best, i - 1)["k"])))
     spelled = F.transform(fresh, lambda b: F.struct(F.coalesce(F.get(charset, b["k"] - 1), F.when(b["k"] == classes - 1, " ")).alias("c"), b["p"].alias("p")))
     kept = F.filter(spelled, lambda b: b["c"].isNotNull())

@@ -8,10 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 TRANSITIONS = ("processing", "completed", "failed", "reset")
 
 
+def nullable(field: StructField) -> StructField:
+    """A field of the same type, all of whose parts may be null, as those of a missing struct are."""
+    return StructField(field.name, StructType.fromDDL(f"x {field.dataType.simpleString()}").fields[0].dataType)
+
+
 def throttle(frames: DataFrame, interval_ms: int = 66, session: str = "session_id", ts: str = "timestamp_ms") -> DataFrame:
     """Frames that are forwarded: each at least interval_ms after the one forwarded before it (at first: after 0).
 
@@ -81,27 +88,29 @@ def asof_quad(captures: DataFrame, frames: DataFrame) -> DataFrame:
     return seen.select("session_id", "capture_id", "timestamp_ms", F.col("seen.frame_ms").alias("frame_ms"), F.col("seen.quad").alias("quad"))
 
 
-def motion(thumbnails: DataFrame) -> DataFrame:
-    """motion_score of each thumbnail (session_id, event_id, timestamp_ms, width, height, gray) against its session's last.
+def motion(thumbnails: DataFrame, keep: tuple[str, ...] = ("session_id", "event_id")) -> DataFrame:
+    """The kept columns and motion_score of each thumbnail against its session's last one.
 
-    A session streams through one sorted partition; one thumbnail is the only state.
+    thumbnails: session_id, event_id, timestamp_ms, thumb_width, thumb_height, gray (null: 0 and no reference) and what is
+    kept. A session streams through one sorted partition; one thumbnail is the only state.
     """
     from lensmill.streaming.capture import motion as difference
 
-    schema = pa.schema([("session_id", pa.int64()), ("event_id", pa.int64()), ("motion_score", pa.float64())])
+    schema = StructType([*(nullable(thumbnails.schema[c]) for c in keep), StructField("motion_score", DoubleType())])
+    arrow = to_arrow_schema(schema)
+    image = ("session_id", "thumb_width", "thumb_height", "gray")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = None, None
         for batch in batches:
-            out = []
-            for s, e, w, h, gray in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            at, scores = {n: i for i, n in enumerate(batch.schema.names)}, []
+            for s, w, h, gray in zip(*(batch.column(at[n]).to_pylist() for n in image), strict=True):
                 if s != now:
                     now, before = s, None
-                image = (w, h, gray)
-                out.append((s, e, difference(before, image)))
-                before = image
-            columns = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    own = thumbnails.select("session_id", "event_id", "width", "height", "gray", "timestamp_ms")
-    return own.repartition("session_id").sortWithinPartitions("session_id", "timestamp_ms", "event_id").mapInArrow(run, "session_id bigint, event_id bigint, motion_score double")
+                own = (w, h, gray) if gray is not None else None
+                scores.append(difference(before, own) if own else 0.0)
+                before = own
+            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]).cast(arrow.field(c).type) for c in keep), pa.array(scores, pa.float64())], schema=arrow)
+
+    own = thumbnails.select(*dict.fromkeys((*keep, *image, "event_id", "timestamp_ms")))
+    return own.repartition("session_id").sortWithinPartitions("session_id", "timestamp_ms", "event_id").mapInArrow(run, schema)

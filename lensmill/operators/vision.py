@@ -1,38 +1,68 @@
-"""Pixel and inference stages over Arrow batches; models are pluggable, one session a worker and version."""
+"""Pixel and inference stages over Arrow batches, and the frame and capture pipelines made of them.
+
+Models are pluggable: any callable from a 1x3xHxW array to a list (or dict) of arrays will do; onnx_model() makes one from
+ONNX bytes, one session a worker and version. Python runs models and pixel arithmetic, each once an image; what their
+outputs mean is decided by native columns.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
+
+from lensmill.functions import frames, geometry, pixels, tensors
+from lensmill.operators import sequences
 
-from lensmill.functions import pixels
+Model = Callable[[np.ndarray], list[np.ndarray]]
+#: Images of a batch that are worked on at a time, and pixels that are measured in one stack.
+IMAGE_ROWS, STACK_PIXELS = 64, 1 << 21
+MEASURES = "width int, height int, blur_score double, brightness double, glare_ratio double"
+STRIDES = (8, 16, 32)
+DETECTOR_SIZE, CLASSIFIER_SIZE, FACE_SIZE = 256, 224, 640
+HALF = (0.5,) * 3
+PLAIN = {"mean": (0.0,) * 3, "std": (1.0,) * 3}
 
-QUALITY = "image_id bigint, width int, height int, blur_score double, brightness double, glare_ratio double, quad array<double>, quad_confidence double, error string"
 
+def _in_batches(images: DataFrame, ddl: str, work: Callable[[list[dict]], list], carry: tuple[str, ...]) -> DataFrame:
+    """The carried columns, those of ddl as work() gives them, a tuple or an exception for each row, and error.
 
-def _per_image(images: DataFrame, ddl: str, schema: pa.Schema, work: Callable[[dict], tuple]) -> DataFrame:
-    """work(row) for each image; a row that fails gives nulls and the error's text, as one bad frame must not end a job."""
-    empty = (None,) * (len(schema) - 2)
+    A row that fails gives nulls and the error's text, as one bad frame must not end a job.
+    """
+    own = StructType.fromDDL(ddl).fields
+    schema = StructType([*(sequences.nullable(images.schema[c]) for c in carry), *own, StructField("error", StringType())])
+    arrow = to_arrow_schema(schema)
+    kinds = [f.type for f in arrow][len(carry) : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                try:
-                    out.append((row["image_id"], *work(row), None))
-                except Exception as e:
-                    out.append((row["image_id"], *empty, f"{type(e).__name__}: {e}"))
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            for at in range(0, batch.num_rows, IMAGE_ROWS):
+                part = batch.slice(at, IMAGE_ROWS)
+                names = part.schema.names
+                found = work([dict(zip(names, v, strict=True)) for v in zip(*(c.to_pylist() for c in part.columns), strict=True)])
+                failed = [f"{type(x).__name__}: {x}" if isinstance(x, Exception) else None for x in found]
+                values = zip(*((None,) * len(kinds) if isinstance(x, Exception) else x for x in found), strict=True)
+                columns = [part.column(names.index(c)).cast(arrow.field(c).type) for c in carry]
+                columns += [pa.array(list(v), t) for v, t in zip(values, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(failed, pa.string())], schema=arrow)
+
+    return images.mapInArrow(run, schema)
 
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return images.mapInArrow(run, ddl)
+
+def _each(work: Callable[[dict], tuple]) -> Callable[[list[dict]], list]:
+    def one(row: dict):
+        try:
+            return work(row)
+        except Exception as e:
+            return e
+
+    return lambda rows: [one(row) for row in rows]
 
 
 def gray_of(row: dict) -> np.ndarray:
@@ -40,50 +70,86 @@ def gray_of(row: dict) -> np.ndarray:
     return pixels.downscale(pixels.oriented(gray, row["orientation"] or "up", bool(row["is_mirrored"])))
 
 
-def frame_quality(images: DataFrame, profile: str = "android") -> DataFrame:
-    """Blur, brightness, glare and the contour quad of each image of IMAGE_SCHEMA."""
-    schema = pa.schema([("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("blur_score", pa.float64()), ("brightness", pa.float64()), ("glare_ratio", pa.float64()), ("quad", pa.list_(pa.float64())), ("quad_confidence", pa.float64()), ("error", pa.string())])
+def color_of(row: dict) -> np.ndarray:
+    """The image as RGB, as gray_of() turns and scales it; a format without colour gives gray three times over."""
+    bgr = pixels.bgr_of(row["data"], row["width"], row["height"], row["row_stride"], row["pixel_format"])
+    if not bgr.size:
+        return np.repeat(gray_of(row)[..., None], 3, axis=2)
+    return pixels.downscale(pixels.oriented(bgr[..., ::-1], row["orientation"] or "up", bool(row["is_mirrored"])))
+
+
+def _measured(grays: list) -> list:
+    """Size, blur, brightness and glare of each gray image (exceptions stay); images of one size are measured in stacks."""
+    out, sizes = list(grays), {}
+    for i, gray in enumerate(grays):
+        if not isinstance(gray, Exception):
+            sizes.setdefault(gray.shape, []).append(i)
+    for (h, w), own in sizes.items():
+        step = max(1, STACK_PIXELS // max(1, h * w))
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            stack = np.stack([grays[i] for i in some])
+            for i, *m in zip(some, pixels.laplacian_variance(stack).tolist(), pixels.brightness(stack).tolist(), pixels.glare_ratio(stack).tolist(), strict=True):
+                out[i] = (w, h, *m)
+    return out
+
+
+def frame_quality(images: DataFrame, carry: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Size, blur, brightness and glare of each image of IMAGE_SCHEMA."""
+    grays = _each(gray_of)
+    return _in_batches(images, MEASURES, lambda rows: _measured(grays(rows)), carry)
+
+
+def contour_quads(images: DataFrame, profile: str = "android", carry: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """The contour quad of each image, null if there is none, and its confidence."""
 
     def work(row: dict) -> tuple:
-        gray = gray_of(row)
-        found = pixels.contour_quad(gray, profile)
-        quad, confidence = (found[0].ravel().tolist(), found[1]) if found else (None, 0.0)
-        return gray.shape[1], gray.shape[0], pixels.laplacian_variance(gray), pixels.brightness(gray), pixels.glare_ratio(gray), quad, confidence
+        found = pixels.contour_quad(gray_of(row), profile)
+        return (found[0].ravel().tolist(), float(found[1])) if found else (None, 0.0)
 
-    return _per_image(images, QUALITY, schema, work)
+    return _in_batches(images, "quad array<double>, quad_confidence double", _each(work), carry)
 
 
-def thumbnails(images: DataFrame, edge: int = pixels.MOTION_EDGE) -> DataFrame:
-    """Gray thumbnails for motion: image_id, width, height, gray."""
-    schema = pa.schema([("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("gray", pa.binary()), ("error", pa.string())])
+def thumbnails(images: DataFrame, edge: int = pixels.MOTION_EDGE, carry: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Gray thumbnails for motion: the carried columns, thumb_width, thumb_height, gray."""
 
     def work(row: dict) -> tuple:
         small = pixels.downscale(gray_of(row), edge)
         return small.shape[1], small.shape[0], small.tobytes()
 
-    return _per_image(images, "image_id bigint, width int, height int, gray binary, error string", schema, work)
+    return _in_batches(images, "thumb_width int, thumb_height int, gray binary", _each(work), carry)
 
 
-def rectified(photos: DataFrame) -> DataFrame:
-    """photos(image_id, content, quad array<double> of 8 or null): the warped image, encoded."""
-    schema = pa.schema([("image_id", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+def clamped(quad: np.ndarray, image: np.ndarray) -> np.ndarray:
+    return np.clip(quad, 0, np.array(image.shape[1::-1]) - 1)
 
-    def work(row: dict) -> tuple:
-        image = pixels.decode(row["content"])
-        return (pixels.encode(pixels.warp(image, np.array(row["quad"]).reshape(4, 2)) if row["quad"] else image),)
 
-    return _per_image(photos, "image_id bigint, content binary, error string", schema, work)
+def rectify(image: np.ndarray, quad, profile: str = "android") -> np.ndarray:
+    """The quad warped upright; ios clamps it first and leaves the image as it is if no more than 16 pixels are in it."""
+    if quad is None:
+        return image
+    q = np.array(quad, float).reshape(4, 2)
+    if profile == "ios":
+        q = clamped(q, image)
+        if pixels.polygon_area(q) <= 16:
+            return image
+    return pixels.warp(image, q)
+
+
+def rectified(photos: DataFrame, profile: str = "android") -> DataFrame:
+    """photos(image_id, content, quad array<double> of 8 or null): the warped image, encoded."""
+    work = lambda row: (pixels.encode(rectify(pixels.decode(row["content"]), row["quad"], profile)),)
+    return _in_batches(photos, "content binary", _each(work), ("image_id",))
 
 
 def text_lines(maps: DataFrame, profile: str = "android") -> DataFrame:
     """maps(image_id, height, width, prob array<float>, scale_x, scale_y): quads of text lines in reading order."""
-    schema = pa.schema([("image_id", pa.int64()), ("quads", pa.list_(pa.list_(pa.float64()))), ("error", pa.string())])
 
     def work(row: dict) -> tuple:
         prob = np.array(row["prob"], np.float32).reshape(row["height"], row["width"])
         return ([q.ravel().tolist() for q in pixels.text_boxes(prob, row["scale_x"], row["scale_y"], profile)],)
 
-    found = _per_image(maps, "image_id bigint, quads array<array<double>>, error string", schema, work)
+    found = _in_batches(maps, "quads array<array<double>>", _each(work), ("image_id",))
     return found.select("image_id", F.posexplode("quads").alias("line_idx", "quad"))
 
 
@@ -97,54 +163,260 @@ def session(version: str, content: bytes):
     return onnxruntime.InferenceSession(content, options, providers=["CPUExecutionProvider"])
 
 
-def onnx_model(version: str, content: bytes) -> Callable[[np.ndarray], list[np.ndarray]]:
-    """A model from ONNX bytes; the session is made on the worker at its first call."""
+def close_sessions() -> None:
+    """Drops the sessions of this process; a worker's go when it ends, or when newer versions push them out."""
+    session.cache_clear()
+
+
+def onnx_model(version: str, content: bytes, named: bool = False) -> Model:
+    """A model from ONNX bytes; the session is made on the worker at its first call. named: outputs as a dict."""
 
-    def run(x: np.ndarray) -> list[np.ndarray]:
+    def run(x: np.ndarray):
         own = session(version, content)
-        return own.run(None, {own.get_inputs()[0].name: x})
+        out = own.run(None, {own.get_inputs()[0].name: x})
+        return {o.name: v for o, v in zip(own.get_outputs(), out, strict=True)} if named else out
 
     return run
 
 
-def infer(images: DataFrame, model: Callable[[np.ndarray], list[np.ndarray]], size: int, raw: bool = False, output: int = 0) -> DataFrame:
+def static_size(shape: list, height: int, width: int) -> tuple[int, int]:
+    """Input height and width that a model declares, or the defaults where it leaves them open."""
+    fixed = [n if isinstance(n, int) and n > 0 else None for n in [*shape, None, None, None, None][2:4]]
+    return fixed[0] or height, fixed[1] or width
+
+
+def input_size(version: str, content: bytes, height: int, width: int) -> tuple[int, int]:
+    return static_size(session(version, content).get_inputs()[0].shape, height, width)
+
+
+REQUIRED, OPTIONAL = ("detector", "text_detector", "text_direction", "text_recogniser"), ("face_detector", "classifier")
+
+
+def load_models(read: Callable[[str], bytes], paths: Mapping[str, str], make: Callable[[str, bytes], Model] = onnx_model) -> dict[str, Model | None]:
+    """All models of a pack at once: a required one that is missing is an error, an optional one is None.
+
+    The pack replaces the one before only when it is complete, as its caller gets a new dict or an error.
+    """
+    out: dict[str, Model | None] = {}
+    for name in (*REQUIRED, *OPTIONAL):
+        try:
+            path = paths.get(name)
+            if not path:
+                raise FileNotFoundError(f"no path for the model {name}")
+            out[name] = make(path, read(path))
+        except Exception:
+            if name in REQUIRED:
+                raise
+            out[name] = None
+    return out
+
+
+def infer(images: DataFrame, model: Model, size: int, raw: bool = False, output: int = 0, color: bool = False) -> DataFrame:
     """Each image squashed to size x size through the model: image_id, shape, data, scale_x, scale_y, error.
 
-    model takes a 1x3xHxW array; any callable will do, so tests and users plug in their own.
+    Gray is repeated to three channels unless color is asked for.
     """
-    schema = pa.schema([("image_id", pa.int64()), ("shape", pa.list_(pa.int32())), ("data", pa.list_(pa.float32())), ("scale_x", pa.float64()), ("scale_y", pa.float64()), ("error", pa.string())])
 
     def work(row: dict) -> tuple:
-        image, sx, sy = pixels.squash(gray_of(row), size)
+        image, sx, sy = pixels.squash(color_of(row) if color else gray_of(row), size)
         found = model(pixels.tensor(image, raw=raw))[output]
-        return list(found.shape), found.ravel().astype(np.float32), sx, sy
+        return list(found.shape), found.ravel().astype(np.float32).tolist(), sx, sy
+
+    return _in_batches(images, "shape array<int>, data array<float>, scale_x double, scale_y double", _each(work), ("image_id",))
+
+
+_DETECTED = f"{MEASURES}, thumb_width int, thumb_height int, gray binary, shape array<int>, data array<float>, contour array<double>, contour_confidence double"
 
-    return _per_image(images, "image_id bigint, shape array<int>, data array<float>, scale_x double, scale_y double, error string", schema, work)
 
+def detect(images: DataFrame, model: Model | None, size: int = DETECTOR_SIZE, profile: str = "android", carry: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Carried columns, measures, thumbnail, quad (struct, in pixels of the working image) and confidence of each image.
+
+    One pass over the pixels: the model runs once an image, and the contours where it fails or its output has no known
+    shape. Either quad is decoded by native columns.
+    """
+
+    def found(gray: np.ndarray, image: np.ndarray) -> tuple:
+        small = pixels.downscale(gray, pixels.MOTION_EDGE)
+        thumb = (small.shape[1], small.shape[0], small.tobytes())
+        if model is not None:
+            try:
+                out = model(pixels.tensor(pixels.squash(image, size)[0], **PLAIN))[0]
+                if frames.known_shape(out.shape):
+                    return (*thumb, list(out.shape), out.ravel().astype(np.float32).tolist(), None, None)
+            except Exception:  # noqa: S110  a detector that fails is one that found nothing
+                pass
+        contour = pixels.contour_quad(gray, profile)
+        return (*thumb, None, None, *((contour[0].ravel().tolist(), float(contour[1])) if contour else (None, None)))
+
+    def work(rows: list[dict]) -> list:
+        grays = _each(gray_of)(rows)
+        rest = _each(lambda x: x[1] if isinstance(x[1], Exception) else found(x[1], color_of(x[0]) if profile == "ios" else x[1]))(list(zip(rows, grays, strict=True)))
+        return [b if isinstance(b, Exception) else (*a, *b) for a, b in zip(_measured(grays), rest, strict=True)]
+
+    own = _in_batches(images, _DETECTED, work, carry)
+    corner = frames.corner_output(F.col("shape"), F.col("data"), F.col("width"), F.col("height"), size, profile)
+    own = own.withColumn("corner", corner)
+    by_contour = geometry.quad_of([geometry.point(F.get("contour", F.lit(2 * k)), F.get("contour", F.lit(2 * k + 1))) for k in range(4)])
+    quad = F.coalesce("corner.quad", F.when(F.col("contour").isNotNull(), by_contour))
+    confidence = F.coalesce("corner.confidence", "contour_confidence", F.lit(0.0))
+    return own.withColumns({"quad": quad, "confidence": confidence}).drop("shape", "data", "corner", "contour", "contour_confidence")
+
+
+def classify_documents(images: DataFrame, model: Model, size: int = CLASSIFIER_SIZE, carry: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """images with quad_at (array<double> of 8 or null): logits of the part of each image in its quad, null without one."""
+
+    def work(row: dict) -> tuple:
+        if row["quad_at"] is None:
+            return (None,)
+        crop = pixels.warp(gray_of(row), np.array(row["quad_at"]).reshape(4, 2))
+        return (model(pixels.tensor(pixels.squash(crop, size)[0]))[0].ravel().astype(np.float32).tolist(),)
+
+    return _in_batches(images, "logits array<float>", _each(work), carry)
+
+
+_IMAGE = ("width", "height", "row_stride", "pixel_format", "orientation", "is_mirrored", "data")
+_KEYS = ("session_id", "event_id", "timestamp_ms")
 
-def detect(images: DataFrame, model: Callable | None, size: int = 256, profile: str = "android") -> DataFrame:
-    """image_id, data (model output, null if it gave none), quad from contours where there is no model output.
 
-    The fallback runs over the rows without output alone, by a filter before it: a CASE would not keep Python from
-    being called for all rows.
+def document_frames(images: DataFrame, detector: Model | None, classifier: Model | None = None, size: int = DETECTOR_SIZE, profile: str = "android") -> DataFrame:
+    """Frame rows of camera images (IMAGE_SCHEMA with session_id, event_id, timestamp_ms): detection, type, measures, motion.
+
+    Images are not shuffled; only thumbnails and decoded values are, by session, for motion. A frame that fails gives
+    the empty row. The classifier runs for frames with a quad alone and counts from a confidence of 0.6.
+    """
+    given = images.select(*_KEYS, *_IMAGE, *[F.col(c).alias(f"buffer_{c}") for c in _IMAGE] if classifier else [])
+    own = detect(given, detector, size, profile, carry=(*_KEYS, *[c for c in given.columns if c.startswith("buffer_")]))
+    own = own.withColumn("found", F.col("quad").isNotNull() & ((F.col("confidence") > 0) if profile == "ios" else F.lit(True)))
+    kept = [*_KEYS, "width", "height", "blur_score", "brightness", "glare_ratio", "thumb_width", "thumb_height", "gray", "quad", "confidence", "found"]
+    if classifier:
+        at = F.when(F.col("found"), F.array(*[p[k] for p in geometry.corners(F.col("quad")) for k in "xy"]))
+        buffers = own.select(*kept[:3], *[F.col(c).alias(f"own_{c}") for c in kept[3:]], *[F.col(f"buffer_{c}").alias(c) for c in _IMAGE], at.alias("quad_at"))
+        own = classify_documents(buffers, classifier, carry=tuple(buffers.columns[: len(kept)])).toDF(*kept, "logits", "error")
+        kind = F.coalesce(tensors.classify(F.col("logits"))["trusted"], F.lit("GENERIC"))
+        own = own.withColumn("document_type", F.when(F.col("found"), kind).otherwise("GENERIC"))
+    else:
+        own = own.withColumn("document_type", F.lit("GENERIC"))
+    moved = sequences.motion(own.drop("error"), keep=tuple(c for c in own.columns if c not in ("error", "gray", "thumb_width", "thumb_height")))
+    return frames.document_row(moved.withColumnsRenamed({"found": "detected", "width": "frame_width", "height": "frame_height"}))
+
+
+def faces_of(images: DataFrame, model: Callable[[np.ndarray], Mapping[str, np.ndarray]], size: int = FACE_SIZE, least: float = 0.7, carry: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Carried columns, measures, thumbnail and cells: the raw values of the grid cells whose score reaches ``least``.
+
+    The model gives cls_s, obj_s, bbox_s and kps_s for each stride s of 8, 16, 32. Few cells pass, so only those leave Python.
     """
-    fallback = lambda rows: frame_quality(rows, profile).select("image_id", F.lit(None).cast("array<float>").alias("data"), "quad")
-    if model is None:
-        return fallback(images)
-    found = infer(images, model, size).select("image_id", "data")
-    good = found.where("data is not null").select("image_id", "data", F.lit(None).cast("array<double>").alias("quad"))
-    missing = images.join(found.where("data is null").select("image_id"), "image_id", "left_semi")
-    return good.unionByName(fallback(missing))
+    cell = "struct<cls:double,obj:double,bbox:array<double>,kps:array<double>,grid_row:int,grid_col:int,stride:int>"
+
+    def cells(gray: np.ndarray) -> list[dict]:
+        out = model(pixels.tensor(pixels.squash(gray, size)[0], raw=True))
+        found = []
+        for stride in STRIDES:
+            columns = size // stride
+            cls, obj, bbox, kps = (np.asarray(out[f"{n}_{stride}"], np.float64).reshape(columns * columns, -1) for n in ("cls", "obj", "bbox", "kps"))
+            score = np.sqrt(np.clip(cls[:, 0], 0, 1) * np.clip(obj[:, 0], 0, 1))
+            for k in np.flatnonzero(score >= least).tolist():
+                found.append({"cls": cls[k, 0], "obj": obj[k, 0], "bbox": bbox[k].tolist(), "kps": kps[k].tolist(), "grid_row": k // columns, "grid_col": k % columns, "stride": stride})
+        return found
+
+    def one(gray) -> tuple:
+        small = pixels.downscale(gray, pixels.MOTION_EDGE)
+        try:
+            found = cells(gray)
+        except Exception:
+            found = []
+        return small.shape[1], small.shape[0], small.tobytes(), found
+
+    def work(rows: list[dict]) -> list:
+        grays = _each(gray_of)(rows)
+        return [g if isinstance(g, Exception) else (*m, *one(g)) for m, g in zip(_measured(grays), grays, strict=True)]
+
+    return _in_batches(images, f"{MEASURES}, thumb_width int, thumb_height int, gray binary, cells array<{cell}>", work, carry)
+
 
+def face_frames(images: DataFrame, model: Callable | None, size: int = FACE_SIZE) -> DataFrame:
+    """Face frame rows of camera images: the best face that survives suppression, measures, motion. See document_frames()."""
+    empty = {f"{n}_{s}": np.zeros(((size // s) ** 2, k)) for s in STRIDES for n, k in (("cls", 1), ("obj", 1), ("bbox", 4), ("kps", 10))}
+    own = faces_of(images.select(*_KEYS, *_IMAGE), model or (lambda x: empty), size, carry=_KEYS)
+    decoded = F.transform("cells", lambda c: tensors.face_cell(c["cls"], c["obj"], c["bbox"], c["kps"], c["grid_row"], c["grid_col"], c["stride"]))
+    own = own.withColumn("best", tensors.best_face(decoded))
+    own = own.withColumn("face", frames.face_output(F.col("best"), F.col("width"), F.col("height"), size)).drop("cells", "best", "error")
+    moved = sequences.motion(own, keep=tuple(c for c in own.columns if c not in ("gray", "thumb_width", "thumb_height")))
+    return frames.face_row(moved.withColumnsRenamed({"width": "frame_width", "height": "frame_height"}))
 
-def upright(crops: DataFrame, model: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """Turns a crop by 180 degrees where class 1 beats class 0: image_id, content."""
-    schema = pa.schema([("image_id", pa.int64()), ("content", pa.binary()), ("turned", pa.bool_()), ("error", pa.string())])
+
+_BEST = "array<struct<k:int,p:double>>"
+
+
+def best_classes(steps: np.ndarray) -> list[dict]:
+    """First largest class of each step and its softmax probability."""
+    k = steps.argmax(axis=1)
+    p = 1 / np.exp(steps - steps.max(axis=1, keepdims=True)).sum(axis=1)
+    return [{"k": int(a), "p": float(b)} for a, b in zip(k, p, strict=True)]
+
+
+def recognised(crop: np.ndarray, model: Model, height: int = 48, most: int = 2000) -> tuple[list[dict], int]:
+    """Best class of each step of a line, and the number of classes."""
+    width = int(np.clip(int(height * crop.shape[1] / max(1, crop.shape[0])), 1, most))
+    out = model(pixels.tensor(pixels.bilinear(crop, width, height), HALF, HALF))[0]
+    return (best_classes(out[0].astype(np.float64)), out.shape[2]) if out.ndim == 3 else ([], 0)
+
+
+def turned_upright(crop: np.ndarray, model: Model) -> tuple[np.ndarray, bool]:
+    """The crop, by 180 degrees where class 1 beats class 0."""
+    scores = np.ravel(model(pixels.tensor(pixels.bilinear(crop, 192, 48), HALF, HALF))[0])
+    turned = len(scores) > 1 and bool(scores[1] > scores[0])
+    return (np.ascontiguousarray(crop[::-1, ::-1]) if turned else crop), turned
+
+
+def upright(crops: DataFrame, model: Model) -> DataFrame:
+    """Turns a crop by 180 degrees where class 1 beats class 0: image_id, content, turned."""
 
     def work(row: dict) -> tuple:
-        image = pixels.decode(row["content"])
-        scores = model(pixels.tensor(pixels.bilinear(image, 192, 48), (0.5,) * 3, (0.5,) * 3))[0].ravel()
-        turned = bool(scores[1] > scores[0])
-        return pixels.encode(np.ascontiguousarray(image[::-1, ::-1]) if turned else image), turned
+        image, turned = turned_upright(pixels.decode(row["content"]), model)
+        return pixels.encode(image), turned
+
+    return _in_batches(crops, "content binary, turned boolean", _each(work), ("image_id",))
+
+
+def capture_texts(photos: DataFrame, models: Mapping[str, Model | None], charset: list[str], profile: str = "android") -> DataFrame:
+    """OCR rows of photos(capture_id, document_type, content, quad array<double> or null): lines, text, confidence, image.
 
-    return _per_image(crops, "image_id bigint, content binary, turned boolean, error string", schema, work)
+    Rectified by the quad, searched for text lines in reading order; each line is cut out, turned upright and recognised.
+    A line's box and text stay together in one struct. Photos are not shuffled. A photo that cannot be read gives its
+    error; one whose text search fails has no lines. Needs text_detector, text_direction, text_recogniser and a charset.
+    """
+    missing = [n for n in REQUIRED[1:] if models.get(n) is None]
+    if missing:
+        raise ValueError(f"load the models {', '.join(missing)} before photos are read")
+    if not charset:
+        raise ValueError("the charset is empty; load it before photos are read")
+    search, direction, recogniser = (models[n] for n in REQUIRED[1:])
+
+    def boxes(image: np.ndarray) -> list[np.ndarray]:
+        try:
+            given, sx, sy = pixels.text_input(image, profile=profile)
+            return pixels.text_boxes(np.asarray(search(pixels.tensor(given))[0]).reshape(given.shape[:2]), sx, sy, profile)
+        except Exception:
+            return []
+
+    def work(row: dict) -> tuple:
+        image = rectify(pixels.decode(row["content"]), row["quad"], profile)
+        lines = []
+        for quad in boxes(image):
+            crop, _ = turned_upright(pixels.text_crop(image, quad, profile), direction)
+            steps, classes = recognised(crop, recogniser)
+            low, high = np.clip(quad.min(axis=0), 0, image.shape[1::-1]), np.clip(quad.max(axis=0), 0, image.shape[1::-1])
+            box = np.concatenate([low, high - low]) / np.tile(image.shape[1::-1], 2)
+            lines.append({"steps": steps, "classes": classes, **dict(zip(("x", "y", "width", "height"), box.tolist(), strict=True))})
+        return lines, pixels.encode(image) if row["quad"] is not None else None
+
+    line = f"struct<steps:{_BEST},classes:int,x:double,y:double,width:double,height:double>"
+    own = _in_batches(photos, f"raw array<{line}>, rectified binary", _each(work), ("capture_id", "document_type"))
+    symbols = F.array(*map(F.lit, charset))
+
+    def spelled(r: Column) -> Column:
+        read = tensors.collapsed(r["steps"], symbols, r["classes"])
+        return F.struct(read["text"].alias("text"), read["confidence"].alias("confidence"), *[r[k].alias(k) for k in ("x", "y", "width", "height")])
+
+    own = own.withColumn("lines", F.transform(F.coalesce("raw", F.array().cast(f"array<{line}>")), spelled)).drop("raw")
+    return frames.with_full_text(own.withColumn("lines", frames.readable(F.col("lines"), profile)))

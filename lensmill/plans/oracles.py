@@ -272,15 +272,15 @@ SQL = {
     "id_parse": f"WITH {ID_CTES} SELECT capture_id, id_number <> '' OR full_name <> '' AS ok, full_name, id_number, date_of_birth, expiry_date, address, '' AS nationality FROM idc",
     "extract_document": f"""WITH {LIC_CTES}, {ID_CTES}, {MRZ_CTES},
 z AS (SELECT m.*, CASE WHEN c_custkey % 13 = 0 THEN 'GENERIC' WHEN c_custkey % 2 = 0 THEN 'VISA' ELSE 'PASSPORT' END AS t, c_custkey % 17 = 0 AS blank FROM mrz m)
-SELECT capture_id, licence_number <> '' OR full_name <> '' AS success, 'null' AS mrz_valid, 'DRIVING_LICENCE' AS document_type, full_name AS name, licence_number AS document_number, date_of_birth AS dob, expiry_date AS expiry, 'United Kingdom' AS nationality, address, '' AS mrz, {r6("confidence")} AS confidence FROM lic WHERE capture_id % 5 = 0
-UNION ALL SELECT capture_id, id_number <> '' OR full_name <> '', 'null', 'RESIDENCE_PERMIT', full_name, id_number, date_of_birth, expiry_date, '', address, '', {r6("confidence")} FROM idc WHERE capture_id % 5 = 1
+SELECT 2 * capture_id AS capture_id, licence_number <> '' OR full_name <> '' AS success, 'null' AS mrz_valid, 'DRIVING_LICENCE' AS document_type, full_name AS name, licence_number AS document_number, date_of_birth AS dob, expiry_date AS expiry, 'United Kingdom' AS nationality, address, '' AS mrz, {r6("confidence")} AS confidence FROM lic
+UNION ALL SELECT 2 * capture_id + 1, id_number <> '' OR full_name <> '', 'null', 'RESIDENCE_PERMIT', full_name, id_number, date_of_birth, expiry_date, '', address, '', {r6("confidence")} FROM idc
 UNION ALL SELECT -c_custkey, CASE WHEN blank OR t = 'GENERIC' THEN FALSE ELSE ok END, CASE WHEN blank OR t = 'GENERIC' OR NOT ok THEN 'null' WHEN valid_checks = 3 THEN 'true' ELSE 'false' END, t,
   CASE WHEN blank OR t = 'GENERIC' THEN '' ELSE trim(first_name || ' ' || last_name) END, CASE WHEN blank OR t = 'GENERIC' THEN '' WHEN kind = 'visa' THEN visa_number ELSE document_number END, CASE WHEN blank OR t = 'GENERIC' THEN '' ELSE date_of_birth END,
   CASE WHEN blank OR t = 'GENERIC' THEN '' WHEN kind = 'visa' THEN visa_expiry_date ELSE expiry_date END, CASE WHEN blank OR t = 'GENERIC' THEN '' ELSE nationality END, '', CASE WHEN blank OR t = 'GENERIC' THEN '' ELSE mrz_raw END, CASE WHEN blank THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END FROM z""",
     "throttle": f"WITH RECURSIVE raw AS (SELECT session_id, event_id, timestamp_ms FROM ({fixtures.FRAMES_SQL})), walk AS (SELECT session_id, min(timestamp_ms) AS t FROM raw WHERE timestamp_ms >= 66 GROUP BY session_id UNION ALL SELECT w.session_id, (SELECT min(r.timestamp_ms) FROM raw r WHERE r.session_id = w.session_id AND r.timestamp_ms >= w.t + 66) AS t FROM walk w WHERE w.t IS NOT NULL) SELECT r.session_id, r.event_id, r.timestamp_ms FROM raw r JOIN walk w ON r.session_id = w.session_id AND r.timestamp_ms = w.t",
     "stability_gate": f"{FLAGGED}, runs AS (SELECT session_id, event_id, timestamp_ms, is_valid, max(CASE WHEN NOT is_valid THEN timestamp_ms ELSE 0 END) OVER (PARTITION BY session_id ORDER BY timestamp_ms) AS broken FROM coded), since AS (SELECT *, min(CASE WHEN is_valid THEN timestamp_ms END) OVER (PARTITION BY session_id, broken) AS s FROM runs), shots AS (SELECT *, min(CASE WHEN is_valid AND timestamp_ms - s >= 1000 THEN timestamp_ms END) OVER (PARTITION BY session_id) AS shot FROM since) SELECT session_id, event_id, CASE WHEN coalesce(timestamp_ms >= shot, FALSE) THEN 'capturing' WHEN is_valid THEN 'stabilizing' ELSE 'idle' END AS stage, {r6('CASE WHEN coalesce(timestamp_ms >= shot, FALSE) THEN 1 WHEN is_valid THEN least(1.0::DOUBLE, (timestamp_ms - s) / 1000.0::DOUBLE) ELSE 0 END')} AS stability_progress, coalesce(shot, -1) AS captured_at FROM shots",
     "latest_state": f"{FLAGGED} SELECT session_id, timestamp_ms, event_id, code, is_valid, frame_width, frame_height, n_frames FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n_frames, row_number() OVER (PARTITION BY session_id ORDER BY timestamp_ms DESC) AS r FROM coded) WHERE r = 1",
-    "asof_quad": f"WITH raw AS ({fixtures.FRAMES_SQL}), shots AS (SELECT session_id, event_id AS capture_id, timestamp_ms - event_id % 120 AS timestamp_ms FROM raw WHERE event_id % 7 = 0), seen AS (SELECT session_id, timestamp_ms AS frame_ms, CASE WHEN detected THEN tl_x END AS q FROM raw WHERE event_id % 3 > 0) SELECT s.session_id, capture_id, timestamp_ms, coalesce(frame_ms, -1) AS frame_ms, coalesce(q, -1) AS tl_x FROM shots s ASOF LEFT JOIN seen f ON s.session_id = f.session_id AND s.timestamp_ms >= f.frame_ms",
+    "asof_quad": f"WITH raw AS ({fixtures.FRAMES_SQL}), shots AS (SELECT session_id, event_id AS capture_id, timestamp_ms - event_id % 120 AS timestamp_ms FROM raw), seen AS (SELECT session_id, timestamp_ms AS frame_ms, CASE WHEN detected THEN tl_x END AS q FROM raw) SELECT s.session_id, capture_id, timestamp_ms, coalesce(frame_ms, -1) AS frame_ms, coalesce(q, -1) AS tl_x FROM shots s ASOF LEFT JOIN seen f ON s.session_id = f.session_id AND s.timestamp_ms >= f.frame_ms",
     "heatmap_decode": f"{VEC}, h AS (SELECT vec_id, e, {', '.join(f'{heat(c)[0]} AS x{c}, {heat(c)[1]} AS y{c}, {heat(c)[2]} AS p{c}' for c in range(4))} FROM v) SELECT vec_id, {', '.join(f'x{c}, y{c}' for c in range(4))}, {r6('(p0 + p1 + p2 + p3) / 4')} AS confidence, {', '.join(r6(f'CASE WHEN e[{i + 1}] BETWEEN -0.01::DOUBLE AND 1.01::DOUBLE THEN e[{i + 1}] * 256 ELSE e[{i + 1}] END') + f' AS direct_{i}' for i in range(8))}, {', '.join(r6(f'greatest(0, least(1000, x{c} / 0.256::DOUBLE))') + f' AS frame_x{c}, ' + r6(f'greatest(0, least(800, y{c} / 0.32::DOUBLE))') + f' AS frame_y{c}' for c in range(4))} FROM h",
     "class_softmax": f"{VEC}, l AS (SELECT vec_id, list_transform(e[1:6], lambda x: x * 8) AS a FROM v), s AS (SELECT vec_id, ['PASSPORT', 'DRIVING_LICENCE', 'ID_CARD', 'RESIDENCE_PERMIT', 'VISA', 'GENERIC'][list_position(a, list_max(a))] AS label, 1 / ({' + '.join(f'exp(a[{i}] - list_max(a))' for i in range(1, 7))}) AS p FROM l) SELECT vec_id, label, {r6('p')} AS confidence, CASE WHEN p >= 0.6::DOUBLE THEN label ELSE 'GENERIC' END AS trusted FROM s",
     "ctc_decode": f"{VEC}, steps AS (SELECT vec_id, t, e[t * 8 + 1 : t * 8 + 8] AS a FROM v, range(8) r(t)), best AS (SELECT vec_id, t, list_position(a, list_max(a)) - 1 AS k, 1 / ({' + '.join(f'exp(a[{i}] - list_max(a))' for i in range(1, 9))}) AS p FROM steps), fresh AS (SELECT *, lag(k) OVER (PARTITION BY vec_id ORDER BY t) AS before FROM best), kept AS (SELECT * FROM fresh WHERE k <> 0 AND k IS DISTINCT FROM before) SELECT v.vec_id, coalesce(string_agg(['A', 'B', 'C', 'D', 'E', 'F', ' '][k], '' ORDER BY t), '') AS text, {r6('coalesce(avg(p), 0)')} AS confidence FROM v LEFT JOIN kept USING (vec_id) GROUP BY v.vec_id",
@@ -311,6 +311,36 @@ changed AS (SELECT *, lag(stage, 1, 'idle') OVER (PARTITION BY session_id ORDER
 SELECT session_id, timestamp_ms, stage, {r6("CASE WHEN is_valid THEN least(1.0::DOUBLE, (timestamp_ms - s) / 1000.0::DOUBLE) ELSE 0 END")} AS stability_progress FROM changed WHERE stage <> before"""
 )
 SQL["stream_throttle_gate"] = SQL["capture_replay"]
+SQL["capture_replay_face"] = SQL["capture_replay"].replace("timestamp_ms - s >= 1000", "timestamp_ms - s >= 600").replace("/ 1000.0::DOUBLE", "/ 600.0::DOUBLE")
+
+QUALITY, MOTION = SQL["pix_quality"], SQL["pix_motion"]
+_SCANNED = f"FROM ({QUALITY}) q JOIN ({MOTION}) m ON q.image_id = m.event_id"
+SQL["scan_frames"] = f"""SELECT session_id, event_id, TRUE AS detected, 'VISA' AS document_type, 16.0::DOUBLE AS frame_width, 12.0::DOUBLE AS frame_height, 0.7::DOUBLE AS confidence, blur_score, brightness, glare_ratio, motion_score,
+  0.4::DOUBLE AS distance_ratio, 0.0::DOUBLE AS perspective_skew_deg, 0.0::DOUBLE AS out_of_frame_ratio, 1.6::DOUBLE AS topleft_x, 3.0::DOUBLE AS topleft_y, 14.4::DOUBLE AS bottomright_x, 9.0::DOUBLE AS bottomright_y {_SCANNED}"""
+SQL["scan_frames_heatmap"] = """SELECT user_id AS session_id, event_id, TRUE AS detected, 'GENERIC' AS document_type, 16.0::DOUBLE AS frame_width, 12.0::DOUBLE AS frame_height, 0.65::DOUBLE AS confidence,
+  2.0::DOUBLE AS topleft_x, 1.5::DOUBLE AS topleft_y, 14.0::DOUBLE AS topright_x, 1.5::DOUBLE AS topright_y, 14.0::DOUBLE AS bottomright_x, 10.5::DOUBLE AS bottomright_y, 2.0::DOUBLE AS bottomleft_x, 10.5::DOUBLE AS bottomleft_y FROM events"""
+#: Cell (3, 4) of stride 8 at 64 x 64: centre (36, 28), size 16; 4 and 16 / 3 model pixels are one of the frame.
+SQL["scan_faces"] = f"""SELECT session_id, event_id, TRUE AS detected, 16.0::DOUBLE AS frame_width, 12.0::DOUBLE AS frame_height, 0.9::DOUBLE AS confidence, blur_score, brightness, glare_ratio, motion_score,
+  7.0::DOUBLE AS box_x, 3.75::DOUBLE AS box_y, 4.0::DOUBLE AS box_width, 3.0::DOUBLE AS box_height, 8.0::DOUBLE AS right_eye_x, {r6("(0.9::DOUBLE + 3) * 8 * 12 / 64")} AS mouth_y {_SCANNED}"""
+SQL["read_captures"] = f"""SELECT o_orderkey AS capture_id, 'ID_CARD' AS document_type, substr('ABCDEFG', CAST(1 + (o_orderkey % 8 * 30 + 10) // 30 % 7 AS INT), 1) || ' B' AS text, 1 AS n_lines, {r6("1 / (1 + 8 * exp(-5.0::DOUBLE))")} AS confidence,
+  0.0::DOUBLE AS x, 0.184375::DOUBLE AS y, 1.0::DOUBLE AS width, 0.35::DOUBLE AS height, o_orderkey % 2 = 0 AS has_rectified, '' AS error FROM orders"""
+SQL["shown_labels"] = f"SELECT event_id, CASE document_type WHEN 'PASSPORT' THEN 'Passport' WHEN 'VISA' THEN 'Visa' WHEN 'ID_CARD' THEN 'ID Card' ELSE 'Document' END AS label, CAST(floor(confidence * 100 + 0.5::DOUBLE) AS BIGINT) AS percent FROM ({fixtures.FRAMES_SQL}) WHERE detected"
+
+
+def _turned(x: str, y: str) -> tuple[str, str]:
+    """A point of a 720 x 1280 buffer turned by its event's orientation, then mirrored."""
+    k = "event_id % 4"
+    tx = f"CASE {k} WHEN 1 THEN 1280 - {y} WHEN 3 THEN {y} WHEN 2 THEN 720 - {x} ELSE {x} END"
+    ty = f"CASE {k} WHEN 1 THEN {x} WHEN 3 THEN 720 - {x} WHEN 2 THEN 1280 - {y} ELSE {y} END"
+    return f"CAST(CASE WHEN event_id % 3 = 0 THEN (CASE WHEN {k} % 2 = 1 THEN 1280 ELSE 720 END) - ({tx}) ELSE {tx} END AS DOUBLE)", f"CAST({ty} AS DOUBLE)"
+
+
+_EYES = [f"{v} AS {eye}eye_{k}" for eye in ("right", "left") for k, v in zip("xy", _turned(f"{eye}_x", f"{eye}_y"), strict=True)]
+SQL["g_landmark_orientation"] = f"SELECT event_id, {', '.join(_EYES)} FROM ({fixtures.FACE_FRAMES_SQL}) WHERE detected"
+SQL["model_version"] = f"""{REG}, steps AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+spelled AS (SELECT id, hex(encode(label)) AS h, tab FROM latest CROSS JOIN steps)
+SELECT id, id || '@' || lower(format('{{:x}}', xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1]))))) AS version FROM spelled"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensmill.functions import documents, geometry, guidance, mrz, tensors
+from lensmill.functions import frames as rows
 from lensmill.operators import registry, sequences, vision
 from lensmill.plans import fixtures
 from lensmill.plans.fixtures import projected, table
@@ -27,17 +29,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw frames mapped to the nested row: quad null where nothing is detected, type coerced, ratios computed."""
     raw = projected(spark, sf_dir, fixtures.FRAMES_SQL)
     quad = geometry.quad_of([geometry.point(F.col(f"{c}_x"), F.col(f"{c}_y")) for c in ("tl", "tr", "br", "bl")])
-    own = raw.withColumn("raw_quad", quad).withColumn("quad", F.when(F.col("detected"), F.col("raw_quad")))
-    q, w, h = F.col("raw_quad"), F.col("frame_width"), F.col("frame_height")
-    return own.withColumns(
-        {
-            "bounding_box": F.when(F.col("quad").isNotNull(), geometry.corner_box(F.col("quad"))),
-            "document_type": F.when(F.col("document_type").isin(*guidance.DOCUMENT_TYPES), F.col("document_type")).otherwise("GENERIC"),
-            "distance_ratio": geometry.distance_ratio(q, w, h),
-            "perspective_skew_deg": geometry.perspective_skew_deg(q),
-            "out_of_frame_ratio": geometry.out_of_frame_ratio(q, w, h),
-        }
-    )
+    return rows.document_row(raw.withColumn("quad", quad))
 
 
 def face_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +38,7 @@ def face_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = geometry.box_of(c("box_x"), c("box_y"), c("box_w"), c("box_h"))
     middle = geometry.point((c("right_x") + c("left_x")) / 2, c("right_y") + 60)
     marks = F.struct(geometry.point(c("right_x"), c("right_y")).alias("rightEye"), geometry.point(c("left_x"), c("left_y")).alias("leftEye"), middle.alias("noseTip"), middle.alias("rightMouthCorner"), middle.alias("leftMouthCorner"))
-    return raw.withColumns({"box": F.when(c("detected"), box), "landmarks": F.when(c("detected"), marks)})
+    return rows.face_row(raw.withColumn("face", F.when(c("detected"), F.struct(box.alias("box"), marks.alias("landmarks"), c("confidence").alias("confidence")))))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,13 +145,7 @@ def mrz_parse(spark, sf_dir):
 
 def captures(spark, sf_dir, sql: str, kind: str) -> DataFrame:
     """capture_id, document_type, text, lines, confidence from one row a line; a capture's lines are few."""
-    lines = projected(spark, sf_dir, sql).where(F.trim("text") != "")
-    own = F.sort_array(F.collect_list(F.struct((F.col("y") + F.col("height") / 2).alias("yc"), "x", "text", "confidence", "y", "width", "height")))
-    rows = lines.groupBy("capture_id").agg(own.alias("o"))
-    item = F.transform("o", lambda l: F.struct(l["text"].alias("text"), l["confidence"].alias("confidence"), l["x"].alias("x"), l["y"].alias("y"), l["width"].alias("width"), l["height"].alias("height")))
-    rows = rows.select("capture_id", F.lit(kind).alias("document_type"), item.alias("lines"))
-    mean = F.when(F.size("lines") > 0, F.aggregate("lines", F.lit(0.0), lambda a, l: a + l["confidence"]) / F.size("lines")).otherwise(0.0)
-    return rows.withColumns({"text": F.array_join(F.transform("lines", lambda l: l["text"]), "\n"), "confidence": mean})
+    return rows.captures_of(projected(spark, sf_dir, sql), F.lit(kind))
 
 
 def ocr_fulltext(spark, sf_dir):
@@ -183,9 +169,10 @@ def id_parse(spark, sf_dir):
 
 
 def extract_document(spark, sf_dir):
-    """Captures of all types through the dispatcher, as rows and as JSON."""
-    licences = captures(spark, sf_dir, fixtures.LICENCE_LINES_SQL, "DRIVING_LICENCE").where("capture_id % 5 = 0")
-    cards = captures(spark, sf_dir, fixtures.CARD_LINES_SQL, "RESIDENCE_PERMIT").where("capture_id % 5 = 1")
+    """All captures of all types through the dispatcher; those of cards have odd ids, of licences even ones, of zones negative ones."""
+    numbered = lambda own, k: own.withColumn("capture_id", 2 * F.col("capture_id") + k)
+    licences = numbered(captures(spark, sf_dir, fixtures.LICENCE_LINES_SQL, "DRIVING_LICENCE"), 0)
+    cards = numbered(captures(spark, sf_dir, fixtures.CARD_LINES_SQL, "RESIDENCE_PERMIT"), 1)
     zones = projected(spark, sf_dir, fixtures.MRZ_SQL)
     kind = F.when(F.col("c_custkey") % 13 == 0, "GENERIC").when(F.col("c_custkey") % 2 == 0, "VISA").otherwise("PASSPORT")
     zones = zones.select((-F.col("c_custkey")).alias("capture_id"), kind.alias("document_type"), F.lit(None).cast(cards.schema["lines"].dataType).alias("lines"), F.when(F.col("c_custkey") % 17 == 0, " \n ").otherwise(F.col("text")).alias("text"), F.lit(0.5).alias("confidence"))
@@ -209,9 +196,10 @@ def latest_state(spark, sf_dir):
 
 
 def asof_quad(spark, sf_dir):
+    """The quad of the last frame at or up to 119 ms before each frame's shifted time."""
     f = frames(spark, sf_dir)
-    shots = f.where("event_id % 7 = 0").select("session_id", F.col("event_id").alias("capture_id"), (F.col("timestamp_ms") - F.col("event_id") % 120).alias("timestamp_ms"))
-    own = sequences.asof_quad(shots, f.where("event_id % 3 > 0"))
+    shots = f.select("session_id", F.col("event_id").alias("capture_id"), (F.col("timestamp_ms") - F.col("event_id") % 120).alias("timestamp_ms"))
+    own = sequences.asof_quad(shots, f)
     return own.select("session_id", "capture_id", "timestamp_ms", F.coalesce("frame_ms", F.lit(-1)).alias("frame_ms"), F.coalesce("quad.topLeft.x", F.lit(-1.0)).alias("tl_x"))
 
 
@@ -286,7 +274,7 @@ def registry_latest(spark, sf_dir):
 
 
 def model_version(spark, sf_dir):
-    """Versions by crc32; beyond the oracle's SQL, so tested against a known value."""
+    """Versions by crc32."""
     own = registry.latest_models(registrations(spark, sf_dir))
     return own.select("id", registry.version(F.col("id"), F.col("label")).alias("version"))
 
@@ -304,9 +292,16 @@ def registry_activations(spark, sf_dir):
 IMAGE_W, IMAGE_H = 16, 12
 
 
+def partitions(spark) -> int:
+    """A stated number, as adaptive execution would join parts that hold nothing but ids."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def images(spark, sf_dir):
     """A 16 x 12 gray image for each event, rows padded to a stride of 20, pixels by arithmetic."""
+    # Ids alone are dealt out, before each becomes an image, as the table may be one small file.
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"))
+    e = e.repartition(partitions(spark), "event_id")
     value = lambda i: F.pmod(F.col("event_id") * 31 + (i % 20) * 7 + F.floor(i / 20) * 13 + (i % 20) * F.floor(i / 20) * (F.col("event_id") % 5), F.lit(256))
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20 * IMAGE_H - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), "")
     return e.select(
@@ -321,27 +316,131 @@ def pix_quality(spark, sf_dir):
 
 
 def pix_motion(spark, sf_dir):
-    i = images(spark, sf_dir)
-    small = vision.thumbnails(i).select(F.col("image_id").alias("thumb_id"), "gray")
-    own = i.select("session_id", "event_id", "timestamp_ms", "width", "height", "image_id").join(small, F.col("image_id") == F.col("thumb_id"))
+    own = vision.thumbnails(images(spark, sf_dir), carry=("session_id", "event_id", "timestamp_ms"))
     return sequences.motion(own).select("session_id", "event_id", r6(F.col("motion_score")).alias("motion_score"))
 
 
+def constant_corners(x):
+    """A detector that finds the same quad in every image."""
+    return [np.array([[0.1, 0.25, 0.9, 0.25, 0.9, 0.75, 0.1, 0.75]])]
+
+
+def constant_heatmaps(x):
+    """One that gives its corners as heatmaps of 4 x 4 cells."""
+    out = np.zeros((1, 4, 4, 4), np.float32)
+    for c, (row, column) in enumerate(((0, 0), (0, 3), (3, 3), (3, 0))):
+        out[0, c, row, column] = 0.5 + c / 10
+    return [out]
+
+
+def constant_type(x):
+    """A classifier that calls every document a visa."""
+    return [np.array([[0.0, 0.0, 0.0, 0.0, 6.0, 0.0]])]
+
+
+def constant_face(x):
+    """A face detector that finds one face, in row 3 and column 4 of the finest grid, at any input size."""
+    size = x.shape[2]
+    out = {f"{n}_{s}": np.zeros(((size // s) ** 2, k)) for s in (8, 16, 32) for n, k in (("cls", 1), ("obj", 1), ("bbox", 4), ("kps", 10))}
+    cell = 3 * (size // 8) + 4
+    out["cls_8"][cell], out["obj_8"][cell], out["bbox_8"][cell], out["kps_8"][cell] = 0.81, 1.0, (0.5, 0.5, np.log(2), np.log(2)), np.arange(10) / 10
+    return out
+
+
+_FRAME = ("session_id", "event_id", "detected", "document_type", "frame_width", "frame_height")
+
+
+def scan_frames(spark, sf_dir):
+    """Camera images to frame rows, with a detector that gives the corners and a classifier."""
+    own = vision.document_frames(images(spark, sf_dir), constant_corners, constant_type, size=32)
+    corner = [r6(F.col(f"quad.{c}.{k}")).alias(f"{c.lower()}_{k}") for c in ("topLeft", "bottomRight") for k in "xy"]
+    return own.select(*_FRAME, *[r6(F.col(c)).alias(c) for c in ("confidence", "blur_score", "brightness", "glare_ratio", "motion_score", "distance_ratio", "perspective_skew_deg", "out_of_frame_ratio")], *corner)
+
+
+def scan_frames_heatmap(spark, sf_dir):
+    """The same with heatmaps and no classifier."""
+    own = vision.document_frames(images(spark, sf_dir), constant_heatmaps, size=32)
+    return own.select(*_FRAME, r6(F.col("confidence")).alias("confidence"), *[r6(F.col(f"quad.{c}.{k}")).alias(f"{c.lower()}_{k}") for c in geometry.CORNERS for k in "xy"])
+
+
+def scan_faces(spark, sf_dir):
+    own = vision.face_frames(images(spark, sf_dir), constant_face, size=64)
+    return own.select(
+        "session_id", "event_id", "detected", "frame_width", "frame_height", *[r6(F.col(c)).alias(c) for c in ("confidence", "blur_score", "brightness", "glare_ratio", "motion_score")],
+        *[r6(F.col(f"box.{k}")).alias(f"box_{k}") for k in ("x", "y", "width", "height")], r6(F.col("landmarks.rightEye.x")).alias("right_eye_x"), r6(F.col("landmarks.leftMouthCorner.y")).alias("mouth_y"),
+    )
+
+
+READ_CHARSET = tuple("ABCDEFG")
+
+
+def one_line(x):
+    """A text detector that finds one line in every image."""
+    out = np.zeros(x.shape[2:], np.float32)
+    out[8:16, 4:28] = 1
+    return [out[None, None]]
+
+
+def by_brightness(x):
+    """A recogniser that reads three letters, the first by the brightness of the line, then a blank, then a space."""
+    k = 1 + int(round((float(x.mean()) * 0.5 + 0.5) * 255)) // 30 % 7
+    out = np.zeros((1, 5, 9))
+    out[0, np.arange(5), (k, k, 0, 8, 2)] = 5.0
+    return [out]
+
+
+def read_captures(spark, sf_dir):
+    """Photos of one shade each, read by models that find one line in each."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("capture_id")).repartition(partitions(spark), "capture_id")
+    shade = F.lpad(F.hex(F.col("capture_id") % 8 * 30 + 10), 2, "0")
+    photo = F.concat(F.lit(b"P5\n16 12\n255\n"), F.unhex(F.repeat(shade, 192)))
+    quad = F.when(F.col("capture_id") % 2 == 0, F.array(*[F.lit(float(v)) for v in (0, 0, 15, 0, 15, 11, 0, 11)]))
+    models = {"text_detector": one_line, "text_direction": lambda x: [np.array([[1.0, 0.0]])], "text_recogniser": by_brightness}
+    own = vision.capture_texts(o.select("capture_id", F.lit("ID_CARD").alias("document_type"), photo.alias("content"), quad.alias("quad")), models, list(READ_CHARSET))
+    line = F.get("lines", F.lit(0))
+    return own.select("capture_id", "document_type", "text", F.size("lines").alias("n_lines"), r6(F.col("confidence")).alias("confidence"), *[r6(line[k]).alias(k) for k in ("x", "y", "width", "height")], F.col("rectified").isNotNull().alias("has_rectified"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def g_landmark_orientation(spark, sf_dir):
+    """Landmarks of faces turned with their buffers."""
+    f = face_frames(spark, sf_dir).where(F.col("landmarks").isNotNull())
+    o = F.element_at(F.array(*map(F.lit, ("up", "right", "down", "left"))), (F.col("event_id") % 4 + 1).cast("int"))
+    f = f.withColumn("m", rows.orient_landmarks(F.col("landmarks"), F.col("frame_width"), F.col("frame_height"), o, F.col("event_id") % 3 == 0))
+    return f.select("event_id", *[F.col(f"m.{n}.{k}").alias(f"{n.lower()}_{k}") for n in ("rightEye", "leftEye") for k in "xy"])
+
+
+def shown_labels(spark, sf_dir):
+    """Badge of each frame with a document: label and per cent."""
+    f = frames(spark, sf_dir).where("detected")
+    return f.select("event_id", rows.shown_label(F.col("document_type")).alias("label"), rows.shown_percent(F.col("confidence")).alias("percent"))
+
+
 def capture_replay(spark, sf_dir):
     """Throttle and gate together, as the stream runs them, over a batch."""
     own = capture.replayed(capture.events_of(judged(spark, sf_dir)))
     return own.select("session_id", "timestamp_ms", "stage", r6(F.col("stability_progress")).alias("stability_progress"))
 
 
+def capture_replay_face(spark, sf_dir):
+    """The replay with the window of faces, 600 ms."""
+    own = capture.replayed(capture.events_of(judged(spark, sf_dir)), window_ms=600)
+    return own.select("session_id", "timestamp_ms", "stage", r6(F.col("stability_progress")).alias("stability_progress"))
+
+
 def stream_throttle_gate(spark, sf_dir):
     """The same as a stream over a folder of frames, run until it has read what is there."""
     folder = f"{shared_folder(spark)}/lensmill/frames-{uuid.uuid4().hex}"
     events = capture.events_of(judged(spark, sf_dir))
     events.write.parquet(f"{folder}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stages = capture.capture_stages(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
-    run = stages.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stages = capture.capture_stages(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
+        run = stages.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     own = spark.read.schema(stages.schema).parquet(f"{folder}/out")
     return own.select("session_id", "timestamp_ms", "stage", r6(F.col("stability_progress")).alias("stability_progress"))
 
@@ -360,7 +459,7 @@ QUERIES = (
     g_geometry, g_bbox_and_domain, g_order_points, g_orientation, g_clamp, g_view_scale, guidance_flags, guidance_code, guidance_code_counts, face_geometry, face_guidance,
     quality_indicators, quality_score, mrz_fields, mrz_parse, ocr_fulltext, licence_parse, licence_categories, id_parse, extract_document, throttle, stability_gate, latest_state,
     asof_quad, heatmap_decode, class_softmax, ctc_decode, face_decode, nms, registry_latest, model_version, registry_active, registry_activations,
-    pix_quality, pix_motion, capture_replay, stream_throttle_gate,
+    pix_quality, pix_motion, capture_replay, capture_replay_face, stream_throttle_gate, scan_frames, scan_frames_heatmap, scan_faces, read_captures, g_landmark_orientation, shown_labels,
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,8 @@ def read_charset(spark: SparkSession, path: str, profile: str = "android") -> li
 
 def model_bytes(spark: SparkSession, path: str, assets: str) -> bytes:
     """A model's bytes: bundle://name lies in the assets folder, other paths stand for themselves."""
+    if path == "bundle://":
+        raise ValueError("a bundled model needs a name")
     where = f"{assets.rstrip('/')}/{path.removeprefix('bundle://')}" if path.startswith("bundle://") else path
     try:
         return bytes(spark.read.format("binaryFile").load(where).first().content)
@@ -55,6 +59,43 @@ def model_bytes(spark: SparkSession, path: str, assets: str) -> bytes:
         raise FileNotFoundError(f"no model at {where}") from e
 
 
+def bundled_path(name: str, listed: Collection[str]) -> str:
+    """The resource of that name among those listed (paths in the bundle).
+
+    First by base name and extension at the top of the bundle, then by the whole name in any of its folders.
+    """
+    base, dot, extension = name.rpartition(".")
+    wanted = f"{base}.{extension}" if dot and base else name
+    for found in ([p for p in sorted(listed) if p == wanted], [p for p in sorted(listed) if p.rsplit("/", 1)[-1] == name]):
+        if found:
+            return found[0]
+    raise FileNotFoundError(f"no bundled model {name}")
+
+
+def write_image_files(images: DataFrame, folder: str) -> DataFrame:
+    """Rectified images as files, named by their ids, in a folder that all executors reach: image_id, path, written in parallel."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, paths = [], []
+            for image_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if content is None:
+                    continue
+                name = f"{folder.removeprefix('file://').rstrip('/')}/{image_id}.{'jpg' if content[:2] == bytes((255, 216)) else 'pgm' if content[:2] == b'P5' else 'ppm'}"
+                with open(f"{name}.part", "wb") as f:
+                    f.write(content)
+                os.replace(f"{name}.part", name)  # a task that is run again writes the same file
+                ids.append(image_id)
+                paths.append(f"file://{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string())], names=["image_id", "path"])
+
+    return images.select(F.col("image_id").cast("long"), "content").mapInArrow(run, "image_id bigint, path string")
+
+
 def write_images(images: DataFrame, path: str) -> None:
     """Sink for rectified images: (image_id, content) as Parquet, one row an image, executors writing in parallel."""
     images.select("image_id", "content").write.mode("append").parquet(path)
@@ -76,6 +117,25 @@ def read_setting(spark: SparkSession, path: str, key: str, default: str | None =
     return default if own is None or own.v is None else own.v
 
 
+def start_lines(captures: DataFrame) -> DataFrame:
+    return captures.select("capture_id", F.concat(F.lit("[capture] started "), "document_type").alias("line"))
+
+
+def ocr_lines(captures: DataFrame) -> DataFrame:
+    """Log text of raw OCR: a head, the full text, then a line for each text line; numbers to three places, seq is their order."""
+    f3 = lambda x: F.format_number(x, 3)
+    head = F.concat(F.lit("[ocr] "), "document_type", F.lit(" confidence="), f3(F.col("confidence")), F.lit(" lines="), F.size("lines"))
+    full = F.concat(F.lit("[ocr] text: "), F.when(F.col("text") == "", "(empty)").otherwise(F.col("text")))
+    box = lambda l: F.concat_ws(",", *[f3(l[k]) for k in ("x", "y", "width", "height")])
+    own = F.transform("lines", lambda l, i: F.concat(F.lit("[ocr] line "), i, F.lit(" confidence="), f3(l["confidence"]), F.lit(" box="), box(l), F.lit(" text="), l["text"]))
+    return captures.select("capture_id", F.posexplode(F.concat(F.array(head, full), own)).alias("seq", "line"))
+
+
+def read_document_type(spark: SparkSession, path: str) -> str:
+    """The last document type that was written as a setting, or the default."""
+    return read_setting(spark, path, "document_type", DEFAULT_DOCUMENT_TYPE)
+
+
 def log_lines(results: DataFrame) -> DataFrame:
     """Log text of extraction results: success, type, confidence to three places, and the fields as JSON."""
     fields = [c for c in results.columns if c not in ("success", "confidence")]

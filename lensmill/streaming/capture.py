@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,11 +49,11 @@ def step(state: dict, kind: str | None, valid: bool, t: int, window_ms: int, int
 class CaptureGate(StatefulProcessor):
     """Throttle and gate of a session; emits a row where the stage changes."""
 
-    def __init__(self, window_ms: int = 1000, interval_ms: int = 66):
-        self.window_ms, self.interval_ms = window_ms, interval_ms
+    def __init__(self, window_ms: int = 1000, interval_ms: int = 66, keep_ms: int | None = None):
+        self.window_ms, self.interval_ms, self.keep_ms = window_ms, interval_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", _STATE)
+        self.state = handle.getValueState("gate", _STATE, self.keep_ms) if self.keep_ms else handle.getValueState("gate", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = ("last_forwarded", "stage", "since", "latch")
@@ -80,13 +80,15 @@ def events_of(frames: DataFrame, controls: DataFrame | None = None) -> DataFrame
     return own.unionByName(controls.select("session_id", "timestamp_ms", F.lit(False).alias("is_valid"), "kind", F.lit(0).alias("order")))
 
 
-def capture_stages(events: DataFrame, window_ms: int = 1000, interval_ms: int = 66) -> DataFrame:
+def capture_stages(events: DataFrame, window_ms: int = 1000, interval_ms: int = 66, keep_ms: int | None = None) -> DataFrame:
     """Stage changes of each session of a stream of events_of(). State: one row a session, in RocksDB.
 
+    keep_ms: how long a session's state outlives its last event, in processing time; without it, it stays for good.
+
     Events of a micro-batch are put in order of time; sources must deliver batches in that order.
     """
     own = events.groupBy("session_id")
-    return own.transformWithStateInPandas(CaptureGate(window_ms, interval_ms), OUTPUT, "Append", "None")
+    return own.transformWithStateInPandas(CaptureGate(window_ms, interval_ms, keep_ms), OUTPUT, "Append", "ProcessingTime" if keep_ms else "None")
 
 
 def replayed(events: DataFrame, window_ms: int = 1000, interval_ms: int = 66) -> DataFrame:
@@ -118,6 +120,28 @@ def stable_captures(stages: DataFrame) -> DataFrame:
     return stages.where(F.col("stage") == "capturing").select("session_id", "timestamp_ms")
 
 
+def capture_sink(extract: Callable[[DataFrame], DataFrame], results: str, controls: str, done: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over capture_stages(): takes the photos of a batch, stores results and control events.
+
+    extract gets (session_id, timestamp_ms) of each capture and returns those with success and whatever else was read.
+    A capture is processing, then completed, or failed if success is false or null or the photo is missing. A batch that is
+    run again writes over its own folder, so each is stored once; done is called with what was stored.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        shots = stable_captures(batch)
+        at = f"{results}/batch={batch_id}"
+        extract(shots).write.mode("overwrite").parquet(at)
+        stored = batch.sparkSession.read.parquet(at)
+        ended = shots.join(stored.select("session_id", "timestamp_ms", "success"), ["session_id", "timestamp_ms"], "left")
+        kinds = F.array(F.lit("processing"), F.when(F.coalesce("success", F.lit(False)), "completed").otherwise("failed"))
+        ended.select("session_id", "timestamp_ms", F.posexplode(kinds).alias("order", "kind")).write.mode("overwrite").parquet(f"{controls}/batch={batch_id}")
+        if done:
+            done(stored, batch_id)
+
+    return run
+
+
 def latest_states(frames: DataFrame, *values: str) -> DataFrame:
     """Last values of each session, for update mode."""
     return frames.groupBy("session_id").agg(F.max_by(F.struct(*values), "timestamp_ms").alias("state"), F.max("timestamp_ms").alias("timestamp_ms")).select("session_id", "timestamp_ms", "state.*")

@@ -171,6 +171,7 @@ def test_vision_stages(spark):
     data = bytes(range(256)) * 2
     rows = spark.createDataFrame([(1, 16, 16, 20, "yuv", "up", False, bytearray(data)), (2, 16, 16, 20, "heic", "up", False, bytearray(data))], "image_id bigint, width int, height int, row_stride int, pixel_format string, orientation string, is_mirrored boolean, data binary")
     found = {r.image_id: r for r in vision.frame_quality(rows).collect()}
+    assert vision.contour_quads(rows).where("image_id = 1 AND error IS NULL AND quad_confidence >= 0").count() == 1
     assert found[1].error is None and found[1].blur_score >= 0 and "unsupported" in found[2].error
     shapes = {r.image_id: r.shape for r in vision.infer(rows, lambda x: [x.mean(axis=(2, 3))], 32).collect()}
     assert shapes == {1: [1, 3], 2: None}
