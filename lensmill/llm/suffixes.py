@@ -12,7 +12,7 @@ offset, so windows need comparing only if their suffixes share a gram. One suffi
    bucket is sorted by multikey quicksort. Of suffixes with equal context all but the first are settled: their
    windows repeat. Contexts that differ under one gram are open; a gram that reaches a bucket's boundary counts as
    open too, which compares it across the boundary.
-3. The windows of open suffixes are hashed one by one (128 bits) and partitioned by hash; all but the first repeat.
+3. The windows of open suffixes are hashed one by one (96 bits) and partitioned by hash; all but the first repeat.
 4. The repeats of each document are merged and cut out.
 
 Work and volume grow linearly with the text, whatever the groups of copies. Texts are shuffled only for documents
@@ -43,6 +43,8 @@ SPAN = LENGTH - GRAM + 1
 PIECE, CHUNK = 1 << 20, 8 << 20
 BROADCAST_IDS = 2_000_000
 LAST_ID = (1 << 63) - 1
+#: Kinds of rows between steps: a settled run, an open one, packed suffixes or windows, packed settled runs.
+SETTLED, OPEN, PACKED, RUNS = 0, 1, 2, 3
 _BASE = 0x9E3779B97F4A7C15 | 5
 _U = np.uint64
 
@@ -195,7 +197,9 @@ def _from_planes(data: memoryview, n: int, width: int) -> np.ndarray:
 #: Bytes kept of lead, gram, context, key, first start, windows after it, offset of the suffix in it.
 WIDTHS = (8, 6, 8, 8, 5, 1, 1)
 #: Bytes kept of a window: two hashes, key, start.
-WINDOW_WIDTHS = (8, 8, 8, 5)
+WINDOW_WIDTHS = (8, 4, 8, 5)
+#: Bytes kept of a settled run: key, first start, windows after it.
+RUN_WIDTHS = (8, 5, 1)
 
 
 def _packed(columns: tuple[np.ndarray, ...], widths: tuple[int, ...]) -> bytes:
@@ -271,24 +275,23 @@ def _merged(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     return order, new_gram, new, _later(new, key[order], at[order])
 
 
-def _repeat_rows(kind: int, key: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.ndarray | None = None) -> pa.RecordBatch:
+def _repeat_rows(kind: int, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(key), -1, np.int32) if bucket is None else bucket), pa.array(np.full(len(key), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.nulls(len(key), pa.binary())],
+        [pa.array(np.full(len(key), -1, np.int32)), pa.array(np.full(len(key), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.nulls(len(key), pa.binary())],
         names=["bucket", "kind", "key", "first", "last", "blob"],
     )
 
 
-def _packed_row(bucket: int, blob: bytes) -> pa.RecordBatch:
+def _packed_row(bucket: int, blob: bytes, kind: int = PACKED) -> pa.RecordBatch:
     empty = pa.nulls(1, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([PACKED], pa.int8()), empty, empty, empty, pa.array([blob], pa.binary())], names=["bucket", "kind", "key", "first", "last", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int8()), empty, empty, empty, pa.array([blob], pa.binary())], names=["bucket", "kind", "key", "first", "last", "blob"])
 
 
 _DDL = "bucket int, kind byte, key bigint, first bigint, last bigint, blob binary"
-SETTLED, OPEN, PACKED = 0, 1, 2
 
 
 def _listed(docs: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """Step 1: packed suffixes by bucket, and those settled within a chunk, dealt out over the buckets by document."""
+    """Step 1: packed suffixes by bucket, and the runs settled within a chunk, packed too, in any bucket."""
 
     def run(batches):
         for lead, gram, context, key, at, first, last in _chunks(batches):
@@ -296,7 +299,9 @@ def _listed(docs: DataFrame, cuts: np.ndarray) -> DataFrame:
             order, _, new, later = _merged((*words, key, at))
             rest = order[later]
             if len(rest):
-                yield _repeat_rows(SETTLED, key[rest], first[rest], last[rest], (_mixed(key[rest].astype(np.uint64)) % _U(len(cuts) + 1)).astype(np.int32))
+                rest = rest[np.lexsort((first[rest], key[rest]))]
+                spot = int(_mixed(key[rest[:1]].astype(np.uint64))[0] % _U(len(cuts) + 1))
+                yield _packed_row(spot, _packed((key[rest].astype(np.uint64), first[rest], last[rest] - first[rest]), RUN_WIDTHS), RUNS)
             order = order[new]
             bucket = _bucket_of([w[order] for w in words], cuts)
             for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1):
@@ -308,14 +313,14 @@ def _listed(docs: DataFrame, cuts: np.ndarray) -> DataFrame:
 
 
 def _by_bucket(listed: DataFrame, parts: int, work) -> DataFrame:
-    """work(bucket, blobs) over the blobs of each bucket, in one shuffle; other rows pass through."""
+    """work(bucket, blobs) over the packed suffixes or windows of each bucket, in one shuffle; packed runs are unpacked."""
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            others = batch.filter(pc.not_equal(batch.column(1), PACKED))
-            if others.num_rows:
-                yield others
+            for (blob,) in rows_of(batch.filter(pc.equal(batch.column(1), RUNS)), "blob"):
+                key, first, after = (c.astype(np.int64) for c in _unpacked(blob, RUN_WIDTHS))
+                yield _repeat_rows(SETTLED, key, first, first + after)
             for bucket, blob in rows_of(batch.filter(pc.equal(batch.column(1), PACKED)), "bucket", "blob"):
                 if bucket != now and held:
                     yield from work(now, held)
@@ -371,7 +376,8 @@ def _windows(asked: DataFrame, buckets: int) -> DataFrame:
                     own = s[(s >= at) & (s < at + PIECE)] - at
                     if len(own):
                         part = raw[at : at + PIECE + LENGTH]
-                        held.append((*(_hashes(_prefixes(part, k), own, own + LENGTH) for k in range(2)), np.full(len(own), key, np.uint64), (own + at).astype(np.uint64)))
+                        two = [_hashes(_prefixes(part, k), own, own + LENGTH) for k in range(2)]
+                        held.append((two[0], two[1] & _U(0xFFFFFFFF), np.full(len(own), key, np.uint64), (own + at).astype(np.uint64)))
                         n += len(own)
                 if n >= 1_000_000:
                     yield from blobs()
