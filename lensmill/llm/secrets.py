@@ -29,22 +29,28 @@ ASSIGN = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC
 KINDS = (("assign", ASSIGN, 12), ("access", "AKIA[A-Z0-9]+", 18), ("hex", "[0-9a-f]+", 16))
 BARE = "[A-Za-z0-9+/_-]{20,}"
 SPAN = "struct<start:int,end:int,kind_at:int,value:string>"
+#: Spans of a text that are appended to, or searched, at a time, so that a text's cost grows with its spans and not their square.
+BLOCK = 256
 
 
 def _matches(kind_at: int, pattern: str, value: Column) -> Column:
     """Spans of all matches. value: what of a match m is the candidate."""
     text = F.col("text")
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("block"), F.array().cast(f"array<array<{SPAN}>>").alias("blocks"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind_at).alias("kind_at"), value(x["match"]).alias("value"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+        full = F.size(acc["block"]) >= BLOCK
+        block = F.when(x["match"].isNull(), acc["block"]).when(full, F.array(span)).otherwise(F.concat(acc["block"], F.array(span)))
+        blocks = F.when(x["match"].isNotNull() & full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"])
+        return F.struct(end.alias("at"), block.alias("block"), blocks.alias("blocks"))
 
     # The last piece has no match after it.
-    spans = F.aggregate(F.arrays_zip(pieces.alias("piece"), found.alias("match")), zero, step, lambda acc: acc["spans"])
+    spans = F.aggregate(F.arrays_zip(pieces.alias("piece"), found.alias("match")), zero, step, lambda acc: F.concat(F.flatten(acc["blocks"]), acc["block"]))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -65,10 +71,16 @@ def scanned(docs: DataFrame) -> DataFrame:
         spans = _matches(k, bounded[kind], value)
         arrays.append(_at_least(spans, least) if kind == "assign" else spans)
     base = F.array_sort(F.concat(*arrays), lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind_at"] < b["kind_at"])), -1).otherwise(1))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("base") - 1) / BLOCK).cast("int")), lambda i: F.slice("base", i * BLOCK + 1, BLOCK))
+    bounds = lambda b: F.struct(b[0]["start"].alias("start"), F.array_max(F.transform(b, lambda s: s["end"])).alias("end"), b.alias("spans"))
+    blocks = F.transform(F.when(F.size("base") > 0, cut).otherwise(F.array().cast(f"array<array<{SPAN}>>")), bounds)
     out = docs.withColumn("base", base)
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     mixed = lambda s: s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[0-9]")
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return out.withColumn("bare", F.filter(_matches(len(KINDS), BARE, lambda m: m), lambda s: mixed(s) & apart(s)))
+    apart = lambda s, held: ~F.exists(held, lambda b: meets(b, s) & F.exists(b["spans"], lambda x: meets(x, s)))
+    bare = _matches(len(KINDS), BARE, lambda m: m)
+    # The blocks are handed to a lambda, so that they are made once a text and not once a span.
+    return out.withColumn("bare", F.transform(F.array(blocks), lambda held: F.filter(bare, lambda s: mixed(s) & apart(s, held)))[0])
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -81,7 +93,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def scan(
     df: DataFrame, max_owners: int = 2, max_repos: int = 5, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, base array<span>, spans array<span> (base and added), live array<int> (places in spans that look live).
+    """doc_id, base array<span>, spans array<span> (base and added, by start, then kind), live array<boolean> (of each span, whether it looks live).
 
     A span is struct<start, end, kind_at, value_hash>; carry names further columns to keep, as they are, in the result.
     """
@@ -95,13 +107,14 @@ def scan(
     counted = ownership(candidates).select(F.col("value_hash").alias("h"), "n_owners", "n_repos")
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     judged = candidates.join(counted, F.col("value_hash") == F.col("h")).select("uid", "s", live.alias("live"))
-    by_row = judged.where("live").groupBy("uid").agg(F.collect_set("s.value_hash").alias("live_hashes")).withColumnRenamed("uid", "row")
-    named = rows.where(some).join(by_row, F.col("uid") == F.col("row"), "left").withColumn("live_hashes", F.coalesce("live_hashes", F.array().cast("array<bigint>")))
-    added = F.filter("bare", lambda s: F.array_contains("live_hashes", s["value_hash"]))
-    everything = F.array_sort(F.concat("base", added), lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind_at"] < b["kind_at"])), -1).otherwise(1))
+    # Each row's spans come back with their verdicts, in order of start, then kind: none is looked up in a list.
+    spans = F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind_at").alias("kind_at"), F.col("s.end").alias("end"), F.col("s.value_hash").alias("value_hash"), "live"))
+    by_row = judged.where(F.col("live") | (F.col("s.kind_at") < len(KINDS))).groupBy(F.col("uid").alias("row")).agg(F.array_sort(spans).alias("judged"))
+    named = rows.where(some).join(by_row, F.col("uid") == F.col("row"), "left")
+    everything = F.transform("judged", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind_at"].alias("kind_at"), s["value_hash"].alias("value_hash")))
     keep = [F.col(f"carry_{c}").alias(c) for c in carry]
-    flags = F.transform("spans", lambda s: F.array_contains("live_hashes", s["value_hash"]))
-    with_some = named.withColumn("spans", everything).select("doc_id", "base", "spans", flags.alias("live"), *keep)
+    flags = F.transform("judged", lambda s: s["live"])
+    with_some = named.select("doc_id", "base", F.coalesce(everything, F.col("base")).alias("spans"), F.coalesce(flags, F.array().cast("array<boolean>")).alias("live"), *keep)
     none = rows.where(~some).select("doc_id", "base", F.col("base").alias("spans"), F.array().cast("array<boolean>").alias("live"), *keep)
     return with_some.unionAll(none)
 

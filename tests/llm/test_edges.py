@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator and stage."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,20 @@ def test_ownership(spark):
     assert own[3].n_live == 0 and own[3].n_example == 1 and own[99].n_live == 2 and "bare:" in own[99].spans
 
 
+def test_many_spans_in_one_text(spark):
+    """More spans than a block holds, base and bare, beside and within each other."""
+    kinds = ("password=Aa{0}bcdefghijk", "AKIA{0:016d}", "{0:020x}", "Zz{0}Zz1Zz1Zz1Zz1Zz1Zz1", "token={0:016x}/Qq1Qq1Qq1Qq1Qq1Qq1")
+    texts = [" ".join(kinds[(i * 7 + i // 3) % 5].format(i) for i in range(n)) for n in (255, 256, 257, 1300)]
+    found = {r.doc_id: r for r in secrets.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.lit("s")), max_repos=9).collect()}
+    for i, text in enumerate(texts):
+        base = brute.secret_spans(text)
+        bare = [("bare", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+        bare = [(k, a, b) for k, a, b in bare if not any(x < b and a < y for _, x, y in base)]
+        assert len(bare) > 40
+        assert set(found[i].spans.split(",")) == {f"{k}:{a}:{b}" for k, a, b in base + bare}
+        assert found[i].base_sha256 == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))
+
+
 def test_mixing(docs, none):
     found = by_id(mixing.mix(docs))
     assert found[3][0].size == 0 and found[3][0].taken == 0 and all(r.taken <= 3 * r.size for rows in found.values() for r in rows)
