@@ -89,19 +89,21 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def sample(documents: DataFrame, per_lang: int = 300, max_rows: int = MAX_ROWS) -> DataFrame:
     """text, lang, pick, nth of at most per_lang rows of each language that are not held out, by a hash of the id.
 
+    Rows of one id and language count once and give their least text, however many they are.
     The choice reads ids and languages only, ranked first within salted parts of a language, so that one with a third
     of all rows does not meet in one task. Beyond max_rows in all, each language gives its first rows by turns. The
     chosen ids are broadcast (max_rows at most) and pick their texts in one scan without a shuffle of texts.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = known.select("lang", F.col("doc_id").alias("pick_id"), F.xxhash64("doc_id").alias("pick"))
+    ids = known.select("lang", F.col("doc_id").alias("pick_id"), F.xxhash64("doc_id").alias("pick")).distinct()
     ids = ids.withColumn("salt", F.pmod("pick", F.lit(64)))
     for part in (["lang", "salt"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*part).orderBy("pick", "pick_id"))
         ids = ids.withColumn("nth", rank).where(F.col("nth") <= per_lang)
     chosen = ids.select("pick_id", "pick", "nth", F.col("lang").alias("taught")).orderBy("nth", "pick", "pick_id", "taught").limit(max_rows)
     texts = documents.select("doc_id", "text", "lang")
-    return texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("pick_id")) & (F.col("lang") == F.col("taught"))).select("text", "lang", "pick", "nth")
+    texts = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("pick_id")) & (F.col("lang") == F.col("taught")))
+    return texts.groupBy("lang", "pick", "pick_id", "nth").agg(F.min("text").alias("text")).select("text", "lang", "pick", "nth")
 
 
 def fit(labelled: DataFrame, clusters: int = 3, max_rows: int = MAX_ROWS, max_chars: int = 20_000, widen: float = 1.5) -> LanguageModel:

@@ -113,6 +113,13 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_repeated_id_teaches_once(spark):
+    own = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
+    taught = langid.sample(own, per_lang=50).collect()
+    assert len(taught) == 50 and len({r.pick for r in taught}) == 50
+    assert langid.sample(own.where("doc_id = 7"), per_lang=50).collect()[0].text == "text 0"
+
+
 def test_hot_group_is_divided(spark):
     own = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "same text").otherwise(F.concat(F.lit("own text "), "id")).alias("text"))
     sizes = sharding.shard(own, shards=10).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("c")).collect()
