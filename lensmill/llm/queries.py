@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill.llm import bottomk, bpe, conversations, langid, mixing, neighbours, secrets, sharding, simhash, spelling, suffixes, toxicity
+from lensmill.llm import bottomk, bpe, conversations, langid, mixing, neighbours, scoring, secrets, sharding, simhash, spelling, suffixes, toxicity
 from lensmill.llm.common import held_out, read
 
 
@@ -63,6 +63,11 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(read(spark, sf_dir, "documents"))
 
 
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scoring.score(read(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 9) for c in ("base_score", "score")})
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.trie(read(spark, sf_dir, "conversations"))
 
@@ -72,7 +77,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secrets, op2_mixing, op3_bpe, op4_sharding, op5_langid, op6_toxicity, op7_neighbours, op8_fingerprints, op9_simhash, op10_suffixes, op12_trie, op13_spelling)
+    own = (op1_secrets, op2_mixing, op3_bpe, op4_sharding, op5_langid, op6_toxicity, op7_neighbours, op8_fingerprints, op9_simhash, op10_suffixes, op11_lm, op12_trie, op13_spelling)
     return {f.__name__: f for f in own}
 
 
