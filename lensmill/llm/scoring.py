@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lensmill.llm.common import materialise, rows_of, short
+from lensmill.llm.common import materialise, rows_of, short, to_batch
 
 #: Words of an n-gram at most, and how many observations the shorter context counts for.
 ORDER, STRENGTH = 2, 500.0
@@ -40,7 +40,8 @@ CHUNK, BUCKET = 8 << 20, 8 << 20
 #: No word has white space in it, so these are none.
 START, END = b"\n<", b"\n>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PACKED = "kind int, chunk bigint, bucket bigint, level int, size bigint, keys binary, counts binary, lengths binary, trained binary"
+#: What of a stored chunk its n-grams are made from.
+CHUNK_COLUMNS = ("n_words", "size", "words", "places", "lengths", "folds")
 _REPLY = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("size", pa.int64()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
@@ -107,26 +108,15 @@ def _chunk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.fromiter(map(distinct.__getitem__, tokens), np.int64, len(tokens)), words, lengths
 
 
-def chunks(docs: DataFrame, buckets: int, order: int, chunk_bytes: int = CHUNK) -> DataFrame:
-    """A row for each chunk (kind 0) and its requests: a row for each bucket and level that has n-grams of it (kind 1)."""
+def chunks(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
+    """A row for each chunk: its words (hashes, ascending) and, for each of its documents, id, fold, length and places in words."""
     id_type = docs.schema["doc_id"].dataType
-    span = (1 << 64) // buckets + 1
-    schema = pa.schema([
-        ("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("size", pa.int64()),
-        *[(n, pa.binary()) for n in ("keys", "counts", "lengths", "trained")], ("doc_ids", pa.list_(to_arrow_type(id_type))), ("folds", pa.list_(pa.bool_())),
-    ])
+    schema = pa.schema([("chunk", pa.int64()), ("n_words", pa.int64()), ("size", pa.int64()), *[(n, pa.binary()) for n in ("words", "places", "lengths")], ("doc_ids", pa.list_(to_arrow_type(id_type))), ("folds", pa.list_(pa.bool_()))])
 
     def close(number: int, held: list[tuple]) -> pa.RecordBatch:
-        texts = [t for _, _, t in held]
-        trained = np.array([not out for _, out, _ in held])
-        ids, words, lengths = _chunk(texts)
-        rows = [(0, number, None, order, len(ids), packed(steps(words)), packed(ids.astype(np.uint32)), packed(lengths.astype(np.uint32)), len(words).to_bytes(8, "little"), [i for i, _, _ in held], (~trained).tolist())]
-        for level, (_, keys, own, _) in enumerate(Grams(ids, words, lengths, trained, order).levels, 1):
-            cuts = np.searchsorted(keys, np.array([b * span for b in range(1, buckets)], np.uint64))
-            for bucket, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
-                if a < b:
-                    rows.append((1, number, bucket, level, int(b - a), packed(steps(keys[a:b])), packed(own[a:b].astype(np.uint32)), None, None, None, None))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        ids, words, lengths = _chunk([t for _, _, t in held])
+        row = (number, len(words), len(ids), packed(steps(words)), packed(ids.astype(np.uint32)), packed(lengths.astype(np.uint32)), [i for i, _, _ in held], [out for _, out, _ in held])
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -141,7 +131,32 @@ def chunks(docs: DataFrame, buckets: int, order: int, chunk_bytes: int = CHUNK)
             yield close(number, held)
 
     own = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return own.mapInArrow(pack, f"{_PACKED}, doc_ids array<{id_type.simpleString()}>, folds array<boolean>")
+    return own.mapInArrow(pack, f"chunk bigint, n_words bigint, size bigint, words binary, places binary, lengths binary, doc_ids array<{id_type.simpleString()}>, folds array<boolean>")
+
+
+def grams_of(row: tuple, order: int) -> tuple[Grams, np.ndarray]:
+    """The n-grams of a stored chunk (n_words, size, words, places, lengths, folds) and the lengths of its documents."""
+    n_words, size, words, places, lengths, folds = row
+    lengths = unpacked(lengths, len(folds), np.uint32).astype(np.int64)
+    ids = unpacked(places, size, np.uint32).astype(np.int64)
+    return Grams(ids, np.cumsum(unpacked(words, n_words, np.uint64), dtype=np.uint64), lengths, ~np.array(folds, bool), order), lengths
+
+
+def requests(stored: DataFrame, buckets: int, order: int) -> DataFrame:
+    """For each chunk, bucket and level, the n-grams of the chunk that fall into the bucket, and their own training counts."""
+    span = (1 << 64) // buckets + 1
+    cuts = np.array([b * span for b in range(1, buckets)], np.uint64)
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, *row in rows_of(batch, "chunk", *CHUNK_COLUMNS):
+                for level, (_, keys, own, _) in enumerate(grams_of(row, order)[0].levels, 1):
+                    at = np.searchsorted(keys, cuts).tolist()
+                    rows = [(number, bucket, level, b - a, packed(steps(keys[a:b])), packed(own[a:b].astype(np.uint32))) for bucket, (a, b) in enumerate(zip([0, *at], [*at, len(keys)], strict=True)) if a < b]
+                    yield to_batch(schema, zip(*rows, strict=True))
+
+    return stored.select("chunk", *CHUNK_COLUMNS).mapInArrow(ask, "chunk bigint, bucket bigint, level int, size bigint, keys binary, counts binary")
 
 
 def held_out(name: str = "doc_id"):
@@ -149,7 +164,7 @@ def held_out(name: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % 7) == 2
 
 
-def answers(requests: DataFrame) -> DataFrame:
+def answers(asked: DataFrame) -> DataFrame:
     """For each request, how often its n-grams occur in other chunks (kind 1), and for each bucket's words: types, tokens, types
     seen once and twice (kind 2)."""
     import xxhash
@@ -177,121 +192,106 @@ def answers(requests: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
 
-        def closed() -> pa.RecordBatch:
-            rows = list(zip(*add(group), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _REPLY, strict=True)], schema=_REPLY)
-
         for batch in batches:
             for row in rows_of(batch, "bucket", "level", "chunk", "size", "keys", "counts"):
                 if group and group[0][:2] != row[:2]:
-                    yield closed()
+                    yield to_batch(_REPLY, zip(*add(group), strict=True))
                     group.clear()
                 group.append(row)
         if group:
-            yield closed()
+            yield to_batch(_REPLY, zip(*add(group), strict=True))
 
-    own = requests.select("bucket", "level", "chunk", "size", "keys", "counts")
-    own = own.repartition("bucket").sortWithinPartitions("bucket", "level", "chunk")
+    own = asked.repartition("bucket").sortWithinPartitions("bucket", "level", "chunk")
     return own.mapInArrow(run, "kind int, chunk bigint, bucket bigint, level int, size bigint, counts binary, stats array<bigint>")
 
 
 class Automaton:
-    """States and arcs of a chunk. State 0 has the empty context; the others are n-grams shorter than the order that were seen."""
+    """The states and arcs that a chunk's documents can reach.
+
+    A state is a context, an n-gram below the order that was seen (level 0: the empty one). An arc is an n-gram that was seen: it
+    leaves its context by its last word, weighs the logarithm of its probability and goes to the longest context that it
+    ends with. Both have the numbers that Grams gave the n-grams; weights: of arcs by level, NaN for none; fails: of the
+    failure arcs by level.
+    """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], types: int, tokens: int, once: int, twice: int, strength: float):
-        ids = grams.levels[0][0]
-        self.words = len(counts[0])
         d = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
         known = counts[0] > 0
-        p = np.where(known, counts[0] - d, d * types) / tokens if tokens else np.ones(self.words)
-        order = len(counts)
-        self.root, self.root_to = np.log10(p).tolist(), (np.where(known, 1 + np.arange(self.words), 0) if order > 1 else np.zeros(self.words, np.int64)).tolist()
-        base = [0, 1]
-        for c in counts:
-            base.append(base[-1] + len(c))
-        self.fail, self.fail_weight = np.zeros(base[order], np.int64), np.zeros(base[order])
-        keys, weights, goes = [], [], []
-        for k in range(1, order + 1):
-            at, _, _, first = grams.levels[k - 1]
-            seen = np.flatnonzero(counts[k - 1])
-            if k > 1:
-                place = first[seen]
-                shorter = grams.levels[k - 2][0]
-                lower, before = p[shorter[place]], shorter[place - 1]
-                longer = np.zeros(len(counts[k - 1]))
-                longer[seen] = (counts[k - 1][seen] + strength * lower) / (counts[k - 2][before] + strength)
-                keys.append((base[k - 1] + before) * self.words + ids[place])
-                weights.append(np.log10(longer[seen]))
-                goes.append(base[k] + seen if k < order else base[k - 1] + shorter[place])
-                p = longer
-            if k < order:
-                self.fail_weight[base[k] + seen] = np.log10(strength / (counts[k - 1][seen] + strength))
-                if k > 1:
-                    self.fail[base[k] + seen] = base[k - 1] + grams.levels[k - 2][0][first[seen]]
-        none = [np.zeros(0, np.int64)]
-        self.arcs = dict(zip(np.concatenate(keys or none).tolist(), zip(np.concatenate(weights or none).tolist(), np.concatenate(goes or none).tolist(), strict=True), strict=True))
-        self.fail, self.fail_weight = self.fail.tolist(), self.fail_weight.tolist()
-
-    def walk(self, ids: list[int]) -> float:
-        """The log10 probability of a document: its start, words and end."""
-        arc, words, root, root_to, fail, fail_weight = self.arcs.get, self.words, self.root, self.root_to, self.fail, self.fail_weight
-        state, terms = root_to[ids[0]], []
-        for word in ids[1:]:
-            found = arc(state * words + word) if state else None
-            while state and found is None:
-                terms.append(fail_weight[state])
-                state = fail[state]
-                found = arc(state * words + word) if state else None
-            if found is None:
-                terms.append(root[word])
-                state = root_to[word]
+        p = np.where(known, counts[0] - d, d * types) / tokens if tokens else np.ones(len(known))
+        self.order, self.places = len(counts), [None, *[level[0] for level in grams.levels]]
+        self.known, self.weights, self.fails = known.tolist(), [None, np.log10(p).tolist()], [None]
+        for k in range(1, self.order):
+            self.fails.append(np.log10(strength / (counts[k - 1] + strength)).tolist())
+            first = grams.levels[k][3]
+            shorter, seen = grams.levels[k - 1][0], np.flatnonzero(counts[k])
+            longer = np.full(len(counts[k]), np.nan)
+            place = first[seen]
+            longer[seen] = (counts[k][seen] + strength * p[shorter[place]]) / (counts[k - 1][shorter[place - 1]] + strength)
+            self.weights.append(np.log10(longer).tolist())
+            p = longer
+
+    def walk(self, a: int, b: int) -> float:
+        """The log10 probability of the document at places a (its start) to b (after its end), from left to right."""
+        at = [None, *[x[a:b].tolist() for x in self.places[1:]]]
+        weights, fails, known, top = self.weights, self.fails, self.known, self.order - 1
+        words, root, terms = at[1], weights[1], []
+        # The state is the context of this level that ends before the next word.
+        level = 1 if top and known[words[0]] else 0
+        for i in range(1, b - a):
+            while level:
+                arc = at[level + 1][i]
+                if arc >= 0 and (weight := weights[level + 1][arc]) == weight:
+                    terms.append(weight)
+                    level = min(level + 1, top)
+                    break
+                terms.append(fails[level][at[level][i - 1]])
+                level -= 1
             else:
-                terms.append(found[0])
-                state = found[1]
+                word = words[i]
+                terms.append(root[word])
+                level = 1 if top and known[word] else 0
         return math.fsum(terms)
 
 
 def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    stored = materialise(chunks(docs, max(1, -(-size // bucket_bytes)), order, chunk_bytes), "chunks")
-    replies = materialise(answers(stored.where("kind = 1")), "answers")
+    stored = materialise(chunks(docs, chunk_bytes), "chunks")
+    replies = materialise(answers(requests(stored, max(1, -(-size // bucket_bytes)), order)), "answers")
     totals = replies.where("kind = 2").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(4)]).first()
     types, tokens, once, twice = map(int, totals)
     id_type = docs.schema["doc_id"].dataType
     schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("held_out", pa.bool_()), *[(n, pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
 
     def close(chunk: tuple, parts: list[tuple]) -> pa.RecordBatch:
-        n, keys, packed_ids, packed_lengths, n_words, doc_ids, folds = chunk
-        words = np.cumsum(unpacked(keys, int.from_bytes(n_words, "little"), np.uint64), dtype=np.uint64)
-        ids, lengths = unpacked(packed_ids, n, np.uint32).astype(np.int64), unpacked(packed_lengths, len(doc_ids), np.uint32).astype(np.int64)
-        grams = Grams(ids, words, lengths, ~np.array(folds, bool), order)
+        *row, doc_ids = chunk
+        grams, lengths = grams_of(row, order)
         counts = []
         for level in range(1, order + 1):
             others = [unpacked(data, size, np.int64) if data else np.zeros(size, np.int64) for at, size, data in parts if at == level]
-            counts.append(grams.levels[level - 1][2] + np.concatenate(others))
+            counts.append(grams.levels[level - 1][2] + (np.concatenate(others) if others else 0))
         automaton = Automaton(grams, counts, types, tokens, once, twice, strength)
         base = np.log10((counts[0] + 1) / (tokens + types + 1))
-        out, end = [], 0
-        for doc_id, fold, length in zip(doc_ids, folds, lengths.tolist(), strict=True):
-            own, end = ids[end : end + length], end + length
-            told = own[1:]
-            out.append((doc_id, fold, length - 1, int((counts[0][told] > 0).sum()), tokens, math.fsum(base[told].tolist()), automaton.walk(own.tolist())))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        ids, out, end = grams.levels[0][0], [], 0
+        for doc_id, fold, length in zip(doc_ids, row[-1], lengths.tolist(), strict=True):
+            start, end = end, end + length
+            told = ids[start + 1 : end]
+            out.append((doc_id, fold, length - 1, int((counts[0][told] > 0).sum()), tokens, math.fsum(base[told].tolist()), automaton.walk(start, end)))
+        return to_batch(schema, zip(*out, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, parts = None, []
         for batch in batches:
-            for row in rows_of(batch, "kind", "level", "size", "keys", "counts", "lengths", "trained", "doc_ids", "folds"):
-                if row[0] == 0:
+            for kind, level, n, counts, *row in rows_of(batch, "kind", "level", "size", "counts", *CHUNK_COLUMNS, "doc_ids"):
+                if kind == 0:
                     if chunk:
                         yield close(chunk, parts)
-                    chunk, parts = row[2:], []
+                    chunk, parts = tuple(row), []
                 else:
-                    parts.append((row[1], row[2], row[4]))
+                    parts.append((level, n, counts))
         if chunk:
             yield close(chunk, parts)
 
-    whole = stored.where("kind = 0").unionByName(replies.where("kind = 1").drop("stats"), allowMissingColumns=True)
+    whole = stored.withColumn("kind", F.lit(0)).unionByName(replies.where("kind = 1").drop("stats"), allowMissingColumns=True)
     whole = whole.repartition("chunk").sortWithinPartitions("chunk", "kind", "level", "bucket")
     return whole.mapInArrow(run, f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
