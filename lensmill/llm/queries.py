@@ -197,6 +197,85 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM docs d LEFT JOIN summed s ON d.doc_id = s.doc_id
 """
 
+#: CRC-32 of the bytes whose hexadecimal digits are in {0}; tab comes from the table steps.
+_CRC_TABLE = "steps AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
+_CRC = """CAST(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(CAST(length({0}) / 2 AS BIGINT)), lambda i: CAST('0x' || substr({0}, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) AS BIGINT)"""
+_LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH {_CRC_TABLE},
+coded AS (SELECT doc_id, {_LOWERED.format("coalesce(text, '')")} AS body, hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))) AS h, row_number() OVER () AS row_no FROM documents),
+docs AS (SELECT row_no, doc_id, {_CRC.format("h")} % 7 = 2 AS held_out, list_concat(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+'), [chr(10) || '>']) AS words FROM coded CROSS JOIN steps),
+placed AS (SELECT row_no, held_out, unnest(words) AS w, unnest(list_prepend(chr(10) || '<', words[1:len(words) - 1])) AS u FROM docs),
+ones AS (SELECT w, count(*) AS c FROM placed WHERE NOT held_out GROUP BY w),
+contexts AS (SELECT u, count(*) AS c FROM placed WHERE NOT held_out GROUP BY u),
+twos AS (SELECT u, w, count(*) AS c FROM placed WHERE NOT held_out GROUP BY u, w),
+sums AS (
+  SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS total, count(*) AS types,
+    CASE WHEN count(*) FILTER (c = 1) = 0 THEN 0.5::DOUBLE ELSE least(0.9::DOUBLE, greatest(0.1::DOUBLE, count(*) FILTER (c = 1) / CAST(count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2) AS DOUBLE))) END AS d FROM ones),
+looked AS (
+  SELECT row_no, total, types, coalesce(o.c, 0) AS n, coalesce(t.c, 0) AS pair_n, coalesce(k.c, 0) AS seen,
+    CASE WHEN total = 0 THEN 1 WHEN o.c > 0 THEN (o.c - d) / total ELSE d * types / total END AS p
+  FROM placed a CROSS JOIN sums LEFT JOIN ones o ON a.w = o.w LEFT JOIN contexts k ON a.u = k.u LEFT JOIN twos t ON a.u = t.u AND a.w = t.w),
+terms AS (
+  SELECT row_no, log10((n + 1) / CAST(total + types + 1 AS DOUBLE)) AS base, CASE WHEN pair_n > 0 THEN log10((pair_n + 500.0::DOUBLE * p) / (seen + 500.0::DOUBLE)) ELSE log10(p) END AS taken,
+    CASE WHEN pair_n = 0 AND seen > 0 THEN log10(500.0::DOUBLE / (seen + 500.0::DOUBLE)) ELSE 0 END AS failed, n, total FROM looked),
+summed AS (
+  SELECT row_no, count(*) AS n_tokens, count(*) FILTER (n > 0) AS n_known, any_value(total) AS train_tokens, round(fsum(base), 9) AS base_score FROM terms GROUP BY row_no),
+scored AS (SELECT row_no, round(fsum(x), 9) AS score FROM (SELECT row_no, taken AS x FROM terms UNION ALL SELECT row_no, failed AS x FROM terms) both_terms GROUP BY row_no)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM docs JOIN summed USING (row_no) JOIN scored USING (row_no)
+"""
+
+OP12_SQL = f"""
+WITH {_CRC_TABLE},
+told AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT c, md5(length(role) || ':' || role || text) AS turn_key, CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS words,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos FROM told),
+sizes AS (SELECT c, count(*) AS n, hex(encode(CAST(c AS VARCHAR))) AS digits FROM turns GROUP BY c),
+named AS (SELECT c, n, {_CRC.format("digits")} % 4 AS h FROM sizes CROSS JOIN steps),
+convs AS (SELECT a.c, a.h, least(a.h, coalesce(b.n, 0)) AS k FROM named a LEFT JOIN named b ON b.c = a.c - a.c % 20),
+rebuilt AS (
+  SELECT v.c, t.pos AS d, t.turn_key, t.words FROM convs v JOIN turns t ON t.c = v.c - v.c % 20 AND t.pos <= v.h
+  UNION ALL SELECT v.c, v.k + t.pos - v.h AS d, t.turn_key, t.words FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h),
+paths AS (SELECT c, d, words, md5(string_agg(turn_key, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM rebuilt),
+occ AS (SELECT c, d, words, key FROM paths UNION ALL SELECT c, 0 AS d, 0 AS words, '' AS key FROM convs),
+linked AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS up, lead(key) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM occ),
+nodes AS (
+  SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, any_value(up) AS up, max(words) AS words, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ended FROM linked GROUP BY d, key),
+children AS (SELECT d - 1 AS d, up AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.d = c.d AND n.key = c.key),
+under AS (
+  SELECT x.d, x.key, count(*) FILTER (y.n_children = 0) AS n_leaves, CAST(sum((y.n_convs - 1) * y.words) AS BIGINT) AS saved_tokens
+  FROM whole y JOIN occ x ON x.c = y.conv_id AND x.d <= y.d GROUP BY x.d, x.key)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves, u.saved_tokens, sha256(w.ended) AS ends_sha256
+FROM whole w JOIN under u ON w.d = u.d AND w.key = u.key LEFT JOIN whole p ON p.d = w.d - 1 AND p.key = w.up
+"""
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+spelled AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+counted AS (SELECT id, run, hex(encode(id || ':' || run)) AS h, count(*) AS n FROM spelled WHERE length(run) >= 7 GROUP BY id, run),
+hashed AS (SELECT run, n, {_CRC.format("h")} AS crc FROM counted CROSS JOIN steps),
+damaged AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+open_at AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+masked AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS m FROM open_at),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS m FROM open_at),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM masked a JOIN masked b ON a.m = b.m AND a.word <> b.word
+  UNION ALL SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.m = w.word
+  UNION ALL SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.m = w.word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS nth, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND nth = 1),
+climbed(word, now) AS (SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM climbed c JOIN formed f ON c.now = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.now AS root FROM climbed c JOIN formed f ON c.now = f.word WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN roots r ON f.word = r.word
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": OP1_SQL, "op2_mixing": OP2_SQL, "op4_sharding": OP4_SQL, "op7_neighbours": OP7_SQL, "op10_suffixes": OP10_SQL}
+    return {"op1_secrets": OP1_SQL, "op2_mixing": OP2_SQL, "op4_sharding": OP4_SQL, "op7_neighbours": OP7_SQL, "op10_suffixes": OP10_SQL, "op11_lm": OP11_SQL, "op12_trie": OP12_SQL, "op13_spelling": OP13_SQL}
