@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
 toxicity: documents that the model rejects (score >= 0.5) go. simhash: of each group of near copies the row of
-least id stays, or the first of the scan. secrets: live-looking secrets are replaced by a mark. mixing: each source is brought to its target;
+least id stays. secrets: live-looking secrets are replaced by a mark. mixing: each source is brought to its target;
 a document stands in the table as often as the mix takes it, each copy at its training position. bpe: ids of each text, decoded again.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensmill.llm import bpe, mixing, secrets, simhash, toxicity
-from lensmill.llm.common import materialise, numbered, read
+from lensmill.llm.common import materialise, numbered, read, release, written
 from lensmill.llm.queries import tokenizer_paths
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,9 +24,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies (likeness 0.8 on five words): that of least id, null last, then the first of the scan."""
-    kept = materialise(simhash.near_duplicates(docs).where("stays").select(F.col("row_at").alias("kept_at")), "kept-rows")
-    own = numbered(docs)
+    """Keeps one row of each group of near copies (likeness 0.8 on five words): that of least id, null last, then of least number."""
+    since = written()
+    own = numbered(docs.select(*COLUMNS), "simhash-docs")
+    kept = materialise(simhash.near_duplicates(own, row_col="row_at").where("stays").select(F.col("row_at").alias("kept_at")), "kept-rows")
+    release(spark, since, (own, kept))
     return own.join(kept.hint("merge"), F.col("row_at") == F.col("kept_at"), "left_semi").select(*COLUMNS)
 
 
@@ -53,9 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, since = read(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, (docs,))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

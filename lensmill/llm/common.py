@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
-_WRITTEN: list[str] = []
+_WRITTEN: list[tuple[str, DataFrame]] = []
 
 #: Rows and bytes of a batch that Python works on at a time; Spark's own batches hold up to 64 MB.
 ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
@@ -33,22 +33,33 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lensmill/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((path, out))
+    return out
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with row_at, a row's number in the scan: the same whenever the same files are read, so df has to be a plain scan."""
-    return df.withColumn("row_at", F.monotonically_increasing_id())
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """df stored with row_at, a number of its own for each row. It is written once and read by all later scans, which cut
+    the files differently when executors come or go."""
+    return materialise(df.withColumn("row_at", F.monotonically_increasing_id()), tag)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what materialise() wrote; call it when no DataFrame built on it is still needed."""
+def written() -> int:
+    """How many tables materialise() has written and release() has left."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
+    """Deletes what materialise() wrote since written() was ``since``, but for the tables in keep, once nothing else needs it."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = hadoop(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    own, _WRITTEN[since:] = _WRITTEN[since:], []
+    for path, df in own:
+        if any(df is k for k in keep):
+            _WRITTEN.append((path, df))
+        else:
+            place = hadoop(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

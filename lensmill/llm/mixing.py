@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import materialise, numbered, running
+from lensmill.llm.common import materialise, numbered, release, running, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of a source that one task puts in order at a time.
@@ -124,17 +124,20 @@ def apply(
     """docs with each row as often as the mix takes it, range-sorted by each copy's own training position.
 
     The k-th copy lies k - 1 source sizes further on the tape than the first. The places are found without texts; then
-    texts are joined to them by row number and sorted, so docs is scanned twice, see numbered(). position_col names a
+    texts are joined to them by row number and sorted, so docs is stored with its numbers first. position_col names a
     column for the positions, if they are wanted.
     """
     columns, own = docs.columns, [f"c_{i}" for i in range(len(docs.columns))]
     id_at, text_at, source_at = (own[columns.index(c)] for c in (id_col, text_col, source_col))
-    docs = numbered(docs.toDF(*own))
+    since = written()
+    docs = numbered(docs.toDF(*own), "mix-docs")
     rows = docs.select(F.col(id_at).alias("doc_id"), F.col(source_at).cast("string").alias("source"), "row_at", *tape_key(id_at, text_at))
     rows = materialise(rows, "mix-sizes")
     goals = materialise(targets(rows, weights, max_repeats), "mix-targets")
     taken = laid_out(rows, goals, max_repeats).where("copies > 0").select(F.col("row_at").alias("taken_at"), "place", "middle", "source_size", "target", "copies")
-    copies = docs.join(materialise(taken, "mix-copies").hint("merge"), F.col("row_at") == F.col("taken_at")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    taken = materialise(taken, "mix-copies")
+    release(docs.sparkSession, since, (docs, taken))
+    copies = docs.join(taken.hint("merge"), F.col("row_at") == F.col("taken_at")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     share = (F.col("middle") + (F.col("copy") - 1) * F.col("source_size")) / F.col("target")
     out = copies.withColumn("position", inverse_demand(share, F.col("place"), schedules)).select(*own, "position", "copy")
     out = out.orderBy("position", id_at, "copy").select(*own, *["position"] * (position_col is not None))

@@ -134,27 +134,25 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row_at, mark, text: mark is a hash of the text."""
-    own = numbered(df).select(F.col(id_col).cast("long").alias("doc_id"), "row_at", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.withColumn("mark", F.xxhash64("text"))
+def _texts(df: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).alias("row_at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def set_fingerprints(texts: DataFrame) -> DataFrame:
-    """doc_id, row_at, mark, node, n_shingles, the prints and bands of every row of _texts(); no shuffle."""
+    """doc_id, row_at, node, n_shingles, the prints and bands of every row of _texts(); no shuffle."""
     names = ["node", "n_shingles", *prints_of(True)]
-    schema = pa.schema([*[(n, pa.int64()) for n in ["doc_id", "row_at", "mark", *names]], ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([*[(n, pa.int64()) for n in ["doc_id", "row_at", *names]], ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
             given, found, bands = [], [], []
-            for *row, text in rows_of(batch, "doc_id", "row_at", "mark", "text"):
+            for *row, text in rows_of(batch, "doc_id", "row_at", "text"):
                 own = shingle_set(text)
                 given.append(row)
                 found.append((set_node(own), len(own), *wide_fingerprint(own)))
                 bands.append(bands_of(own))
             values = np.array(found, np.uint64).reshape(-1, len(names)).astype(np.int64)
-            yield to_batch(schema, [*([r[k] for r in given] for k in range(3)), *values.T, bands])
+            yield to_batch(schema, [*([r[k] for r in given] for k in range(2)), *values.T, bands])
 
     return texts.mapInArrow(run, ", ".join(f"{n} bigint" for n in schema.names[:-1]) + ", bands array<bigint>")
 
@@ -441,25 +439,23 @@ def set_links(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def alike_links(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """a, b: a forest of the links of LIKENESS or more among each group of candidates(mark, node, n_shingles, root).
+    """a, b: a forest of the links of LIKENESS or more among each group of candidates(one_at, node, n_shingles, root).
 
-    Sets are made again from one text of each candidate. Groups beyond a block are dealt out as pairs of blocks, so
+    Sets are made again from one row's text of each candidate, so equal sets do not meet again. Groups beyond a block are dealt out as pairs of blocks, so
     none is capped.
     """
     sums = candidates.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / SET_ROWS), F.ceil(F.col("total") / SET_SHINGLES)).cast("int")
     placed = candidates.join(sums.select(F.col("root").alias("r"), blocks.alias("blocks")), F.col("root") == F.col("r"))
-    placed = placed.select(F.col("mark").alias("own_mark"), "node", "root", "blocks")
-    found = texts.join(placed.hint("merge"), F.col("mark") == F.col("own_mark")).select("node", "root", "blocks", "text")
+    placed = placed.select("one_at", "node", "root", "blocks")
+    found = texts.join(placed.hint("merge"), F.col("row_at") == F.col("one_at")).select("node", "root", "blocks", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
             rows = [[], [], [], []]
             for node, root, n, text in rows_of(batch, "node", "root", "blocks", "text"):
-                own = shingle_set(text)
-                if np.uint64(set_node(own)).astype(np.int64) == node:
-                    for column, value in zip(rows, (node, root, n, own.tobytes()), strict=True):
-                        column.append(value)
+                for column, value in zip(rows, (node, root, n, shingle_set(text).tobytes()), strict=True):
+                    column.append(value)
             yield to_batch(schema, rows)
 
     schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32()), ("own", pa.binary())])
@@ -469,7 +465,7 @@ def alike_links(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     dealt = sets.withColumn("block", block).select("root", "node", "own", F.explode(pairs).alias("xy")).select("root", "xy.x", "xy.y", "node", "own")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group, block pair and node; equal texts come several times."""
+        """Rows come sorted by group and block pair."""
         now, held = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -492,18 +488,22 @@ def alike_links(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     return grouped.mapInArrow(linked, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = NEAR_TAU, options: tuple[int, ...] = NEAR_PARTS, limit: int = NEAR_BITS) -> DataFrame:
-    """doc_id, row_at, fp, component_id, stays of every row, by links of LIKENESS or more; df is scanned twice, see numbered().
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = NEAR_TAU, options: tuple[int, ...] = NEAR_PARTS, limit: int = NEAR_BITS, row_col: str | None = None) -> DataFrame:
+    """doc_id, row_at, fp, component_id, stays of every row, by links of LIKENESS or more.
+
+    df is scanned twice. row_col names a column that numbers its rows, as numbered() stores it; without one, df is stored first.
 
     stays is true for one row of each component: that of least id (null last), then of least row_at.
     """
-    prints, texts = prints_of(True), _texts(df, id_col, text_col)
+    if row_col is None:
+        df, row_col = numbered(df.select(id_col, text_col), "simhash-docs"), "row_at"
+    prints, texts = prints_of(True), _texts(df, id_col, text_col, row_col)
     rows = materialise(set_fingerprints(texts), "simhash")
-    made = [F.first(F.struct("mark", "n_shingles", *prints, "bands")).alias("one")]
+    made = [F.first(F.struct("n_shingles", *prints, "bands")).alias("one")]
     distinct = materialise(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_at")).alias("least"), *made).select("node", "least", "one.*"), "simhash-fp")
     near = materialise(block_links(distinct.select("node", *prints, "bands"), tau, options, limit).distinct(), "simhash-near")
     group = smallest_reachable(near).withColumnRenamed("node", "reached")
-    candidates = distinct.join(group, F.col("node") == F.col("reached")).select("mark", "node", "n_shingles", "root")
+    candidates = distinct.join(group, F.col("node") == F.col("reached")).select(F.col("least.row_at").alias("one_at"), "node", "n_shingles", "root")
     links = materialise(alike_links(texts, materialise(candidates, "simhash-groups")).distinct(), "simhash-links")
     named = _named(rows, distinct, links, "row_at", "fp")
     return named.select("doc_id", "row_at", "fp", F.col("component_id.doc_id").alias("component_id"), (F.col("row_at") == F.col("component_id.row_at")).alias("stays"))

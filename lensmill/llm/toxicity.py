@@ -330,16 +330,18 @@ def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
 
 
 def sample(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """text, toxic, pick of at most max_docs labels of each value that are not held out, by a hash of the id.
+    """text, toxic, pick of at most max_docs ids of each label that are not held out, by a hash of the id.
 
-    The choice reads ids and labels only; the chosen ids (at most 2 * max_docs rows, so safe to broadcast) then pick
+    An id and label count once, however many rows and labels repeat them, and teach the least of its texts. The choice
+    reads ids and labels only; the chosen ids (at most 2 * max_docs rows, so safe to broadcast) then pick
     their texts in one scan without a shuffle of texts.
     """
     own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    own = own.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("pick"))
+    own = own.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("pick")).distinct()
     parts = [own.where(F.col("toxic") == v).orderBy("pick", "label_id").limit(max_docs) for v in (0, 1)]
     texts = documents.select("doc_id", "text")
-    return texts.join(F.broadcast(parts[0].unionAll(parts[1])), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "pick")
+    found = texts.join(F.broadcast(parts[0].unionAll(parts[1])), F.col("doc_id") == F.col("label_id"))
+    return found.groupBy("label_id", "toxic", "pick").agg(F.min("text").alias("text")).select("text", "toxic", "pick")
 
 
 def keep_clean(df: DataFrame, model: ToxicModel, limit: float = 0.5, text_col: str = "text") -> DataFrame:
