@@ -32,7 +32,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lensmill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN.append((path, out))
     return out
