@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,9 @@ from lensmill.functions import frames as rows
 from lensmill.operators import registry, sequences, vision
 from lensmill.plans import fixtures
 from lensmill.plans.fixtures import projected, table
+from lensmill.sources.stored import shared_folder
 from lensmill.streaming import capture
+from lensmill.streaming.ordered import stateful_session
 
 AS_OF_YEAR = 2026
 
@@ -432,29 +433,14 @@ def stream_throttle_gate(spark, sf_dir):
     folder = f"{shared_folder(spark)}/lensmill/frames-{uuid.uuid4().hex}"
     events = capture.events_of(judged(spark, sf_dir))
     events.write.parquet(f"{folder}/in")
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stages = capture.capture_stages(spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
-        run = stages.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
+    own = stateful_session(spark)
+    stages = capture.capture_stages(own.readStream.schema(events.schema).parquet(f"{folder}/in"))
+    run = stages.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
     own = spark.read.schema(stages.schema).parquet(f"{folder}/out")
     return own.select("session_id", "timestamp_ms", "stage", r6(F.col("stability_progress")).alias("stability_progress"))
 
 
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir where it is set, else a temporary folder in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="lensmill-")
-
-
 QUERIES = (
     g_geometry, g_bbox_and_domain, g_order_points, g_orientation, g_clamp, g_view_scale, guidance_flags, guidance_code, guidance_code_counts, face_geometry, face_guidance,
     quality_indicators, quality_score, mrz_fields, mrz_parse, ocr_fulltext, licence_parse, licence_categories, id_parse, extract_document, throttle, stability_gate, latest_state,

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lensmill.operators.sequences import tie_of
+
 OUTPUT = "session_id bigint, timestamp_ms bigint, stage string, stability_progress double"
 _STATE = "last_forwarded bigint, stage string, since bigint, latch boolean"
 #: What a control event does at equal times comes before frames.
@@ -58,7 +60,7 @@ class CaptureGate(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = ("last_forwarded", "stage", "since", "latch")
         state = dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else {"last_forwarded": 0, "stage": "idle", "since": None, "latch": False}
-        events = pd.concat(list(rows)).sort_values(["timestamp_ms", "order"], kind="stable")
+        events = pd.concat(list(rows)).sort_values(["timestamp_ms", "order", "event_id"], kind="stable")
         out = []
         for e in events.itertuples():
             before = state["stage"]
@@ -73,11 +75,11 @@ class CaptureGate(StatefulProcessor):
 
 
 def events_of(frames: DataFrame, controls: DataFrame | None = None) -> DataFrame:
-    """Frames (session_id, timestamp_ms, is_valid) and control events (…, kind) in one stream; controls go first at equal times."""
-    own = frames.select("session_id", "timestamp_ms", F.coalesce("is_valid", F.lit(False)).alias("is_valid"), F.lit(None).cast("string").alias("kind"), F.lit(1).alias("order"))
+    """Frames (session_id, timestamp_ms, is_valid) and control events (…, kind) in one stream; controls go first at equal times, frames by event_id."""
+    own = frames.select("session_id", "timestamp_ms", F.coalesce("is_valid", F.lit(False)).alias("is_valid"), F.lit(None).cast("string").alias("kind"), F.lit(1).alias("order"), tie_of(frames).alias("event_id"))
     if controls is None:
         return own
-    return own.unionByName(controls.select("session_id", "timestamp_ms", F.lit(False).alias("is_valid"), "kind", F.lit(0).alias("order")))
+    return own.unionByName(controls.select("session_id", "timestamp_ms", F.lit(False).alias("is_valid"), "kind", F.lit(0).alias("order"), F.lit(-1).cast("long").alias("event_id")))
 
 
 def capture_stages(events: DataFrame, window_ms: int = 1000, interval_ms: int = 66, keep_ms: int | None = None) -> DataFrame:
@@ -111,8 +113,8 @@ def replayed(events: DataFrame, window_ms: int = 1000, interval_ms: int = 66) ->
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    own = events.select("session_id", "timestamp_ms", "is_valid", "kind", "order")
-    return own.repartition("session_id").sortWithinPartitions("session_id", "timestamp_ms", "order").mapInArrow(run, OUTPUT)
+    own = events.select("session_id", "timestamp_ms", "is_valid", "kind", "order", "event_id")
+    return own.repartition("session_id").sortWithinPartitions("session_id", "timestamp_ms", "order", "event_id").mapInArrow(run, OUTPUT)
 
 
 def stable_captures(stages: DataFrame) -> DataFrame:
