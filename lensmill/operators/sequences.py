@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +162,7 @@ def throttle_in_blocks(frames: DataFrame, interval_ms: int = 66, session: str =
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for batch in [*batches, None]:
+        for batch in chained(batches, [None]):
             out = []
             rows = [] if batch is None else zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for part, name, t in rows:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from lensmill.operators.registry import DEFAULT_MODEL
 from lensmill.plans.oracles import FLAGGED, PIXELS, r6
-from lensmill.plans.streams import BEGIN, ONE_SESSION_SQL, PART, READING, SHUTTER, WINDOW
+from lensmill.plans.streams import ACTIVATIONS_SQL, BEGIN, ONE_SESSION_SQL, PART, READING, SHUTTER, WINDOW
 from lensmill.streaming.store import CLEARS, FIELDS, SETS
 
 
@@ -69,6 +70,26 @@ SELECT CAST(1 AS BIGINT) AS session_id, event_id, t AS timestamp_ms FROM walk JO
 SQL["motion_one_session"] = f"""{PIXELS}, b AS (SELECT *, lag(v) OVER (PARTITION BY x, y ORDER BY event_id) AS w FROM px)
 SELECT CAST(1 AS BIGINT) AS session_id, event_id, {r6("avg(coalesce(abs(v - w), 0)) / 255")} AS motion_score FROM b GROUP BY event_id"""
 
+_LOADS = f"""WITH RECURSIVE reg AS (SELECT DISTINCT 'm' || (p_partkey % 50) AS id FROM part), log AS ({ACTIVATIONS_SQL}),
+walk AS (
+  SELECT DISTINCT app_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS model_id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS began_ms, CAST(NULL AS BIGINT) AS ended_ms,
+    CAST(NULL AS VARCHAR) AS loaded, CAST(-1 AS BIGINT) AS ends, FALSE AS good, CAST(NULL AS VARCHAR) AS flying FROM log
+  UNION ALL
+  SELECT app_id, nth, seq, model_id, outcome, CASE WHEN outcome IN ('loaded', 'failed') THEN begins END AS began_ms, CASE WHEN outcome IN ('loaded', 'failed') THEN begins + load_ms END AS ended_ms,
+    CASE WHEN outcome IN ('loaded', 'failed') THEN at_begin ELSE before END AS loaded, CASE WHEN outcome IN ('loaded', 'failed') THEN begins + load_ms WHEN flies THEN ends ELSE -1 END AS ends,
+    CASE WHEN outcome IN ('loaded', 'failed') THEN succeeds ELSE good END AS good, CASE WHEN outcome IN ('loaded', 'failed') THEN model_id WHEN flies THEN flying END AS flying
+  FROM (
+    SELECT *, CASE WHEN NOT known THEN 'error' WHEN coalesce(before = model_id, FALSE) THEN 'noop' WHEN flies AND NOT good THEN 'rejected' WHEN flies AND flying = model_id THEN 'joined' WHEN succeeds THEN 'loaded' ELSE 'failed' END AS outcome,
+      CASE WHEN flies THEN ends ELSE started_ms END AS begins, CASE WHEN flies THEN CASE WHEN good THEN flying ELSE before END ELSE before END AS at_begin
+    FROM (
+      SELECT l.*, w.ends, w.good, w.flying, l.model_id IN (SELECT id FROM reg) AS known, w.ends > l.started_ms AS flies,
+        CASE WHEN w.flying IS NOT NULL AND w.good AND w.ends <= l.started_ms THEN w.flying ELSE w.loaded END AS before
+      FROM walk w JOIN log l ON l.app_id = w.app_id AND l.nth = w.nth + 1) looked) judged),
+runs AS (SELECT app_id, seq, model_id, outcome, began_ms, ended_ms FROM walk WHERE nth > 0)"""
+SQL["registry_loads"] = f"{_LOADS} SELECT * FROM runs"
+SQL["registry_loaded"] = f"""{_LOADS}, last_of AS (SELECT app_id, max_by(model_id, ended_ms) FILTER (outcome = 'loaded') AS loaded_id FROM runs GROUP BY app_id)
+SELECT app_id, coalesce(loaded_id, '') AS loaded_id, coalesce(loaded_id, '{DEFAULT_MODEL["id"]}') AS active_id, loaded_id IS NOT NULL AS is_loaded FROM last_of"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill.operators import sequences, vision
+from lensmill.operators import registry, sequences, vision
 from lensmill.plans import queries as plans
 from lensmill.plans.fixtures import projected
 from lensmill.plans.queries import r6
@@ -141,7 +141,24 @@ def motion_one_session(spark, sf_dir):
     return sequences.motion_in_blocks(own).select("session_id", "event_id", r6(F.col("motion_score")).alias("motion_score"))
 
 
-QUERIES = (stream_out_of_order, capture_loop, store_latest, stream_store, throttle_one_session, motion_one_session)
+ACTIVATIONS_SQL = """
+SELECT app_id, seq, nth, CAST((nth - 1 - (nth - 1) % 2) * 500 + CASE WHEN (nth - 1) % 2 = 0 THEN 0 WHEN seq % 3 = 0 THEN 600 ELSE 100 END AS BIGINT) AS started_ms, CAST(400 AS BIGINT) AS load_ms, seq % 5 <> 0 AS succeeds,
+  CONCAT('m', CAST(CASE WHEN seq % 4 < 2 THEN (nth - 1 - (nth - 1) % 2) % 6 ELSE (seq * 7) % 60 END AS VARCHAR(4))) AS model_id
+FROM (SELECT o_custkey % 100 AS app_id, o_orderkey AS seq, ROW_NUMBER() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS nth FROM orders) numbered_log"""
+
+
+def registry_loads(spark, sf_dir):
+    """Activations of which every second may start while the one before it is loading."""
+    return registry.loads(projected(spark, sf_dir, ACTIVATIONS_SQL), registry.latest_models(plans.registrations(spark, sf_dir)))
+
+
+def registry_loaded(spark, sf_dir):
+    """The model that each app has loaded at last, the one that it would activate, and whether that is loaded."""
+    own = registry.loaded_models(registry_loads(spark, sf_dir)).withColumn("active_id", F.coalesce("loaded_id", F.lit(registry.DEFAULT_MODEL["id"])))
+    return own.select("app_id", F.coalesce("loaded_id", F.lit("")).alias("loaded_id"), "active_id", registry.is_loaded(F.col("active_id"), F.col("loaded_id")).alias("is_loaded"))
+
+
+QUERIES = (stream_out_of_order, capture_loop, store_latest, stream_store, throttle_one_session, motion_one_session, registry_loads, registry_loaded)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
