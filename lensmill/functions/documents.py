@@ -78,17 +78,19 @@ def lines_from(lines: Column, wanted, count: int, clean) -> Column:
     return F.when(at > 0, F.array_join(F.filter(own, lambda x: x != ""), ", ")).otherwise("")
 
 
-def name_candidates(lines: Column, pattern: str, stop: str, order) -> Column:
+def name_candidates(lines: Column, pattern: str, stop: str, order, trim=lambda x: trimmed(x["text"])) -> Column:
     """Texts of upper lines that look like names, sorted by order(line), earlier lines first on ties."""
-    numbered = F.transform(lines, lambda x, i: F.struct(order(x).alias("k"), i.alias("i"), x["text"].alias("t"), x["y"].alias("y")))
-    fits = lambda x: (x["y"] < 0.55) & trimmed(x["t"]).rlike(pattern) & (F.length(x["t"]) >= 2) & ~F.upper(x["t"]).rlike(stop)
-    return F.transform(F.array_sort(F.filter(numbered, fits)), lambda x: x["t"])
+    numbered = lambda own: F.transform(own, lambda x, i: F.struct(order(x).alias("k"), i.alias("i"), x["text"].alias("t")))
+    fits = lambda x: (x["y"] < 0.55) & (F.length(x["text"]) >= 2) & trim(x).rlike(pattern) & ~F.upper(x["text"]).rlike(stop)
+    return F.transform(F.array_sort(numbered(F.filter(lines, fits))), lambda x: x["t"])
 
 
 def with_licence(df, text: str = "text", lines: str = "lines", as_of_year: int = 2026):
     """df with full_name, licence_number, date_of_birth, expiry_date, issue_date, address, categories, country, ok."""
     c = F.col
     rows = F.coalesce(c(lines), F.array().cast("array<struct<text:string,confidence:double,x:double,y:double,width:double,height:double>>"))
+    # Every search below looks at the trimmed texts.
+    rows = F.transform(rows, lambda x: F.struct(x["text"].alias("text"), x["y"].alias("y"), trimmed(x["text"]).alias("trim")))
     out = df.withColumns({"_u": F.upper(F.coalesce(c(text), F.lit(""))), "_l": rows})
     out = out.withColumns({"licence_number": licence_number(c("_u")), "_d": dates(c("_u"), LICENCE_DATE)})
     yy, mm, dd = (F.substring(c("licence_number"), a, 2) for a in (6, 8, 10))
@@ -98,7 +100,7 @@ def with_licence(df, text: str = "text", lines: str = "lines", as_of_year: int =
     corrected = F.when(month > 50, F.lpad((month - 50).cast("string"), 2, "0")).otherwise(mm)
     check = (c("licence_number") != "") & (born != "") & (yy != F.substring(born, 3, 2)) & F.substring(born, 1, 4).cast("int").between(1900, as_of_year)
     check = check & F.coalesce(number_at(corrected).between(1, 12), F.lit(False))
-    by_label = lambda n: line_after(c("_l"), lambda x: trimmed(x["text"]).rlike(f"^{n}\\.?\\s*$"))
+    by_label = lambda n: line_after(c("_l"), lambda x: x["trim"].rlike(f"^{n}\\.?\\s*$"))
     labelled = lambda n: F.regexp_extract(c("_u"), LABELLED.format(n=n), 1)
     prefix = F.regexp_replace(F.substring(c("licence_number"), 1, 5), "9+$", "")
     out = out.withColumns(
@@ -108,7 +110,7 @@ def with_licence(df, text: str = "text", lines: str = "lines", as_of_year: int =
             "expiry_date": F.when(F.size("_d") >= 2, last(c("_d"))).otherwise(""),
             "_s": F.coalesce(F.nullif(by_label(1), F.lit("")), F.nullif(labelled(1), F.lit("")), F.when(F.length(prefix) >= 3, prefix), F.lit("")),
             "_g": F.coalesce(F.nullif(by_label(2), F.lit("")), labelled(2)),
-            "_c": name_candidates(c("_l"), LICENCE_NAME, LICENCE_STOP, lambda x: x["y"]),
+            "_c": name_candidates(c("_l"), LICENCE_NAME, LICENCE_STOP, lambda x: x["y"], lambda x: x["trim"]),
         }
     )
     surname = F.when(c("_s") == "", nth(c("_c"), 0)).otherwise(c("_s"))
@@ -116,7 +118,7 @@ def with_licence(df, text: str = "text", lines: str = "lines", as_of_year: int =
     out = out.withColumns(
         {
             "full_name": joined([clean_field(given), clean_field(surname)]),
-            "address": lines_from(c("_l"), lambda x: trimmed(x["text"]).rlike("^8[.)\\s:]+"), 4, clean_field),
+            "address": lines_from(c("_l"), lambda x: x["trim"].rlike("^8[.)\\s:]+"), 4, clean_field),
             "categories": F.slice(F.array_distinct(F.regexp_extract_all(c("_u"), F.lit(CATEGORIES), F.lit(0))), 1, 12),
             "country": F.lit(COUNTRY),
         }

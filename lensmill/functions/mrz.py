@@ -86,12 +86,19 @@ def fixed_width(s: Column, width: int) -> Column:
     return F.rpad(s, width, "<")
 
 
-def block(text: Column) -> Column:
-    """struct<format, l1, l2, l3> of the first block by precedence of format, then place; null if there is none."""
-    lines = F.filter(F.transform(F.split(text, "\r?\n", -1), normal_line), lambda x: F.length(x) > 0)
+def normal_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\r?\n", -1), normal_line), lambda x: F.length(x) > 0)
+
+
+def block(lines: Column) -> Column:
+    """struct<format, l1, l2, l3> of the first block of normal_lines() by precedence of format, then place; null if there is none.
+
+    lines should be a column that is there, as every place looks at it. Texts with no line of a format's length are not searched.
+    """
+    shortest, longest = min(f[1] for f in FORMATS.values()), max(f[2] for f in FORMATS.values())
 
     def candidates(every: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(every), F.lit(1)))
+        places = F.filter(F.sequence(F.lit(1), F.size(every)), lambda i: F.length(F.element_at(every, i)).between(shortest, longest))
 
         def at(i: Column) -> Column:
             return bound(F.struct(*[F.try_element_at(every, i + k).alias(f"l{k}") for k in range(3)]), lambda o: of([o[f"l{k}"] for k in range(3)], i))
@@ -112,7 +119,7 @@ def block(text: Column) -> Column:
 
         return F.array_min(F.filter(F.transform(places, at), lambda x: x.isNotNull()))
 
-    return candidates(lines)
+    return F.when(F.exists(lines, lambda x: F.length(x).between(shortest, longest)), candidates(lines))
 
 
 def names(field: Column) -> tuple[Column, Column]:
@@ -124,15 +131,16 @@ def names(field: Column) -> tuple[Column, Column]:
 def with_mrz(df, text: str = "text", as_of_year: int = 2026):
     """df with ok, kind, format, valid_checks and the fields of FIELDS ('' where missing)."""
     c = F.col
-    out = df.withColumn("_b", block(F.coalesce(c(text), F.lit(""))))
+    out = df.withColumn("_n", normal_lines(F.coalesce(c(text), F.lit("")))).withColumn("_b", block(c("_n"))).drop("_n")
     td1 = c("_b.format") == "TD1"
     cut = lambda line, a, b: F.substring(c(f"_b.{line}"), a + 1, b - a)
     pick = lambda one, other: F.when(td1, one).otherwise(other)
+    found = lambda x: F.when(c("_b").isNotNull(), x)
     out = out.withColumns(
         {
-            "_doc": reconcile(pick(cut("l1", 5, 14), cut("l2", 0, 9)), pick(cut("l1", 14, 15), cut("l2", 9, 10)), 9),
-            "_dob": reconcile(pick(cut("l2", 0, 6), cut("l2", 13, 19)), pick(cut("l2", 6, 7), cut("l2", 19, 20)), 6),
-            "_exp": reconcile(pick(cut("l2", 8, 14), cut("l2", 21, 27)), pick(cut("l2", 14, 15), cut("l2", 27, 28)), 6),
+            "_doc": found(reconcile(pick(cut("l1", 5, 14), cut("l2", 0, 9)), pick(cut("l1", 14, 15), cut("l2", 9, 10)), 9)),
+            "_dob": found(reconcile(pick(cut("l2", 0, 6), cut("l2", 13, 19)), pick(cut("l2", 6, 7), cut("l2", 19, 20)), 6)),
+            "_exp": found(reconcile(pick(cut("l2", 8, 14), cut("l2", 21, 27)), pick(cut("l2", 14, 15), cut("l2", 27, 28)), 6)),
             "_names": pick(c("_b.l3"), F.substring(c("_b.l1"), 6, 100)),
         }
     )
