@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
-
-from pyspark.sql import DataFrame, SparkSession
+import json
+import os
+import shutil
+import uuid
+from collections.abc import Collection, Iterator
+from dataclasses import dataclass
+
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 # Declared once, never inferred.
 FRAME_SCHEMA = """session_id bigint, event_id bigint, timestamp_ms bigint, detected boolean, document_type string, confidence double,
@@ -72,28 +79,69 @@ def bundled_path(name: str, listed: Collection[str]) -> str:
     raise FileNotFoundError(f"no bundled model {name}")
 
 
-def write_image_files(images: DataFrame, folder: str) -> DataFrame:
-    """Rectified images as files, named by their ids, in a folder that all executors reach: image_id, path, written in parallel."""
+class ImageFiles(DataSource):
+    """The sink of write_image_files(): files of (image_id, content) in a folder that driver and executors mount."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lensmill_images"
+
+    def schema(self) -> str:
+        return "image_id bigint, content binary"
+
+    def writer(self, schema, overwrite: bool) -> ImageWriter:
+        return ImageWriter(self.options["path"].removeprefix("file://").rstrip("/"))
+
 
-    def run(batches):
-        import os
+@dataclass
+class WrittenPart(WriterCommitMessage):
+    partition: int
+    attempt: str
+    n_files: int
 
-        import pyarrow as pa
 
-        for batch in batches:
-            ids, paths = [], []
-            for image_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if content is None:
-                    continue
-                name = f"{folder.removeprefix('file://').rstrip('/')}/{image_id}.{'jpg' if content[:2] == bytes((255, 216)) else 'pgm' if content[:2] == b'P5' else 'ppm'}"
-                with open(f"{name}.part", "wb") as f:
+class ImageWriter(DataSourceWriter):
+    """Each attempt of a task fills a folder of its own beside the final ones. Committing renames one folder for each task, so
+    neither a task that fails nor one that runs twice leaves a file; aborting takes all of them away."""
+
+    def __init__(self, folder: str):
+        self.folder, self.job = folder, uuid.uuid4().hex
+        self.pending = f"{folder}/_pending-{self.job}"
+
+    def write(self, iterator: Iterator[Row]) -> WrittenPart:
+        context = TaskContext.get()
+        attempt = f"{context.partitionId()}-{context.taskAttemptId()}"
+        os.makedirs(f"{self.pending}/{attempt}")
+        n = 0
+        for image_id, content in iterator:
+            if content is not None:
+                kind = "jpg" if content[:2] == bytes((255, 216)) else "pgm" if content[:2] == b"P5" else "ppm"
+                with open(f"{self.pending}/{attempt}/{image_id}.{kind}", "wb") as f:
                     f.write(content)
-                os.replace(f"{name}.part", name)  # a task that is run again writes the same file
-                ids.append(image_id)
-                paths.append(f"file://{name}")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string())], names=["image_id", "path"])
+                n += 1
+        return WrittenPart(context.partitionId(), attempt, n)
+
+    def commit(self, messages: list[WrittenPart | None]) -> None:
+        os.makedirs(self.folder, exist_ok=True)
+        for m in messages:
+            if m is not None and m.n_files:
+                os.replace(f"{self.pending}/{m.attempt}", f"{self.folder}/part-{m.partition:05}-{self.job}")
+        shutil.rmtree(self.pending, ignore_errors=True)
+
+    def abort(self, messages: list[WrittenPart | None]) -> None:
+        shutil.rmtree(self.pending, ignore_errors=True)
+
 
-    return images.select(F.col("image_id").cast("long"), "content").mapInArrow(run, "image_id bigint, path string")
+def write_image_files(images: DataFrame, folder: str) -> DataFrame:
+    """Writes rectified images, now and once, as files named by their ids; returns image_id, path of all that the folder holds.
+
+    images: image_id, content (null: no file). The files of one call appear together, in one subfolder for each task.
+    """
+    spark = images.sparkSession
+    spark.dataSource.register(ImageFiles)
+    images.select(F.col("image_id").cast("long"), "content").write.format("lensmill_images").mode("append").option("path", folder).save()
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,pgm,ppm}").load(folder)
+    return own.select(F.regexp_extract("path", "(-?[0-9]+)[.][a-z]+$", 1).cast("long").alias("image_id"), "path")
 
 
 def write_images(images: DataFrame, path: str) -> None:
@@ -101,20 +149,44 @@ def write_images(images: DataFrame, path: str) -> None:
     images.select("image_id", "content").write.mode("append").parquet(path)
 
 
-def write_setting(spark: SparkSession, path: str, key: str, value: str) -> None:
-    """Appends a setting; the last one written counts."""
-    now = F.unix_micros(F.current_timestamp())
-    spark.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"), now.alias("at")).write.mode("append").parquet(path)
+def _settings(spark: SparkSession, path: str):
+    """The file that holds the settings, in a folder, and how to reach it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    own = hadoop.Path(f"{path.rstrip('/')}/settings.json")
+    return own, hadoop.FileContext.getFileContext(own.toUri(), spark._jsc.hadoopConfiguration()) if own.toUri().getScheme() else hadoop.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
 
 
-def read_setting(spark: SparkSession, path: str, key: str, default: str | None = None) -> str | None:
-    from pyspark.errors import AnalysisException
+def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
+    own, files = _settings(spark, path)
+    if not files.util().exists(own):
+        return {}
+    stream = files.open(own)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
+
+def write_setting(spark: SparkSession, path: str, key: str, value: str) -> None:
+    """Sets a key; the table of all keys is one file, replaced in one step, so a reader sees it before or after. One writer at a time."""
+    own, files = _settings(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    text = json.dumps(read_settings(spark, path) | {key: value}, sort_keys=True)
+    files.mkdir(own.getParent(), None, True)
+    new = hadoop.Path(own.getParent(), f"_settings-{uuid.uuid4().hex}.json")
+    create, gateway = getattr(hadoop, "CreateFlag"), spark.sparkContext._gateway
+    stream = files.create(new, spark._jvm.java.util.EnumSet.of(create.CREATE), gateway.new_array(getattr(hadoop, "Options$CreateOpts"), 0))
     try:
-        own = spark.read.parquet(path).where(F.col("key") == key).agg(F.max_by("value", "at").alias("v")).first()
-    except AnalysisException:
-        return default
-    return default if own is None or own.v is None else own.v
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    how = gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    files.rename(new, own, how)
+
+
+def read_setting(spark: SparkSession, path: str, key: str, default: str | None = None) -> str | None:
+    return read_settings(spark, path).get(key, default)
 
 
 def start_lines(captures: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def test_models_and_idle(spark):
 def test_sinks(spark, tmp_path):
     own = spark.createDataFrame([(1, bytearray(b"P5\n1 1\n255\nx")), (2, None)], "image_id bigint, content binary")
     found = media.write_image_files(own, str(tmp_path)).collect()
-    assert [r.image_id for r in found] == [1] and (tmp_path / "1.pgm").read_bytes().endswith(b"x")
+    assert [r.image_id for r in found] == [1] and open(found[0].path.removeprefix("file:"), "rb").read().endswith(b"x")
     stages = spark.createDataFrame([(1, 5, "capturing", 1.0), (2, 6, "capturing", 1.0), (3, 7, "idle", 0.0)], capture.OUTPUT)
     seen = []
     sink = capture.capture_sink(lambda shots: shots.withColumn("success", F.col("session_id") == 1), f"{tmp_path}/r", f"{tmp_path}/c", lambda rows, k: seen.append((k, rows.count())))
