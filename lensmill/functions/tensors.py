@@ -45,18 +45,19 @@ def classify(logits: Column, labels=LABELS, least: float = 0.6) -> Column:
     return F.struct(label.alias("label"), p.alias("confidence"), F.when(p >= least, label).otherwise("GENERIC").alias("trusted"))
 
 
-def ctc(steps: Column, charset: Column, classes: int) -> Column:
+def ctc(steps: Column, charset: Column, classes: int, profile: str = "android") -> Column:
     """struct<text, confidence> of array<array<float>> steps: greedy, repeats collapsed, class 0 blank.
 
-    Class i is charset[i - 1]; the last class beyond the charset is a space, others beyond it are dropped.
+    Class i is charset[i - 1]; classes beyond the charset are dropped, but for the last one, which android reads as a space.
     """
-    return collapsed(F.transform(steps, lambda s: F.struct(argmax(s).alias("k"), winner_probability(s).alias("p"))), charset, F.lit(classes))
+    return collapsed(F.transform(steps, lambda s: F.struct(argmax(s).alias("k"), winner_probability(s).alias("p"))), charset, F.lit(classes), profile)
 
 
-def collapsed(best: Column, charset: Column, classes: Column) -> Column:
+def collapsed(best: Column, charset: Column, classes: Column, profile: str = "android") -> Column:
     """ctc() from the best class k and its probability p of each step."""
     fresh = F.filter(best, lambda b, i: (b["k"] != 0) & ((i == 0) | (b["k"] != F.get(best, i - 1)["k"])))
-    spelled = F.transform(fresh, lambda b: F.struct(F.coalesce(F.get(charset, b["k"] - 1), F.when(b["k"] == classes - 1, " ")).alias("c"), b["p"].alias("p")))
+    beyond = lambda k: F.when(k == classes - 1, " ") if profile == "android" else F.lit(None).cast("string")
+    spelled = F.transform(fresh, lambda b: F.struct(F.coalesce(F.get(charset, b["k"] - 1), beyond(b["k"])).alias("c"), b["p"].alias("p")))
     kept = F.filter(spelled, lambda b: b["c"].isNotNull())
     total = F.aggregate(kept, F.lit(0.0), lambda acc, b: acc + b["p"])
     return F.struct(F.array_join(F.transform(kept, lambda b: b["c"]), "").alias("text"), F.when(F.size(kept) > 0, total / F.size(kept)).otherwise(0.0).alias("confidence"))

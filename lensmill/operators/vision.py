@@ -176,9 +176,15 @@ def onnx_model(version: str, content: bytes, named: bool = False) -> Model:
         out = own.run(None, {own.get_inputs()[0].name: x})
         return {o.name: v for o, v in zip(own.get_outputs(), out, strict=True)} if named else out
 
+    run.input_size = lambda height, width: input_size(version, content, height, width)
     return run
 
 
+def declared_size(model: Model, height: int, width: int) -> tuple[int, int]:
+    """What a model says of its input (an attribute input_size, as onnx_model sets it), or the defaults."""
+    return model.input_size(height, width) if hasattr(model, "input_size") else (height, width)
+
+
 def static_size(shape: list, height: int, width: int) -> tuple[int, int]:
     """Input height and width that a model declares, or the defaults where it leaves them open."""
     fixed = [n if isinstance(n, int) and n > 0 else None for n in [*shape, None, None, None, None][2:4]]
@@ -300,10 +306,11 @@ def document_frames(images: DataFrame, detector: Model | None, classifier: Model
     return frames.document_row(moved.withColumnsRenamed({"found": "detected", "width": "frame_width", "height": "frame_height"}))
 
 
-def faces_of(images: DataFrame, model: Callable[[np.ndarray], Mapping[str, np.ndarray]], size: int = FACE_SIZE, least: float = 0.7, carry: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def faces_of(images: DataFrame, model: Callable[[np.ndarray], Mapping[str, np.ndarray]], size: int = FACE_SIZE, least: float = 0.7, carry: tuple[str, ...] = ("image_id",), profile: str = "android") -> DataFrame:
     """Carried columns, measures, thumbnail and cells: the raw values of the grid cells whose score reaches ``least``.
 
     The model gives cls_s, obj_s, bbox_s and kps_s for each stride s of 8, 16, 32. Few cells pass, so only those leave Python.
+    Where one of the four is missing, android finds no face in the image, ios none of that stride.
     """
     cell = "struct<cls:double,obj:double,bbox:array<double>,kps:array<double>,grid_row:int,grid_col:int,stride:int>"
 
@@ -312,6 +319,8 @@ def faces_of(images: DataFrame, model: Callable[[np.ndarray], Mapping[str, np.nd
         found = []
         for stride in STRIDES:
             columns = size // stride
+            if profile == "ios" and not all(np.size(out.get(f"{n}_{stride}", ())) for n in ("cls", "obj", "bbox", "kps")):
+                continue
             cls, obj, bbox, kps = (np.asarray(out[f"{n}_{stride}"], np.float64).reshape(columns * columns, -1) for n in ("cls", "obj", "bbox", "kps"))
             score = np.sqrt(np.clip(cls[:, 0], 0, 1) * np.clip(obj[:, 0], 0, 1))
             for k in np.flatnonzero(score >= least).tolist():
@@ -333,10 +342,10 @@ def faces_of(images: DataFrame, model: Callable[[np.ndarray], Mapping[str, np.nd
     return _in_batches(images, f"{MEASURES}, thumb_width int, thumb_height int, gray binary, cells array<{cell}>", work, carry)
 
 
-def face_frames(images: DataFrame, model: Callable | None, size: int = FACE_SIZE) -> DataFrame:
+def face_frames(images: DataFrame, model: Callable | None, size: int = FACE_SIZE, profile: str = "android") -> DataFrame:
     """Face frame rows of camera images: the best face that survives suppression, measures, motion. See document_frames()."""
     empty = {f"{n}_{s}": np.zeros(((size // s) ** 2, k)) for s in STRIDES for n, k in (("cls", 1), ("obj", 1), ("bbox", 4), ("kps", 10))}
-    own = faces_of(images.select(*_KEYS, *_IMAGE), model or (lambda x: empty), size, carry=_KEYS)
+    own = faces_of(images.select(*_KEYS, *_IMAGE), model or (lambda x: empty), size, carry=_KEYS, profile=profile)
     decoded = F.transform("cells", lambda c: tensors.face_cell(c["cls"], c["obj"], c["bbox"], c["kps"], c["grid_row"], c["grid_col"], c["stride"]))
     own = own.withColumn("best", tensors.best_face(decoded))
     own = own.withColumn("face", frames.face_output(F.col("best"), F.col("width"), F.col("height"), size)).drop("cells", "best", "error")
@@ -354,25 +363,41 @@ def best_classes(steps: np.ndarray) -> list[dict]:
     return [{"k": int(a), "p": float(b)} for a, b in zip(k, p, strict=True)]
 
 
-def recognised(crop: np.ndarray, model: Model, height: int = 48, most: int = 2000) -> tuple[list[dict], int]:
-    """Best class of each step of a line, and the number of classes."""
-    width = int(np.clip(int(height * crop.shape[1] / max(1, crop.shape[0])), 1, most))
+#: The widest line that a recogniser is given.
+WIDEST = {"android": 320, "ios": 1600}
+
+
+def recognised(crop: np.ndarray, model: Model, profile: str = "android") -> tuple[list[dict], int]:
+    """Best class of each step of a line, and the number of classes. The line is brought to the height that the model declares."""
+    height, _ = declared_size(model, 48, 320)
+    width = height * crop.shape[1] / max(1, crop.shape[0])
+    width = int(np.clip(int(width) if profile == "android" else int(width + 0.5), 1, WIDEST[profile]))
     out = model(pixels.tensor(pixels.bilinear(crop, width, height), HALF, HALF))[0]
     return (best_classes(out[0].astype(np.float64)), out.shape[2]) if out.ndim == 3 else ([], 0)
 
 
-def turned_upright(crop: np.ndarray, model: Model) -> tuple[np.ndarray, bool]:
+def direction_input(crop: np.ndarray, height: int, width: int, profile: str = "android") -> np.ndarray:
+    """The crop at the direction model's size: android stretches it, ios keeps its shape, at the left of a black canvas."""
+    if profile == "android":
+        return pixels.bilinear(crop, width, height)
+    own = min(width, max(1, -(-height * crop.shape[1] // max(1, crop.shape[0]))))
+    canvas = np.zeros((height, width, *crop.shape[2:]), crop.dtype)
+    canvas[:, :own] = pixels.bilinear(crop, own, height)
+    return canvas
+
+
+def turned_upright(crop: np.ndarray, model: Model, profile: str = "android") -> tuple[np.ndarray, bool]:
     """The crop, by 180 degrees where class 1 beats class 0."""
-    scores = np.ravel(model(pixels.tensor(pixels.bilinear(crop, 192, 48), HALF, HALF))[0])
+    scores = np.ravel(model(pixels.tensor(direction_input(crop, *declared_size(model, 48, 192), profile), HALF, HALF))[0])
     turned = len(scores) > 1 and bool(scores[1] > scores[0])
     return (np.ascontiguousarray(crop[::-1, ::-1]) if turned else crop), turned
 
 
-def upright(crops: DataFrame, model: Model) -> DataFrame:
+def upright(crops: DataFrame, model: Model, profile: str = "android") -> DataFrame:
     """Turns a crop by 180 degrees where class 1 beats class 0: image_id, content, turned."""
 
     def work(row: dict) -> tuple:
-        image, turned = turned_upright(pixels.decode(row["content"]), model)
+        image, turned = turned_upright(pixels.decode(row["content"]), model, profile)
         return pixels.encode(image), turned
 
     return _in_batches(crops, "content binary, turned boolean", _each(work), ("image_id",))
@@ -403,8 +428,8 @@ def capture_texts(photos: DataFrame, models: Mapping[str, Model | None], charset
         image = rectify(pixels.decode(row["content"]), row["quad"], profile)
         lines = []
         for quad in boxes(image):
-            crop, _ = turned_upright(pixels.text_crop(image, quad, profile), direction)
-            steps, classes = recognised(crop, recogniser)
+            crop, _ = turned_upright(pixels.text_crop(image, quad, profile), direction, profile)
+            steps, classes = recognised(crop, recogniser, profile)
             low, high = np.clip(quad.min(axis=0), 0, image.shape[1::-1]), np.clip(quad.max(axis=0), 0, image.shape[1::-1])
             box = np.concatenate([low, high - low]) / np.tile(image.shape[1::-1], 2)
             lines.append({"steps": steps, "classes": classes, **dict(zip(("x", "y", "width", "height"), box.tolist(), strict=True))})
@@ -415,7 +440,7 @@ def capture_texts(photos: DataFrame, models: Mapping[str, Model | None], charset
     symbols = F.array(*map(F.lit, charset))
 
     def spelled(r: Column) -> Column:
-        read = tensors.collapsed(r["steps"], symbols, r["classes"])
+        read = tensors.collapsed(r["steps"], symbols, r["classes"], profile)
         return F.struct(read["text"].alias("text"), read["confidence"].alias("confidence"), *[r[k].alias(k) for k in ("x", "y", "width", "height")])
 
     own = own.withColumn("lines", F.transform(F.coalesce("raw", F.array().cast(f"array<{line}>")), spelled)).drop("raw")

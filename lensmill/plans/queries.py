@@ -234,6 +234,13 @@ def ctc_decode(spark, sf_dir):
     return v.select("vec_id", F.col("c.text").alias("text"), r6(F.col("c.confidence")).alias("confidence"))
 
 
+def ctc_decode_ios(spark, sf_dir):
+    """The same without a space: the class beyond the charset is dropped."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("embedding", t * 8 + 1, 8))
+    v = _vectors(spark, sf_dir).withColumn("c", tensors.ctc(steps, F.array(*map(F.lit, CHARSET)), 8, "ios"))
+    return v.select("vec_id", F.col("c.text").alias("text"), r6(F.col("c.confidence")).alias("confidence"))
+
+
 def face_decode(spark, sf_dir):
     """64 values as a 2x2 grid of stride 32, 16 values a cell: every cell's face, before suppression."""
     v = _vectors(spark, sf_dir)
@@ -444,7 +451,7 @@ def stream_throttle_gate(spark, sf_dir):
 QUERIES = (
     g_geometry, g_bbox_and_domain, g_order_points, g_orientation, g_clamp, g_view_scale, guidance_flags, guidance_code, guidance_code_counts, face_geometry, face_guidance,
     quality_indicators, quality_score, mrz_fields, mrz_parse, ocr_fulltext, licence_parse, licence_categories, id_parse, extract_document, throttle, stability_gate, latest_state,
-    asof_quad, heatmap_decode, class_softmax, ctc_decode, face_decode, nms, registry_latest, model_version, registry_active, registry_activations,
+    asof_quad, heatmap_decode, class_softmax, ctc_decode, ctc_decode_ios, face_decode, nms, registry_latest, model_version, registry_active, registry_activations,
     pix_quality, pix_motion, capture_replay, capture_replay_face, stream_throttle_gate, scan_frames, scan_frames_heatmap, scan_faces, read_captures, g_landmark_orientation, shown_labels,
 )
 

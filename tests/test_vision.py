@@ -104,6 +104,36 @@ def test_reading_order(spark):
     assert texts("android") == ["top", "a", "b"] and texts("ios") == [" ", "top", "b", "a"]
 
 
+def test_sizes_and_profiles(spark):
+    """Lines and direction inputs by the declared size and the profile; a face output that is missing."""
+    seen = []
+
+    def model(x):
+        seen.append(x.shape[2:])
+        return [np.zeros((1, 3, 4), np.float32)]
+
+    wide = np.full((10, 100), 200, np.uint8)
+    for profile, width in (("android", 320), ("ios", 480)):
+        vision.recognised(wide, model, profile)
+        assert seen.pop() == (48, width)
+    model.input_size = lambda height, width: (32, width)
+    vision.recognised(wide[:, :11], model, "android")
+    vision.recognised(wide[:, :17], model, "ios")
+    assert seen == [(32, 35), (32, 54)]
+    stretched, padded = (vision.direction_input(wide[:, :15], 48, 192, p) for p in ("android", "ios"))
+    assert stretched.shape == padded.shape == (48, 192) and stretched.min() == 200 and padded[:, :72].min() == 200 and padded[:, 72:].max() == 0
+
+    def partial(x):
+        out = {f"{n}_{s}": np.zeros(((64 // s) ** 2, k)) for s in (8, 16, 32) for n, k in (("cls", 1), ("obj", 1), ("bbox", 4), ("kps", 10))}
+        out["cls_16"][5] = out["obj_16"][5] = 1.0
+        del out["kps_32"]
+        return out
+
+    given = images(spark, (30, 20, 30, "yuv", "up", False, bytearray(bytes([90]) * 600)))
+    found = {p: vision.face_frames(given, partial, 64, p).first().detected for p in ("android", "ios")}
+    assert found == {"android": False, "ios": True}
+
+
 def test_models_and_idle(spark):
     read = lambda path: (_ for _ in ()).throw(FileNotFoundError(path)) if "gone" in path else path.encode()
     paths = {n: n for n in vision.REQUIRED} | {"classifier": "gone"}
