@@ -12,12 +12,18 @@ offset, so windows need comparing only if their suffixes share a gram. One suffi
    bucket is sorted by multikey quicksort. Of suffixes with equal context all but the first are settled: their
    windows repeat. Contexts that differ under one gram are open; a gram that reaches a bucket's boundary counts as
    open too, which compares it across the boundary.
-3. The windows of open suffixes are hashed one by one (96 bits) and partitioned by hash; all but the first repeat.
+3. The windows of open suffixes are hashed one by one (96 bits). Of a chunk's equal windows only the first is partitioned by
+   hash, so a passage that a third of all documents share reaches its bucket once a chunk; there all but the first repeat.
 4. The repeats of each document are merged and cut out.
 
 Work and volume grow linearly with the text, whatever the groups of copies. Texts are shuffled only for documents
 with open suffixes (step 3) and documents cut in part (step 4); their ids are broadcast to filter the scan while
-there are at most BROADCAST_IDS of them, beyond that the join itself does it.
+there are at most BROADCAST_IDS of them, beyond that the join itself does it. A bucket stands for BUCKET_BYTES of text
+at most, so that more text means more buckets and not larger ones. If ids repeat or are null, texts are numbered and stored
+once before step 1.
+
+Equality is judged by hashes. Among g distinct contexts of one gram and lead two agree by chance with some g^2 / 2^65: 3e-8
+for a million of them. Among n open windows it is n^2 / 2^97: 6e-12 for a billion.
 
 Defined results: null text is empty; texts under 100 bytes lose nothing; rows that repeat an id and its text are one
 document and get the same result; rows that repeat an id with different texts are ordered by the text's SHA-256;
@@ -42,6 +48,7 @@ LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
 PIECE, CHUNK = 1 << 20, 8 << 20
 BROADCAST_IDS = 2_000_000
+BUCKET_BYTES = 128 << 20
 LAST_ID = (1 << 63) - 1
 #: Kinds of rows between steps: a settled run, an open one, packed suffixes or windows, packed settled runs.
 SETTLED, OPEN, PACKED, RUNS = 0, 1, 2, 3
@@ -239,6 +246,7 @@ def _bucket_of(words: list[np.ndarray], cuts: np.ndarray) -> np.ndarray:
 
 def _splitters(docs: DataFrame, buckets: int, n_docs: int, sample_docs: int = 400) -> np.ndarray:
     """Quantiles of the suffixes of some sample_docs documents, chosen by a hash of the key."""
+    sample_docs = max(sample_docs, buckets // 8)
     some = docs.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(max(1, n_docs // sample_docs))) == 0)
 
     def run(batches):
@@ -247,8 +255,9 @@ def _splitters(docs: DataFrame, buckets: int, n_docs: int, sample_docs: int = 40
             pick = np.linspace(0, len(lead) - 1, min(len(lead), 4000)).astype(int)
             yield pa.RecordBatch.from_arrays([pa.array(w[pick].astype(np.int64)) for w in words], names=["lead", "gram", "context"])
 
-    # Bounded: sample_docs documents in expectation, 4000 suffixes of each chunk; beyond that those of least context hash.
-    found = some.mapInArrow(run, "lead bigint, gram bigint, context bigint").orderBy("context", "gram", "lead").limit(200_000).toPandas()
+    # Bounded: sample_docs documents in expectation, 4000 suffixes of each chunk; beyond `most` those of least context hash.
+    most = max(200_000, 5 * buckets)
+    found = some.mapInArrow(run, "lead bigint, gram bigint, context bigint").orderBy("context", "gram", "lead").limit(most).toPandas()
     own = np.empty(len(found), _WORDS)
     for name in ("lead", "gram", "context"):
         own[name] = found[name].to_numpy().astype(np.uint64)
@@ -287,6 +296,23 @@ def _packed_row(bucket: int, blob: bytes, kind: int = PACKED) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int8()), empty, empty, empty, pa.array([blob], pa.binary())], names=["bucket", "kind", "key", "first", "last", "blob"])
 
 
+def _neighbours(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows as runs of neighbours in one document: key, first start, windows after it (at most 255, as runs are packed)."""
+    order = np.lexsort((start, key))
+    key, start = key[order], start[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (np.diff(start) != 1)])
+    place = np.arange(len(key))
+    new |= (place - np.flatnonzero(new)[np.cumsum(new) - 1]) % 256 == 0
+    heads = np.flatnonzero(new)
+    return key[heads], start[heads], np.diff(np.append(heads, len(key))) - 1
+
+
+def _settled_row(key: np.ndarray, first: np.ndarray, after: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Settled runs, packed, in any bucket."""
+    spot = int(_mixed(key[:1].astype(np.uint64))[0] % _U(buckets))
+    return _packed_row(spot, _packed((key.astype(np.uint64), first, after), RUN_WIDTHS), RUNS)
+
+
 _DDL = "bucket int, kind byte, key bigint, first bigint, last bigint, blob binary"
 
 
@@ -300,8 +326,7 @@ def _listed(docs: DataFrame, cuts: np.ndarray) -> DataFrame:
             rest = order[later]
             if len(rest):
                 rest = rest[np.lexsort((first[rest], key[rest]))]
-                spot = int(_mixed(key[rest[:1]].astype(np.uint64))[0] % _U(len(cuts) + 1))
-                yield _packed_row(spot, _packed((key[rest].astype(np.uint64), first[rest], last[rest] - first[rest]), RUN_WIDTHS), RUNS)
+                yield _settled_row(key[rest], first[rest], last[rest] - first[rest], len(cuts) + 1)
             order = order[new]
             bucket = _bucket_of([w[order] for w in words], cuts)
             for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1):
@@ -356,17 +381,18 @@ def _compared(cuts: np.ndarray):
 
 
 def _windows(asked: DataFrame, buckets: int) -> DataFrame:
-    """Step 3, first half: hashes of the open windows, packed by bucket of the hash."""
+    """Step 3, first half: hashes of the open windows, equal ones of a chunk once, packed by bucket of the hash."""
 
     def run(batches):
         held, n = [], 0
 
         def blobs():
-            h, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
-            bucket = ((h >> _U(40)) * _U(buckets)) >> _U(24)
-            order = np.argsort(bucket, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                yield _packed_row(int(bucket[part[0]]), _packed((h[part], *(c[part] for c in rest)), WINDOW_WIDTHS))
+            own, again = _told_apart(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            if len(again[0]):
+                yield _settled_row(*_neighbours(*again), buckets)
+            bucket = ((own[0] >> _U(40)) * _U(buckets)) >> _U(24)
+            for part in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
+                yield _packed_row(int(bucket[part[0]]), _packed(tuple(c[part] for c in own), WINDOW_WIDTHS))
 
         for batch in short(batches):
             for key, text, runs in rows_of(batch, "key", "text", "runs"):
@@ -388,15 +414,22 @@ def _windows(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.mapInArrow(run, _DDL)
 
 
+def _told_apart(*columns: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
+    """Of windows (two hashes, key, start): the first of each equal ones, by hash; key and start of those that repeat it."""
+    order = multikey_order(list(columns))
+    h, other, key, start = (c[order] for c in columns)
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1])])
+    again = _later(new, key, start)
+    return (h[new], other[new], key[new], start[new]), (key[again], start[again])
+
+
 def _repeated(bucket: int, blobs: list[bytes]):
     """Step 3, second half: all but the first of equal windows."""
-    h, other, key, start = (np.concatenate(c) for c in zip(*(_unpacked(b, WINDOW_WIDTHS) for b in blobs), strict=True))
-    key, start = key.astype(np.int64), start.astype(np.int64)
-    order = multikey_order([h, other, key, start])
-    h, other = h[order], other[order]
-    again = order[_later(np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1])]), key[order], start[order])]
-    if len(again):
-        yield _repeat_rows(SETTLED, key[again], start[again], start[again])
+    columns = [np.concatenate(c) for c in zip(*(_unpacked(b, WINDOW_WIDTHS) for b in blobs), strict=True)]
+    _, (key, start) = _told_apart(*columns)
+    if len(key):
+        key, first, after = _neighbours(key.astype(np.int64), start.astype(np.int64))
+        yield _repeat_rows(SETTLED, key, first, first + after)
 
 
 def _texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -421,19 +454,21 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("least", F.coalesce("doc_id", F.lit(LAST_ID)))
     rows = materialise(base.select("doc_id", "least", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-rows")
-    distinct = rows.select("least", "sha").distinct()
-    counts = distinct.agg(F.count("*").alias("n"), F.countDistinct("least").alias("ids")).first()
+    distinct = rows.select("least", "sha", "n_bytes").distinct()
+    counts = distinct.agg(F.count("*").alias("n"), F.countDistinct("least").alias("ids"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
     if counts.n == counts.ids:
         docs, keyed = base.select(F.col("least").alias("key"), "text"), rows.withColumn("key", F.col("least"))
     else:
         ranks = materialise(running(distinct, ["least", "sha"], {}, "suffix-ranks").withColumnRenamed("nth", "key"), "suffix-keys").select(F.col("least").alias("l"), F.col("sha").alias("s"), "key")
         docs = base.join(ranks, (F.col("least") == F.col("l")) & (F.sha2("text", 256) == F.col("s"))).select("key", "text")
+        docs = materialise(docs, "suffix-docs")
         keyed = rows.join(ranks, (F.col("least") == F.col("l")) & (F.col("sha") == F.col("s"))).drop("l", "s")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _splitters(docs, 3 * parts, counts.n)
+    buckets = max(3 * parts, -(-counts.bytes // BUCKET_BYTES))
+    cuts = _splitters(docs, buckets, counts.n)
     compared = materialise(_by_bucket(_listed(docs, cuts), parts, _compared(cuts)), "suffix-compared")
     asked = compared.where(F.col("kind") == OPEN).groupBy(F.col("key").alias("list_key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    windows = _windows(_texts_of(docs, materialise(asked, "suffix-asked")).select("key", "text", "runs"), 3 * parts)
+    windows = _windows(_texts_of(docs, materialise(asked, "suffix-asked")).select("key", "text", "runs"), buckets)
     again = materialise(_by_bucket(windows, parts, _repeated), "suffix-windows")
     settled = [x.where(F.col("kind") == SETTLED).select("key", "first", "last") for x in (compared, again)]
     runs = settled[0].unionAll(settled[1]).groupBy(F.col("key").alias("list_key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
