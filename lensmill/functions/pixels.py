@@ -178,13 +178,14 @@ def text_crop(image: np.ndarray, quad: np.ndarray, profile: str = "android") ->
     return np.ascontiguousarray(np.rot90(out)) if profile == "ios" and out.shape[0] >= 1.5 * out.shape[1] else out
 
 
-def labels_of(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """8-connected components of a mask, numbered from 1 in order of their first pixel: least labels spread until stable."""
+def labels_of(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
+    """Connected components of a mask, numbered from 1 in order of their first pixel: least labels spread until stable."""
     h, w = mask.shape
+    near = [(dy, dx) for dy in range(3) for dx in range(3) if diagonal or 1 in (dy, dx)]
     own = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), h * w + 1)
     while True:
         p = np.pad(own, 1, constant_values=h * w + 1)
-        least = np.minimum.reduce([p[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)])
+        least = np.minimum.reduce([p[dy : dy + h, dx : dx + w] for dy, dx in near])
         least = np.where(mask, least, h * w + 1)
         jumped = np.where(mask, least.ravel()[np.minimum(least, h * w) - 1], h * w + 1)
         if np.array_equal(jumped, own):
@@ -218,20 +219,93 @@ def polygon_area(p: np.ndarray) -> float:
     return float(abs((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum()) / 2) if len(p) > 2 else 0.0
 
 
+def outline(region: np.ndarray) -> np.ndarray:
+    """Border pixels (x, y) of a connected region, walked clockwise until the first step comes again."""
+    m = np.pad(region, 1)
+    w = m.shape[1]
+    cells = m.tobytes()
+    steps = (1, w + 1, w, w - 1, -1, -w - 1, -w, 1 - w)
+    start = at = int(np.flatnonzero(m)[0])
+    found, heading, first = [], 0, None
+    while True:
+        # The pixel walked from lies at heading + 4: the next one clockwise from there keeps the outside to the left.
+        turn = next((d % 8 for d in range(heading + 5, heading + 13) if cells[at + steps[d % 8]]), None)
+        if turn is None or (at == start and turn == first):
+            break
+        found.append(at)
+        first = turn if first is None else first
+        at, heading = at + steps[turn], turn
+    at = np.array(found or [start])
+    return np.stack([at % w - 1, at // w - 1], axis=1)
+
+
+def outlines(mask: np.ndarray, least: float = 0.0, holes: bool = True) -> list[np.ndarray]:
+    """Outlines of a mask's components and of the holes in them, which run over the pixels around the hole.
+
+    Those whose bounding box is smaller than ``least`` are left out, as no area in them can reach it.
+    """
+    h, w = mask.shape
+    out = []
+    for own, hole in ((mask, False), (~mask, True))[: 2 if holes else 1]:
+        numbered, n = labels_of(own, diagonal=not hole)
+        ys, xs = np.nonzero(numbered)
+        label = numbered[ys, xs]
+        lo, hi = np.full((n + 1, 2), max(h, w)), np.zeros((n + 1, 2), int)
+        np.minimum.at(lo, label, np.stack([ys, xs], axis=1))
+        np.maximum.at(hi, label, np.stack([ys, xs], axis=1))
+        for i in range(1, n + 1):
+            (top, left), (bottom, right) = lo[i] - hole, hi[i] + hole
+            if top < 0 or left < 0 or bottom == h or right == w or (hi[i] - lo[i] + 2 * hole).prod() < least:
+                continue  # no hole, but the open background, or too small
+            region = numbered[top : bottom + 1, left : right + 1] == i
+            if hole:
+                p = np.pad(region, 1)
+                region = p[1:-1, 1:-1] | p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]
+            out.append(outline(region) + [left, top])
+    return out
+
+
 def simplified(p: np.ndarray, share: float = 0.02) -> np.ndarray:
-    """Closed polygon without the corners that lie within share of the perimeter of their neighbours' line."""
+    """Corners of a closed line: it is split where it is farthest from its chords, beyond share of its length; then corners
+    that close to their neighbours' line go."""
     p = np.asarray(p, float)
     reach = share * np.hypot(*(p - np.roll(p, -1, axis=0)).T).sum()
+
+    def off(q, a, b):
+        d = b - a
+        base = np.hypot(*d)
+        return np.hypot(*(q - a).T) if base < 1e-12 else np.abs(d[0] * (a[1] - q[:, 1]) - (a[0] - q[:, 0]) * d[1]) / base
+
+    far = int(np.hypot(*(p - p[0]).T).argmax())
+    start = int(np.hypot(*(p - p[far]).T).argmax())
+    p = np.roll(p, -start, axis=0)
+    far = (far - start) % len(p)
+    closed = np.concatenate([p, p[:1]])
+    keep, todo = {0, far}, [(0, far), (far, len(p))]
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1:
+            away = off(closed[a + 1 : b], closed[a], closed[b])
+            if away.max() > reach:
+                at = a + 1 + int(away.argmax())
+                keep.add(at)
+                todo += [(a, at), (at, b)]
+    p = p[sorted(keep)]
     while len(p) > 3:
-        a, b = np.roll(p, 1, axis=0), np.roll(p, -1, axis=0)
-        base = np.maximum(np.hypot(*(b - a).T), 1e-12)
-        off = np.abs((b[:, 0] - a[:, 0]) * (a[:, 1] - p[:, 1]) - (a[:, 0] - p[:, 0]) * (b[:, 1] - a[:, 1])) / base
-        if off.min() > reach:
+        away = np.array([off(p[i : i + 1], p[i - 1], p[(i + 1) % len(p)])[0] for i in range(len(p))])
+        if away.min() > reach:
             break
-        p = np.delete(p, off.argmin(), axis=0)
+        p = np.delete(p, away.argmin(), axis=0)
     return p
 
 
+def is_convex(p: np.ndarray) -> bool:
+    """Whether a closed line turns one way only."""
+    a, b = p - np.roll(p, 1, axis=0), np.roll(p, -1, axis=0) - p
+    turn = a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+    return bool((turn > 0).all() or (turn < 0).all())
+
+
 def ordered(points: np.ndarray) -> np.ndarray:
     total, slope = points.sum(axis=1), points[:, 1] - points[:, 0]
     return points[[total.argmin(), slope.argmin(), total.argmax(), slope.argmax()]]
@@ -270,13 +344,13 @@ def dilated(mask: np.ndarray) -> np.ndarray:
 def contour_quad(gray: np.ndarray, profile: str = "android") -> tuple[np.ndarray, float] | None:
     """Largest convex four-cornered outline and its confidence, None if there is none."""
     low, high = (75, 200) if profile == "android" else (50, 150)
-    numbered, n = labels_of(dilated(edges(gray, low, high)))
     frame, best = gray.size, None
-    for i in range(1, n + 1):
-        ys, xs = np.nonzero(numbered == i)
-        corners = simplified(hull(np.stack([xs, ys], axis=1)))
-        area = polygon_area(corners)
-        if len(corners) == 4 and area >= 0.1 * frame and (profile == "android" or area <= 0.98 * frame) and (best is None or area > best[1]):
+    for line in outlines(dilated(edges(gray, low, high)), least=0.1 * gray.size):
+        area = polygon_area(line)
+        if area < 0.1 * frame or (profile == "ios" and area > 0.98 * frame) or (best is not None and area <= best[1]):
+            continue
+        corners = simplified(line)
+        if len(corners) == 4 and is_convex(corners):
             best = (corners, area)
     if best is None:
         return None
@@ -312,15 +386,12 @@ def least_rectangle(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
 def text_boxes(prob: np.ndarray, scale_x: float, scale_y: float, profile: str = "android") -> list[np.ndarray]:
     """Quads of text lines in reading order: mask, components, least rectangles grown by a ratio, scaled back."""
     grow, least = (1.6, 16) if profile == "android" else (1.5, 4)
-    numbered, n = labels_of(prob > 0.3)
     found = []
-    for i in range(1, n + 1):
-        ys, xs = np.nonzero(numbered == i)
-        points = np.stack([xs, ys], axis=1)
-        if polygon_area(hull(points)) < least or (profile == "ios" and len(points) < 3):
+    for line in outlines(prob > 0.3, least, holes=profile == "ios"):
+        if polygon_area(line) < least:
             continue
-        center, size, angle = least_rectangle(points)
-        if profile == "ios" and size.min() < 4:
+        center, size, angle = least_rectangle(line)
+        if profile == "ios" and (size * grow / np.array([scale_x, scale_y])).min() < 4:
             continue
         turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
         half = size * grow / 2
