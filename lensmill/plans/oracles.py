@@ -311,7 +311,8 @@ changed AS (SELECT *, lag(stage, 1, 'idle') OVER (PARTITION BY session_id ORDER
 SELECT session_id, timestamp_ms, stage, {r6("CASE WHEN is_valid THEN least(1.0::DOUBLE, (timestamp_ms - s) / 1000.0::DOUBLE) ELSE 0 END")} AS stability_progress FROM changed WHERE stage <> before"""
 )
 SQL["ctc_decode_ios"] = SQL["ctc_decode"].replace("AND k IS DISTINCT FROM before)", "AND k IS DISTINCT FROM before AND k < 7)")
-SQL["stream_throttle_gate"] = SQL["capture_replay"]
+SQL["stream_throttle_gate"] = SQL["sql_capture_replay"] = SQL["capture_replay"]
+SQL["sql_throttle"], SQL["sql_stability_gate"] = SQL["throttle"], SQL["stability_gate"]
 SQL["capture_replay_face"] = SQL["capture_replay"].replace("timestamp_ms - s >= 1000", "timestamp_ms - s >= 600").replace("/ 1000.0::DOUBLE", "/ 600.0::DOUBLE")
 
 QUALITY, MOTION = SQL["pix_quality"], SQL["pix_motion"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lensmill.functions import documents, geometry, guidance, mrz, tensors
 from lensmill.functions import frames as rows
-from lensmill.operators import registry, sequences, vision
+from lensmill.operators import registry, sequences, tables, vision
 from lensmill.plans import fixtures
 from lensmill.plans.fixtures import projected, table
 from lensmill.sources.stored import shared_folder
@@ -448,11 +448,44 @@ def stream_throttle_gate(spark, sf_dir):
     return own.select("session_id", "timestamp_ms", "stage", r6(F.col("stability_progress")).alias("stability_progress"))
 
 
+def sql_throttle(spark, sf_dir):
+    """The throttle, called from SQL."""
+    tables.register(spark)
+    own = frames(spark, sf_dir).select("session_id", "event_id", "timestamp_ms")
+    return spark.sql("SELECT * FROM throttled_frames(TABLE({own}) PARTITION BY session_id ORDER BY (timestamp_ms, event_id))", own=own)
+
+
+def sql_stability_gate(spark, sf_dir):
+    """The gate over all frames, called from SQL."""
+    tables.register(spark)
+    own = judged(spark, sf_dir).select("session_id", "event_id", "timestamp_ms", "is_valid")
+    return spark.sql(
+        """SELECT session_id, event_id, stage, round(stability_progress, 6) AS stability_progress,
+             coalesce(min(CASE WHEN stage = 'capturing' THEN timestamp_ms END) OVER (PARTITION BY session_id), -1) AS captured_at
+           FROM gated_frames(TABLE({own}) PARTITION BY session_id ORDER BY (timestamp_ms, event_id), interval_ms => 0)""",
+        own=own,
+    )
+
+
+def sql_capture_replay(spark, sf_dir):
+    """Throttle and gate together, called from SQL: the rows at which a stage changes."""
+    tables.register(spark)
+    own = judged(spark, sf_dir).select("session_id", "event_id", "timestamp_ms", "is_valid")
+    return spark.sql(
+        """SELECT session_id, timestamp_ms, stage, round(stability_progress, 6) AS stability_progress
+           FROM (SELECT *, lag(stage, 1, 'idle') OVER (PARTITION BY session_id ORDER BY timestamp_ms, event_id) AS before
+                 FROM gated_frames(TABLE({own}) PARTITION BY session_id ORDER BY (timestamp_ms, event_id)))
+           WHERE stage <> before""",
+        own=own,
+    )
+
+
 QUERIES = (
     g_geometry, g_bbox_and_domain, g_order_points, g_orientation, g_clamp, g_view_scale, guidance_flags, guidance_code, guidance_code_counts, face_geometry, face_guidance,
     quality_indicators, quality_score, mrz_fields, mrz_parse, ocr_fulltext, licence_parse, licence_categories, id_parse, extract_document, throttle, stability_gate, latest_state,
     asof_quad, heatmap_decode, class_softmax, ctc_decode, ctc_decode_ios, face_decode, nms, registry_latest, model_version, registry_active, registry_activations,
     pix_quality, pix_motion, capture_replay, capture_replay_face, stream_throttle_gate, scan_frames, scan_frames_heatmap, scan_faces, read_captures, g_landmark_orientation, shown_labels,
+    sql_throttle, sql_stability_gate, sql_capture_replay,
 )
 
 
