@@ -79,6 +79,11 @@ def orient_landmarks(marks: Column, width: Column, height: Column, orientation:
     return F.struct(*[geometry.orient_point(marks[n], width, height, orientation, mirrored).alias(n) for n in LANDMARKS])
 
 
+def is_found(quad: Column, confidence: Column, profile: str = "android") -> Column:
+    """Whether a detector's answer counts: with corners, on ios with some confidence too."""
+    return quad.isNotNull() & (F.coalesce(confidence > 0, F.lit(False)) if profile == "ios" else F.lit(True))
+
+
 def readable(lines: Column, profile: str = "android") -> Column:
     """Lines with a text: android drops blank ones, ios empty ones only."""
     if profile == "ios":

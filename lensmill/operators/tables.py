@@ -1,4 +1,4 @@
-"""The session folds as table functions, for callers that write SQL.
+"""The session folds as table functions, and the parsers as views, for callers that write SQL.
 
     tables.register(spark)
     SELECT * FROM gated_frames(TABLE(judged) PARTITION BY session_id ORDER BY (timestamp_ms, event_id), window_ms => 1000)
@@ -6,6 +6,11 @@
 The table needs session_id, event_id and timestamp_ms; the gate is_valid too, and kind if it holds control events. Spark
 deals the sessions out, each in one task, and hands them over in the order asked for; a fold keeps one session's state.
 Rows without a time are left out; a null is_valid is false; extra columns are ignored; an empty table gives no rows.
+
+    tables.parsed_views(spark, "captures")
+    SELECT nationality, count(*) FROM parsed_cards WHERE ok GROUP BY nationality
+
+The views are column expressions over the named table, so filters and unused fields are pruned through them.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
 
+from lensmill.functions import documents, mrz
 from lensmill.streaming.capture import step
 
 
@@ -50,6 +56,20 @@ class GatedFrames:
         yield frames["session_id"], frames["event_id"], t, self.state["stage"], progress
 
 
+def parsed_views(spark: SparkSession, captures: str, as_of_year: int = 2026) -> None:
+    """Views over a table or view of captures (capture_id, document_type, text, lines, confidence), kept under its own columns:
+    extracted_documents, one row a capture by its type; parsed_zones, parsed_licences and parsed_cards, each parser over all."""
+    own = spark.table(captures)
+    found = {
+        "extracted_documents": documents.extract(own, as_of_year),
+        "parsed_zones": mrz.with_mrz(own, "text", as_of_year),
+        "parsed_licences": documents.with_licence(own, as_of_year=as_of_year),
+        "parsed_cards": documents.with_id_card(own, as_of_year=as_of_year),
+    }
+    for name, df in found.items():
+        df.createOrReplaceTempView(name)
+
+
 def register(spark: SparkSession) -> None:
     """throttled_frames and gated_frames in the session's SQL."""
     spark.udtf.register("throttled_frames", ThrottledFrames)

@@ -292,7 +292,7 @@ def document_frames(images: DataFrame, detector: Model | None, classifier: Model
     """
     given = images.select(*_KEYS, *_IMAGE, *[F.col(c).alias(f"buffer_{c}") for c in _IMAGE] if classifier else [])
     own = detect(given, detector, size, profile, carry=(*_KEYS, *[c for c in given.columns if c.startswith("buffer_")]))
-    own = own.withColumn("found", F.col("quad").isNotNull() & ((F.col("confidence") > 0) if profile == "ios" else F.lit(True)))
+    own = own.withColumn("found", frames.is_found(F.col("quad"), F.col("confidence"), profile))
     kept = [*_KEYS, "width", "height", "blur_score", "brightness", "glare_ratio", "thumb_width", "thumb_height", "gray", "quad", "confidence", "found"]
     if classifier:
         at = F.when(F.col("found"), F.array(*[p[k] for p in geometry.corners(F.col("quad")) for k in "xy"]))

@@ -313,6 +313,11 @@ SELECT session_id, timestamp_ms, stage, {r6("CASE WHEN is_valid THEN least(1.0::
 SQL["ctc_decode_ios"] = SQL["ctc_decode"].replace("AND k IS DISTINCT FROM before)", "AND k IS DISTINCT FROM before AND k < 7)")
 SQL["stream_throttle_gate"] = SQL["sql_capture_replay"] = SQL["capture_replay"]
 SQL["sql_throttle"], SQL["sql_stability_gate"] = SQL["throttle"], SQL["stability_gate"]
+SQL["sql_extract_document"], SQL["sql_id_parse"] = SQL["extract_document"], SQL["id_parse"]
+_AREA = "abs((tl_x * tr_y - tr_x * tl_y) + (tr_x * br_y - br_x * tr_y) + (br_x * bl_y - bl_x * br_y) + (bl_x * tl_y - tl_x * bl_y)) / 2"
+_SIZE = "CASE event_id % 3 WHEN 0 THEN 800000.0::DOUBLE WHEN 1 THEN 8000.0::DOUBLE ELSE 0.25::DOUBLE END"
+SQL["g_ios"] = f"""SELECT event_id, detected AND event_id % 5 <> 0 AND event_id % 7 <> 0 AS found, detected AS found_android, {r6(f'{_AREA} / greatest(1.0::DOUBLE, {_SIZE})')} AS distance_ratio,
+  {r6(f'greatest(0.0::DOUBLE, least(4.0::DOUBLE, {_AREA} / ({_SIZE})))')} AS distance_android, CAST(greatest(32, floor(least(event_id % 1500, 960) / 32.0::DOUBLE + 0.5::DOUBLE) * 32) AS INT) AS side FROM ({fixtures.FRAMES_SQL})"""
 SQL["capture_replay_face"] = SQL["capture_replay"].replace("timestamp_ms - s >= 1000", "timestamp_ms - s >= 600").replace("/ 1000.0::DOUBLE", "/ 600.0::DOUBLE")
 
 QUALITY, MOTION = SQL["pix_quality"], SQL["pix_motion"]

@@ -169,15 +169,20 @@ def id_parse(spark, sf_dir):
     return own.select("capture_id", "ok", "full_name", "id_number", "date_of_birth", "expiry_date", "address", "nationality")
 
 
-def extract_document(spark, sf_dir):
-    """All captures of all types through the dispatcher; those of cards have odd ids, of licences even ones, of zones negative ones."""
+def all_captures(spark, sf_dir) -> DataFrame:
+    """Captures of all types; those of cards have odd ids, of licences even ones, of zones negative ones."""
     numbered = lambda own, k: own.withColumn("capture_id", 2 * F.col("capture_id") + k)
     licences = numbered(captures(spark, sf_dir, fixtures.LICENCE_LINES_SQL, "DRIVING_LICENCE"), 0)
     cards = numbered(captures(spark, sf_dir, fixtures.CARD_LINES_SQL, "RESIDENCE_PERMIT"), 1)
     zones = projected(spark, sf_dir, fixtures.MRZ_SQL)
     kind = F.when(F.col("c_custkey") % 13 == 0, "GENERIC").when(F.col("c_custkey") % 2 == 0, "VISA").otherwise("PASSPORT")
     zones = zones.select((-F.col("c_custkey")).alias("capture_id"), kind.alias("document_type"), F.lit(None).cast(cards.schema["lines"].dataType).alias("lines"), F.when(F.col("c_custkey") % 17 == 0, " \n ").otherwise(F.col("text")).alias("text"), F.lit(0.5).alias("confidence"))
-    own = documents.extract(licences.unionByName(cards).unionByName(zones), AS_OF_YEAR)
+    return licences.unionByName(cards).unionByName(zones)
+
+
+def extract_document(spark, sf_dir):
+    """All captures of all types through the dispatcher."""
+    own = documents.extract(all_captures(spark, sf_dir), AS_OF_YEAR)
     own = own.withColumn("confidence", r6(F.col("confidence")))
     return own.withColumn("mrz_valid", F.coalesce(F.col("mrz_valid").cast("string"), F.lit("null")))
 
@@ -467,6 +472,34 @@ def sql_stability_gate(spark, sf_dir):
     )
 
 
+def sql_extract_document(spark, sf_dir):
+    """The dispatcher, called from SQL."""
+    all_captures(spark, sf_dir).createOrReplaceTempView("all_captures")
+    tables.parsed_views(spark, "all_captures", AS_OF_YEAR)
+    return spark.sql("SELECT * EXCEPT (confidence, mrz_valid), round(confidence, 6) AS confidence, coalesce(CAST(mrz_valid AS STRING), 'null') AS mrz_valid FROM extracted_documents")
+
+
+def sql_id_parse(spark, sf_dir):
+    """Cards, called from SQL."""
+    captures(spark, sf_dir, fixtures.CARD_LINES_SQL, "ID_CARD").createOrReplaceTempView("card_captures")
+    tables.parsed_views(spark, "card_captures", AS_OF_YEAR)
+    return spark.sql("SELECT capture_id, ok, full_name, id_number, date_of_birth, expiry_date, address, nationality FROM parsed_cards")
+
+
+def g_ios(spark, sf_dir):
+    """Rules of the second profile: what counts as found, distance in frames of three sizes, detector sides."""
+    side = lambda whole, tenth: F.when(F.col("event_id") % 3 == 0, whole).when(F.col("event_id") % 3 == 1, tenth).otherwise(0.5)
+    f = frames(spark, sf_dir)
+    confidence = F.when(F.col("event_id") % 5 == 0, 0.0).when(F.col("event_id") % 7 > 0, F.col("confidence"))
+    quad = F.when(F.col("detected"), F.col("raw_quad"))
+    return f.select(
+        "event_id", rows.is_found(quad, confidence, "ios").alias("found"), rows.is_found(quad, confidence).alias("found_android"),
+        r6(geometry.distance_ratio(F.col("raw_quad"), side(1000.0, 100.0), side(800.0, 80.0), "ios")).alias("distance_ratio"),
+        r6(geometry.distance_ratio(F.col("raw_quad"), side(1000.0, 100.0), side(800.0, 80.0))).alias("distance_android"),
+        geometry.multiple_of_32((F.col("event_id") % 1500).cast("double"), profile="ios").alias("side"),
+    )
+
+
 def sql_capture_replay(spark, sf_dir):
     """Throttle and gate together, called from SQL: the rows at which a stage changes."""
     tables.register(spark)
@@ -485,7 +518,7 @@ QUERIES = (
     quality_indicators, quality_score, mrz_fields, mrz_parse, ocr_fulltext, licence_parse, licence_categories, id_parse, extract_document, throttle, stability_gate, latest_state,
     asof_quad, heatmap_decode, class_softmax, ctc_decode, ctc_decode_ios, face_decode, nms, registry_latest, model_version, registry_active, registry_activations,
     pix_quality, pix_motion, capture_replay, capture_replay_face, stream_throttle_gate, scan_frames, scan_frames_heatmap, scan_faces, read_captures, g_landmark_orientation, shown_labels,
-    sql_throttle, sql_stability_gate, sql_capture_replay,
+    sql_throttle, sql_stability_gate, sql_capture_replay, sql_extract_document, sql_id_parse, g_ios,
 )
 
 

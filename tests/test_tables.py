@@ -31,3 +31,18 @@ def test_no_kind_and_no_rows(spark):
     own = spark.createDataFrame([(1, 1, 100, True, "reset", 0)], FRAME)
     assert gated(spark, own.drop("kind")) == [(1, 1, 100, "stabilizing", 0.0)]
     assert gated(spark, own.limit(0)) == []
+
+
+def test_views_of_the_parsers(spark):
+    line = "array<struct<text:string,confidence:double,x:double,y:double,width:double,height:double>>"
+    none = spark.createDataFrame([], f"capture_id bigint, document_type string, text string, lines {line}, confidence double, spare int")
+    none.createOrReplaceTempView("no_captures")
+    tables.parsed_views(spark, "no_captures")
+    assert all(spark.table(v).count() == 0 for v in ("extracted_documents", "parsed_zones", "parsed_licences", "parsed_cards"))
+    zone = "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10"
+    own = spark.createDataFrame([(1, "PASSPORT", zone, None, 0.5, 3), (2, None, None, None, None, 4)], none.schema)
+    own.createOrReplaceTempView("two_captures")
+    tables.parsed_views(spark, "two_captures")
+    found = spark.sql("SELECT capture_id, spare, ok, format FROM parsed_zones ORDER BY capture_id").collect()
+    assert [(r.capture_id, r.spare, r.ok, r.format) for r in found] == [(1, 3, True, "TD3"), (2, 4, False, found[1].format)]
+    assert spark.sql("SELECT count(*) FROM extracted_documents").first()[0] == 2
