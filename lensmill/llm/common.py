@@ -81,13 +81,15 @@ def to_batch(schema: pa.Schema, columns: Iterable[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, str], tag: str) -> DataFrame:
+def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, str], tag: str, ranges: int | None = None) -> DataFrame:
     """df with ``nth`` (0 for the first row in order) and, for sums {new: column}, the sum of the column over the rows before.
 
-    Rows are range-partitioned by the order and written out; only the partitions' totals, one row each, are summed in
-    one task. Rows that tie in the order lie in one partition, so the order should be fine enough.
+    Rows are range-partitioned by the order (by default into as many ranges as shuffle partitions) and written out; only
+    the ranges' totals, one row each, are summed in one task. Rows that tie in the order lie in one range, so the order
+    should be fine enough.
     """
-    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("part", F.spark_partition_id())
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged, tag)
     totals = ranged.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n_in"), *[F.sum(c).alias(f"in_{new}") for new, c in sums.items()])
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)

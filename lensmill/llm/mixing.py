@@ -8,8 +8,8 @@ position is the time at which the demand reaches that midpoint. Documents are ra
 Targets: the total is shared by weight; no target exceeds max_repeats times its source's size, and what is left over
 is shared by weight among the others until none is above (water filling, solved in closed form over sorted ratios).
 
-Everything is DataFrame functions. A source's tape is cut into hashed buckets, so that one with a third of all rows
-is summed by many tasks; only bucket sums are put in order.
+Everything is DataFrame functions. Tapes are cut into sampled ranges down to single rows, so that a source or an id with
+a third of all rows is summed by many tasks; only the ranges' sums are put in order.
 
 Defined results: null text has size 0; sources are ordered by code point, null last, and a null source is a source;
 a source of size 0 has target 0 and its documents take nothing; documents of size 0 take 0; rows that are equal in
@@ -21,14 +21,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lensmill.llm.common import materialise, numbered, release, running, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Rows of a source that one task puts in order at a time.
-BUCKET_ROWS = 20_000
+#: Rows of a range of the tapes; there are as many ranges as shuffle partitions at least and MAX_RANGES at most.
+BUCKET_ROWS, MAX_RANGES = 20_000, 20_000
 #: Schedules as (time, weight) knots, taken in turn by sources: falling, level, rising.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -40,19 +40,19 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def tape_key(id_col: str, text_col: str) -> list[Column]:
-    """size, pick, mark: a source's rows lie on its tape by pick, id, size and mark, so only repeated rows tie."""
+    """size, pick, mark: a source's rows lie on its tape by pick, id, size and mark; repeated rows, by their numbers."""
     pick = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     return [size.alias("size"), pick.alias("pick"), F.xxhash64(text_col).alias("mark")]
 
 
 def targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
-    """source, place, weight, source_size, target of each source.
+    """source, place, weight, source_size, tape_start, target of each source.
 
     Sources are put in order by ranges, first by name, then by the ratio of cap and weight, so there may be millions.
     """
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    s = running(sums, [F.col("source").asc_nulls_last()], {}, "mix-places").withColumnRenamed("nth", "place")
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = running(sums, [F.col("source").asc_nulls_last()], {"tape_start": "source_size"}, "mix-places").withColumnRenamed("nth", "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     s = s.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeats).withColumn("ratio", F.col("cap") / F.col("weight"))
     s = running(s, ["ratio", "place"], {"caps_before": "cap", "weight_before": "weight"}, "mix-ratios").drop("nth")
@@ -64,7 +64,7 @@ def targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats:
     held = s.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", F.struct("ratio", "place")).alias("water"))
     s = s.crossJoin(F.broadcast(held))  # one row
     target = F.least(F.coalesce(F.col("water") * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double"))
-    return s.select("source", "place", "weight", "source_size", "n_rows", target.alias("target"))
+    return s.select("source", "place", "weight", "source_size", "tape_start", target.alias("target"))
 
 
 def inverse_demand(share: Column, place: Column, schedules=SCHEDULES) -> Column:
@@ -84,18 +84,16 @@ def inverse_demand(share: Column, place: Column, schedules=SCHEDULES) -> Column:
 
 
 def laid_out(rows: DataFrame, goals: DataFrame, max_repeats: int) -> DataFrame:
-    """rows of sized() with source_size, target, place, middle (of the first copy on the tape) and copies."""
-    buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
-    goal = goals.select(F.col("source").alias("own_source"), "place", "source_size", "target", buckets.alias("buckets"))
+    """rows of sized() and row_at with source_size, target, place, middle (of the first copy on the tape) and copies.
+
+    All tapes are put in order as one, one source after the other, and cut into ranges wherever rows are many, also
+    inside a source, an id or a group of repeated rows.
+    """
+    goal = goals.select(F.col("source").alias("own_source"), "place", "source_size", "target", "tape_start")
     named = rows.join(goal, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source")
-    named = named.withColumn("bucket", F.floor(F.col("pick") / float(1 << 60) * F.col("buckets")))
-    sums = named.groupBy("place", "bucket").agg(F.sum("size").alias("in_bucket"))
-    ahead = F.sum("in_bucket").over(Window.partitionBy("place").orderBy("bucket")) - F.col("in_bucket")
-    offsets = sums.select(F.col("place").alias("p"), F.col("bucket").alias("b"), ahead.alias("ahead"))
-    in_order = Window.partitionBy("place", "bucket").orderBy("pick", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
-    tape = named.withColumn("within", F.sum("size").over(in_order) - F.col("size"))
-    tape = tape.join(offsets, (F.col("place") == F.col("p")) & (F.col("bucket") == F.col("b")))
-    middle = F.col("ahead") + F.col("within") + F.col("size") / 2
+    ranges = int(min(MAX_RANGES, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_ROWS)))
+    tape = running(named, ["place", "pick", "doc_id", "size", "mark", "row_at"], {"before": "size"}, "mix-tape", ranges)
+    middle = F.col("before") - F.col("tape_start") + F.col("size") / 2
     copies = F.when((F.col("size") == 0) | (F.col("source_size") == 0), 0).otherwise(
         F.greatest(F.lit(0), F.least(F.lit(max_repeats), F.floor((F.col("target") - middle) / F.col("source_size")) + 1))
     )
@@ -110,7 +108,7 @@ def mix(
 
     position is the training time of the first copy (null if none is taken), later copies follow by the same rule.
     """
-    rows = materialise(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    rows = numbered(sized(docs, id_col, text_col, source_col), "mix-sizes")
     out = laid_out(rows, materialise(targets(rows, weights, max_repeats), "mix-targets"), max_repeats)
     position = F.when(F.col("copies") > 0, inverse_demand(F.col("middle") / F.col("target"), F.col("place"), schedules))
     out = out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), position.alias("position"))
