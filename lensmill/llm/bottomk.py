@@ -6,8 +6,8 @@ hashes. Resemblance is the share of the k smallest of the union that both hold;
 distinct shingles follow from the k-th smallest hash.
 
 Defined results: null text is empty; a text without words has an empty sketch, written ''; two empty sketches are
-alike 1, an empty and another 0; equal texts have equal sketches; rows with the same id are ordered by text, null
-ids come last; repeated rows are rows of their own, each the next of the other; a single row is its own next;
+alike 1, an empty and another 0; equal texts have equal sketches; rows with the same id are ordered by a hash of the
+text, null ids come last (those of the largest long among them); repeated rows are rows of their own, each the next of the other; a single row is its own next;
 an empty table gives an empty result; other columns are dropped, so clashing names do no harm.
 """
 
@@ -17,14 +17,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import rows_of, short, to_batch
+from lensmill.llm.common import materialise, rows_of, short, to_batch
+from lensmill.llm.sharding import MAX_RANGES, ORDER, OVERHEAD, SAMPLES_PER_RANGE, drawn, quantiles, ranged
 
 K, WORDS = 128, 5
+#: Rows that repeat id and text are walked as one beyond this and a range's share.
+LARGE_ROWS = 1_000
 _MEMO: dict[bytes, int] = {}
 MEMO_ENTRIES = 400_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -126,33 +128,38 @@ def edited(text: str, following: str) -> str:
 def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness to each other and to the next document's.
 
-    Ids alone are scanned first: approximate quantiles cut them into ranges, whose first ids are looked up (as many
-    as ranges, at most 4 per shuffle partition). Texts are then shuffled once, each range's first document also to
-    the range before it, and each task walks its ranges in order of id.
+    Rows that share an id are put in order by a hash of the text, so one id's rows lie in as many ranges as they fill.
+    Rows that repeat id and text are a group; groups are counted first, and a weighted sample of them gives splitters
+    into ranges of similar bytes (4 a shuffle partition). A group that holds more rows than a range should is walked
+    once and written as often as it is there. Each range's first text is also sent to the range before it. Texts are
+    then shuffled once, and each task walks its ranges in order.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
-    cuts = ids.stat.approxQuantile("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (16 * parts)) if parts > 0 else []
-    cuts = sorted({int(c) for c in cuts})
-    ranged = _range_of(cuts)("doc_id")
-    null_range = len(cuts) + 1
-    placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), null_range).otherwise(ranged))
-    ids_placed = docs.select("doc_id").withColumn("range", F.when(F.col("doc_id").isNull(), null_range).otherwise(ranged))
-    heads = sorted((r.range, r.first) for r in ids_placed.groupBy("range").agg(F.min("doc_id").alias("first")).collect())
-    filled = [r for r, _ in heads]
-    before = {r: filled[i - 1] for i, r in enumerate(filled)}
-    lent = [(first, before[r]) for r, first in heads]
-    # At most 4 * parts + 1 heads: a literal table, safe to broadcast.
-    table = spark.createDataFrame(lent, "head bigint, lent int") if lent else spark.createDataFrame([], "head bigint, lent int")
-    copies = placed.join(F.broadcast(table), placed["doc_id"].eqNullSafe(table["head"]), "left")
-    targets = F.when(F.col("lent").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("borrowed")))).otherwise(
-        F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("borrowed")), F.struct(F.col("lent").alias("range"), F.lit(1).alias("borrowed")))
-    )
-    spread = copies.select("doc_id", "text", F.explode(targets).alias("t")).select("doc_id", "text", F.col("t.range").alias("range"), F.col("t.borrowed").alias("borrowed"))
-    order = ["range", "borrowed", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    sorted_rows = spread.repartition(parts, "range").sortWithinPartitions(*order)
+    pieces = min(MAX_RANGES, 4 * parts)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.withColumns({"key": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "id": F.xxhash64("text", F.col("doc_id").isNull()), "uid": F.lit(0).cast("long")})
+    groups = docs.groupBy(*ORDER).agg(F.count("*").alias("n"), F.max(F.octet_length("text") + OVERHEAD).cast("long").alias("size"))
+    groups = materialise(groups, "sketch-groups")
+    sums = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    chance = F.col("size") * F.lit(pieces * SAMPLES_PER_RANGE / max(1, sums.size))
+    cuts = sorted(set(quantiles(drawn(groups, chance, 1), pieces)))
+    large = max(LARGE_ROWS, sums.n // pieces)
+    placed = ranged(groups, cuts)
+    firsts = sorted((r.rng, *r.head) for r in placed.groupBy("rng").agg(F.min(F.struct(*ORDER[:2])).alias("head")).collect())
+    # At most a row a range: each range's first group and the range that borrows its text, the first range's going to the last.
+    heads = [(key, mark, firsts[i - 1][0]) for i, (_, key, mark) in enumerate(firsts)]
+    lent = spark.createDataFrame(heads, "head_key bigint, head_id bigint, lent int")
+    # More rows than a range should hold: fewer groups than ranges.
+    several = placed.where(F.col("n") > large).select(F.col("key").alias("head_key"), F.col("id").alias("head_id"), F.col("rng").alias("own"), "n")
+    same = lambda t: (docs["key"] == t["head_key"]) & (docs["id"] == t["head_id"])
+    singles = ranged(docs.join(F.broadcast(several), same(several), "left_anti"), cuts).select("doc_id", "text", *ORDER[:2], "rng", F.lit(0).alias("borrowed"), F.lit(1).cast("long").alias("times"))
+    one_text = F.any_value("text").alias("text"), F.any_value("doc_id").alias("doc_id")
+    repeated = docs.join(F.broadcast(several), same(several)).groupBy(*ORDER[:2], "own", "n").agg(*one_text)
+    repeated = repeated.select("doc_id", "text", *ORDER[:2], F.col("own").alias("rng"), F.lit(0).alias("borrowed"), F.col("n").alias("times"))
+    borrowed = docs.join(F.broadcast(lent), same(lent)).groupBy(*ORDER[:2], "lent").agg(*one_text)
+    borrowed = borrowed.select("doc_id", "text", *ORDER[:2], F.col("lent").alias("rng"), F.lit(1).alias("borrowed"), F.lit(1).cast("long").alias("times"))
+    sorted_rows = singles.unionAll(repeated).unionAll(borrowed).repartition(parts, "rng").sortWithinPartitions("rng", "borrowed", *ORDER[:2])
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_containment", "n_shingles"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
@@ -170,19 +177,20 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return len(text), hashlib.sha256(changed.encode()).hexdigest(), spelled(own), spelled(other), resemblance(own, other, k), resemblance(own, after, k), containment(own, other, k), distinct_shingles(own, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, skipping = None, None
+        held = None
         out: list[list] = [[] for _ in names]
         for batch in short(batches):
-            for doc_id, text, r, borrowed in rows_of(batch, "doc_id", "text", "range", "borrowed"):
-                if skipping == r and borrowed:
-                    continue  # more rows with the id of the next range's first
-                text = text or ""
+            for doc_id, text, borrowed, times in rows_of(batch, "doc_id", "text", "borrowed", "times"):
                 words = word_hashes(text.encode().split())
                 own = bottom(shingle_hashes(words), k)
                 if held is not None:
                     for column, value in zip(out, (held[0], *described(held[1], held[2], held[3], text, own)), strict=True):
                         column.append(value)
-                held, skipping = (None, r) if borrowed else ((doc_id, text, words, own), None)
+                held = None if borrowed else (doc_id, text, words, own)
+                if times > 1:  # all but the last are each other's next
+                    row = (doc_id, *described(text, words, own, text, own))
+                    for at in range(0, times - 1, 256):
+                        yield to_batch(schema, [[v] * min(256, times - 1 - at) for v in row])
             if len(out[0]) >= 256:
                 yield to_batch(schema, out)
                 out = [[] for _ in names]
@@ -193,15 +201,4 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return sorted_rows.mapInArrow(run, ddl)
 
 
-def _range_of(cuts: list[int]):
-    """Number of cuts below a value; a binary search over Arrow batches."""
-    held = np.array(cuts, np.int64)
-
-    @F.pandas_udf("int")
-    def place(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(held, v.fillna(0).astype("int64").to_numpy(), side="left").astype("int32"))
-
-    return place
-
-
 __all__ = ["compared_with_next", "containment", "distinct_shingles", "edited", "merge", "resemblance", "sketch", "sketches", "spelled", "unspelled"]

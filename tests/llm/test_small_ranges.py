@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lensmill.llm import mixing, sharding
+from lensmill.llm import bottomk, mixing, sharding
 from tests.llm import brute
 
 
@@ -81,3 +81,36 @@ def test_mixing_over_many_buckets(docs, monkeypatch):
     taken = {s: sum(x[3] for x in whole if x[1] == s) for s in size}
     target = {r.source: r.target for r in mixing.mix(docs).collect()}
     assert all(abs(taken[s] - target[s]) <= 51 for s in size)
+
+
+def test_mixing_of_one_id(spark, monkeypatch):
+    """Rows of one id, and rows that repeat in every column, lie in many ranges of the tape."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    i = F.col("id")
+    own = spark.range(400).select(F.when(i % 8 == 0, i).cast("long").alias("doc_id"), F.when(i % 2 == 0, "a b c").otherwise(F.repeat(F.lit("w "), (i % 30).cast("int"))).alias("text"), F.lit("s").alias("source"))
+    rows = mixing.numbered(mixing.sized(own), "test-sizes")
+    tape = mixing.laid_out(rows, mixing.targets(rows), 3).select("pick", "doc_id", "size", "mark", "middle").collect()
+    assert len({r.pick for r in tape}) == 51 and len(tape) == 400
+    tape.sort(key=lambda r: r.middle)
+    at = 0
+    for r in tape:
+        if r.size:
+            assert r.middle == at + r.size / 2
+            at += r.size
+    key = [(r.pick, r.doc_id is not None, r.doc_id or 0, r.size, r.mark) for r in tape if r.size]
+    assert key == sorted(key)
+
+
+@pytest.mark.parametrize("large", [3, 1_000])
+def test_fingerprints_of_one_id(spark, docs, monkeypatch, large):
+    """A third of the rows under one id or none, texts that repeat under it: each row's next is that of a plain sort."""
+    monkeypatch.setattr(bottomk, "LARGE_ROWS", large)
+    marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("mark")).collect()
+    rows = sorted(marked, key=lambda r: ((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.mark))
+    expected = []
+    for r, after in zip(rows, rows[1:] + rows[:1], strict=True):
+        n = len(r.text) // 4
+        a, b = bottomk.sketch(r.text), bottomk.sketch(after.text)
+        expected.append((-1 if r.doc_id is None else r.doc_id, len(r.text), brute.sha(r.text[: len(r.text) - n] + after.text[:n]), bottomk.spelled(a), bottomk.resemblance(a, b)))
+    found = bottomk.compared_with_next(docs).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_next) for r in found) == sorted(expected)
