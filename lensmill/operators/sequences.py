@@ -109,7 +109,7 @@ def motion(thumbnails: DataFrame, keep: tuple[str, ...] = ("session_id", "event_
 
 def _differences(thumbnails: DataFrame, keep: tuple[str, ...], groups: tuple[str, ...]) -> DataFrame:
     """The kept columns and motion_score of thumbnails that come sorted by groups; a row with is_lent is only compared with."""
-    from lensmill.streaming.capture import motion as difference
+    from lensmill.streaming.capture import motions as differences
 
     schema = StructType([*(nullable(thumbnails.schema[c]) for c in keep), StructField("motion_score", DoubleType())])
     arrow = to_arrow_schema(schema)
@@ -117,7 +117,7 @@ def _differences(thumbnails: DataFrame, keep: tuple[str, ...], groups: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = None, None
         for batch in batches:
-            at, scores, own_rows = {n: i for i, n in enumerate(batch.schema.names)}, [], []
+            at, pairs, own_rows = {n: i for i, n in enumerate(batch.schema.names)}, [], []
             values = (batch.column(at[n]).to_pylist() for n in ("thumb_width", "thumb_height", "gray", "is_lent", *groups))
             for w, h, gray, is_lent, *group in zip(*values, strict=True):
                 if group != now:
@@ -125,10 +125,10 @@ def _differences(thumbnails: DataFrame, keep: tuple[str, ...], groups: tuple[str
                 own = (w, h, gray) if gray is not None else None
                 own_rows.append(not is_lent)
                 if not is_lent:
-                    scores.append(difference(before, own) if own else 0.0)
+                    pairs.append((before, own))
                 before = own
             kept = batch.filter(pa.array(own_rows, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*(kept.column(at[c]).cast(arrow.field(c).type) for c in keep), pa.array(scores, pa.float64())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*(kept.column(at[c]).cast(arrow.field(c).type) for c in keep), pa.array(differences(pairs), pa.float64())], schema=arrow)
 
     return thumbnails.mapInArrow(run, schema)
 

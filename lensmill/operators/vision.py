@@ -7,7 +7,7 @@ outputs mean is decided by native columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +23,8 @@ from lensmill.operators import sequences
 Model = Callable[[np.ndarray], list[np.ndarray]]
 #: Images of a batch that are worked on at a time, and pixels that are measured in one stack.
 IMAGE_ROWS, STACK_PIXELS = 64, 1 << 21
+#: Pixels of what is made for a stack of images, so that its parts stay in a core's cache.
+MADE_PIXELS = 1 << 16
 MEASURES = "width int, height int, blur_score double, brightness double, glare_ratio double"
 STRIDES = (8, 16, 32)
 DETECTOR_SIZE, CLASSIFIER_SIZE, FACE_SIZE = 256, 224, 640
@@ -65,6 +67,56 @@ def _each(work: Callable[[dict], tuple]) -> Callable[[list[dict]], list]:
     return lambda rows: [one(row) for row in rows]
 
 
+def _raised(e: Exception):
+    raise e
+
+
+def _alike(items: list, key: Callable, work: Callable[[list], Sequence], made: int | Callable = 0) -> list:
+    """work() of all items that have the same key together, made pixels of each at most MADE_PIXELS at a time; exceptions stay.
+
+    Items that fail together are tried one by one, so that only those that fail alone give an exception.
+    """
+    out, groups = list(items), {}
+    for i, x in enumerate(items):
+        if not isinstance(x, Exception):
+            groups.setdefault(key(x), []).append(i)
+    for k, own in groups.items():
+        step = max(1, MADE_PIXELS // max(1, made(k) if callable(made) else made))
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            try:
+                found = list(work([items[i] for i in some]))
+            except Exception:
+                found = _each(lambda x: list(work([x]))[0])([items[i] for i in some])
+            for i, x in zip(some, found, strict=True):
+                out[i] = x
+    return out
+
+
+def _inputs(images: list[np.ndarray], size: int, made: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Place and 1 x C x H x W input of each image, squashed to size x size, stack by stack of images of one shape."""
+    shapes: dict[tuple, list[int]] = {}
+    for i, image in enumerate(images):
+        shapes.setdefault(image.shape, []).append(i)
+    step = max(1, MADE_PIXELS // (size * size))
+    for own in shapes.values():
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            x = made(pixels.bilinear_all(np.stack([images[i] for i in some]), size, size))
+            yield from ((i, x[k : k + 1]) for k, i in enumerate(some))
+
+
+def warped(images: list[np.ndarray], quads: list[np.ndarray]) -> list:
+    """pixels.warp() of each image by its quad, or an exception."""
+    if not quads:
+        return []
+    finite = [bool(np.isfinite(q).all()) for q in quads]
+    sizes = pixels.warp_sizes(np.stack([q if ok else np.zeros((4, 2)) for q, ok in zip(quads, finite, strict=True)])).tolist()
+    given = [x if ok else ValueError("the quad is not finite") for x, ok in zip(zip(images, quads, sizes, strict=True), finite, strict=True)]
+    together = lambda own: pixels.warp_all(np.stack([x[0] for x in own]), np.stack([x[1] for x in own]), *own[0][2])
+    return _alike(given, lambda x: (x[0].shape, *x[2]), together, lambda k: k[-1] * k[-2])
+
+
 def gray_of(row: dict) -> np.ndarray:
     gray = pixels.to_gray(row["data"], row["width"], row["height"], row["row_stride"], row["pixel_format"])
     return pixels.downscale(pixels.oriented(gray, row["orientation"] or "up", bool(row["is_mirrored"])))
@@ -241,22 +293,30 @@ def detect(images: DataFrame, model: Model | None, size: int = DETECTOR_SIZE, pr
     shape. Either quad is decoded by native columns.
     """
 
-    def found(gray: np.ndarray, image: np.ndarray) -> tuple:
+    def answered(x: np.ndarray) -> tuple | None:
+        try:
+            out = model(x)[0]
+            return (list(out.shape), out.ravel().astype(np.float32).tolist()) if frames.known_shape(out.shape) else None
+        except Exception:  # a detector that fails is one that found nothing
+            return None
+
+    def found(gray: np.ndarray, answer: tuple | None) -> tuple:
         small = pixels.downscale(gray, pixels.MOTION_EDGE)
         thumb = (small.shape[1], small.shape[0], small.tobytes())
-        if model is not None:
-            try:
-                out = model(pixels.tensor(pixels.squash(image, size)[0], **PLAIN))[0]
-                if frames.known_shape(out.shape):
-                    return (*thumb, list(out.shape), out.ravel().astype(np.float32).tolist(), None, None)
-            except Exception:  # noqa: S110  a detector that fails is one that found nothing
-                pass
+        if answer:
+            return (*thumb, *answer, None, None)
         contour = pixels.contour_quad(gray, profile)
         return (*thumb, None, None, *((contour[0].ravel().tolist(), float(contour[1])) if contour else (None, None)))
 
     def work(rows: list[dict]) -> list:
         grays = _each(gray_of)(rows)
-        rest = _each(lambda x: x[1] if isinstance(x[1], Exception) else found(x[1], color_of(x[0]) if profile == "ios" else x[1]))(list(zip(rows, grays, strict=True)))
+        images = grays
+        if profile == "ios":
+            images = _each(lambda x: x[1] if isinstance(x[1], Exception) else color_of(x[0]))(list(zip(rows, grays, strict=True)))
+        seen, answers = [i for i, x in enumerate(images) if not isinstance(x, Exception) and x.size], {}
+        if model is not None:
+            answers = {seen[k]: answered(x) for k, x in _inputs([images[i] for i in seen], size, lambda x: pixels.tensors(x, **PLAIN))}
+        rest = _each(lambda i: images[i] if isinstance(images[i], Exception) else found(grays[i], answers.get(i)))(list(range(len(rows))))
         return [b if isinstance(b, Exception) else (*a, *b) for a, b in zip(_measured(grays), rest, strict=True)]
 
     own = _in_batches(images, _DETECTED, work, carry)
@@ -271,13 +331,22 @@ def detect(images: DataFrame, model: Model | None, size: int = DETECTOR_SIZE, pr
 def classify_documents(images: DataFrame, model: Model, size: int = CLASSIFIER_SIZE, carry: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """images with quad_at (array<double> of 8 or null): logits of the part of each image in its quad, null without one."""
 
-    def work(row: dict) -> tuple:
-        if row["quad_at"] is None:
-            return (None,)
-        crop = pixels.warp(gray_of(row), np.array(row["quad_at"]).reshape(4, 2))
-        return (model(pixels.tensor(pixels.squash(crop, size)[0]))[0].ravel().astype(np.float32).tolist(),)
+    logits = _each(lambda x: (model(x)[0].ravel().astype(np.float32).tolist(),))
 
-    return _in_batches(images, "logits array<float>", _each(work), carry)
+    def work(rows: list[dict]) -> list:
+        out: list = [(None,)] * len(rows)
+        some = [i for i, row in enumerate(rows) if row["quad_at"] is not None]
+        for i, gray in zip(some, _each(gray_of)([rows[i] for i in some]), strict=True):
+            out[i] = gray
+        some = [i for i in some if not isinstance(out[i], Exception)]
+        for i, crop in zip(some, warped([out[i] for i in some], [np.array(rows[i]["quad_at"], float).reshape(4, 2) for i in some]), strict=True):
+            out[i] = crop
+        some = [i for i in some if not isinstance(out[i], Exception)]
+        for k, x in _inputs([out[i] for i in some], size, pixels.tensors):
+            out[some[k]] = logits([x])[0]
+        return out
+
+    return _in_batches(images, "logits array<float>", work, carry)
 
 
 _IMAGE = ("width", "height", "row_stride", "pixel_format", "orientation", "is_mirrored", "data")
@@ -314,30 +383,32 @@ def faces_of(images: DataFrame, model: Callable[[np.ndarray], Mapping[str, np.nd
     """
     cell = "struct<cls:double,obj:double,bbox:array<double>,kps:array<double>,grid_row:int,grid_col:int,stride:int>"
 
-    def cells(gray: np.ndarray) -> list[dict]:
-        out = model(pixels.tensor(pixels.squash(gray, size)[0], raw=True))
+    def cells(x: np.ndarray) -> list[dict]:
+        out = model(x)
         found = []
         for stride in STRIDES:
             columns = size // stride
             if profile == "ios" and not all(np.size(out.get(f"{n}_{stride}", ())) for n in ("cls", "obj", "bbox", "kps")):
                 continue
             cls, obj, bbox, kps = (np.asarray(out[f"{n}_{stride}"], np.float64).reshape(columns * columns, -1) for n in ("cls", "obj", "bbox", "kps"))
-            score = np.sqrt(np.clip(cls[:, 0], 0, 1) * np.clip(obj[:, 0], 0, 1))
-            for k in np.flatnonzero(score >= least).tolist():
+            # Clipping makes a product of two positive values no larger, so few cells are looked at closely.
+            near = np.flatnonzero(cls[:, 0] * obj[:, 0] >= 0.999 * least * least)
+            score = np.sqrt(np.clip(cls[near, 0], 0, 1) * np.clip(obj[near, 0], 0, 1))
+            for k in near[score >= least].tolist():
                 found.append({"cls": cls[k, 0], "obj": obj[k, 0], "bbox": bbox[k].tolist(), "kps": kps[k].tolist(), "grid_row": k // columns, "grid_col": k % columns, "stride": stride})
         return found
 
-    def one(gray) -> tuple:
+    def thumb(gray: np.ndarray) -> tuple:
         small = pixels.downscale(gray, pixels.MOTION_EDGE)
-        try:
-            found = cells(gray)
-        except Exception:
-            found = []
-        return small.shape[1], small.shape[0], small.tobytes(), found
+        return small.shape[1], small.shape[0], small.tobytes()
 
     def work(rows: list[dict]) -> list:
         grays = _each(gray_of)(rows)
-        return [g if isinstance(g, Exception) else (*m, *one(g)) for m, g in zip(_measured(grays), grays, strict=True)]
+        seen, found = [i for i, g in enumerate(grays) if not isinstance(g, Exception) and g.size], {}
+        for k, x in _inputs([grays[i] for i in seen], size, lambda x: pixels.tensors(x, raw=True)):
+            own = _each(cells)([x])[0]
+            found[seen[k]] = [] if isinstance(own, Exception) else own
+        return [g if isinstance(g, Exception) else (*m, *thumb(g), found.get(i, [])) for i, (m, g) in enumerate(zip(_measured(grays), grays, strict=True))]
 
     return _in_batches(images, f"{MEASURES}, thumb_width int, thumb_height int, gray binary, cells array<{cell}>", work, carry)
 
@@ -369,10 +440,19 @@ WIDEST = {"android": 320, "ios": 1600}
 
 def recognised(crop: np.ndarray, model: Model, profile: str = "android") -> tuple[list[dict], int]:
     """Best class of each step of a line, and the number of classes. The line is brought to the height that the model declares."""
+    height, width = line_size(crop.shape, model, profile)
+    return read_classes(model(pixels.tensor(pixels.bilinear(crop, width, height), HALF, HALF))[0])
+
+
+def line_size(shape: tuple[int, ...], model: Model, profile: str = "android") -> tuple[int, int]:
+    """Height and width of a line's input to the recogniser."""
     height, _ = declared_size(model, 48, 320)
-    width = height * crop.shape[1] / max(1, crop.shape[0])
-    width = int(np.clip(int(width) if profile == "android" else int(width + 0.5), 1, WIDEST[profile]))
-    out = model(pixels.tensor(pixels.bilinear(crop, width, height), HALF, HALF))[0]
+    width = height * shape[1] / max(1, shape[0])
+    return height, min(max(int(width) if profile == "android" else int(width + 0.5), 1), WIDEST[profile])
+
+
+def read_classes(out: np.ndarray) -> tuple[list[dict], int]:
+    """Best class of each step and the number of classes, of a recogniser's output; nothing of one in no known shape."""
     return (best_classes(out[0].astype(np.float64)), out.shape[2]) if out.ndim == 3 else ([], 0)
 
 
@@ -417,26 +497,68 @@ def capture_texts(photos: DataFrame, models: Mapping[str, Model | None], charset
         raise ValueError("the charset is empty; load it before photos are read")
     search, direction, recogniser = (models[n] for n in REQUIRED[1:])
 
-    def boxes(image: np.ndarray) -> list[np.ndarray]:
+    def upright_image(x: tuple[np.ndarray, list | None]):
+        """What rectify() needs no warp for, or the image and its quad."""
+        image, quad = x
+        if quad is None:
+            return image
+        quad = np.array(quad, float).reshape(4, 2)
+        return rectify(image, quad, profile) if profile == "ios" else (image, quad)
+
+    def searched(images: list[np.ndarray]) -> Iterator[tuple]:
+        """The input of the text search of each image, all of one shape."""
+        h, w = images[0].shape[:2]
+        tw, th = pixels.text_size(h, w, profile=profile)
+        x = pixels.tensors(pixels.bilinear_all(np.stack(images), tw, th))
+        return ((x[k : k + 1], tw, th, tw / w, th / h) for k in range(len(images)))
+
+    def boxes(given) -> list[np.ndarray]:
         try:
-            given, sx, sy = pixels.text_input(image, profile=profile)
-            return pixels.text_boxes(np.asarray(search(pixels.tensor(given))[0]).reshape(given.shape[:2]), sx, sy, profile)
+            x, tw, th, sx, sy = given
+            return pixels.text_boxes(np.asarray(search(x)[0]).reshape(th, tw), sx, sy, profile)
         except Exception:
             return []
 
-    def work(row: dict) -> tuple:
-        image = rectify(pixels.decode(row["content"]), row["quad"], profile)
-        lines = []
-        for quad in boxes(image):
-            crop, _ = turned_upright(pixels.text_crop(image, quad, profile), direction, profile)
-            steps, classes = recognised(crop, recogniser, profile)
-            low, high = np.clip(quad.min(axis=0), 0, image.shape[1::-1]), np.clip(quad.max(axis=0), 0, image.shape[1::-1])
-            box = np.concatenate([low, high - low]) / np.tile(image.shape[1::-1], 2)
-            lines.append({"steps": steps, "classes": classes, **dict(zip(("x", "y", "width", "height"), box.tolist(), strict=True))})
-        return lines, pixels.encode(image) if row["quad"] is not None else None
+    def text_pixels(key: tuple) -> int:
+        w, h = pixels.text_size(*key[:2], profile=profile)
+        return w * h
+
+    def in_model(crops: list, size: Callable, model: Model, made: Callable) -> list:
+        """made() of the model's output of each crop, brought to the size of its shape in stacks; size gives height and width."""
+        inputs = _alike(crops, lambda c: c.shape, lambda own: np.split(pixels.tensors(pixels.bilinear_all(np.stack(own), *size(own[0].shape)[::-1]), HALF, HALF), len(own)), lambda k: int(np.prod(size(k))))
+        return _each(lambda x: _raised(x) if isinstance(x, Exception) else made(model(x)[0]))(inputs)
+
+    def turned(crops: list) -> list:
+        if profile == "ios":
+            return _each(lambda c: _raised(c) if isinstance(c, Exception) else turned_upright(c, direction, profile)[0])(crops)
+        scores = in_model(crops, lambda shape: declared_size(direction, 48, 192), direction, np.ravel)
+        return [s if isinstance(s, Exception) else np.ascontiguousarray(c[::-1, ::-1]) if len(s) > 1 and bool(s[1] > s[0]) else c for c, s in zip(crops, scores, strict=True)]
+
+    def work(rows: list[dict]) -> list:
+        images = _each(lambda row: upright_image((pixels.decode(row["content"]), row["quad"])))(rows)
+        some = [i for i, x in enumerate(images) if isinstance(x, tuple)]
+        for i, x in zip(some, warped([images[i][0] for i in some], [images[i][1] for i in some]), strict=True):
+            images[i] = x
+        found = [boxes(x) for x in _alike(images, lambda x: x.shape, searched, text_pixels)]
+        at = [(i, quad) for i, quads in enumerate(found) for quad in quads]
+        crops = warped([images[i] for i, _ in at], [quad for _, quad in at])
+        if profile == "ios":
+            crops = [c if isinstance(c, Exception) or c.shape[0] < 1.5 * c.shape[1] else np.ascontiguousarray(np.rot90(c)) for c in crops]
+        reads = in_model(turned(crops), lambda shape: line_size(shape, recogniser, profile), recogniser, read_classes)
+        lines: list = [x if isinstance(x, Exception) else [] for x in images]
+        for (i, quad), read in zip(at, reads, strict=True):
+            if isinstance(read, Exception) or isinstance(lines[i], Exception):
+                lines[i] = lines[i] if isinstance(lines[i], Exception) else read
+                continue
+            h, w = images[i].shape[:2]
+            (x0, y0), (x1, y1) = quad.min(axis=0).tolist(), quad.max(axis=0).tolist()
+            x0, y0, x1, y1 = min(max(x0, 0.0), w), min(max(y0, 0.0), h), min(max(x1, 0.0), w), min(max(y1, 0.0), h)
+            lines[i].append({"steps": read[0], "classes": read[1], "x": x0 / w, "y": y0 / h, "width": (x1 - x0) / w, "height": (y1 - y0) / h})
+        done = lambda x: _raised(x[1]) if isinstance(x[1], Exception) else (x[1], pixels.encode(x[2]) if x[0]["quad"] is not None else None)
+        return _each(done)(list(zip(rows, lines, images, strict=True)))
 
     line = f"struct<steps:{_BEST},classes:int,x:double,y:double,width:double,height:double>"
-    own = _in_batches(photos, f"raw array<{line}>, rectified binary", _each(work), ("capture_id", "document_type"))
+    own = _in_batches(photos, f"raw array<{line}>, rectified binary", work, ("capture_id", "document_type"))
     symbols = F.array(*map(F.lit, charset))
 
     def spelled(r: Column) -> Column:

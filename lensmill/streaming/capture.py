@@ -176,6 +176,24 @@ def motion(before: tuple | None, now: tuple) -> float:
     return float(np.abs(a - b).mean() / 255) if len(a) else 0.0
 
 
+def motions(pairs: list[tuple[tuple | None, tuple | None]]) -> list[float]:
+    """motion() of each pair, 0 where there is no image; images of one size are compared in stacks."""
+    out, sizes = [0.0] * len(pairs), {}
+    for i, (before, now) in enumerate(pairs):
+        if before and now and before[:2] == now[:2] and len(before[2]) == len(now[2]) > 0:
+            sizes.setdefault(len(now[2]), []).append(i)
+        elif now:
+            out[i] = motion(before, now)
+    for n, own in sizes.items():
+        step = max(1, (1 << 18) // n)
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            a, b = (np.frombuffer(b"".join(pairs[i][k][2] for i in some), np.uint8).reshape(-1, n).astype(np.int16) for k in (0, 1))
+            for i, m in zip(some, (np.abs(a - b).mean(axis=1) / 255).tolist(), strict=True):
+                out[i] = m
+    return out
+
+
 def motion_scores(thumbnails: DataFrame) -> DataFrame:
     """Motion of a stream of (session_id, timestamp_ms, width, height, gray binary)."""
     return thumbnails.groupBy("session_id").transformWithStateInPandas(Motion(), "session_id bigint, timestamp_ms bigint, motion_score double", "Append", "None")
