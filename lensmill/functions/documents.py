@@ -42,7 +42,7 @@ def dates(upper: Column, pattern: str) -> Column:
     """All dates in the text as ISO texts, sorted."""
     parts = F.arrays_zip(*[F.regexp_extract_all(upper, F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "d"), (2, "m"), (3, "y"))])
     fits = F.filter(parts, lambda x: x["m"].cast("int").between(1, 12) & x["d"].cast("int").between(1, 31))
-    return F.array_sort(F.transform(fits, lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0"))))
+    return F.sort_array(F.transform(fits, lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0"))))
 
 
 def nth(array: Column, i: int) -> Column:
@@ -82,7 +82,7 @@ def name_candidates(lines: Column, pattern: str, stop: str, order, trim=lambda x
     """Texts of upper lines that look like names, sorted by order(line), earlier lines first on ties."""
     numbered = lambda own: F.transform(own, lambda x, i: F.struct(order(x).alias("k"), i.alias("i"), x["text"].alias("t")))
     fits = lambda x: (x["y"] < 0.55) & (F.length(x["text"]) >= 2) & trim(x).rlike(pattern) & ~F.upper(x["text"]).rlike(stop)
-    return F.transform(F.array_sort(numbered(F.filter(lines, fits))), lambda x: x["t"])
+    return F.transform(F.sort_array(numbered(F.filter(lines, fits))), lambda x: x["t"])
 
 
 def with_licence(df, text: str = "text", lines: str = "lines", as_of_year: int = 2026):
@@ -159,7 +159,7 @@ def extract(captures, as_of_year: int = 2026):
     Each type is parsed by its own branch, so no row pays for another type's parser.
     """
     c = F.col
-    blank = F.regexp_replace(F.coalesce(c("text"), F.lit("")), "(?U)\\s", "") == ""
+    blank = trimmed(F.coalesce(c("text"), F.lit(""))) == ""
     base = captures.select("capture_id", "document_type", "text", "lines", F.when(blank, 0.0).otherwise(c("confidence")).alias("confidence"), blank.alias("blank"))
 
     def shaped(df, success, name, number, dob, expiry, nationality, address, mrz, valid):

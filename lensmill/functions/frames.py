@@ -95,11 +95,8 @@ def in_reading_order(lines: Column, profile: str = "android") -> Column:
     """Lines by the centre of their height, ties by their left edge; ios leaves ties in the order given."""
     tie = lambda l, i: F.struct(l["x"].alias("t")) if profile == "android" else F.struct(i.cast("double").alias("t"))
     keyed = F.transform(lines, lambda l, i: F.struct((l["y"] + l["height"] / 2).alias("c"), tie(l, i).alias("t"), i.alias("i"), l.alias("l")))
-    return F.transform(F.array_sort(keyed, lambda a, b: F.when(_key(a) < _key(b), -1).when(_key(a) > _key(b), 1).otherwise(0)), lambda k: k["l"])
-
-
-def _key(k: Column) -> Column:
-    return F.struct(k["c"], k["t"], k["i"])
+    # The number makes every key differ, so the line beside it never decides, and no comparison runs as a lambda.
+    return F.transform(F.sort_array(keyed), lambda k: k["l"])
 
 
 def with_full_text(captures: DataFrame) -> DataFrame:

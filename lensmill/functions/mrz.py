@@ -11,6 +11,8 @@ from lensmill.functions.geometry import bound
 LETTERS, THEIR_DIGITS = "OQDILTZEASGB", "000111234568"
 DIGITS, THEIR_LETTERS = "012568", "OIZSGB"
 ALPHABET, WEIGHTS = "123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (7, 3, 1)
+#: All that (?U)\\s matches.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 OPENERS = "«»{[(}])"
 #: format: (lines, shortest, longest, width, first characters, needs '<<'); in order of precedence.
 FORMATS = {
@@ -50,7 +52,7 @@ def reconcile(raw: Column, check: Column, length: int) -> Column:
 
 
 def trimmed(s: Column) -> Column:
-    return F.regexp_replace(s, "^(?U)\\s+|(?U)\\s+$", "")
+    return F.btrim(s, F.lit(SPACES))
 
 
 def squeezed(s: Column) -> Column:
@@ -131,7 +133,10 @@ def names(field: Column) -> tuple[Column, Column]:
 def with_mrz(df, text: str = "text", as_of_year: int = 2026):
     """df with ok, kind, format, valid_checks and the fields of FIELDS ('' where missing)."""
     c = F.col
-    out = df.withColumn("_n", normal_lines(F.coalesce(c(text), F.lit("")))).withColumn("_b", block(c("_n"))).drop("_n")
+    # Lines only get shorter once they are upper case, so a text without a line as long as the shortest zone's is not looked at.
+    shortest = min(f[1] for f in FORMATS.values())
+    long = F.exists(F.split(F.upper(c(text)), "\n", -1), lambda x: F.length(x) >= shortest)
+    out = df.withColumn("_n", F.when(long, normal_lines(c(text)))).withColumn("_b", block(c("_n"))).drop("_n")
     td1 = c("_b.format") == "TD1"
     cut = lambda line, a, b: F.substring(c(f"_b.{line}"), a + 1, b - a)
     pick = lambda one, other: F.when(td1, one).otherwise(other)
