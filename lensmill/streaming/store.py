@@ -2,17 +2,13 @@
 
 An event sets fields at its time; of two that set the same field the later one holds (equal times by event_id). A result
 clears the error, a reset sets every field to nothing. So the store does not depend on the order in which events arrive, and
-the batch twin is one aggregate a field, combined before the shuffle.
+is one aggregate a field, combined before the shuffle, in batch as in a stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FIELDS = ("guidance", "stage", "result", "error")
 EVENT = "session_id bigint, timestamp_ms bigint, event_id bigint, kind string, value string"
@@ -36,30 +32,9 @@ def latest_values(events: DataFrame) -> DataFrame:
     return out.select("session_id", *[F.col(f"{f}.value").alias(f) for f in FIELDS], "timestamp_ms")
 
 
-class LatestStore(StatefulProcessor):
-    """One state row a field and session; emits the store of each session that a batch touched."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fields = handle.getMapState("fields", "field string", "timestamp_ms bigint, event_id bigint, value string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: tuple(v) for k, v in self.fields.iterator()} if self.fields.exists() else {}
-        changed = {}
-        for part in rows:
-            for t, event_id, kind, value in zip(part["timestamp_ms"], part["event_id"], part["kind"], part["value"], strict=True):
-                for f in (*SETS.get(kind, ()), *CLEARS.get(kind, ())):
-                    now = (int(t), int(event_id), value if f in SETS[kind] and isinstance(value, str) else None)
-                    if f not in held or now[:2] >= held[f][:2]:
-                        held[f] = changed[f] = now
-        for f, now in changed.items():
-            self.fields.updateValue((f,), now)
-        newest = max((v[0] for v in held.values()), default=None)
-        yield pd.DataFrame([(key[0], *(held.get(f, (0, 0, None))[2] for f in FIELDS), newest)], columns=["session_id", *FIELDS, "timestamp_ms"])
-
-    def close(self) -> None:
-        pass
-
-
 def stored_values(events: DataFrame) -> DataFrame:
-    """The store as a stream of EVENT rows in update mode: the last row of a session is its store."""
-    return events.groupBy("session_id").transformWithStateInPandas(LatestStore(), OUTPUT, "Update", "None")
+    """The store as a stream of EVENT rows in update mode: the last row of a session is its store.
+
+    The batch twin's aggregate: a batch's events are combined before the shuffle, the state is one row a session.
+    """
+    return latest_values(events)
