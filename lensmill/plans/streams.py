@@ -29,22 +29,24 @@ def delivered(late: bool):
     return F.when((part == 0) & (F.col("event_id") % 23 == 0), 2).otherwise(out) if late else out
 
 
-def _parts(spark, sf_dir, late: bool) -> tuple[DataFrame, int]:
+def _parts(spark, sf_dir, late: bool) -> tuple[DataFrame, int, int]:
+    """Frames by delivery, the last delivery, and how many groups of sessions there are."""
     own = plans.judged(spark, sf_dir)
-    own = stored(ordered.frame_events(own).withColumn("delivery", delivered(late)), "deliveries")
-    return own, own.agg(F.max("delivery")).first()[0] or 0
+    own = stored(ordered.frame_events(own).withColumn("delivery", delivered(late)), "deliveries", "delivery")
+    last, sessions = own.agg(F.max("delivery"), F.approx_count_distinct("session_id")).first()
+    return own, last or 0, ordered.groups_for(sessions, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def stream_out_of_order(spark, sf_dir):
     """Frames in shuffled files over several deliveries, some too late: the stages that they give in order, and the late ones."""
-    own, last = _parts(spark, sf_dir, True)
+    own, last, groups = _parts(spark, sf_dir, True)
     folder = f"{shared_folder(spark)}/lensmill/out-of-order-{uuid.uuid4().hex}"
     session = ordered.stateful_session(spark)
     for k in range(last + 1):
         part = own.where(F.col("delivery") == k).drop("delivery").orderBy(F.xxhash64("event_id"))
         # The source's last word, after which nothing is waited for.
         (part.unionByName(ordered.heartbeat(spark, BEGIN * 1000)) if k == last else part).write.mode("append").parquet(f"{folder}/in")
-        stages = ordered.ordered_stages(ordered.folder_stream(session, f"{folder}/in"), DELAY)
+        stages = ordered.ordered_stages(ordered.folder_stream(session, f"{folder}/in"), DELAY, groups=groups)
         stages.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(ordered.OUTPUT).parquet(f"{folder}/out")
     return found.select("session_id", "timestamp_ms", "stage", r6(F.col("stability_progress")).alias("stability_progress"))
@@ -55,7 +57,7 @@ def capture_loop(spark, sf_dir):
 
     Every row of stage processing has the time and a corner of the last forwarded frame's quad.
     """
-    own, last = _parts(spark, sf_dir, False)
+    own, last, groups = _parts(spark, sf_dir, False)
     folder = f"{shared_folder(spark)}/lensmill/loop-{uuid.uuid4().hex}"
     session = ordered.stateful_session(spark)
     ordered.control_events(spark.createDataFrame([], "session_id bigint, timestamp_ms bigint, kind string")).write.parquet(f"{folder}/controls/none")
@@ -65,11 +67,10 @@ def capture_loop(spark, sf_dir):
     asked = []
 
     def answered(batch: DataFrame, batch_id: int) -> None:
-        sink(batch, batch_id)
-        asked.append(not batch.where("stage IN ('capturing', 'processing')").isEmpty())
+        asked.append(sink(batch, batch_id))
 
     def run() -> None:
-        stages = ordered.ordered_stages(ordered.folder_stream(session, f"{folder}/in", f"{folder}/controls"), DELAY, WINDOW, holds=True)
+        stages = ordered.ordered_stages(ordered.folder_stream(session, f"{folder}/in", f"{folder}/controls"), DELAY, WINDOW, holds=True, groups=groups)
         stages.writeStream.foreachBatch(answered).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
     for k in range(last + 1):

@@ -19,10 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lensmill-")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again."""
+def stored(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """df written to the shared folder and read again; a filter on columns of ``by`` reads their folders alone."""
     path = f"{shared_folder(df.sparkSession)}/lensmill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
