@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[tuple[str, DataFrame]] = []
 
@@ -29,10 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage is cut and a lost executor costs nothing."""
+    """Writes df to the shared folder and reads it again: lineage is cut and a lost executor costs nothing.
+
+    The write's own shuffle files go as soon as it has ended, and not when the driver's memory happens to be collected.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lensmill/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN.append((path, out))
     return out

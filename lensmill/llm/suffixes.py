@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensmill.llm.common import materialise, rows_of, running, short
+from lensmill.llm.common import materialise, release, rows_of, running, short, written
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
@@ -465,7 +465,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         keyed = rows.join(ranks, (F.col("least") == F.col("l")) & (F.col("sha") == F.col("s"))).drop("l", "s")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(3 * parts, -(-counts.bytes // BUCKET_BYTES))
-    cuts = _splitters(docs, buckets, counts.n)
+    cuts, since = _splitters(docs, buckets, counts.n), written()
     compared = materialise(_by_bucket(_listed(docs, cuts), parts, _compared(cuts)), "suffix-compared")
     asked = compared.where(F.col("kind") == OPEN).groupBy(F.col("key").alias("list_key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     windows = _windows(_texts_of(docs, materialise(asked, "suffix-asked")).select("key", "text", "runs"), buckets)
@@ -473,6 +473,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     settled = [x.where(F.col("kind") == SETTLED).select("key", "first", "last") for x in (compared, again)]
     runs = settled[0].unionAll(settled[1]).groupBy(F.col("key").alias("list_key")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     runs = materialise(runs, "suffix-runs")
+    release(spark, since, (runs,))
 
     def cut(batches):
         for batch in short(batches):
