@@ -23,6 +23,8 @@ from lensmill.operators import sequences
 Model = Callable[[np.ndarray], list[np.ndarray]]
 #: Images of a batch that are worked on at a time, and pixels that are measured in one stack.
 IMAGE_ROWS, STACK_PIXELS = 64, 1 << 21
+#: Small images come in larger parts: as many rows, while they hold so many bytes at most.
+SMALL_ROWS, SMALL_BYTES = 1024, 1 << 18
 #: Pixels of what is made for a stack of images, so that its parts stay in a core's cache.
 MADE_PIXELS = 1 << 16
 MEASURES = "width int, height int, blur_score double, brightness double, glare_ratio double"
@@ -32,26 +34,37 @@ HALF = (0.5,) * 3
 PLAIN = {"mean": (0.0,) * 3, "std": (1.0,) * 3}
 
 
-def _in_batches(images: DataFrame, ddl: str, work: Callable[[list[dict]], list], carry: tuple[str, ...]) -> DataFrame:
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of IMAGE_ROWS rows, or of more where they are small."""
+    at = 0
+    while at < batch.num_rows:
+        rows = SMALL_ROWS
+        while rows > IMAGE_ROWS and batch.slice(at, rows).nbytes > SMALL_BYTES:
+            rows = max(IMAGE_ROWS, rows // 2)
+        yield batch.slice(at, rows)
+        at += rows
+
+
+def _in_batches(images: DataFrame, ddl: str, work: Callable[[list[dict]], list], carry: tuple[str, ...], arrays: Mapping[str, Callable[[list], pa.Array]] = {}) -> DataFrame:
     """The carried columns, those of ddl as work() gives them, a tuple or an exception for each row, and error.
 
-    A row that fails gives nulls and the error's text, as one bad frame must not end a job.
+    A row that fails gives nulls and the error's text, as one bad frame must not end a job. arrays: for columns whose values
+    are not what Arrow takes, what makes an array of them.
     """
     own = StructType.fromDDL(ddl).fields
     schema = StructType([*(sequences.nullable(images.schema[c]) for c in carry), *own, StructField("error", StringType())])
     arrow = to_arrow_schema(schema)
-    kinds = [f.type for f in arrow][len(carry) : -1]
+    kinds = [arrays.get(f.name, lambda v, t=f.type: pa.array(v, t)) for f in arrow][len(carry) : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, IMAGE_ROWS):
-                part = batch.slice(at, IMAGE_ROWS)
+            for part in _parts(batch):
                 names = part.schema.names
                 found = work([dict(zip(names, v, strict=True)) for v in zip(*(c.to_pylist() for c in part.columns), strict=True)])
                 failed = [f"{type(x).__name__}: {x}" if isinstance(x, Exception) else None for x in found]
                 values = zip(*((None,) * len(kinds) if isinstance(x, Exception) else x for x in found), strict=True)
                 columns = [part.column(names.index(c)).cast(arrow.field(c).type) for c in carry]
-                columns += [pa.array(list(v), t) for v, t in zip(values, kinds, strict=True)]
+                columns += [made(list(v)) for v, made in zip(values, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(failed, pa.string())], schema=arrow)
 
     return images.mapInArrow(run, schema)
@@ -71,8 +84,8 @@ def _raised(e: Exception):
     raise e
 
 
-def _alike(items: list, key: Callable, work: Callable[[list], Sequence], made: int | Callable = 0) -> list:
-    """work() of all items that have the same key together, made pixels of each at most MADE_PIXELS at a time; exceptions stay.
+def _alike(items: list, key: Callable, work: Callable[[list], Sequence], made: int | Callable = 0, most: int = MADE_PIXELS) -> list:
+    """work() of all items that have the same key together, made pixels of each at most ``most`` at a time; exceptions stay.
 
     Items that fail together are tried one by one, so that only those that fail alone give an exception.
     """
@@ -81,7 +94,7 @@ def _alike(items: list, key: Callable, work: Callable[[list], Sequence], made: i
         if not isinstance(x, Exception):
             groups.setdefault(key(x), []).append(i)
     for k, own in groups.items():
-        step = max(1, MADE_PIXELS // max(1, made(k) if callable(made) else made))
+        step = max(1, most // max(1, made(k) if callable(made) else made))
         for at in range(0, len(own), step):
             some = own[at : at + step]
             try:
@@ -110,9 +123,10 @@ def warped(images: list[np.ndarray], quads: list[np.ndarray]) -> list:
     """pixels.warp() of each image by its quad, or an exception."""
     if not quads:
         return []
-    finite = [bool(np.isfinite(q).all()) for q in quads]
-    sizes = pixels.warp_sizes(np.stack([q if ok else np.zeros((4, 2)) for q, ok in zip(quads, finite, strict=True)])).tolist()
-    given = [x if ok else ValueError("the quad is not finite") for x, ok in zip(zip(images, quads, sizes, strict=True), finite, strict=True)]
+    given = np.stack(quads)
+    finite = np.isfinite(given).all(axis=(1, 2))
+    sizes = pixels.warp_sizes(np.where(finite[:, None, None], given, 0.0)).tolist()
+    given = [x if ok else ValueError("the quad is not finite") for x, ok in zip(zip(images, quads, sizes, strict=True), finite.tolist(), strict=True)]
     together = lambda own: pixels.warp_all(np.stack([x[0] for x in own]), np.stack([x[1] for x in own]), *own[0][2])
     return _alike(given, lambda x: (x[0].shape, *x[2]), together, lambda k: k[-1] * k[-2])
 
@@ -194,14 +208,20 @@ def rectified(photos: DataFrame, profile: str = "android") -> DataFrame:
     return _in_batches(photos, "content binary", _each(work), ("image_id",))
 
 
+def _boxes(maps: list, profile: str) -> list:
+    """pixels.text_boxes() of each map and its scales, or an exception."""
+    together = lambda own: pixels.text_boxes_all(np.stack([x[0] for x in own]), *own[0][1:], profile)
+    return _alike(maps, lambda x: (x[0].dtype.str, *x[0].shape, *x[1:]), together, lambda k: k[1] * k[2], STACK_PIXELS)
+
+
 def text_lines(maps: DataFrame, profile: str = "android") -> DataFrame:
     """maps(image_id, height, width, prob array<float>, scale_x, scale_y): quads of text lines in reading order."""
 
-    def work(row: dict) -> tuple:
-        prob = np.array(row["prob"], np.float32).reshape(row["height"], row["width"])
-        return ([q.ravel().tolist() for q in pixels.text_boxes(prob, row["scale_x"], row["scale_y"], profile)],)
+    def work(rows: list[dict]) -> list:
+        probs = _each(lambda row: (np.array(row["prob"], np.float32).reshape(row["height"], row["width"]), row["scale_x"], row["scale_y"]))(rows)
+        return [x if isinstance(x, Exception) else ([q.ravel().tolist() for q in x],) for x in _boxes(probs, profile)]
 
-    found = _in_batches(maps, "quads array<array<double>>", _each(work), ("image_id",))
+    found = _in_batches(maps, "quads array<array<double>>", work, ("image_id",))
     return found.select("image_id", F.posexplode("quads").alias("line_idx", "quad"))
 
 
@@ -429,9 +449,40 @@ _BEST = "array<struct<k:int,p:double>>"
 
 def best_classes(steps: np.ndarray) -> list[dict]:
     """First largest class of each step and its softmax probability."""
-    k = steps.argmax(axis=1)
-    p = 1 / np.exp(steps - steps.max(axis=1, keepdims=True)).sum(axis=1)
-    return [{"k": int(a), "p": float(b)} for a, b in zip(k, p, strict=True)]
+    return [{"k": a, "p": b} for a, b in zip(*(x[0].tolist() for x in best_classes_all(steps[None])), strict=True)]
+
+
+def best_classes_all(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """best_classes() of each of a stack of lines with equally many steps: the classes and the probabilities."""
+    return steps.argmax(axis=2), 1 / np.exp(steps - steps.max(axis=2, keepdims=True)).sum(axis=2)
+
+
+def _read_lines(outs: list) -> list:
+    """Best classes of each step, their probabilities and the number of classes, of each output; see read_classes()."""
+
+    def together(own: list[np.ndarray]) -> list[tuple]:
+        if own[0].ndim != 3:
+            return [(np.empty(0, int), np.empty(0), 0)] * len(own)
+        return [(k, p, own[0].shape[2]) for k, p in zip(*best_classes_all(np.stack([x[0] for x in own]).astype(np.float64)), strict=True)]
+
+    return _alike(outs, lambda x: x.shape, together, lambda k: int(np.prod(k)))
+
+
+def _lists(lengths: list[int], values: pa.Array, missing: list[bool] | None = None) -> pa.Array:
+    """Lists of the given lengths, cut from all values one after the other; null where one is missing."""
+    ends = np.cumsum([0, *lengths], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, values, mask=None if missing is None else pa.array(missing, pa.bool_()))
+
+
+def _line_arrays(photos: list[list[tuple] | None]) -> pa.Array:
+    """Arrow's array of each photo's lines (classes, probabilities, number of classes, box), without a Python value a step."""
+    lines = [line for own in photos for line in own or ()]
+    whole = lambda k, t: np.concatenate([np.empty(0, t), *(line[k] for line in lines)]).astype(t)
+    best = pa.StructArray.from_arrays([pa.array(whole(0, np.int32)), pa.array(whole(1, np.float64))], ["k", "p"])
+    boxes = np.array([line[3] for line in lines], float).reshape(-1, 4).T
+    parts = [_lists([len(line[0]) for line in lines], best), pa.array([line[2] for line in lines], pa.int32()), *map(pa.array, boxes)]
+    own = pa.StructArray.from_arrays(parts, ["steps", "classes", "x", "y", "width", "height"])
+    return _lists([len(own or ()) for own in photos], own, [own is None for own in photos])
 
 
 #: The widest line that a recogniser is given.
@@ -500,65 +551,69 @@ def capture_texts(photos: DataFrame, models: Mapping[str, Model | None], charset
     def upright_image(x: tuple[np.ndarray, list | None]):
         """What rectify() needs no warp for, or the image and its quad."""
         image, quad = x
+        if not image.size:
+            raise ValueError("the photo has no pixels")
         if quad is None:
             return image
         quad = np.array(quad, float).reshape(4, 2)
+        if not np.isfinite(quad).all():
+            raise ValueError("the quad is not finite")
         return rectify(image, quad, profile) if profile == "ios" else (image, quad)
 
-    def searched(images: list[np.ndarray]) -> Iterator[tuple]:
-        """The input of the text search of each image, all of one shape."""
+    def searched(images: list[np.ndarray]) -> list:
+        """What the text search finds in each image, all of one shape, and the scales; or an exception."""
         h, w = images[0].shape[:2]
         tw, th = pixels.text_size(h, w, profile=profile)
         x = pixels.tensors(pixels.bilinear_all(np.stack(images), tw, th))
-        return ((x[k : k + 1], tw, th, tw / w, th / h) for k in range(len(images)))
-
-    def boxes(given) -> list[np.ndarray]:
-        try:
-            x, tw, th, sx, sy = given
-            return pixels.text_boxes(np.asarray(search(x)[0]).reshape(th, tw), sx, sy, profile)
-        except Exception:
-            return []
+        return _each(lambda k: (np.asarray(search(x[k : k + 1])[0]).reshape(th, tw), tw / w, th / h))(range(len(images)))
 
     def text_pixels(key: tuple) -> int:
         w, h = pixels.text_size(*key[:2], profile=profile)
         return w * h
 
-    def in_model(crops: list, size: Callable, model: Model, made: Callable) -> list:
-        """made() of the model's output of each crop, brought to the size of its shape in stacks; size gives height and width."""
-        inputs = _alike(crops, lambda c: c.shape, lambda own: np.split(pixels.tensors(pixels.bilinear_all(np.stack(own), *size(own[0].shape)[::-1]), HALF, HALF), len(own)), lambda k: int(np.prod(size(k))))
-        return _each(lambda x: _raised(x) if isinstance(x, Exception) else made(model(x)[0]))(inputs)
+    def in_model(crops: list, size: Callable, model: Model) -> list:
+        """The model's output of each crop, brought to the size of its shape in stacks; size gives height and width."""
+
+        def together(own: list[np.ndarray]) -> list:
+            x = pixels.tensors(pixels.bilinear_all(np.stack(own), *size(own[0].shape)[::-1]), HALF, HALF)
+            return _each(lambda k: np.asarray(model(x[k : k + 1])[0]))(range(len(own)))
+
+        return _alike(crops, lambda c: c.shape, together, lambda k: int(np.prod(size(k))))
 
     def turned(crops: list) -> list:
         if profile == "ios":
             return _each(lambda c: _raised(c) if isinstance(c, Exception) else turned_upright(c, direction, profile)[0])(crops)
-        scores = in_model(crops, lambda shape: declared_size(direction, 48, 192), direction, np.ravel)
+        scores = _each(lambda x: _raised(x) if isinstance(x, Exception) else x.ravel())(in_model(crops, lambda shape: declared_size(direction, 48, 192), direction))
         return [s if isinstance(s, Exception) else np.ascontiguousarray(c[::-1, ::-1]) if len(s) > 1 and bool(s[1] > s[0]) else c for c, s in zip(crops, scores, strict=True)]
 
+    def shares(quads: np.ndarray, sizes: np.ndarray) -> list[list[float]]:
+        """x, y, width and height of each quad's part in its image, of the image's size."""
+        low, high = (np.clip(x, 0.0, sizes) for x in (quads.min(axis=1), quads.max(axis=1)))
+        return np.concatenate([low / sizes, (high - low) / sizes], axis=1).tolist()
+
     def work(rows: list[dict]) -> list:
         images = _each(lambda row: upright_image((pixels.decode(row["content"]), row["quad"])))(rows)
         some = [i for i, x in enumerate(images) if isinstance(x, tuple)]
         for i, x in zip(some, warped([images[i][0] for i in some], [images[i][1] for i in some]), strict=True):
             images[i] = x
-        found = [boxes(x) for x in _alike(images, lambda x: x.shape, searched, text_pixels)]
-        at = [(i, quad) for i, quads in enumerate(found) for quad in quads]
+        found = _boxes(_alike(images, lambda x: x.shape, searched, text_pixels), profile)
+        at = [(i, quad) for i, quads in enumerate(found) if not isinstance(quads, Exception) for quad in quads]
         crops = warped([images[i] for i, _ in at], [quad for _, quad in at])
         if profile == "ios":
             crops = [c if isinstance(c, Exception) or c.shape[0] < 1.5 * c.shape[1] else np.ascontiguousarray(np.rot90(c)) for c in crops]
-        reads = in_model(turned(crops), lambda shape: line_size(shape, recogniser, profile), recogniser, read_classes)
+        reads = _read_lines(in_model(turned(crops), lambda shape: line_size(shape, recogniser, profile), recogniser))
+        boxes = shares(np.stack([quad for _, quad in at]), np.array([images[i].shape[1::-1] for i, _ in at], float)) if at else []
         lines: list = [x if isinstance(x, Exception) else [] for x in images]
-        for (i, quad), read in zip(at, reads, strict=True):
+        for (i, _), read, box in zip(at, reads, boxes, strict=True):
             if isinstance(read, Exception) or isinstance(lines[i], Exception):
                 lines[i] = lines[i] if isinstance(lines[i], Exception) else read
                 continue
-            h, w = images[i].shape[:2]
-            (x0, y0), (x1, y1) = quad.min(axis=0).tolist(), quad.max(axis=0).tolist()
-            x0, y0, x1, y1 = min(max(x0, 0.0), w), min(max(y0, 0.0), h), min(max(x1, 0.0), w), min(max(y1, 0.0), h)
-            lines[i].append({"steps": read[0], "classes": read[1], "x": x0 / w, "y": y0 / h, "width": (x1 - x0) / w, "height": (y1 - y0) / h})
+            lines[i].append((*read, box))
         done = lambda x: _raised(x[1]) if isinstance(x[1], Exception) else (x[1], pixels.encode(x[2]) if x[0]["quad"] is not None else None)
         return _each(done)(list(zip(rows, lines, images, strict=True)))
 
     line = f"struct<steps:{_BEST},classes:int,x:double,y:double,width:double,height:double>"
-    own = _in_batches(photos, f"raw array<{line}>, rectified binary", work, ("capture_id", "document_type"))
+    own = _in_batches(photos, f"raw array<{line}>, rectified binary", work, ("capture_id", "document_type"), {"raw": _line_arrays})
     symbols = F.array(*map(F.lit, charset))
 
     def spelled(r: Column) -> Column:
