@@ -106,6 +106,11 @@ def _alike(items: list, key: Callable, work: Callable[[list], Sequence], made: i
     return out
 
 
+def _stacked(images: list[np.ndarray]) -> np.ndarray:
+    """np.stack() of arrays of one shape, with less work an array."""
+    return np.concatenate(images).reshape(len(images), *images[0].shape)
+
+
 def _inputs(images: list[np.ndarray], size: int, made: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """Place and 1 x C x H x W input of each image, squashed to size x size, stack by stack of images of one shape."""
     shapes: dict[tuple, list[int]] = {}
@@ -115,7 +120,7 @@ def _inputs(images: list[np.ndarray], size: int, made: Callable[[np.ndarray], np
     for own in shapes.values():
         for at in range(0, len(own), step):
             some = own[at : at + step]
-            x = made(pixels.bilinear_all(np.stack([images[i] for i in some]), size, size))
+            x = made(pixels.bilinear_all(_stacked([images[i] for i in some]), size, size))
             yield from ((i, x[k : k + 1]) for k, i in enumerate(some))
 
 
@@ -123,11 +128,11 @@ def warped(images: list[np.ndarray], quads: list[np.ndarray]) -> list:
     """pixels.warp() of each image by its quad, or an exception."""
     if not quads:
         return []
-    given = np.stack(quads)
+    given = _stacked(quads)
     finite = np.isfinite(given).all(axis=(1, 2))
     sizes = pixels.warp_sizes(np.where(finite[:, None, None], given, 0.0)).tolist()
     given = [x if ok else ValueError("the quad is not finite") for x, ok in zip(zip(images, quads, sizes, strict=True), finite.tolist(), strict=True)]
-    together = lambda own: pixels.warp_all(np.stack([x[0] for x in own]), np.stack([x[1] for x in own]), *own[0][2])
+    together = lambda own: pixels.warp_all(_stacked([x[0] for x in own]), _stacked([x[1] for x in own]), *own[0][2])
     return _alike(given, lambda x: (x[0].shape, *x[2]), together, lambda k: k[-1] * k[-2])
 
 
@@ -210,7 +215,7 @@ def rectified(photos: DataFrame, profile: str = "android") -> DataFrame:
 
 def _boxes(maps: list, profile: str) -> list:
     """pixels.text_boxes() of each map and its scales, or an exception."""
-    together = lambda own: pixels.text_boxes_all(np.stack([x[0] for x in own]), *own[0][1:], profile)
+    together = lambda own: pixels.text_boxes_all(_stacked([x[0] for x in own]), *own[0][1:], profile)
     return _alike(maps, lambda x: (x[0].dtype.str, *x[0].shape, *x[1:]), together, lambda k: k[1] * k[2], STACK_PIXELS)
 
 
@@ -463,7 +468,7 @@ def _read_lines(outs: list) -> list:
     def together(own: list[np.ndarray]) -> list[tuple]:
         if own[0].ndim != 3:
             return [(np.empty(0, int), np.empty(0), 0)] * len(own)
-        return [(k, p, own[0].shape[2]) for k, p in zip(*best_classes_all(np.stack([x[0] for x in own]).astype(np.float64)), strict=True)]
+        return [(k, p, own[0].shape[2]) for k, p in zip(*best_classes_all(_stacked([x[0] for x in own]).astype(np.float64)), strict=True)]
 
     return _alike(outs, lambda x: x.shape, together, lambda k: int(np.prod(k)))
 
@@ -564,7 +569,7 @@ def capture_texts(photos: DataFrame, models: Mapping[str, Model | None], charset
         """What the text search finds in each image, all of one shape, and the scales; or an exception."""
         h, w = images[0].shape[:2]
         tw, th = pixels.text_size(h, w, profile=profile)
-        x = pixels.tensors(pixels.bilinear_all(np.stack(images), tw, th))
+        x = pixels.tensors(pixels.bilinear_all(_stacked(images), tw, th))
         return _each(lambda k: (np.asarray(search(x[k : k + 1])[0]).reshape(th, tw), tw / w, th / h))(range(len(images)))
 
     def text_pixels(key: tuple) -> int:
@@ -575,7 +580,7 @@ def capture_texts(photos: DataFrame, models: Mapping[str, Model | None], charset
         """The model's output of each crop, brought to the size of its shape in stacks; size gives height and width."""
 
         def together(own: list[np.ndarray]) -> list:
-            x = pixels.tensors(pixels.bilinear_all(np.stack(own), *size(own[0].shape)[::-1]), HALF, HALF)
+            x = pixels.tensors(pixels.bilinear_all(_stacked(own), *size(own[0].shape)[::-1]), HALF, HALF)
             return _each(lambda k: np.asarray(model(x[k : k + 1])[0]))(range(len(own)))
 
         return _alike(crops, lambda c: c.shape, together, lambda k: int(np.prod(size(k))))
@@ -602,7 +607,7 @@ def capture_texts(photos: DataFrame, models: Mapping[str, Model | None], charset
         if profile == "ios":
             crops = [c if isinstance(c, Exception) or c.shape[0] < 1.5 * c.shape[1] else np.ascontiguousarray(np.rot90(c)) for c in crops]
         reads = _read_lines(in_model(turned(crops), lambda shape: line_size(shape, recogniser, profile), recogniser))
-        boxes = shares(np.stack([quad for _, quad in at]), np.array([images[i].shape[1::-1] for i, _ in at], float)) if at else []
+        boxes = shares(_stacked([quad for _, quad in at]), np.array([images[i].shape[1::-1] for i, _ in at], float)) if at else []
         lines: list = [x if isinstance(x, Exception) else [] for x in images]
         for (i, _), read, box in zip(at, reads, boxes, strict=True):
             if isinstance(read, Exception) or isinstance(lines[i], Exception):

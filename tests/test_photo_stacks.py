@@ -193,3 +193,16 @@ def test_photos_together_are_read_as_alone(spark, profile):
     assert alone[120]["error"] == "ValueError: the photo has no pixels" and "head" in alone[121]["error"]
     errors = {r["error"] for r in alone.values()}
     assert None in errors and len(errors) > 2 and max(len(r["lines"]) for r in alone.values()) > 1
+
+
+def test_bends_keep_areas_and_hulls():
+    """Points on a straight line between two others go; single pixels, lines there and back and turns by one step stay."""
+    masks = blobs(20, 15, 15, 3) > 0.3
+    masks[0], masks[1] = False, False
+    masks[0, 3, 4] = masks[1, 2:9, 5] = True
+    points, n, _ = pixels.outlines_all(masks)
+    few, left = pixels.bends(points, n)
+    cut = lambda p, k: np.split(p, np.cumsum(k)[:-1])
+    assert left.sum() < n.sum() and cut(few, left)[0].tolist() == [[4, 3]] and cut(few, left)[1].tolist() == [[5, 2], [5, 8]]
+    for a, b in zip(cut(points, n), cut(few, left), strict=True):
+        assert pixels.polygon_area(a) == pixels.polygon_area(b) and np.array_equal(pixels.hull(a), pixels.hull(b))
